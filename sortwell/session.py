@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +68,13 @@ def _sweep() -> None:
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:
             _delete(spark, path)
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` after sending this package to the executors, once per application."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(sc.applicationId)
+    return df.mapInArrow(run, schema)
