@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortwell.llm import bpe, exact_dedup, mixing, simhash
+from sortwell.llm import bpe, ego, exact_dedup, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_epsilon_grid_order": ego.op7_epsilon_grid_order,
         "op8_bpe_chunk_reuse": bpe.op8_bpe_chunk_reuse,
         "op10_simhash_multi_index": simhash.op10_simhash_multi_index,
     }
