@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortwell.llm import bpe, ego, exact_dedup, mixing, simhash
+from sortwell.llm import bpe, cnn, ego, exact_dedup, mixing, qda, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op5_quality_qda": qda.op5_quality_qda,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_epsilon_grid_order": ego.op7_epsilon_grid_order,
         "op8_bpe_chunk_reuse": bpe.op8_bpe_chunk_reuse,
+        "op9_toxicity_cnn": cnn.op9_toxicity_cnn,
         "op10_simhash_multi_index": simhash.op10_simhash_multi_index,
     }
 
