@@ -19,7 +19,10 @@ ROWS_PER_LABEL, MAX_TRAIN_WORDS = 2500, 20_000
 #: A word is the sum of two hashed vectors of its own and one of its first PREFIX letters.
 WORD_BUCKETS, PREFIX_BUCKETS, PREFIX, DIM = 1 << 16, 1 << 14, 4, 8
 WIDTHS, FILTERS = (1, 2, 3), 6
-EPOCHS, BATCH, RATE = 6, 32, 0.15
+#: Documents shown in training, half of either label; fewer rows are shown more often.
+SHOWN, BATCH, RATE = 18_000, 32, 0.15
+#: Share of a document's words that a showing leaves out, so that no single rare word settles its label; spread of the first embeddings.
+LEAVE_OUT, INIT = 0.5, 0.01
 #: Every so many training rows are kept out to set the thresholds.
 CALIBRATE = 4
 #: The score at which a document counts as toxic; each language's threshold is moved there.
@@ -153,7 +156,7 @@ def fit(docs: list[np.ndarray], langs: np.ndarray, y: np.ndarray, prior: float,
     """
     rng = np.random.default_rng(seed)
     n = len(WIDTHS) * FILTERS
-    tables = [rng.normal(0, 0.05, (size, DIM)).astype(np.float32) for size in (WORD_BUCKETS, WORD_BUCKETS, PREFIX_BUCKETS)]
+    tables = [rng.normal(0, INIT, (size, DIM)).astype(np.float32) for size in (WORD_BUCKETS, WORD_BUCKETS, PREFIX_BUCKETS)]
     for t in tables:
         t[0] = 0
     m = Model(tables, rng.normal(0, 0.3, (DIM, sum(WIDTHS) * FILTERS)).astype(np.float32), np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), 0.0, np.zeros(len(_LANGS), np.float32))
@@ -163,49 +166,52 @@ def fit(docs: list[np.ndarray], langs: np.ndarray, y: np.ndarray, prior: float,
     held = np.arange(len(docs)) % CALIBRATE == 0
     train = np.flatnonzero(~held)
     starts = {w: w * (w - 1) // 2 * FILTERS for w in WIDTHS}  # WIDTHS are 1, 2, ...
-    for _ in range(EPOCHS):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
-            grads = [None, None, None, np.zeros_like(m.kernel), np.zeros_like(m.bias), np.zeros_like(m.out)]
-            rows: list[list[np.ndarray]] = [[], [], []]
-            steps: list[np.ndarray] = []
-            grad_b = 0.0
-            for i in batch:
-                ids = np.concatenate([docs[i], np.zeros((max(WIDTHS) - 1, 3), np.int32)])
-                acts = m.convolve(ids)[: len(docs[i])]
-                if not len(acts):
-                    continue
-                best = acts.argmax(axis=0)
-                pooled = acts[best, np.arange(n)] + m.bias
-                h = np.maximum(pooled, 0)
-                err = 1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -30, 30))) - y[i]
-                grads[5] += err * h
-                grad_b += err
-                dh = err * m.out * (pooled > 0)
-                grads[4] += dh
-                for w in WIDTHS:
-                    for f in np.flatnonzero(dh[(w - 1) * FILTERS : w * FILTERS]):
-                        g, at = dh[(w - 1) * FILTERS + f], best[(w - 1) * FILTERS + f]
-                        for k in range(w):
-                            col = starts[w] + k * FILTERS + f
-                            grads[3][:, col] += g * m.embed(ids[at + k : at + k + 1])[0]
-                            for t in range(3):
-                                rows[t].append(ids[at + k, t])
-                            steps.append(g * m.kernel[:, col])
-            for p, s, g in zip(params[3:], past[3:], grads[3:], strict=True):
-                g /= len(batch)
-                s += g * g
-                p -= RATE * g / np.sqrt(s)
-            past_b += (grad_b / len(batch)) ** 2
-            m.out_bias -= RATE * grad_b / len(batch) / np.sqrt(past_b)
-            if steps:
-                step = np.stack(steps) / len(batch)
-                for t in range(3):
-                    where, back = np.unique(np.array(rows[t]), return_inverse=True)
-                    g = np.zeros((len(where), DIM), np.float32)
-                    np.add.at(g, back, step)
-                    g[where == 0] = 0
-                    past[t][where] += g * g
-                    tables[t][where] -= RATE * g / np.sqrt(past[t][where])
+    sides = [train[y[train] == k] for k in (0, 1)]
+    for _ in range(SHOWN // BATCH):
+        batch = np.concatenate([rng.choice(side, BATCH // 2) for side in sides if len(side)])
+        grads = [None, None, None, np.zeros_like(m.kernel), np.zeros_like(m.bias), np.zeros_like(m.out)]
+        rows: list[list[np.ndarray]] = [[], [], []]
+        steps: list[np.ndarray] = []
+        grad_b = 0.0
+        for i in batch:
+            ids = docs[i][rng.random(len(docs[i])) >= LEAVE_OUT]
+            shown = len(ids)
+            ids = np.concatenate([ids, np.zeros((max(WIDTHS) - 1, 3), np.int32)])
+            acts = m.convolve(ids)[:shown]
+            if not len(acts):
+                continue
+            best = acts.argmax(axis=0)
+            pooled = acts[best, np.arange(n)] + m.bias
+            h = np.maximum(pooled, 0)
+            err = 1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -30, 30))) - y[i]
+            grads[5] += err * h
+            grad_b += err
+            dh = err * m.out * (pooled > 0)
+            grads[4] += dh
+            for w in WIDTHS:
+                for f in np.flatnonzero(dh[(w - 1) * FILTERS : w * FILTERS]):
+                    g, at = dh[(w - 1) * FILTERS + f], best[(w - 1) * FILTERS + f]
+                    for k in range(w):
+                        col = starts[w] + k * FILTERS + f
+                        grads[3][:, col] += g * m.embed(ids[at + k : at + k + 1])[0]
+                        for t in range(3):
+                            rows[t].append(ids[at + k, t])
+                        steps.append(g * m.kernel[:, col])
+        for p, s, g in zip(params[3:], past[3:], grads[3:], strict=True):
+            g /= len(batch)
+            s += g * g
+            p -= RATE * g / np.sqrt(s)
+        past_b += (grad_b / len(batch)) ** 2
+        m.out_bias -= RATE * grad_b / len(batch) / np.sqrt(past_b)
+        if steps:
+            step = np.stack(steps) / len(batch)
+            for t in range(3):
+                where, back = np.unique(np.array(rows[t]), return_inverse=True)
+                g = np.zeros((len(where), DIM), np.float32)
+                np.add.at(g, back, step)
+                g[where == 0] = 0
+                past[t][where] += g * g
+                tables[t][where] -= RATE * g / np.sqrt(past[t][where])
     _calibrate(m, [docs[i] for i in np.flatnonzero(held)], langs[held], y[held], prior)
     return m
 
