@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortwell.llm import bpe, cnn, ego, exact_dedup, mixing, qda, simhash
+from sortwell.llm import bpe, chat_repair, cnn, ego, exact_dedup, html_density, mixing, qda, simhash, token_histogram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_histogram": token_histogram.op1_token_histogram,
         "op2_mixing": mixing.op2_mixing,
+        "op3_html_text_density": html_density.op3_html_text_density,
+        "op4_chat_role_repair": chat_repair.op4_chat_role_repair,
         "op5_quality_qda": qda.op5_quality_qda,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_epsilon_grid_order": ego.op7_epsilon_grid_order,
