@@ -1,0 +1,340 @@
+"""Kernels over decoded images, batched through Arrow; rasters are rows of BGR or gray bytes.
+
+Each kernel is a few array operations on one image. Spark distributes the images;
+``image_features`` computes all measures of a batch after decoding it once.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sortwell.session import map_arrow
+
+QUALITY = ("composite_score", "sharpness", "brightness", "contrast", "noise_quality", "resolution", "edge_density", "color_richness", "exposure_quality", "raw_sharpness", "raw_brightness", "raw_contrast", "raw_noise", "raw_resolution")
+COMPLEXITY = ("complexity_score", "edge_complexity", "texture_complexity", "color_complexity", "shape_complexity", "completeness_score", "detail_level", "object_count")
+
+
+def raster(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    """Height x width x 3, BGR."""
+    m = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(m, 3, axis=2) if channels == 1 else m[:, :, :3]
+
+
+def gray_of(bgr: np.ndarray) -> np.ndarray:
+    """Luma with fixed values 0.114 (blue), 0.587 (green), 0.299 (red)."""
+    return np.rint(bgr @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+
+
+def hsv_of(bgr: np.ndarray) -> np.ndarray:
+    """Hue 0 to 179, saturation and value 0 to 255."""
+    b, g, r = (bgr[:, :, k].astype(np.float64) for k in range(3))
+    v = np.maximum(np.maximum(b, g), r)
+    d = v - np.minimum(np.minimum(b, g), r)
+    safe = np.where(d > 0, d, 1)
+    h = np.where(v == r, (g - b) / safe, np.where(v == g, 2 + (b - r) / safe, 4 + (r - g) / safe)) * 60
+    h = np.where(d > 0, np.where(h < 0, h + 360, h), 0) / 2
+    s = np.where(v > 0, d / np.where(v > 0, v, 1) * 255, 0)
+    return np.stack([np.rint(h) % 180, np.rint(s), v], axis=2).astype(np.uint8)
+
+
+def _around(m: np.ndarray, by: int) -> np.ndarray:
+    """Padded by mirroring about the edge pixels, as far as the image reaches."""
+    for axis in (0, 1):
+        left = by
+        while left > 0 and m.shape[axis] > 1:
+            step = min(left, m.shape[axis] - 1)
+            width = [(0, 0), (0, 0)]
+            width[axis] = (step, step)
+            m = np.pad(m, width, mode="reflect")
+            left -= step
+        if left > 0:
+            width = [(0, 0), (0, 0)]
+            width[axis] = (left, left)
+            m = np.pad(m, width, mode="edge")
+    return m
+
+
+def filtered(m: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    k = kernel.shape[0] // 2
+    wide = _around(m.astype(np.float64), k)
+    windows = np.lib.stride_tricks.sliding_window_view(wide, kernel.shape)
+    return np.tensordot(windows, kernel, axes=([2, 3], [0, 1]))
+
+
+def gaussian(size: int, sigma: float) -> np.ndarray:
+    x = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
+    k = np.outer(x, x)
+    return k / k.sum()
+
+
+def sharpness(gray: np.ndarray) -> float:
+    return float(filtered(gray, np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]], float)).var())
+
+
+def noise(gray: np.ndarray) -> float:
+    """Mean absolute contrast-normalised deviation; NaN where rounding makes a variance negative."""
+    g = gray.astype(np.float32)
+    window = gaussian(7, 7 / 6).astype(np.float32)
+    mean = filtered(g, window).astype(np.float32)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = (filtered(g * g, window).astype(np.float32) - mean * mean) ** np.float32(0.5)
+        spread[spread == 0] = 1
+        return float(np.mean(np.abs((g - mean) / spread)))
+
+
+def edges(gray: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Thin edges: gradient maxima over ``high``, and over ``low`` where they touch such ones."""
+    gx = filtered(gray, np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float))
+    gy = filtered(gray, np.array([[-1, -2, -1], [0, 0, 0], [1, 2, 1]], float))
+    mag = np.abs(gx) + np.abs(gy)
+    around = np.pad(mag, 1)
+    shift = lambda dy, dx: around[1 + dy : 1 + dy + mag.shape[0], 1 + dx : 1 + dx + mag.shape[1]]
+    tan = np.abs(gy) / np.where(gx == 0, 1e-9, np.abs(gx))
+    flat, steep, falling = tan < np.tan(np.pi / 8), tan > np.tan(3 * np.pi / 8), gx * gy < 0
+    before = np.select([flat, steep, falling], [shift(0, -1), shift(-1, 0), shift(-1, 1)], shift(-1, -1))
+    after = np.select([flat, steep, falling], [shift(0, 1), shift(1, 0), shift(1, -1)], shift(1, 1))
+    thin = (mag > before) & (mag >= after) & (mag > low)
+    found = labelled(thin)
+    strong = np.unique(found[thin & (mag > high)])
+    return thin & np.isin(found, strong)
+
+
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """Numbers of the eight-connected components; 0 outside."""
+    out = np.zeros(mask.shape, np.int32)
+    n = 0
+    for y, x in np.argwhere(mask):
+        if out[y, x]:
+            continue
+        n += 1
+        out[y, x] = n
+        todo = deque([(y, x)])
+        while todo:
+            a, b = todo.popleft()
+            for c in range(max(0, a - 1), min(mask.shape[0], a + 2)):
+                for d in range(max(0, b - 1), min(mask.shape[1], b + 2)):
+                    if mask[c, d] and not out[c, d]:
+                        out[c, d] = n
+                        todo.append((c, d))
+    return out
+
+
+def otsu(gray: np.ndarray) -> np.ndarray:
+    """Pixels over the threshold that parts the histogram with the largest variance between its sides."""
+    p = np.bincount(gray.ravel(), minlength=256) / gray.size
+    w, m = np.cumsum(p), np.cumsum(p * np.arange(256))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        between = np.nan_to_num((m[-1] * w - m) ** 2 / (w * (1 - w)), posinf=0.0, neginf=0.0)
+    between[(w <= 0) | (w >= 1 - 1e-12)] = 0
+    return gray > int(between.argmax())
+
+
+def shares(values: np.ndarray, bins: int) -> np.ndarray:
+    n = np.bincount(np.minimum(values.ravel(), bins - 1), minlength=bins)[:bins]
+    return n / max(1, n.sum())
+
+
+def entropy(p: np.ndarray) -> float:
+    return float(-(p * np.log(p + 1e-10)).sum())
+
+
+def color_richness(hsv: np.ndarray) -> float:
+    hue, sat = shares(hsv[:, :, 0], 180), shares(hsv[:, :, 1], 256)
+    return float(0.4 * hsv[:, :, 1].mean() / 255 + 0.3 * entropy(hue) / np.log(180) + 0.3 * entropy(sat) / np.log(256))
+
+
+def exposure(gray: np.ndarray) -> float:
+    p = shares(gray, 256)
+    return float(max(0.0, p[50:200].sum() - 2 * (p[:10].sum() + p[245:].sum())))
+
+
+def quality(bgr: np.ndarray) -> dict[str, float]:
+    gray, hsv = gray_of(bgr), hsv_of(bgr)
+    raw = {"raw_sharpness": sharpness(gray), "raw_brightness": float(gray.mean()), "raw_contrast": float(gray.std()), "raw_noise": noise(gray), "raw_resolution": float(gray.size)}
+    part = {
+        "sharpness": min(1.0, raw["raw_sharpness"] / 1000), "brightness": 1 - abs(raw["raw_brightness"] - 127) / 127, "contrast": min(1.0, raw["raw_contrast"] / 80),
+        "noise_quality": 0.0 if np.isnan(raw["raw_noise"]) else max(0.0, 1 - raw["raw_noise"] / 10), "resolution": min(1.0, raw["raw_resolution"] / 12_000_000),
+        "edge_density": float(edges(gray).mean()), "color_richness": color_richness(hsv), "exposure_quality": exposure(gray),
+    }
+    weights = dict(zip(part, (0.25, 0.15, 0.15, 0.15, 0.10, 0.10, 0.05, 0.05), strict=True))
+    return {"composite_score": sum(weights[k] * v for k, v in part.items()), **part, **raw}
+
+
+def outlines(mask: np.ndarray) -> list[tuple[float, float, np.ndarray]]:
+    """Area, perimeter and pixels of each outer outline, traced through pixel centres."""
+    found = labelled(mask)
+    wide = np.pad(found, 1)
+    turns = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+    out = []
+    for n in range(1, found.max() + 1):
+        start = tuple(np.argwhere(wide == n)[0])
+        at, way, path = start, 7, [start]
+        first_move = None
+        while True:
+            for k in range(8):
+                turn = (way + 6 + k) % 8 if len(path) > 1 else k
+                step = (at[0] + turns[turn][0], at[1] + turns[turn][1])
+                if wide[step] == n:
+                    break
+            else:
+                break
+            if at == start and first_move == turn:
+                break
+            first_move = turn if first_move is None else first_move
+            at, way = step, turn
+            path.append(at)
+        p = np.array(path[:-1] if len(path) > 1 else path, float) - 1
+        nxt = np.roll(p, -1, axis=0)
+        area = abs((p[:, 0] * nxt[:, 1] - p[:, 1] * nxt[:, 0]).sum()) / 2
+        out.append((float(area), float(np.hypot(*(nxt - p).T).sum()), p.astype(int)))
+    return out
+
+
+def object_count(gray: np.ndarray) -> int:
+    """Bright components of over 500 pixels after opening twice."""
+    m = otsu(gray)
+    for keep in (np.min, np.min, np.max, np.max):
+        wide = np.pad(m, 1, constant_values=keep is np.min)
+        m = keep(np.lib.stride_tricks.sliding_window_view(wide, (3, 3)), axis=(2, 3))
+    return int((np.bincount(labelled(m).ravel())[1:] > 500).sum())
+
+
+def completeness(gray: np.ndarray, found: list) -> float:
+    """1 less the share of large outlines that touch the border band."""
+    h, w = gray.shape
+    band = min(h, w) // 20
+    border = np.zeros((h, w), bool)
+    border[:band], border[-band:], border[:, :band], border[:, -band:] = True, True, True, True
+    large = [p for area, _, p in found if area >= 0.01 * h * w]
+    if not large:
+        return 0.5
+    return 1 - sum(bool(border[p[:, 0], p[:, 1]].any()) for p in large) / len(large)
+
+
+def complexity(bgr: np.ndarray) -> dict[str, float]:
+    gray, hsv = gray_of(bgr), hsv_of(bgr)
+    h, w = gray.shape
+    edge = min(10 * float(edges(gray).mean()), 1.0)
+    tiles = [gray[y : y + 16, x : x + 16].std() for y in range(0, h - 16, 8) for x in range(0, w - 16, 8)]
+    texture = min(float(np.mean(tiles)) / 50, 1.0) if tiles else 0.5
+    color = min(entropy(shares(hsv[:, :, 0], 180)) / 5, 1.0)
+    found = outlines(otsu(gray))
+    large = [min(1.0, perimeter / (2 * np.sqrt(np.pi * area)) / 3) for area, perimeter, _ in found if area > 100]
+    shape = float(np.mean(large)) if large else (0.5 if found else 0.0)
+    objects = object_count(gray)
+    score = min(1.0, 0.25 * edge + 0.25 * texture + 0.2 * color + 0.15 * shape + 0.15 * min(objects / 5, 1.0))
+    return {"complexity_score": score, "edge_complexity": edge, "texture_complexity": texture, "color_complexity": color, "shape_complexity": shape, "completeness_score": completeness(gray, found), "detail_level": (edge + texture) / 2, "object_count": float(objects)}
+
+
+def resized(m: np.ndarray, height: int, width: int, lobes: int = 3) -> np.ndarray:
+    """Windowed-sinc resampling, widened for reduction."""
+
+    def weights(n: int, to: int) -> np.ndarray:
+        scale = n / to
+        wide = max(1.0, scale)
+        centre = (np.arange(to) + 0.5) * scale - 0.5
+        x = (np.arange(n)[None] - centre[:, None]) / wide
+        k = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0)
+        return k / k.sum(axis=1, keepdims=True)
+
+    return weights(m.shape[0], height) @ m.astype(np.float64) @ weights(m.shape[1], width).T
+
+
+def perceptual_hash(gray: np.ndarray, size: int = 8) -> str:
+    small = np.clip(np.rint(resized(gray, size, size)), 0, 255)
+    return "".join("1" if x else "0" for x in (small > small.mean()).ravel())
+
+
+def histogram_features(hsv: np.ndarray) -> np.ndarray:
+    """30 hue, 32 saturation and 32 value shares."""
+    parts = []
+    for k, (bins, top) in enumerate(((30, 180), (32, 256), (32, 256))):
+        n = np.bincount(np.minimum(hsv[:, :, k].astype(int) * bins // top, bins - 1).ravel(), minlength=bins).astype(np.float32)
+        parts.append(n / (n.sum() + np.float32(1e-7)))
+    return np.concatenate(parts).astype(np.float32)
+
+
+def ssim(a: np.ndarray, b: np.ndarray, size: int = 256) -> float:
+    """Structural similarity of two gray images, resized and stretched to 0..1, by uniform 7 x 7 windows."""
+    stretched = []
+    for m in (a, b):
+        m = resized(m, size, size)
+        stretched.append((m - m.min()) / (m.max() - m.min()) if m.max() > m.min() else np.zeros_like(m))
+    x, y = stretched
+    n = 49
+    win = lambda m: np.lib.stride_tricks.sliding_window_view(m, (7, 7)).mean(axis=(2, 3))
+    mx, my = win(x), win(y)
+    fix = n / (n - 1)
+    vx, vy, vxy = fix * (win(x * x) - mx * mx), fix * (win(y * y) - my * my), fix * (win(x * y) - mx * my)
+    c1, c2 = 0.01**2, 0.03**2
+    return float((((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
+
+
+def rotation_ssim(a: np.ndarray, b: np.ndarray, size: int = 256) -> float:
+    return max(ssim(a, np.rot90(b, k), size) for k in range(4))
+
+
+def foreground_ssim(a: np.ndarray, b: np.ndarray, size: int = 256) -> float:
+    """Of BGR images with pixels of little saturation blackened."""
+    cut = lambda m: gray_of(np.where((hsv_of(m)[:, :, 1] > 30)[:, :, None], m, 0))
+    return ssim(cut(a), cut(b), size)
+
+
+def image_features(images: DataFrame, with_complexity: bool = True) -> DataFrame:
+    """``images`` (path or other columns, height, width, channels, data) with hash, features and metrics instead of data.
+
+    A null image keeps the defaults of images that can't be read: zeros, noise 100,
+    no hash, no features.
+    """
+    keep = [c for c in images.columns if c not in ("data",)]
+    packed = images.select(F.struct(*keep).alias("row"), "height", "width", "channels", "data")
+    metrics = lambda names: T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    schema = T.StructType([packed.schema["row"], T.StructField("phash", T.StringType()), T.StructField("features", T.ArrayType(T.FloatType())), T.StructField("quality", metrics(QUALITY)), T.StructField("complexity", metrics(COMPLEXITY))])
+    none_q = dict.fromkeys(QUALITY, 0.0) | {"raw_noise": 100.0}
+    none_c = dict.fromkeys(COMPLEXITY) | {"complexity_score": 0.5, "object_count": 0.0, "completeness_score": 0.5, "detail_level": 0.5}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, w, c, data in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                if data is None:
+                    out.append((None, None, none_q, none_c if with_complexity else None))
+                    continue
+                bgr = raster(data, h, w, c)
+                out.append((perceptual_hash(gray_of(bgr)), histogram_features(hsv_of(bgr)).tolist(), quality(bgr), complexity(bgr) if with_complexity else None))
+            kinds = [pa.string(), pa.list_(pa.float32()), *[pa.struct([(n, pa.float64()) for n in names]) for names in (QUALITY, COMPLEXITY)]]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(v), t) for v, t in zip(cols, kinds, strict=True)]], names=["row", "phash", "features", "quality", "complexity"])
+
+    return map_arrow(packed, run, schema).select("row.*", "phash", "features", "quality", "complexity")
+
+
+def image_pairs_ssim(pairs: DataFrame, size: int = 256) -> DataFrame:
+    """``pairs`` (row, a and b: structs of height, width, channels, data) as ``row, ssim, rotation_ssim, foreground_ssim``."""
+    schema = T.StructType([pairs.schema["row"], *[T.StructField(n, T.DoubleType()) for n in ("ssim", "rotation_ssim", "foreground_ssim")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x, y = (raster(i["data"], i["height"], i["width"], i["channels"]) for i in (a, b))
+                gx, gy = gray_of(x), gray_of(y)
+                got.append((ssim(gx, gy, size), rotation_ssim(gx, gy, size), foreground_ssim(x, y, size)))
+            cols = list(zip(*got, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.float64()) for c in cols]], names=["row", "ssim", "rotation_ssim", "foreground_ssim"])
+
+    return map_arrow(pairs.select("row", "a", "b"), run, schema)
+
+
+def content_type(score: Column, complete: Column, objects: Column, threshold: float = 0.6) -> Column:
+    """``complex`` or ``simple``; null metrics count as 0.5, 0.5 and 0."""
+    s, c, n = F.coalesce(score, F.lit(0.5)), F.coalesce(complete, F.lit(0.5)), F.coalesce(objects, F.lit(0))
+    t = F.lit(float(threshold))
+    return F.when(((s > t) & (c > 0.6) & (n >= 2)) | (s > t * 1.2), "complex").otherwise("simple")

@@ -1,22 +1,398 @@
-"""The queries of the reference's own operators and their SQL."""
+"""The queries of the reference's own operators, over the given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sortwell.session import table
+from sortwell.functions import images as I
+from sortwell.functions import paths as P
+from sortwell.functions import vectors as V
+from sortwell.operators import dedup, evaluate, report, split
+from sortwell.operators.edges import cosine_edges, hamming_edges
+from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
+from sortwell.operators.index import with_position
+from sortwell.oracles import ORACLES
+from sortwell.plans.detect import detect_groups, keyed, led
+from sortwell.session import settle, table
+from sortwell.sources.files import FORM_DEFAULTS, Settings
+
+RATIO = 0.75
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items: source is the label, their order by id the position."""
+    docs = table(spark, sf_dir, "documents")
+    narrow = docs.select(F.col("source").alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"))
+    rows = with_position(narrow, "label", [F.col("doc_id")])
+    return rows.withColumns({
+        "path": F.concat("label", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".JPG")), "quality": F.least(F.lit(1.0), F.col("n_chars") / 10000.0),
+        "sharpness": F.pmod("n_chars", F.lit(1000)) / 1000.0, "resolution": F.pmod("doc_id", F.lit(97)) / 97.0,
+        "split_in": F.when(F.pmod("doc_id", F.lit(5)) == 0, "test").otherwise("train"),
+    })
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their token vector and its average hash, written once."""
+    docs = table(spark, sf_dir, "documents")
+    vectors = docs.select(F.col("source").alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"), V.token_vector(F.col("text")).alias("v"))
+    rows = with_position(vectors, "label", [F.col("doc_id")])
+    rows = rows.withColumn("phash", V.average_hash(F.col("v"))).withColumn("quality", F.least(F.lit(1.0), F.col("n_chars") / 10000.0))
+    return settle(rows, "features")
+
+
+def as_text(members: str = "members"):
+    return F.array_join(F.transform(members, lambda x: x.cast("string")), ",").alias(members)
+
+
+# inventory, names and display
+
+
+def label_inventory(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("label"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "test").otherwise("train").alias("split"))
+    return report.label_inventory(docs)
+
+
+def counters_pct(spark, sf_dir):
+    return report.counters(table(spark, sf_dir, "documents").select(F.when(F.pmod("doc_id", F.lit(5)) == 0, "test").otherwise("train").alias("split")))
+
+
+def name_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", P.shortened(F.col("p_name")).alias("short_name"))
+
+
+def name_sort(spark, sf_dir):
+    """Files of a label by lower-cased name."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label"), F.concat(F.when(F.col("doc_id") % 2 == 0, "IMG").otherwise("img"), F.col("doc_id").cast("string"), F.lit(".JPG")).alias("file_name"))
+    return with_position(docs, "label", [F.lower("file_name"), F.col("doc_id")], "place").select("label", "file_name", "place")
+
+
+def path_parse(spark, sf_dir):
+    endings = F.array(*[F.lit(x) for x in ("JPG", "png", "txt", "TIFF", "webp", "gif")])
+    path = F.concat(F.lit("/data/train/"), F.col("source"), F.lit("/img."), F.col("doc_id").cast("string"), F.lit("."), F.element_at(endings, (F.col("doc_id") % 6 + 1).cast("int")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    name = P.base_name(F.col("path"))
+    return rows.select(
+        "doc_id", name.alias("file_name"), P.parent_name(F.col("path")).alias("label"), P.suffix(name).alias("suffix"), P.stem(name).alias("stem"), P.has_suffix(name).alias("in_inventory"), P.has_suffix(name, P.SORTER_SUFFIXES).alias("in_sorter"),
+        P.numbered(name, F.col("doc_id") % 3).alias("numbered"), P.tagged(F.lit("train"), F.col("path")).alias("payload"), P.untagged(P.tagged(F.lit("test"), F.col("path"))).alias("dropped"), F.col("path").contains("train").alias("from_train"),
+    )
+
+
+def text_lines(spark, sf_dir):
+    """Lines of a page's text without those that start with a tag."""
+    return table(spark, sf_dir, "pages").select("page_id", F.length(P.without_lines(F.col("html"), "<")).alias("left_chars"))
+
+
+def progress_log(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("["), F.date_format("ts", "HH:mm:ss"), F.lit("] "), F.col("event_type")).alias("line"))
+
+
+def config_defaults(spark, sf_dir):
+    """A JSON object per event over the form's defaults."""
+    got = F.from_json("props", "k int, train_ratio double")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(got["k"], F.lit(FORM_DEFAULTS["hash_threshold"])).alias("hash_threshold"), F.coalesce(got["train_ratio"], F.lit(FORM_DEFAULTS["train_ratio"])).alias("train_ratio"), F.lit(FORM_DEFAULTS["similarity_threshold"]).alias("near_duplicate_threshold"))
+
+
+# hashes, vectors, edges, groups
+
+
+def hash_groups(column, spark, sf_dir):
+    src = items(spark, sf_dir) if column == "file_hash" else features(spark, sf_dir)
+    return dedup.key_groups(src, column).select("label", "hash", "n", as_text())
+
+
+def hamming_pairs(spark, sf_dir):
+    return hamming_edges(features(spark, sf_dir))
+
+
+def cosine_pairs(threshold, spark, sf_dir):
+    return cosine_edges(features(spark, sf_dir), threshold).withColumn("sim", F.round("sim", 6))
+
+
+def embedding_pairs(spark, sf_dir):
+    """Cosine pairs of the embeddings of a label, at a threshold that random vectors reach."""
+    rows = with_position(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), "label"), "label", [F.col("vec_id")])
+    return cosine_edges(rows, 0.35).withColumn("sim", F.round("sim", 6))
+
+
+def leaders(threshold, spark, sf_dir):
+    f = features(spark, sf_dir)
+    return leader_groups(hamming_edges(f) if threshold is None else cosine_edges(f, threshold))
+
+
+def level_groups(spark, sf_dir):
+    """Leader groups of the near, variation and perceptual levels, numbered in this order."""
+    f = features(spark, sf_dir)
+    e = settle(cosine_edges(f, 0.85), "similar")
+    parts = led(leader_groups(e.where("sim > 0.95")), "near").union(led(leader_groups(e), "variation")).union(led(leader_groups(hamming_edges(f)), "perceptual"))
+    return f, settle(numbered_groups(parts, ["near", "variation", "perceptual"]), "groups")
+
+
+def merged(how, spark, sf_dir):
+    return how(level_groups(spark, sf_dir)[1]).select("label", as_text())
+
+
+def detect_all_levels(spark, sf_dir):
+    return detect_groups(features(spark, sf_dir), Settings()).select("label", as_text())
+
+
+# keeping the best
+
+
+def keep_best(spark, sf_dir):
+    rows = items(spark, sf_dir)
+    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
+    return dedup.best_of_groups(groups, rows)
+
+
+def unique_dataset(spark, sf_dir):
+    f, groups = level_groups(spark, sf_dir)
+    return dedup.unique_items(f, merge_single_pass(groups)).select("label", "idx", "doc_id")
+
+
+def index_remap(spark, sf_dir):
+    """Groups by near vectors in the positions that are left after exact copies are gone."""
+    f = features(spark, sf_dir)
+    exact = dedup.key_groups(f, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
+    unique = with_position(dedup.unique_items(f, exact), "label", [F.col("idx")], "uidx")
+    near = numbered_groups(led(leader_groups(cosine_edges(f, 0.85)), "near"), ["near"])
+    return dedup.remapped_groups(near, unique).select("label", "group_no", as_text())
+
+
+def best_image_score(spark, sf_dir):
+    """Line items of an order as the images of a group."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("group"), F.col("l_linenumber").cast("long").alias("idx"), (F.col("l_quantity") / 50.0).alias("quality_score"), (F.col("l_extendedprice") / 100.0).alias("sharpness"), F.col("l_extendedprice").alias("resolution"),
+        (F.col("l_tax") * 2.0).alias("edge_density"), (F.col("l_discount") * 10.0).alias("color_richness"), (F.col("l_quantity") / 100.0).alias("exposure_quality"), (F.col("l_quantity") * 5.0).alias("brightness"), F.col("l_quantity").alias("contrast"), (F.col("l_discount") * 4.0).alias("noise_quality"),
+    )
+    best = dedup.weighted_best(rows, "group")
+    return best.select(F.col("group").alias("group_id"), "best", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+# measures
+
+
+def quality_composite(spark, sf_dir):
+    """The composite score of raw measures taken from line items, and its mean by flag."""
+    li = table(spark, sf_dir, "lineitem")
+    one = F.lit(1.0)
+    score = (
+        0.25 * F.least(one, F.col("l_extendedprice") / 1000.0) + 0.15 * (one - F.abs(F.col("l_quantity") * 5.0 - 127.0) / 127.0) + 0.15 * F.least(one, F.col("l_quantity") / 80.0)
+        + 0.15 * F.greatest(F.lit(0.0), one - F.col("l_discount") * 100.0 / 10.0) + 0.10 * F.least(one, F.col("l_extendedprice") * 100.0 / 12000000.0) + 0.10 * F.col("l_tax") + 0.05 * F.col("l_discount") + 0.05 * F.col("l_tax")
+    )
+    return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("avg_score"), F.round(F.max(score), 6).alias("max_score"))
+
+
+def vector_histograms(spark, sf_dir):
+    """Entropy, exposure and spread of each document's token histogram."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", V.token_vector(F.col("text")).alias("v"))
+    p = docs.withColumn("p", V.share_of_sum(F.col("v")))
+    part = lambda a, n: V.total(F.slice("p", a + 1, n))
+    mean = V.total(F.col("v")) / 64.0
+    var = V.total(F.transform("v", lambda x: (x - mean) * (x - mean))) / 64.0
+    exposure = F.greatest(F.lit(0.0), part(12, 38) - 2.0 * (part(0, 3) + part(61, 3)))
+    return p.select("doc_id", F.round(V.entropy(F.col("p")), 6).alias("entropy"), F.round(exposure, 6).alias("exposure"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"), F.round(V.norm(V.normalised(F.col("v"))), 6).alias("unit"))
+
+
+def classify_content(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(
+        I.content_type(F.when(F.col("l_linenumber") != 7, F.col("l_quantity") / 50.0), F.col("l_discount") * 10.0, F.when(F.col("l_linenumber") < 6, F.col("l_linenumber"))).alias("content_type"), "l_quantity"
+    )
+    return rows.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+# splits
+
+
+def split_by_quality(spark, sf_dir):
+    return split.split_by_quality(items(spark, sf_dir), RATIO).select("label", "idx", "split")
+
+
+def component_groups(threshold, spark, sf_dir):
+    f = features(spark, sf_dir)
+    pairs = numbered_groups(led(leader_groups(cosine_edges(f, threshold)), "near").union(keyed(dedup.key_groups(f, "file_hash"), "file")), ["near", "file"])
+    return f, merge_components(pairs).withColumn("group_no", F.element_at("members", 1))
+
+
+def group_split(threshold, content, spark, sf_dir):
+    f, groups = component_groups(threshold, spark, sf_dir)
+    rows = f.withColumns({"content_type": F.when(F.pmod("doc_id", F.lit(3)) == 0, "complex").otherwise("simple"), "completeness_score": F.pmod("doc_id", F.lit(11)) / 11.0, "complexity_score": F.pmod("doc_id", F.lit(13)) / 13.0})
+    return split.smart_split(rows, groups, RATIO, content=content).select("label", "idx", "split")
+
+
+def verify_cross_split(spark, sf_dir):
+    """Conflicts of the sides that files have come with."""
+    return split.cross_split_conflicts(features(spark, sf_dir).withColumn("split", F.when(F.pmod("doc_id", F.lit(5)) == 0, "test").otherwise("train")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    """Exact copies of a label go, the best stays, and the rest is split by quality."""
+    rows = settle(items(spark, sf_dir), "items")
+    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
+    unique = dedup.unique_items(rows, groups)
+    return split.split_by_quality(unique, RATIO).select("label", "doc_id", "split")
+
+
+def kfold_assign(spark, sf_dir):
+    return evaluate.with_folds(items(spark, sf_dir), 5).select("label", "idx", "fold")
+
+
+def kfold_metrics(spark, sf_dir):
+    rows = settle(items(spark, sf_dir), "items")
+    groups = dedup.key_groups(rows, "file_hash").groupBy("label").agg(F.count(F.lit(1)).alias("n_groups"))
+    got = evaluate.kfold_metrics(rows, groups)
+    return got.select("label", *[F.round(c, 6).alias(c) for c in got.columns if c != "label"])
+
+
+def config_ranking(spark, sf_dir):
+    """Configurations by overall score, each with the groups that its own near threshold finds."""
+    f = features(spark, sf_dir)
+    limits = [(n, c.get("near_duplicate_threshold", 0.95)) for n, c in enumerate(evaluate.CONFIGS)]
+    e = cosine_edges(f, min(t for _, t in limits))
+    per = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(t)).alias("t")) for n, t in limits])
+    wide = e.select("label", "i", "j", "sim", F.inline(per)).where("sim > t").select(F.concat("label", F.lit("|"), F.col("n").cast("string")).alias("label"), "i", "j")
+    near = leader_groups(wide).select("label", "leader").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("near"))
+    exact = dedup.key_groups(f, "file_hash").groupBy("label").agg(F.count(F.lit(1)).alias("exact"))
+    names = F.array(*[F.struct(F.lit(n).alias("config_no"), F.lit(c["name"]).alias("config")) for n, c in enumerate(evaluate.CONFIGS)])
+    runs = evaluate.kfold_metrics(f, exact.withColumnRenamed("exact", "n_groups")).join(exact, "label", "left").select("*", F.inline(names))
+    keyed_runs = runs.withColumn("_k", F.concat("label", F.lit("|"), F.col("config_no").cast("string"))).join(near.withColumnRenamed("label", "_k"), "_k", "left")
+    n = f.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    more = keyed_runs.join(n, "label").withColumn("overall_score", F.col("overall_score") + F.coalesce("near", F.lit(0)) / F.col("n") * 0.2)
+    ranked = evaluate.rank_configs(more.withColumn("overall_score", F.round("overall_score", 9)))
+    return ranked.select("label", "config", F.round("overall_score", 6).alias("overall_score"), "place")
+
+
+# reports
+
+
+def split_report(spark, sf_dir):
+    rows = report.split_report(split.split_by_quality(items(spark, sf_dir), RATIO))
+    return rows.select("label", "split", "count", *[F.round(c, 6).alias(c) for c in rows.columns if c.startswith("avg_")])
+
+
+def ratio_report(spark, sf_dir):
+    rows = report.ratio_report(split.split_by_quality(items(spark, sf_dir), RATIO), RATIO)
+    return rows.select("label", "train", "test", F.round("train_ratio", 6).alias("train_ratio"), F.round("deviation", 6).alias("deviation"))
+
+
+def group_report(spark, sf_dir):
+    rows = settle(items(spark, sf_dir), "items")
+    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
+    return report.group_report(groups, rows).select("label", F.col("group_id").cast("long").alias("group_id"), "size", F.array_join("images", ",").alias("images"))
+
+
+def groups_per_side(spark, sf_dir):
+    rows = settle(items(spark, sf_dir), "items")
+    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
+    return report.groups_per_side(groups, split.split_by_quality(rows, RATIO))
+
+
+def copy_manifest(spark, sf_dir):
+    rows = items(spark, sf_dir).select(F.concat("split_in", F.lit("/"), "label").alias("folder"), F.concat(F.lit("img"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit(".JPG")).alias("file_name"), "file_hash", "doc_id")
+    return report.copy_manifest(rows, "folder", order="doc_id").select("folder", "doc_id", "target_name")
+
+
+def move_one(spark, sf_dir):
+    """The first document of each source sent to the other side, and the counts after it."""
+    rows = items(spark, sf_dir).select("label", "idx", F.col("split_in").alias("split"), F.when(F.col("idx") == 0, "first").otherwise("other").alias("path"))
+    return report.moved(rows, "first").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_totals(spark, sf_dir):
+    rows = settle(items(spark, sf_dir), "items")
+    n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("total_images"))
+    groups = dedup.key_groups(rows, "file_hash").groupBy("label").agg(F.count(F.lit(1)).alias("duplicates_removed"))
+    sides = split.split_by_quality(rows, RATIO).groupBy("label").agg(*[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_images") for s in ("train", "test")])
+    return report.run_totals(n.join(groups, "label", "left").na.fill(0).join(sides, "label"))
+
+
+# images: an embedding's 64 numbers as the grays of 8 x 8 tiles
+
+
+def rasters(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    gray = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 300 + 128))).cast("int"))
+    hexed = F.transform(gray, lambda g: F.lpad(F.hex(g.cast("long")), 2, "0"))
+    line = lambda y: F.repeat(F.array_join(F.transform(F.slice(hexed, 8 * y + 1, 8), lambda h: F.repeat(h, 4)), ""), 4)
+    return rows.select("vec_id", "label", F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("channels"), F.unhex(F.concat(*[line(y) for y in range(8)])).alias("data"))
+
+
+def image_measures(spark, sf_dir):
+    got = I.image_features(rasters(spark, sf_dir))
+    return got.select("vec_id", "phash", F.round("quality.composite_score", 6).alias("quality"), F.round("quality.raw_sharpness", 3).alias("sharpness"), F.round("quality.raw_brightness", 4).alias("brightness"), F.round("quality.edge_density", 6).alias("edge_density"), F.round("complexity.complexity_score", 6).alias("complexity"), I.content_type(F.col("complexity.complexity_score"), F.col("complexity.completeness_score"), F.col("complexity.object_count")).alias("content_type"))
+
+
+def image_levels(spark, sf_dir):
+    """Gray levels of the rasters: mean, spread and range, as the kernels take them."""
+    got = I.image_features(rasters(spark, sf_dir), with_complexity=False)
+    return got.select("vec_id", F.round("quality.raw_brightness", 4).alias("brightness"), F.round("quality.raw_contrast", 4).alias("contrast"), F.round("quality.exposure_quality", 6).alias("exposure"), F.col("quality.raw_resolution").cast("long").alias("pixels"))
+
+
+def ssim_neighbours(spark, sf_dir):
+    """Structural similarity of each raster and the one before it in its label."""
+    img = F.struct("height", "width", "channels", "data")
+    rows = with_position(rasters(spark, sf_dir).withColumn("img", img), "label", [F.col("vec_id")]).select("label", "idx", "vec_id", "img")
+    before = rows.select("label", (F.col("idx") + 1).alias("idx"), F.col("img").alias("b"))
+    got = I.image_pairs_ssim(rows.join(before, ["label", "idx"]).select(F.struct("vec_id").alias("row"), F.col("img").alias("a"), "b"), 32)
+    return got.select("row.vec_id", *[F.round(c, 6).alias(c) for c in ("ssim", "rotation_ssim", "foreground_ssim")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "flagship_dedup_split": flagship,
+        "label_inventory": label_inventory,
+        "counters_pct": counters_pct,
+        "name_truncate": name_truncate,
+        "name_sort": name_sort,
+        "path_parse": path_parse,
+        "text_lines": text_lines,
+        "progress_log": progress_log,
+        "config_defaults": config_defaults,
+        "file_hash_groups": partial(hash_groups, "file_hash"),
+        "phash_groups": partial(hash_groups, "phash"),
+        "hamming_pairs": hamming_pairs,
+        "cosine_pairs_near": partial(cosine_pairs, 0.95),
+        "cosine_pairs_variation": partial(cosine_pairs, 0.85),
+        "cosine_pairs_semantic": partial(cosine_pairs, 0.80),
+        "embedding_pairs": embedding_pairs,
+        "leader_groups_near": partial(leaders, 0.95),
+        "leader_groups_variation": partial(leaders, 0.85),
+        "leader_groups_semantic": partial(leaders, 0.80),
+        "leader_groups_perceptual": partial(leaders, None),
+        "merge_single_pass": partial(merged, merge_single_pass),
+        "merge_components": partial(merged, merge_components),
+        "detect_all_levels": detect_all_levels,
+        "keep_best": keep_best,
+        "unique_dataset": unique_dataset,
+        "index_remap": index_remap,
+        "best_image_score": best_image_score,
+        "quality_composite": quality_composite,
+        "vector_histograms": vector_histograms,
+        "classify_content": classify_content,
+        "split_by_quality": split_by_quality,
+        "split_group_aware": partial(group_split, 0.95, None),
+        "split_rebalance": partial(group_split, 0.80, None),
+        "split_content_compat": partial(group_split, 0.95, "compat"),
+        "split_content_intended": partial(group_split, 0.95, "intended"),
+        "verify_cross_split": verify_cross_split,
+        "kfold_assign": kfold_assign,
+        "kfold_metrics": kfold_metrics,
+        "config_ranking": config_ranking,
+        "split_report": split_report,
+        "ratio_report": ratio_report,
+        "group_report": group_report,
+        "groups_per_side": groups_per_side,
+        "copy_manifest": copy_manifest,
+        "move_one": move_one,
+        "run_totals": run_totals,
+        "image_measures": image_measures,
+        "image_levels": image_levels,
+        "ssim_neighbours": ssim_neighbours,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
