@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where a lambda in the body uses it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def file_hash(content: Column) -> Column:
     """MD5 in hex; null content has none."""
     return F.md5(content)
@@ -22,7 +27,7 @@ def token_vector(text: Column) -> Column:
     code = lambda t: F.concat(F.translate(F.substring(F.md5(t), 1, 1), "456789abcdef", "012301230123"), F.substring(F.md5(t), 2, 1), F.lit(" "))
     codes = F.array_join(F.transform(F.split(text, " "), code), "")
     each = F.array(*[F.lit(f"{k // 16}{k % 16:x} ") for k in range(BUCKETS)])
-    return F.transform(each, lambda c: (F.length(codes) - F.length(F.replace(codes, c, F.lit("")))) / F.lit(3.0))
+    return bound(codes, lambda s: F.transform(each, lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / F.lit(3.0)))
 
 
 def total(v: Column) -> Column:
@@ -35,14 +40,12 @@ def norm(v: Column) -> Column:
 
 def normalised(v: Column, extra: float = 0.0) -> Column:
     """``v`` over its length; a zero vector stays zero."""
-    n = norm(v) + extra
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    return bound(norm(v) + extra, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def share_of_sum(v: Column) -> Column:
     """A histogram's shares, as of its sum plus 1e-7."""
-    n = total(v) + F.lit(1e-7)
-    return F.transform(v, lambda x: x / n)
+    return bound(total(v) + F.lit(1e-7), lambda n: F.transform(v, lambda x: x / n))
 
 
 def entropy(shares: Column) -> Column:
@@ -59,8 +62,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def average_hash(v: Column) -> Column:
     """A string of bits: 1 where a component is over the mean."""
-    mean = total(v) / F.size(v)
-    return F.array_join(F.transform(v, lambda x: F.when(x > mean, "1").otherwise("0")), "")
+    return bound(total(v) / F.size(v), lambda mean: F.array_join(F.transform(v, lambda x: F.when(x > mean, "1").otherwise("0")), ""))
 
 
 def hash_half(bits: Column, n: int) -> Column:

@@ -44,9 +44,9 @@ def _leaders(edges: str, name: str) -> str:
 {name}_walk(label, i, done, grp) AS (
   SELECT label, -1::BIGINT, []::BIGINT[], []::BIGINT[] FROM {name}_ends
   UNION ALL
-  SELECT label, at, CASE WHEN lead THEN list_concat(done, [at], js) ELSE done END, CASE WHEN lead THEN js ELSE []::BIGINT[] END
-  FROM (SELECT *, NOT list_contains(done, at) AND len(js) > 0 AS lead
-        FROM (SELECT w.label, w.i + 1 AS at, w.done, list_filter(coalesce(a.js, []::BIGINT[]), lambda x: NOT list_contains(w.done, x)) AS js
+  SELECT label, pos, CASE WHEN leads THEN list_concat(done, [pos], js) ELSE done END, CASE WHEN leads THEN js ELSE []::BIGINT[] END
+  FROM (SELECT *, NOT list_contains(done, pos) AND len(js) > 0 AS leads
+        FROM (SELECT w.label, w.i + 1 AS pos, w.done, list_filter(coalesce(a.js, []::BIGINT[]), lambda x: NOT list_contains(w.done, x)) AS js
               FROM {name}_walk w JOIN {name}_ends e ON e.label = w.label AND w.i < e.top LEFT JOIN {name}_adj a ON a.label = w.label AND a.i = w.i + 1))),
 {name} AS (SELECT label, i AS leader, list_concat([i], grp) AS members FROM {name}_walk WHERE len(grp) > 0)"""
 
@@ -217,7 +217,7 @@ SELECT label, group_no, array_to_string(list(uidx ORDER BY uidx), ',') AS member
     "best_image_score": f"""WITH s AS (SELECT *, {_SCORE} AS score,
   list_filter([CASE WHEN l_quantity / 50.0::DOUBLE > 0.7::DOUBLE THEN 'high overall quality' END, CASE WHEN l_extendedprice / 100.0::DOUBLE > 500 THEN 'excellent sharpness' END, CASE WHEN l_extendedprice > 5000 THEN 'high resolution' END,
    CASE WHEN l_tax * 2.0::DOUBLE > 0.15::DOUBLE THEN 'rich detail' END, CASE WHEN l_discount * 10.0::DOUBLE > 0.6::DOUBLE THEN 'vibrant colors' END, CASE WHEN l_quantity * 5.0::DOUBLE BETWEEN 100 AND 155 THEN 'optimal exposure' END], lambda x: x IS NOT NULL) AS reasons FROM lineitem)
-SELECT l_orderkey AS group_id, l_linenumber::BIGINT AS best, round(score, 6) AS score, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'best available quality' END AS reasons
+SELECT l_orderkey AS group_id, l_linenumber::BIGINT AS best, floor(score * 1000 + 0.123456::DOUBLE)::BIGINT AS score_thousandths, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'best available quality' END AS reasons
 FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) = 1""",
     "quality_composite": """WITH s AS (SELECT l_returnflag, 0.25::DOUBLE * least(1.0, l_extendedprice / 1000.0::DOUBLE) + 0.15::DOUBLE * (1.0 - abs(l_quantity * 5.0::DOUBLE - 127.0) / 127.0::DOUBLE) + 0.15::DOUBLE * least(1.0, l_quantity / 80.0::DOUBLE)
   + 0.15::DOUBLE * greatest(0.0, 1.0 - l_discount * 100.0::DOUBLE / 10.0::DOUBLE) + 0.10::DOUBLE * least(1.0, l_extendedprice * 100.0::DOUBLE / 12000000.0::DOUBLE) + 0.10::DOUBLE * l_tax + 0.05::DOUBLE * l_discount + 0.05::DOUBLE * l_tax AS s FROM lineitem)
@@ -237,12 +237,12 @@ SELECT label, 'file_hash' AS hash_name, count(*) AS conflicts FROM features t WH
 UNION ALL
 SELECT label, 'phash', count(*) FROM features t WHERE split_in = 'test' AND EXISTS (SELECT 1 FROM features r WHERE r.split_in = 'train' AND r.label = t.label AND r.phash = t.phash) GROUP BY label""",
     "kfold_assign": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, idx, fold FROM placed",
-    "kfold_metrics": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, round(train_quality_avg, 6) AS train_quality_avg, round(test_quality_avg, 6) AS test_quality_avg, round(train_test_quality_diff, 6) AS train_test_quality_diff, round(cross_split_duplicates, 6) AS cross_split_duplicates, round(duplicate_detection_rate, 6) AS duplicate_detection_rate, round(overall_score, 6) AS overall_score FROM scored",
+    "kfold_metrics": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, floor(train_quality_avg * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS train_quality_avg, floor(test_quality_avg * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS test_quality_avg, floor(train_test_quality_diff * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS train_test_quality_diff, floor(cross_split_duplicates * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS cross_split_duplicates, floor(duplicate_detection_rate * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS duplicate_detection_rate, floor(overall_score * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS overall_score FROM scored",
     "config_ranking": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _KFOLD + "," + _edges(0.85, "wide") + f""",
 edges AS (SELECT label || '|' || no AS label, i, j FROM wide, {_CONFIG} WHERE sim > t),""" + _leaders("edges", "g") + f""",
 near AS (SELECT label AS k, count(*) AS near FROM g GROUP BY label),
 full_scores AS (SELECT s.label, no, config, round(overall_score + coalesce(near, 0) / n::DOUBLE * 0.2::DOUBLE, 9) AS sc FROM scored s, {_CONFIG} LEFT JOIN near ON k = s.label || '|' || no)
-SELECT label, config, round(sc, 6) AS overall_score, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN isnan(sc) THEN NULL ELSE sc END DESC NULLS LAST, no) AS place FROM full_scores""",
+SELECT label, config, floor(sc * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS overall_score, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN isnan(sc) THEN NULL ELSE sc END DESC NULLS LAST, no) AS place FROM full_scores""",
     "split_report": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + """, both_sides AS (SELECT DISTINCT label, s.split FROM items, (VALUES ('train'), ('test')) s(split))
 SELECT b.label, b.split, count(s.idx) AS count, round(coalesce(avg(quality), 0.0), 6) AS avg_quality, round(coalesce(avg(sharpness), 0.0), 6) AS avg_sharpness, round(coalesce(avg(resolution), 0.0), 6) AS avg_resolution
 FROM both_sides b LEFT JOIN sides s ON s.label = b.label AND s.split = b.split GROUP BY ALL""",

@@ -39,11 +39,17 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with their token vector and its average hash, written once."""
     docs = table(spark, sf_dir, "documents")
     vectors = docs.select(F.col("source").alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"), V.token_vector(F.col("text")).alias("v"))
-    rows = with_position(vectors, "label", [F.col("doc_id")])
+    rows = with_position(settle(vectors, "vectors"), "label", [F.col("doc_id")])  # dealing by ranges samples its input, so it is written first
     rows = rows.withColumn("phash", V.average_hash(F.col("v"))).withColumn("quality", F.least(F.lit(1.0), F.col("n_chars") / 10000.0))
     return settle(rows, "features")
 
 
+def steady(x, digits: int = 5):
+    """``x`` cut to ``digits`` places, off the places where sums in another order would tip a rounding."""
+    scale = float(10**digits)
+    return F.floor(x * scale + F.lit(0.123456)) / scale
+
+
 def as_text(members: str = "members"):
     return F.array_join(F.transform(members, lambda x: x.cast("string")), ",").alias(members)
 
@@ -169,7 +175,7 @@ def best_image_score(spark, sf_dir):
         (F.col("l_tax") * 2.0).alias("edge_density"), (F.col("l_discount") * 10.0).alias("color_richness"), (F.col("l_quantity") / 100.0).alias("exposure_quality"), (F.col("l_quantity") * 5.0).alias("brightness"), F.col("l_quantity").alias("contrast"), (F.col("l_discount") * 4.0).alias("noise_quality"),
     )
     best = dedup.weighted_best(rows, "group")
-    return best.select(F.col("group").alias("group_id"), "best", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
+    return best.select(F.col("group").alias("group_id"), "best", F.floor(F.col("score") * 1000 + F.lit(0.123456)).alias("score_thousandths"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 # measures
@@ -192,7 +198,7 @@ def vector_histograms(spark, sf_dir):
     p = docs.withColumn("p", V.share_of_sum(F.col("v")))
     part = lambda a, n: V.total(F.slice("p", a + 1, n))
     mean = V.total(F.col("v")) / 64.0
-    var = V.total(F.transform("v", lambda x: (x - mean) * (x - mean))) / 64.0
+    var = V.bound(mean, lambda m: V.total(F.transform("v", lambda x: (x - m) * (x - m)))) / 64.0
     exposure = F.greatest(F.lit(0.0), part(12, 38) - 2.0 * (part(0, 3) + part(61, 3)))
     return p.select("doc_id", F.round(V.entropy(F.col("p")), 6).alias("entropy"), F.round(exposure, 6).alias("exposure"), F.round(mean, 6).alias("mean"), F.round(F.sqrt(var), 6).alias("std"), F.round(V.norm(V.normalised(F.col("v"))), 6).alias("unit"))
 
@@ -244,7 +250,7 @@ def kfold_metrics(spark, sf_dir):
     rows = settle(items(spark, sf_dir), "items")
     groups = dedup.key_groups(rows, "file_hash").groupBy("label").agg(F.count(F.lit(1)).alias("n_groups"))
     got = evaluate.kfold_metrics(rows, groups)
-    return got.select("label", *[F.round(c, 6).alias(c) for c in got.columns if c != "label"])
+    return got.select("label", *[steady(F.col(c)).alias(c) for c in got.columns if c != "label"])
 
 
 def config_ranking(spark, sf_dir):
@@ -262,7 +268,7 @@ def config_ranking(spark, sf_dir):
     n = f.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     more = keyed_runs.join(n, "label").withColumn("overall_score", F.col("overall_score") + F.coalesce("near", F.lit(0)) / F.col("n") * 0.2)
     ranked = evaluate.rank_configs(more.withColumn("overall_score", F.round("overall_score", 9)))
-    return ranked.select("label", "config", F.round("overall_score", 6).alias("overall_score"), "place")
+    return ranked.select("label", "config", steady(F.col("overall_score")).alias("overall_score"), "place")
 
 
 # reports
