@@ -13,17 +13,14 @@ from sortwell.operators.index import with_position
 from sortwell.operators.report import copy_manifest, group_report, split_report
 from sortwell.plans.detect import run
 from sortwell.session import settle
-from sortwell.sources.files import Settings, load_json, read_images, scan_folders, settings_from
+from sortwell.sources.files import Settings, has_files, load_json, read_images, scan_folders, settings_from
 from sortwell.sources.sinks import analysis_report, copy_files, write_manifest
 
 
 def folder_features(spark: SparkSession, roots: dict[str, str], settings: Settings, label: str | None = None):
     """Features of every image of the labels (or one label) in ``{split: root}``, with positions by path."""
     files = scan_folders(spark, roots, SORTER_SUFFIXES, label, content=True).select("label", "path", F.md5("content").alias("file_hash"))
-    images = None
-    for root in roots.values():
-        one = read_images(spark, f"{root}/{label or '*'}")
-        images = one if images is None else images.unionByName(one)
+    images = read_images(spark, [f"{root}/{label or '*'}" for root in roots.values() if has_files(spark, f"{root}/{label or '*'}/*")])
     joined = files.join(images, F.regexp_replace(files["path"], "^file:/+", "/") == F.regexp_replace(images["path"], "^file:/+", "/")).drop(images["path"])
     got = image_features(joined, settings.enable_content_filtering).where("features IS NOT NULL")
     flat = got.select("label", "path", base_name(F.col("path")).alias("file_name"), "file_hash", "phash", F.col("features").alias("v"), F.col("quality.composite_score").alias("quality"), "quality.sharpness", F.col("quality.resolution").alias("resolution"), "complexity.complexity_score", "complexity.completeness_score", content_type(F.col("complexity.complexity_score"), F.col("complexity.completeness_score"), F.col("complexity.object_count"), settings.complexity_threshold).alias("content_type"))

@@ -17,7 +17,7 @@ from sortwell.operators.grouping import leader_groups, merge_components, merge_s
 from sortwell.operators.index import with_position
 from sortwell.oracles import ORACLES
 from sortwell.plans.detect import detect_groups, keyed, led
-from sortwell.session import settle, table
+from sortwell.session import evenly, settle, table
 from sortwell.sources.files import FORM_DEFAULTS, Settings
 
 RATIO = 0.75
@@ -25,7 +25,7 @@ RATIO = 0.75
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: source is the label, their order by id the position."""
-    docs = table(spark, sf_dir, "documents")
+    docs = evenly(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"))
     narrow = docs.select(F.col("source").alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"))
     rows = with_position(narrow, "label", [F.col("doc_id")])
     return rows.withColumns({
@@ -37,7 +37,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with their token vector and its average hash, written once."""
-    docs = table(spark, sf_dir, "documents")
+    docs = evenly(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"))
     vectors = docs.select(F.col("source").alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"), V.token_vector(F.col("text")).alias("v"))
     rows = with_position(settle(vectors, "vectors"), "label", [F.col("doc_id")])  # dealing by ranges samples its input, so it is written first
     rows = rows.withColumn("phash", V.average_hash(F.col("v"))).withColumn("quality", F.least(F.lit(1.0), F.col("n_chars") / 10000.0))
@@ -194,7 +194,7 @@ def quality_composite(spark, sf_dir):
 
 def vector_histograms(spark, sf_dir):
     """Entropy, exposure and spread of each document's token histogram."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", V.token_vector(F.col("text")).alias("v"))
+    docs = evenly(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", V.token_vector(F.col("text")).alias("v"))
     p = docs.withColumn("p", V.share_of_sum(F.col("v")))
     part = lambda a, n: V.total(F.slice("p", a + 1, n))
     mean = V.total(F.col("v")) / 64.0
@@ -319,7 +319,7 @@ def run_totals(spark, sf_dir):
 
 
 def rasters(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    rows = evenly(table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64))
     gray = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 300 + 128))).cast("int"))
     hexed = F.transform(gray, lambda g: F.lpad(F.hex(g.cast("long")), 2, "0"))
     line = lambda y: F.repeat(F.array_join(F.transform(F.slice(hexed, 8 * y + 1, 8), lambda h: F.repeat(h, 4)), ""), 4)

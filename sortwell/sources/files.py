@@ -12,24 +12,33 @@ from pyspark.sql import functions as F
 from sortwell.functions.paths import INVENTORY_SUFFIXES, base_name, has_suffix, parent_name
 
 
+def has_files(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def scan_folders(spark: SparkSession, roots: dict[str, str], suffixes=INVENTORY_SUFFIXES, label: str | None = None, content: bool = False) -> DataFrame:
     """``split, label, path, file_name, length, modified`` (and ``content``) of ``{split: root}``.
 
     Files are those directly in a root's label folders, each once, by suffix in any
     case. Unless asked for, content is not read: the reader prunes it. One label
-    reads that folder only.
+    reads that folder only. A side without the label, or without any, gives no rows.
     """
-    out = None
+    none = "split string, label string, path string, file_name string, length long, modified timestamp" + (", content binary" if content else "")
+    out = spark.createDataFrame([], none)
     for side, root in roots.items():
+        if not has_files(spark, f"{root}/{label or '*'}/*"):
+            continue
         read = spark.read.format("binaryFile").load(f"{root}/{label or '*'}/*")
         name, folder = base_name(F.col("path")), parent_name(F.col("path"))
         one = read.select(F.lit(side).alias("split"), folder.alias("label"), "path", name.alias("file_name"), "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
         one = one.where(has_suffix(F.col("file_name"), suffixes))
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(one)
     return out
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, height, width, channels, data`` (rows of BGR or gray bytes); files that can't be decoded are null images."""
     image = spark.read.format("image").option("dropInvalid", False).load(path)
     ok = F.col("image.height") > 0
