@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,6 +19,8 @@ NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 #: What a merge into the turn before, a relabel and an inserted empty turn cost.
 MERGE, RELABEL, INSERT = 2, 5, 3
 FAR = 1 << 40
+#: A path's weight is its cost above so many bits and, below, the sum of its turns' tie-breakers, which are far smaller.
+TIE_BITS, TIE = 60, (1 << 28) - 1
 #: Turns and characters of text that a chunk of a conversation holds at most (one turn at least).
 CHUNK_TURNS, CHUNK_CHARS = 256, 1 << 20
 
@@ -73,30 +76,54 @@ def role_number(role: str | None) -> int:
 
 def compose(a: list[int], b: list[int]) -> list[int]:
     """The min-plus product of two 4 x 4 cost matrices, by rows."""
-    return [min(a[4 * i + k] + b[4 * k + j] for k in range(4)) for i in range(4) for j in range(4)]
+    return [min(FAR << TIE_BITS, *(a[4 * i + k] + b[4 * k + j] for k in range(4))) for i in range(4) for j in range(4)]
 
 
-def matrix(roles: list[int]) -> list[int]:
-    """Least cost from each state to each over a run of turns."""
-    out = [0 if i == j else FAR for i in range(4) for j in range(4)]
-    for r in roles:
-        out = compose(out, [STEPS[r][i][j][0] for i in range(4) for j in range(4)])
+def turn_weights(turn, role: str | None, text: str | None) -> list[int]:
+    """A turn's 4 x 4 matrix of weights, by states before and after, as rows.
+
+    Equal costs are told apart by a hash of the turn and the state after it, so the
+    cheapest path is the same one however a conversation is cut.
+    """
+    h = zlib.crc32(f"{turn}|{role}|{text}".encode())
+    steps = STEPS[role_number(role)]
+    ties = [(h * k >> 8) & TIE for k in (0x1F35, 0x2C1B3C6D, 0x297A2D39, 0x1B873593)]
+    return [(steps[i][j][0] << TIE_BITS) + ties[j] for i in range(4) for j in range(4)]
+
+
+NEUTRAL = [0 if i == j else FAR << TIE_BITS for i in range(4) for j in range(4)]
+
+
+def matrix(turns: list[tuple]) -> list[int]:
+    """Least weight from each state to each over a run of turns."""
+    out = NEUTRAL
+    for t in turns:
+        out = compose(out, turn_weights(*t))
     return out
 
 
+def packed(weights: list[int]) -> list[int]:
+    """Weights as pairs of 64-bit numbers."""
+    return [x for w in weights for x in (w >> TIE_BITS, w & ((1 << TIE_BITS) - 1))]
+
+
+def unpacked(pairs: list[int]) -> list[int]:
+    return [(a << TIE_BITS) + b for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
+
+
 def ending(state: int) -> int:
     return INSERT * len(PATHS[state, ACCEPT])
 
 
 def walk(costs: list[list[int]], entry: int, exit_: int | None) -> list[int]:
     """States after each of the runs with these cost matrices, from ``entry`` to ``exit_`` (None: the cheapest ending)."""
-    best, back = [0 if s == entry else FAR for s in range(4)], []
+    best, back = [0 if s == entry else FAR << TIE_BITS for s in range(4)], []
     for m in costs:
         options = [[(best[i] + m[4 * i + j], i) for i in range(4)] for j in range(4)]
         picked = [min(o) for o in options]
         back.append([i for _, i in picked])
         best = [c for c, _ in picked]
-    state = exit_ if exit_ is not None else min(range(1, 4), key=lambda s: (best[s] + ending(s), s))
+    state = exit_ if exit_ is not None else min(range(1, 4), key=lambda s: (best[s] + (ending(s) << TIE_BITS), s))
     out = []
     for b in reversed(back):
         out.append(state)
@@ -104,16 +131,15 @@ def walk(costs: list[list[int]], entry: int, exit_: int | None) -> list[int]:
     return out[::-1]
 
 
-def repair(turns: list[tuple[str | None, str | None]], entry: int = START, exit_: int | None = None, last: bool = True) -> list[tuple[str, str, list[str], int, str]]:
-    """For each (role, text): role, action, roles of inserted empty turns, cost, rendered piece.
+def repair(turns: list[tuple], entry: int = START, exit_: int | None = None, last: bool = True) -> list[tuple[str, str, list[str], int, str]]:
+    """For each (turn, role, text): role, action, roles of inserted empty turns, cost, rendered piece.
 
     The pieces in order are the rendered conversation. ``entry``, ``exit_`` and
     ``last`` say how a chunk stands in its conversation.
     """
-    roles = [role_number(r) for r, _ in turns]
-    flat = [[STEPS[r][i][j][0] for i in range(4) for j in range(4)] for r in roles]
+    roles = [role_number(r) for _, r, _ in turns]
     out, state = [], entry
-    states = walk(flat, entry, exit_)
+    states = walk([turn_weights(*t) for t in turns], entry, exit_)
     for n, (after, r) in enumerate(zip(states, roles, strict=True)):
         cost, run, merge = STEPS[r][state][after]
         at, piece = state, []
@@ -121,7 +147,7 @@ def repair(turns: list[tuple[str | None, str | None]], entry: int = START, exit_
             piece.append((CLOSE if at else "") + OPEN.format(ROLES[t - 1]))
             at = t
         piece.append(JOIN if merge else (CLOSE if at else "") + OPEN.format(ROLES[after - 1]))
-        piece.append(turns[n][1] or "")
+        piece.append(turns[n][2] or "")
         inserted = [ROLES[t - 1] for t in run]
         if last and n == len(turns) - 1:
             tail = PATHS[after, ACCEPT]
@@ -141,8 +167,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     order is an optional system turn, then user and assistant in turns, the assistant
     last. Merging a turn into the one before, relabelling it and inserting empty
     turns before it (or after the last) cost MERGE, RELABEL and INSERT each; the total
-    of a conversation is least, ties going to fewer insertions, then to keeping. The
-    ``rendered`` pieces of a conversation, in order, are its formatted text.
+    of a conversation is least; a hash of the turns settles ties alike at every
+    partitioning. The ``rendered`` pieces of a conversation, in order, are its formatted text.
 
     Unknown and null roles have to be relabelled; null texts are empty; rows without
     a conversation id are one conversation; repeated rows are repeated turns; other
@@ -191,24 +217,24 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            costs = [matrix([role_number(x) for x in roles]) for roles in b.column(3).to_pylist()]
+            costs = [packed(matrix(list(zip(*t, strict=True)))) for t in zip(*(b.column(c).to_pylist() for c in (3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(costs, pa.list_(pa.int64()))], names=["conv", "part", "no", "costs"])
 
     def composed(t: pa.Table) -> pa.Table:
         total = None
-        for m in t.sort_by("no")["costs"].to_pylist():
+        for m in map(unpacked, t.sort_by("no")["costs"].to_pylist()):
             total = m if total is None else compose(total, m)
-        return pa.table([t["conv"].slice(0, 1), t["part"].slice(0, 1), pa.array([total], pa.list_(pa.int64()))], names=["conv", "part", "costs"])
+        return pa.table([t["conv"].slice(0, 1), t["part"].slice(0, 1), pa.array([packed(total)], pa.list_(pa.int64()))], names=["conv", "part", "costs"])
 
     def through_parts(t: pa.Table) -> pa.Table:
         t = t.sort_by("part")
-        states = walk(t["costs"].to_pylist(), START, None)
+        states = walk(list(map(unpacked, t["costs"].to_pylist())), START, None)
         n = len(states)
         return pa.table([t["conv"], t["part"], pa.array([START, *states[:-1]], pa.int32()), pa.array(states, pa.int32()), pa.array([i == n - 1 for i in range(n)])], names=["conv", "part", "enter", "leave", "final"])
 
     def through_chunks(t: pa.Table) -> pa.Table:
         t = t.sort_by("no")
-        states = walk(t["costs"].to_pylist(), t["enter"][0].as_py(), t["leave"][0].as_py())
+        states = walk(list(map(unpacked, t["costs"].to_pylist())), t["enter"][0].as_py(), t["leave"][0].as_py())
         n, final = len(states), t["final"][0].as_py()
         return pa.table([t["part"], t["no"], pa.array([t["enter"][0].as_py(), *states[:-1]], pa.int32()), pa.array(states, pa.int32()), pa.array([final and i == n - 1 for i in range(n)])], names=["part", "no", "enter", "leave", "final"])
 
@@ -216,12 +242,12 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         for b in batches:
             for r in range(b.num_rows):
                 conv, turn, roles, texts, enter, leave, final = (b.column(c)[r] for c in range(7))
-                done = repair(list(zip(roles.as_py(), texts.as_py(), strict=True)), enter.as_py(), leave.as_py(), final.as_py())
+                done = repair(list(zip(turn.as_py(), roles.as_py(), texts.as_py(), strict=True)), enter.as_py(), leave.as_py(), final.as_py())
                 n = len(done)
                 cols = list(zip(*done, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([conv.as_py()] * n, conv.type), turn.values, pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.int64()), pa.array(cols[4])], names=["conv", "turn", "role", "action", "inserted", "cost", "rendered"])
 
-    costs = map_arrow(chunks.where("open").select("conv", "part", "no", "roles"), matrices, f"{key}, part int, no int, costs array<long>")
+    costs = map_arrow(chunks.where("open").select("conv", "part", "no", "turns", "roles", "texts"), matrices, f"{key}, part int, no int, costs array<long>")
     costs = settle(costs, "costs")
     by_part = costs.groupBy("conv", "part").applyInArrow(composed, f"{key}, part int, costs array<long>")
     parts = by_part.groupBy("conv").applyInArrow(through_parts, f"{key}, part int, enter int, leave int, final boolean")
