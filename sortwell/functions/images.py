@@ -163,6 +163,7 @@ def quality(bgr: np.ndarray) -> dict[str, float]:
         "noise_quality": 0.0 if np.isnan(raw["raw_noise"]) else max(0.0, 1 - raw["raw_noise"] / 10), "resolution": min(1.0, raw["raw_resolution"] / 12_000_000),
         "edge_density": float(edges(gray).mean()), "color_richness": color_richness(hsv), "exposure_quality": exposure(gray),
     }
+    # fixed values, in the order of the parts
     weights = dict(zip(part, (0.25, 0.15, 0.15, 0.15, 0.10, 0.10, 0.05, 0.05), strict=True))
     return {"composite_score": sum(weights[k] * v for k, v in part.items()), **part, **raw}
 
@@ -229,6 +230,7 @@ def complexity(bgr: np.ndarray) -> dict[str, float]:
     large = [min(1.0, perimeter / (2 * np.sqrt(np.pi * area)) / 3) for area, perimeter, _ in found if area > 100]
     shape = float(np.mean(large)) if large else (0.5 if found else 0.0)
     objects = object_count(gray)
+    # fixed values: weights of the parts
     score = min(1.0, 0.25 * edge + 0.25 * texture + 0.2 * color + 0.15 * shape + 0.15 * min(objects / 5, 1.0))
     return {"complexity_score": score, "edge_complexity": edge, "texture_complexity": texture, "color_complexity": color, "shape_complexity": shape, "completeness_score": completeness(gray, found), "detail_level": (edge + texture) / 2, "object_count": float(objects)}
 

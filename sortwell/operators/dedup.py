@@ -55,6 +55,7 @@ def weighted_best(items: DataFrame, key: str = "group") -> DataFrame:
     """
     c = lambda name, default: F.coalesce(F.col(name), F.lit(float(default)))
     well_lit = c("brightness", 128).between(100, 155)
+    # fixed values: weights, cutoffs and the texts of reasons
     weights = {"sharpness": 0.15, "resolution": 0.15 / 10000.0, "edge_density": 0.1, "color_richness": 0.1, "exposure_quality": 0.1}
     score = F.col("quality_score") * 0.4
     for name, w in weights.items():
