@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortwell.llm.arrow import sliced
-from sortwell.session import map_arrow, table
+from sortwell.session import evenly, map_arrow, table
 
 #: A chunk ends where the rolling hash of the last 32 bytes has this many low zero bits, MIN_CHUNK bytes after its start at least.
 CHUNK_BITS = 10
@@ -202,4 +202,4 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return digests(encode_decode(evenly(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sortwell.llm.arrow import sliced
-from sortwell.session import map_arrow, table
+from sortwell.session import evenly, map_arrow, table
 
 #: Training rows of each label value, taken by a hash of their ids; longer texts than MAX_TRAIN_WORDS are not trained on.
 ROWS_PER_LABEL, MAX_TRAIN_WORDS = 2500, 20_000
@@ -306,5 +306,5 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 
 
 def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity(spark, evenly(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return scored.select(F.col("row.doc_id").alias("doc_id"), "score", "predicted").select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", "predicted")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sortwell.llm.arrow import sliced
-from sortwell.session import map_arrow, table
+from sortwell.session import evenly, map_arrow, table
 
 # Fixed values of HTML: elements without an end tag; elements that start a block; elements whose start closes an open paragraph or sibling.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -243,5 +243,5 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
 
 def op3_html_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = evenly(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return extract(pages).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))

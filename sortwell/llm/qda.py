@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sortwell.llm.arrow import sliced
 from sortwell.llm.cnn import in_fold
-from sortwell.session import map_arrow, settle, table
+from sortwell.session import evenly, map_arrow, settle, table
 
 #: Shares of the pooled covariance and of its diagonal in each class's covariance.
 TO_POOLED, TO_DIAGONAL = 0.1, 0.05
@@ -156,5 +156,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 def op5_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~in_fold("doc_id", 5, 0))
-    scored = quality(table(spark, sf_dir, "documents"), labels)
+    scored = quality(evenly(table(spark, sf_dir, "documents")), labels)
     return scored.select("doc_id", in_fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sortwell.llm.arrow import sliced
 from sortwell.operators.components import connected_components
-from sortwell.session import map_arrow, settle, table
+from sortwell.session import evenly, map_arrow, settle, table
 
 WORDS = 3
 MAX_BITS = 3
@@ -99,4 +99,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op10_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return near_groups(evenly(table(spark, sf_dir, "documents"))).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from sortwell.llm.arrow import sliced
 from sortwell.llm.bpe import coder
-from sortwell.session import map_arrow, settle, table
+from sortwell.session import evenly, map_arrow, settle, table
 
 #: Lengths in a band; suffix sums run within bands, and once over the bands.
-BAND = 1024
+BAND = 64
 
 
 def token_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -79,4 +79,4 @@ def length_quantiles(histogram: DataFrame, quantiles: list[float]) -> DataFrame:
 
 
 def op1_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return length_histogram(evenly(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
