@@ -129,3 +129,20 @@ def test_recount(spark):
     a = spark.createDataFrame([("train",), ("train",), ("test",)], "split string")
     got = {r.split: r.matches for r in sinks.recount(a, a.where("split = 'train'")).collect()}
     assert got == {"train": True, "test": False}
+
+
+def test_embedding(spark, roots):
+    def load():
+        def model(batch):
+            if any(m.shape[0] == 48 for m in batch):
+                raise ValueError("too large")
+            return np.stack([m.reshape(-1, 3).mean(axis=0) for m in batch])
+
+        return model
+
+    from sortwell.functions.embedding import embed
+
+    rows = {r.path.rsplit("/", 1)[1]: r for r in embed(files.read_images(spark, roots["train"] + "/leaf"), load, "mean").collect()}
+    assert np.allclose(rows["flat.png"].embedding, [3**-0.5] * 3, atol=1e-6) and rows["flat.png"].embedding_method == "mean"
+    assert len(rows["noise.png"].embedding) == 94 and rows["noise.png"].embedding_method == "histogram"
+    assert rows["broken.png"].embedding is None
