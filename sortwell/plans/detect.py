@@ -19,6 +19,15 @@ def led(groups: DataFrame, level: str) -> DataFrame:
     return groups.select("label", F.lit(level).alias("level"), F.col("leader").alias("lead"), "idx")
 
 
+def led_by_level(edges: dict[str, DataFrame]) -> DataFrame:
+    """``label, level, lead, idx`` of the leader groups of several levels, found in the same rounds."""
+    out = None
+    for level, e in edges.items():
+        one = e.select(F.struct("label", F.lit(level).alias("level")).alias("at"), "i", "j")
+        out = one if out is None else out.union(one)
+    return leader_groups(out, "at").select("at.label", "at.level", F.col("leader").alias("lead"), "idx")
+
+
 def keyed(groups: DataFrame, level: str) -> DataFrame:
     """``label, level, lead, idx`` of groups by a hash."""
     return groups.select("label", F.lit(level).alias("level"), F.element_at("members", 1).alias("lead"), F.explode("members").alias("idx"))
@@ -42,14 +51,13 @@ def detect_groups(features: DataFrame, settings: Settings, merge: str = "single_
     """
     merged = merge_single_pass if merge == "single_pass" else merge_components
     exact = merged(numbered_groups(keyed(key_groups(features, "file_hash"), "file").union(keyed(key_groups(features, "phash"), "phash")), ["file", "phash"]))
-    perceptual = led(leader_groups(hamming_edges(features)), "perceptual")
     if backend == "none":
-        return merged(in_turn(exact, merged(numbered_groups(perceptual, ["perceptual"]))))
+        return merged(in_turn(exact, merged(numbered_groups(led(leader_groups(hamming_edges(features)), "perceptual"), ["perceptual"]))))
     levels = {"near": settings.near_duplicate_threshold, "variation": settings.variation_threshold, "semantic": settings.semantic_threshold}
     edges = settle(cosine_edges(features, min(levels.values())), "similar")
-    by_level = {name: led(leader_groups(edges.where(F.col("sim") > t)), name) for name, t in levels.items()}
-    near = merged(numbered_groups(by_level["near"].union(perceptual), ["near", "perceptual"]))
-    return merged(in_turn(exact, near, *[numbered_groups(by_level[name], [name]) for name in ("variation", "semantic")]))
+    found = settle(led_by_level({name: edges.where(F.col("sim") > t) for name, t in levels.items()} | {"perceptual": hamming_edges(features)}), "leaders")
+    of = lambda *names: numbered_groups(found.where(F.col("level").isin(*names)), list(names))
+    return merged(in_turn(exact, merged(of("near", "perceptual")), of("variation"), of("semantic")))
 
 
 def run(features: DataFrame, settings: Settings, merge: str = "single_pass", content: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

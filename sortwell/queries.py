@@ -16,7 +16,7 @@ from sortwell.operators.edges import cosine_edges, hamming_edges
 from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
 from sortwell.operators.index import with_position
 from sortwell.oracles import ORACLES
-from sortwell.plans.detect import detect_groups, keyed, led
+from sortwell.plans.detect import detect_groups, keyed, led, led_by_level
 from sortwell.session import evenly, settle, table
 from sortwell.sources.files import FORM_DEFAULTS, Settings
 
@@ -133,7 +133,7 @@ def level_groups(spark, sf_dir):
     """Leader groups of the near, variation and perceptual levels, numbered in this order."""
     f = features(spark, sf_dir)
     e = settle(cosine_edges(f, 0.85), "similar")
-    parts = led(leader_groups(e.where("sim > 0.95")), "near").union(led(leader_groups(e), "variation")).union(led(leader_groups(hamming_edges(f)), "perceptual"))
+    parts = led_by_level({"near": e.where("sim > 0.95"), "variation": e, "perceptual": hamming_edges(f)})
     return f, settle(numbered_groups(parts, ["near", "variation", "perceptual"]), "groups")
 
 
