@@ -64,6 +64,26 @@ class Node:
             parent.children.append(self)
 
 
+class Line:
+    """Text of one block up to a line break or another block. Inline elements count as its tags, line breaks do not."""
+
+    __slots__ = ("node", "chars", "tags", "link_chars", "link_tags")
+
+    def __init__(self, node: Node) -> None:
+        self.node, self.tags = node, 1
+        self.chars = self.link_chars = self.link_tags = 0
+
+
+class Run:
+    """Text that stands directly in a block, up to another block: a leaf beside the block's children."""
+
+    __slots__ = ("node", "parts", "lines", "density", "kept")
+
+    def __init__(self, node: Node) -> None:
+        self.node, self.parts, self.lines = node, [], []
+        self.density, self.kept = 0.0, False
+
+
 class Page(HTMLParser):
     """A tolerant tree of blocks, and the page's text in runs of one block each."""
 
@@ -74,8 +94,9 @@ class Page(HTMLParser):
         self.stack: list[tuple[str, bool, Node]] = []  # open tag, whether it is skipped, the block outside it
         self.open: Counter[str] = Counter()
         self.skips = self.links = 0
-        self.runs: list[tuple[Node, list[str]]] = []
+        self.runs: list[Run] = []
         self.fresh = True
+        self.line: Line | None = None
 
     def parse_marked_section(self, i, report=1):  # a bogus comment in HTML
         end = self.rawdata.find(">", i + 3)
@@ -83,7 +104,7 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
-            self.fresh = True
+            self.fresh, self.line = True, None
             if tag in CLOSES:
                 self._close_among(CLOSES[tag].split(), SCOPE[tag].split())
             if self.open["p"]:
@@ -92,8 +113,12 @@ class Page(HTMLParser):
         if tag in VOID:
             if not self.skips and not skip:
                 self.node.tags += 1
-                if tag == "br" and self.runs and not self.fresh:
-                    self.runs[-1][1].append(" ")
+                if tag != "br":
+                    self._line().tags += 1
+                else:
+                    self.line = None
+                    if self.runs and not self.fresh:
+                        self.runs[-1].parts.append(" ")
             return
         if tag in ("html", "body") and self.open[tag]:
             return
@@ -109,8 +134,10 @@ class Page(HTMLParser):
                 self.body = self.node
         else:
             self.node.tags += 1
+            self._line().tags += 1
         if tag == "a":
             self.node.link_tags += 1
+            self._line().link_tags += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -119,7 +146,7 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
-            self.fresh = True
+            self.fresh, self.line = True, None
         if self.open[tag] and tag not in ("html", "body"):
             self._close(tag)
 
@@ -148,6 +175,11 @@ class Page(HTMLParser):
                     self._pop()
                 return
 
+    def _line(self) -> Line:
+        if self.line is None or self.line.node is not self.node:
+            self.line = Line(self.node)
+        return self.line
+
     def handle_data(self, data):
         if self.skips:
             return
@@ -155,12 +187,20 @@ class Page(HTMLParser):
         self.node.chars += n
         if self.links:
             self.node.link_chars += n
-        if self.fresh or not self.runs or self.runs[-1][0] is not self.node:
+        if self.fresh or not self.runs or self.runs[-1].node is not self.node:
             if not n:
                 return
-            self.runs.append((self.node, []))
+            self.runs.append(Run(self.node))
             self.fresh = False
-        self.runs[-1][1].append(data)
+        run = self.runs[-1]
+        run.parts.append(data)
+        if n:
+            line = self._line()
+            if not run.lines or run.lines[-1] is not line:
+                run.lines.append(line)
+            line.chars += n
+            if self.links:
+                line.link_chars += n
 
 
 def _in_order(root: Node) -> list[Node]:
@@ -172,7 +212,7 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
-def composite_density(node: Node, body_chars: int, body_link_chars: int) -> float:
+def composite_density(node: Node | Line, body_chars: int, body_link_chars: int) -> float:
     """Characters per tag, on a logarithmic scale less the more of them are in links; zero counts under a quotient are one."""
     if not node.chars:
         return 0.0
@@ -187,10 +227,12 @@ def main_text(html: str | None) -> str:
     """The text of the main content: its blocks in page order, one a line.
 
     Parts that cannot be main text by their element, role or name are left out of the
-    tree. Every block gets its composite density, then the sum of its children's. The
-    block with the largest sum is the main one, and the least density on the path from
-    it to the body is the threshold: under every block that reaches it, the subtree
-    with the largest sum is content as well, as are headings beside content.
+    tree. Every block gets its composite density, then the sum of its children's and of
+    its own lines'; a block without child blocks counts by its lines, so line breaks do
+    not thin its text. The block with the largest sum is the main one, and the least
+    density on the path from it to the body is the threshold: under every block that
+    reaches it, the subtree with the largest sum is content as well, as are text that
+    stands directly in a block and reaches it, and headings beside content.
     """
     page = Page()
     page.feed(html or "")
@@ -203,9 +245,13 @@ def main_text(html: str | None) -> str:
             node.link_chars += child.link_chars
             node.link_tags += child.link_tags
     body = nodes[0]
+    for run in page.runs:
+        run.density = sum(composite_density(line, body.chars, body.link_chars) for line in run.lines)
+        run.node.sum += run.density
+    weight = lambda node: node.density if node.children else max(node.density, node.sum)
     for node in reversed(nodes):
         node.density = composite_density(node, body.chars, body.link_chars)
-        node.sum = sum(child.density for child in node.children) if node.children else node.density
+        node.sum += sum(weight(child) for child in node.children)
         for child in node.children:
             if child.best.sum > node.best.sum:
                 node.best = child.best
@@ -215,13 +261,15 @@ def main_text(html: str | None) -> str:
         path.append(path[-1].parent)
     threshold = min(node.density for node in path)
     for node in nodes:
-        if node.density >= threshold and node.chars:
+        if weight(node) >= threshold and node.chars:
             node.best.kept = True
+    for run in page.runs:
+        run.kept = run.density >= threshold
     around = {id(n) for n in path}
     for node in nodes:  # parents come before children
         if node is not body and (node.parent.kept or (node.tag in HEADINGS and id(node.parent) in around)):
             node.kept = True
-    blocks = (" ".join("".join(parts).split()) for node, parts in page.runs if node.kept)
+    blocks = (" ".join("".join(run.parts).split()) for run in page.runs if run.kept or run.node.kept)
     return "\n".join(b for b in blocks if b)
 
 

@@ -139,6 +139,24 @@ def test_html(spark):
     assert html_density.extract(pages.where("false")).count() == 0
 
 
+def test_html_text_beside_child_blocks():
+    words = lambda n, w="word": " ".join([w] * n)
+    items = "".join(f"<li>{words(25, 'item')}</li>" for _ in range(5))
+    listed = "\n".join([words(25, "item")] * 5)
+    loose = "<br>".join([words(100)] * 5)
+    for outer in ("article", "div", "td"):
+        page = f"<body><{outer}>{loose}<ul>{items}</ul></{outer}></body>"
+        if outer == "td":
+            page = page.replace("<td>", "<table><tr><td>").replace("</td>", "</td></tr></table>")
+        assert html_density.main_text(page) == words(500) + "\n" + listed
+    # short lines beside a list, in a block of their own as well
+    lines = "<br>".join([words(10)] * 50)
+    assert html_density.main_text(f"<body><article>{lines}<ul>{items}</ul></article></body>") == words(500) + "\n" + listed
+    assert html_density.main_text(f"<body><div>{lines}</div><ul>{items}</ul></body>") == words(500) + "\n" + listed
+    # text less than the list's is content by its own density, before and after it
+    assert html_density.main_text(f"<body><article>{words(60)}<ul>{items}</ul>{words(50)}</article></body>") == words(60) + "\n" + listed + "\n" + words(50)
+
+
 def test_html_query(spark):
     rows = duckdb.sql(f"SELECT page_id, html FROM '{DIR}/pages.parquet'").fetchall()
     from html import unescape
