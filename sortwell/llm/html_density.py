@@ -25,10 +25,12 @@ SCOPE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select datalist"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Elements that never hold main text; a header is one unless it stands in an article.
-SKIP = frozenset("head title script style noscript template svg canvas math iframe object audio video nav footer aside form button select datalist textarea menu dialog map".split())
-#: Roles, and words of a class or id, of parts that are not main text.
+SKIP = frozenset("head title script style noscript template svg canvas iframe object audio video nav footer aside form button select datalist textarea menu dialog map annotation annotation-xml".split())
+#: Roles of parts that are not main text, and words that are the whole or the last part of such a part's class or id.
 SKIP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 SKIP_WORDS = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Of these, names of what readers add, which may be longer than the main text.
+READER_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 KEEP_TAGS = frozenset("html body article main".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -42,17 +44,33 @@ def _skipped(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
         return True
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
         return True
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    if named == " ":
-        return False
-    words = set(_WORDS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", named).lower()))
-    return not SKIP_WORDS.isdisjoint(words) and words.isdisjoint({"with", "has", "no", "without"})
+    return False
+
+
+def _name_words(names: str | None) -> list[list[str]]:
+    return [_WORDS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", x).lower()) for x in (names or "").split()]
+
+
+def _named(tag: str, attrs: dict[str, str | None]) -> tuple[frozenset[str], frozenset[str]]:
+    """The words of the class and of the id by which the element is no main text.
+
+    Headings and links are never judged by name, other inline elements not by their
+    id, since such an id is an anchor.
+    """
+    none = frozenset()
+    if tag in KEEP_TAGS or tag in HEADINGS or tag == "a" or not (attrs.get("class") or attrs.get("id")):
+        return none, none
+    classes, ids = _name_words(attrs.get("class")), _name_words(attrs.get("id"))
+    if any(w in ("with", "has", "no", "without") for ws in classes + ids for w in ws):
+        return none, none
+    last = lambda names: frozenset(ws[-1] for ws in names if ws and ws[-2:] != ["overflow", "hidden"]) & SKIP_WORDS
+    return last(classes), last(ids) if tag in BLOCK else none
 
 
 class Node:
     """A block of the page. Inline elements count as tags of the block they stand in."""
 
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "kept")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "kept", "cut")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
@@ -60,6 +78,7 @@ class Node:
         self.tags = 1
         self.density = self.sum = 0.0
         self.best, self.kept = self, False
+        self.cut: tuple[frozenset[str], frozenset[str]] | None = None
         if parent is not None:
             parent.children.append(self)
 
@@ -97,6 +116,7 @@ class Page(HTMLParser):
         self.runs: list[Run] = []
         self.fresh = True
         self.line: Line | None = None
+        self.cuts: list[Node] = []  # blocks that are no main text by their name
 
     def parse_marked_section(self, i, report=1):  # a bogus comment in HTML
         end = self.rawdata.find(">", i + 3)
@@ -109,7 +129,11 @@ class Page(HTMLParser):
                 self._close_among(CLOSES[tag].split(), SCOPE[tag].split())
             if self.open["p"]:
                 self._close("p")
-        skip = _skipped(tag, dict(attrs), bool(self.open["article"] or self.open["main"]))
+        named = dict(attrs)
+        skip = _skipped(tag, named, bool(self.open["article"] or self.open["main"]))
+        cut = _named(tag, named) if attrs and not skip else ()
+        if any(cut) and tag not in BLOCK:
+            skip = True
         if tag in VOID:
             if not self.skips and not skip:
                 self.node.tags += 1
@@ -122,6 +146,7 @@ class Page(HTMLParser):
             return
         if tag in ("html", "body") and self.open[tag]:
             return
+        in_math = self.open["math"] > 0  # a formula is one tag
         self.stack.append((tag, skip, self.node))
         self.open[tag] += 1
         self.skips += skip
@@ -132,7 +157,10 @@ class Page(HTMLParser):
             self.node = Node(tag, self.node)
             if tag == "body" and self.body is None:
                 self.body = self.node
-        else:
+            if any(cut):
+                self.node.cut = cut
+                self.cuts.append(self.node)
+        elif not in_math:
             self.node.tags += 1
             self._line().tags += 1
         if tag == "a":
@@ -223,52 +251,115 @@ def composite_density(node: Node | Line, body_chars: int, body_link_chars: int)
     return c / t * math.log(max(1.0, c / max(1, lc) * (t / max(1, lt)))) / math.log(base)
 
 
-def main_text(html: str | None) -> str:
-    """The text of the main content: its blocks in page order, one a line.
+def _weight(node: Node) -> float:
+    return node.density if node.children else max(node.density, node.sum)
 
-    Parts that cannot be main text by their element, role or name are left out of the
-    tree. Every block gets its composite density, then the sum of its children's and of
-    its own lines'; a block without child blocks counts by its lines, so line breaks do
-    not thin its text. The block with the largest sum is the main one, and the least
-    density on the path from it to the body is the threshold: under every block that
-    reaches it, the subtree with the largest sum is content as well, as are text that
-    stands directly in a block and reaches it, and headings beside content.
-    """
-    page = Page()
-    page.feed(html or "")
-    page.close()
-    nodes = _in_order(page.body or page.root)
+
+def _measure(root: Node, runs: dict[int, list[Run]]) -> list[Node]:
+    """The blocks of ``root`` in order, with their densities, sums and best blocks."""
+    nodes = _in_order(root)
     for node in reversed(nodes):
         for child in node.children:
             node.chars += child.chars
             node.tags += child.tags
             node.link_chars += child.link_chars
             node.link_tags += child.link_tags
-    body = nodes[0]
-    for run in page.runs:
-        run.density = sum(composite_density(line, body.chars, body.link_chars) for line in run.lines)
-        run.node.sum += run.density
-    weight = lambda node: node.density if node.children else max(node.density, node.sum)
     for node in reversed(nodes):
-        node.density = composite_density(node, body.chars, body.link_chars)
-        node.sum += sum(weight(child) for child in node.children)
+        for run in runs.get(id(node), ()):
+            run.density = sum(composite_density(line, root.chars, root.link_chars) for line in run.lines)
+            node.sum += run.density
+        node.density = composite_density(node, root.chars, root.link_chars)
+        node.sum += sum(_weight(child) for child in node.children)
         for child in node.children:
             if child.best.sum > node.best.sum:
                 node.best = child.best
-    main = body.best
-    path = [main]
-    while path[-1] is not body:
+    return nodes
+
+
+def _keep(nodes: list[Node], runs: list[Run]) -> None:
+    """Mark the content among ``nodes``, those of a whole tree, and ``runs``."""
+    root = nodes[0]
+    path = [root.best]
+    while path[-1] is not root:
         path.append(path[-1].parent)
     threshold = min(node.density for node in path)
     for node in nodes:
-        if weight(node) >= threshold and node.chars:
+        if _weight(node) >= threshold and node.chars:
             node.best.kept = True
-    for run in page.runs:
+    for run in runs:
         run.kept = run.density >= threshold
     around = {id(n) for n in path}
     for node in nodes:  # parents come before children
-        if node is not body and (node.parent.kept or (node.tag in HEADINGS and id(node.parent) in around)):
+        if node is not root and (node.parent.kept or (node.tag in HEADINGS and id(node.parent) in around)):
             node.kept = True
+
+
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
+def _titled(node: Node, runs: dict[int, list[Run]]) -> bool:
+    """Whether the id of ``node`` is made from the heading that it begins with or follows."""
+    at = next(i for i, x in enumerate(node.parent.children) if x is node)
+    near = [x for x in _in_order(node) if x.tag in HEADINGS][:1] + [x for x in node.parent.children[max(0, at - 1) : at] if x.tag in HEADINGS]
+    for heading in near:
+        title = _WORDS.findall("".join(p for x in _in_order(heading) for run in runs.get(id(x), ()) for p in run.parts).lower())
+        if node.cut[1] <= set(title):
+            return True
+    return False
+
+
+def main_text(html: str | None) -> str:
+    """The text of the main content: its blocks in page order, one a line.
+
+    Parts that cannot be main text by their element, role or name are left out of the
+    tree. Every block gets its composite density, then the sum of its children's and of
+    its own lines'; a block without child blocks counts by its lines, so line breaks do
+    not thin its text. The block with the largest sum is the main one, and the least
+    density on the path from it to the body is the threshold: under every block that
+    reaches it, the subtree with the largest sum is content as well, as are text that
+    stands directly in a block and reaches it, and headings beside content.
+
+    A name is no proof. A block stays in the tree when its id is made from its
+    heading or when it holds the page's ``main``. The named block with the largest sum
+    of all, inside an article or on a page without one, is read as a page of its own,
+    besides the rest; one for readers' additions only if the rest has no text.
+    """
+    page = Page()
+    page.feed(html or "")
+    page.close()
+    body = page.body or page.root
+    runs: dict[int, list[Run]] = {}
+    for run in page.runs:
+        runs.setdefault(id(run.node), []).append(run)
+    for node in page.cuts:
+        by_class, by_id = node.cut
+        if not by_class and by_id.isdisjoint(READER_WORDS - {"discussion"}) and _titled(node, runs):
+            node.cut = None
+    cuts = [node for node in page.cuts if node.cut]
+    for node in cuts:
+        node.parent.children = [x for x in node.parent.children if x is not node]
+    if cuts and not any(x.tag == "main" for x in _in_order(body)):
+        for node in cuts:
+            if any(x.tag == "main" for x in _in_order(node)):
+                outer = node
+                while outer is not None:  # with the blocks around it
+                    if outer.cut:
+                        outer.parent.children.append(outer)
+                        outer.cut = None
+                    outer = outer.parent
+        cuts = [node for node in cuts if node.cut]
+    nodes = _measure(body, runs)
+    trees = [_measure(node, runs) for node in cuts]
+    left_out = {id(node): tree for tree in trees for node in tree}
+    _keep(nodes, [run for run in page.runs if id(run.node) not in left_out])
+    elsewhere = any(node.chars and node.tag in ("article", "main") for node in nodes)
+    able = [tree for tree in trees if (not elsewhere or _in_article(tree[0])) and (not body.chars or READER_WORDS.isdisjoint(tree[0].cut[0] | tree[0].cut[1]))]
+    largest = max(able, key=lambda tree: tree[0].best.sum, default=None)
+    if largest and largest[0].best.sum > body.best.sum:
+        _keep(largest, [run for run in page.runs if left_out.get(id(run.node)) is largest])
     blocks = (" ".join("".join(run.parts).split()) for run in page.runs if run.kept or run.node.kept)
     return "\n".join(b for b in blocks if b)
 

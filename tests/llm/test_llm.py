@@ -157,6 +157,27 @@ def test_html_text_beside_child_blocks():
     assert html_density.main_text(f"<body><article>{words(60)}<ul>{items}</ul>{words(50)}</article></body>") == words(60) + "\n" + listed + "\n" + words(50)
 
 
+def test_html_names_are_no_proof():
+    text = html_density.main_text
+    long, more = "long text here " * 30, "more text there " * 30
+    a, b = long.strip(), more.strip()
+    story = f"<p>{long}</p><p>{more}</p>"
+    assert text(f"<article><h2 id='Advertising'>Advertising</h2><p>{long}</p><section id='discussion'><h2>4. Discussion</h2><p>{more}</p></section></article>") == f"Advertising\n{a}\n4. Discussion\n{b}"
+    for name in ("id='related-work'", "id='login-flow'", "id='social-impact'", "class='hidden-print'", "class='hidden-xs'", "class='overflow-hidden'"):
+        assert text(f"<article><p>{long}</p><div {name}><p>{more}</p></div></article>") == f"{a}\n{b}"
+    assert text(f"<article><p>see <a id='sponsor'>the sponsor</a> <span id='ads'>here</span> {long}</p></article>") == f"see the sponsor here {a}"
+    for name in ("layout-sidebar-right", "layout-sidebar", "sidebar"):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", story):
+            assert text(f"<body><div class='{name}'>{inner}<div class='ad'>buy</div></div></body>") == f"{a}\n{b}"
+    assert text(f"<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> {long}</p></article>") == f"so x=2 {a}"
+    assert text(f"<article><h1>Title</h1><div class='layout-sidebar'>{story}</div></article>") == f"Title\n{a}\n{b}"
+    # the rest of the page is kept beside a larger named block, and names still cut
+    assert text(f"<body><div><p>{long}</p></div><div class='cookie-notice'><p>{'we use ' * 300}</p></div></body>").startswith(a)
+    assert text(f"<article><p>{long}</p><div class='left-sidebar'><p>side</p></div></article><div class='ad'><p>{more * 5}</p></div>") == a
+    assert text(f"<div><p>{long}</p></div><section id='comments'><h2>Comments</h2><p>{more * 5}</p></section>") == a
+    assert text(f"<p>one <span class='ad'>buy</span> two {long}</p>") == f"one two {a}"
+
+
 def test_html_query(spark):
     rows = duckdb.sql(f"SELECT page_id, html FROM '{DIR}/pages.parquet'").fetchall()
     from html import unescape
