@@ -86,8 +86,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sums = settle(rows.groupBy("source", "slice").agg(F.sum("size").alias("size")), "slices")
     sources = water_fill(sums.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), **shares)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    dealt = sources.withColumn("epochs", epochs.cast("long")).withColumn("missing", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    # rounded up to all words, the fraction is a whole repetition and has no cut
+    full = (F.col("source_size") > 0) & (F.col("missing") >= F.col("source_size"))
     plan = settle(
-        sources.withColumn("epochs", epochs.cast("long")).withColumn("missing", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")),
+        dealt.withColumn("epochs", F.col("epochs") + full.cast("long")).withColumn("missing", F.when(full, F.lit(0)).otherwise(F.col("missing")).cast("long")),
         "targets",
     )
     n_sources = plan.count()

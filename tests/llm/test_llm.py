@@ -121,6 +121,20 @@ def test_mixing_of_sources_without_words(spark):
     assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, "", "en", "a", 0), (2, None, "en", "b", 0)], DOCS)).collect()] == [0, 0]
 
 
+def test_mixing_rounded_up_to_a_whole_repetition(spark):
+    one = spark.createDataFrame([(1, "word", "en", "a", 4)], DOCS)
+    for share, taken in ((0.6, 1), (1.7, 2)):
+        assert [(r.target, r.taken) for r in mixing.mix(one, share=share).collect()] == [(share, taken)]
+        assert [r.text for r in mixing.materialise(one, share=share).collect()] == ["word"] * taken
+    # targets 2, 0.83 and 1.67 words
+    small = [(i, "word", "en", s, 4) for i, s in enumerate("abc")]
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", small)
+    got = mixing.mix(spark.createDataFrame(small, DOCS)).collect()
+    assert {r.doc_id: r.taken for r in got} == {r[0]: r[4] for r in c.sql(mixing.OP2_SQL).fetchall()} == {0: 2, 1: 1, 2: 2}
+
+
 # 3
 
 
