@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from sortwell.session import evenly, map_arrow, settle, table
 TO_POOLED, TO_DIAGONAL = 0.1, 0.05
 #: The score from which a document is predicted to be good.
 CUT = 0.3
-#: Words of a text whose pairs are counted at a time.
+#: Words of a text whose pairs are taken at a time; distinct ones are held as 16-byte digests in a longer text.
 SPAN = 1 << 16
 
 #: Shares are taken as if a text had so many more bytes or words with ordinary shares, so short texts are not extreme.
@@ -31,6 +32,17 @@ for _k, _chars in enumerate((b"#$%&*@~^_=+<>{}[]\\`", b"|", bytes(range(65, 91))
     _KIND[list(_chars)] = _k
 
 
+def distinct_pairs(words: list[bytes]) -> int:
+    """The number of different pairs of neighbouring words in the whole list."""
+    if len(words) <= SPAN:
+        return len(set(zip(words, words[1:], strict=False)))
+    seen: set[bytes] = set()
+    for i in range(0, len(words), SPAN):
+        part = set(zip(words[i : i + SPAN], words[i + 1 : i + 1 + SPAN], strict=False))
+        seen.update(xxhash.xxh3_128_digest(b" ".join(p)) for p in part)
+    return len(seen)
+
+
 def statistics(text: str | None) -> np.ndarray:
     """The transformed statistics of a whole text, in the order of STATISTICS; shares are logs over a floor."""
     data = (text or "").encode()
@@ -42,7 +54,6 @@ def statistics(text: str | None) -> np.ndarray:
     in_words = lambda k, usual: np.log((k + MORE_WORDS * usual) / (n + MORE_WORDS) + 1e-3)
     at_most = lambda distinct, of: np.log((distinct + MORE_WORDS) / (of + MORE_WORDS))
     lines = [x for x in data.split(b"\n") if x.strip()]
-    pairs = sum(len(set(zip(words[i : i + SPAN], words[i + 1 : i + 1 + SPAN], strict=False))) for i in range(0, n, SPAN))
     return np.array(
         [
             in_words(shown, 5.0),
@@ -54,7 +65,7 @@ def statistics(text: str | None) -> np.ndarray:
             in_words(kinds[6], 0.1),
             in_words(kinds[7], 0.07),
             at_most(len(set(words)), n),
-            at_most(pairs, max(0, n - 1)),
+            at_most(distinct_pairs(words), max(0, n - 1)),
             at_most(len(set(lines)), len(lines)),
             in_words(sum(len(w) <= 3 for w in words), 0.3),
             in_bytes(kinds[8], 0.02),

@@ -269,6 +269,17 @@ def test_quality(spark, odd, none):
     assert {r.score for r in qda.quality(odd, labels.where("quality = 1")).collect()} == {0.5}
 
 
+def test_quality_pairs_cover_the_whole_text():
+    loop = [b"w%d" % i for i in range(100)]
+    assert qda.distinct_pairs(loop * 10_000) == 100
+    r = random.Random(3)
+    words = [b"w%d" % r.randrange(500) for _ in range(2 * qda.SPAN + 7)]
+    assert qda.distinct_pairs(words) == len(set(zip(words, words[1:])))
+    at = qda.STATISTICS.index("distinct_pairs")
+    text = b" ".join(loop).decode() + " "
+    assert qda.statistics(text * 2000)[at] == pytest.approx(math.log((100 + qda.MORE_WORDS) / (199_999 + qda.MORE_WORDS)))
+
+
 def test_quality_scores_are_density_differences():
     r = np.random.default_rng(2)
     x = np.concatenate([r.normal(0, 1, (200, 3)), r.normal(1, 2, (300, 3))])
