@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sortwell.llm.keep import one_of_each
 from sortwell.operators.spread import with_group
 from sortwell.session import settle, table
 
@@ -78,6 +79,7 @@ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ',
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi").select(*docs.columns)
+    """One row of ``docs`` for each normalised text, of the smallest id, with all its columns."""
+    kept = exact_groups(docs, id_col, text_col, digest_all=True).where("kept")
+    stay = kept.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("key")).agg(F.count(F.lit(1)).alias("copies"))
+    return one_of_each(docs, id_col, F.sha2(normalised(text_col), 256), stay)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortwell.llm.arrow import sliced
+from sortwell.llm.keep import one_of_each
 from sortwell.operators.components import connected_components
 from sortwell.session import evenly, map_arrow, settle, table
 
@@ -35,16 +36,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
+def _text_key(text_col: str) -> Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.xxhash64(F.col(text_col))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``id, fp`` of every row."""
+    """``id, key, fp`` of every row; ``key`` is a hash of the text."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             fps = [fingerprint(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["id", "key", "fp"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {id_type}, fp long")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_key(text_col).alias("key")), run, f"id {id_type}, key long, fp long")
 
 
 def _segment(fp: Column, n: int) -> Column:
@@ -83,19 +89,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and is never a component's id unless all its ids are null. Repeated rows share a
     component. An empty table gives no rows; other columns are not read.
     """
+    return _near_rows(docs, id_col, text_col, words).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _near_rows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    """``id, key, fp, root, component_id`` of every row; ``root`` names the component also where ids repeat."""
     rows = settle(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = settle(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = connected_components(links(nodes.select("fp")))
     grouped = settle(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
     least = settle(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = settle(grouped.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = settle(grouped.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(named, "fp").select("id", "key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, with all their columns."""
-    stay = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stays")), "left_semi").select(*docs.columns)
+    """One row of ``docs`` for each component, of its smallest id, with all its columns."""
+    first = _near_rows(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+    texts = first.groupBy("root", "id", "fp", "key").agg(F.count(F.lit(1)).alias("copies"))
+    least = texts.groupBy("root").agg(F.min(F.struct("fp", "key", "copies", "id")).alias("least"))
+    return one_of_each(docs, id_col, _text_key(text_col), least.select("least.id", "least.key", "least.copies"))
 
 
 def op10_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

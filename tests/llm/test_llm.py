@@ -417,6 +417,24 @@ def test_multi_index_finds_all_links(spark):
     assert set(got) == want
 
 
+def test_dedup_stages_keep_one_row_of_each_text(spark):
+    r = random.Random(5)
+    a, b, c, d = (" ".join(r.choice("uvwxyz") * 3 + str(r.randrange(900)) for _ in range(60)) for _ in range(4))
+    docs = [
+        (1, a, "en", "x", 1), (1, a, "en", "x", 1), (1, a, "de", "x", 1), (5, a, "en", "x", 1),  # repeated rows and a copy
+        (2, b, "en", "x", 1), (2, a, "en", "x", 1), (3, b, "en", "x", 1),  # an id of two texts, one of them a copy
+        (None, b, "en", "x", 1), (None, c, "en", "x", 1), (None, c, "en", "x", 1), (None, d, "en", "x", 1), (4, d, "en", "x", 1),
+    ]
+    df = spark.createDataFrame(docs, DOCS)
+    want = sorted(map(repr, [(1, a, "de", "x", 1), (2, b, "en", "x", 1), (None, c, "en", "x", 1), (4, d, "en", "x", 1)]))
+    for keep in (exact_dedup.keep_one, simhash.keep_one):
+        assert sorted(repr(tuple(x)) for x in keep(df).collect()) == want
+        assert sorted(repr(tuple(x)) for x in keep(df.repartition(5)).collect()) == want
+    assert sorted(repr(tuple(x)) for x in simhash.keep_one(exact_dedup.keep_one(df)).collect()) == want
+    # one id with two texts that are not alike: both stay
+    assert exact_dedup.keep_one(df.where("doc_id = 2")).count() == simhash.keep_one(df.where("doc_id = 2")).count() == 2
+
+
 # the pipeline
 
 
