@@ -342,7 +342,7 @@ def ssim_neighbours(spark, sf_dir):
     img = F.struct("height", "width", "channels", "data")
     rows = with_position(rasters(spark, sf_dir).withColumn("img", img), "label", [F.col("vec_id")]).select("label", "idx", "vec_id", "img")
     before = rows.select("label", (F.col("idx") + 1).alias("idx"), F.col("img").alias("b"))
-    got = I.image_pairs_ssim(rows.join(before, ["label", "idx"]).select(F.struct("vec_id").alias("row"), F.col("img").alias("a"), "b"), 32)
+    got = I.image_pairs_ssim(rows.join(before, ["label", "idx"]).select(F.struct("vec_id").alias("row"), F.col("img").alias("a"), "b"))
     return got.select("row.vec_id", *[F.round(c, 6).alias(c) for c in ("ssim", "rotation_ssim", "foreground_ssim")])
 
 

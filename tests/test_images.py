@@ -92,6 +92,20 @@ def test_noise_of_a_flat_image_counts_as_none():
     assert q["noise_quality"] in (0.0, 1.0) or math.isfinite(q["raw_noise"])
 
 
+def test_ssim_query_compares_at_the_size_of_the_reference(spark, monkeypatch):
+    from sortwell import queries
+
+    sizes, plain = [], I.image_pairs_ssim  # the rows are not computed here
+
+    def noted(pairs, size=256):
+        sizes.append(size)
+        return plain(pairs, size)
+
+    monkeypatch.setattr(I, "image_pairs_ssim", noted)
+    got = queries.ssim_neighbours(spark, "/root/testdata/sf0.001")
+    assert sizes == [256] and got.columns == ["vec_id", "ssim", "rotation_ssim", "foreground_ssim"]
+
+
 def test_run(spark, roots, tmp_path):
     config = tmp_path / "c.json"
     config.write_text(json.dumps({"train_ratio": 0.5, "duplicate_resolution": {"near_duplicate_threshold": 0.999}, "content_filtering": {"enable_content_filtering": True}}))
