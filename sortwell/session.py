@@ -13,13 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
+#: Bytes of a table, by Spark's estimate, up to which it may be dealt to all cores by a shuffle.
+SMALL = 64 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def evenly(df: DataFrame) -> DataFrame:
-    """A small input, perhaps a single row group, dealt to all cores; one with tasks enough is left as it is."""
+    """An input of at most ``SMALL`` bytes, perhaps a single row group, dealt to all cores.
+
+    It moves ``SMALL`` bytes at most, whatever the cluster. A larger input is split by
+    the reader (``spark.sql.files.maxPartitionBytes``) and never shuffled here. Rows
+    are the same either way.
+    """
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
@@ -27,13 +37,16 @@ def evenly(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where the cluster names none (local tests), a fresh temporary folder is set once.
+    Where none is named, a local session gets a fresh temporary folder; on a cluster
+    that is an error, since executors couldn't see the driver's folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
@@ -48,7 +61,7 @@ def settle(df: DataFrame, what: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/sortwell-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_sweep)
+        atexit.register(sweep)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,10 +83,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _sweep() -> None:
+def sweep() -> None:
+    """Delete all settled tables. It runs at exit; long sessions call it between queries whose results are written."""
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:
             _delete(spark, path)
+    _written.clear()
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
