@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortwell.llm.keep import one_of_each
+from sortwell.llm.keep import LOOKUP_ROWS, one_of_each
 from sortwell.operators.spread import with_group
-from sortwell.session import settle, table
+from sortwell.session import release, settle, table
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX = 256
@@ -30,25 +30,30 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot group are spread over sub-keys.
 
     ``digest_all`` fills ``text_sha256`` for rows that dropped out early too;
-    otherwise theirs is null and their content is never hashed in full.
+    otherwise theirs is null. Then, while the surviving prefixes are at most
+    ``LOOKUP_ROWS``, they are looked up where the texts are and only survivors are
+    hashed in full; beyond that all rows are hashed there, for a join of texts with the
+    survivors would shuffle them.
 
     Null and empty texts are one group. Rows that repeat an id and a text share one
     decision. A null id sorts after all others and stays only among null ids. Other
     columns are not read. An empty table gives no rows.
     """
     norm = normalised(text_col)
-    source = docs.select(F.col(id_col).alias("id"), norm.alias("t")).select("id", F.octet_length("t").cast("long").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("head"), F.col("t"))
-    first = settle(source.select("id", "len", "head"), "lengths")
+    way = F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")
+    source = docs.select(F.col(id_col).alias("id"), norm.alias("t")).select("id", F.octet_length("t").cast("long").alias("len"), F.xxhash64(F.substring("t", 1, prefix)).alias("head"), way.alias("way"), "t")
+    first = settle(source.select("id", "len", "head", "way"), "lengths")
     by_length = with_group(first, ["len"], {}, "id").withColumn("shared", F.col("group_n").isNotNull()).drop("group_n")
     by_head = with_group(by_length.where("shared"), ["len", "head"], {}, "id").where("group_n >= 2")
-    heads = settle(by_head.select("len", "head", F.pmod(F.xxhash64("id"), F.lit(32)).cast("int").alias("way")).distinct(), "heads")
-
-    way = F.pmod(F.xxhash64("id"), F.lit(32)).cast("int")
-    full = F.sha2("t", 256)
-    second = source.select("id", "len", "head", way.alias("way"), full.alias("sha") if digest_all else F.col("t"))
-    survivors = second.join(heads.withColumn("survives", F.lit(True)), ["len", "head", "way"], "left")
-    sha = F.col("sha") if digest_all else F.when(F.col("survives"), full)
-    hashed = settle(survivors.select("id", sha.alias("sha"), F.coalesce("survives", F.lit(False)).alias("survives")), "digests")
+    heads = settle(by_head.select("len", "head", "way").distinct().withColumn("survives", F.lit(True)), "heads")
+    release(first)
+
+    if digest_all or heads.count() > LOOKUP_ROWS:
+        narrow = source.select("id", "len", "head", "way", F.sha2("t", 256).alias("sha")).join(heads, ["len", "head", "way"], "left")
+    else:
+        narrow = source.join(F.broadcast(heads), ["len", "head", "way"], "left").select("id", "survives", F.when(F.col("survives"), F.sha2("t", 256)).alias("sha"))
+    survives = F.coalesce("survives", F.lit(False))
+    hashed = settle(narrow.select("id", (F.col("sha") if digest_all else F.when(survives, F.col("sha"))).alias("sha"), survives.alias("survives")), "digests")
     same = with_group(hashed.where("survives"), ["sha"], {"keep": F.min("id")}, "id")
     alone = hashed.where("NOT survives").select("id", "sha", F.lit(None).cast("long").alias("group_n"), F.lit(None).cast(hashed.schema["id"].dataType).alias("keep"))
     return (
@@ -79,7 +84,14 @@ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ',
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each normalised text, of the smallest id, with all its columns."""
-    kept = exact_groups(docs, id_col, text_col, digest_all=True).where("kept")
-    stay = kept.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("key")).agg(F.count(F.lit(1)).alias("copies"))
-    return one_of_each(docs, id_col, F.sha2(normalised(text_col), 256), stay)
+    """One row of ``docs`` for each normalised text, of the smallest id, with all its columns.
+
+    Null and empty texts are one text. Of rows that repeat an id and a text one stays;
+    an id with two texts is decided for each; a null id stays only where all ids of a
+    text are null. Columns keep their names, also those used in here. An empty table
+    gives no rows. Whole texts are hashed where they are; see ``one_of_each`` for when
+    they are moved.
+    """
+    pairs = exact_groups(docs, id_col, text_col, digest_all=True).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), "kept", "group_size").where("group_size > 1")
+    pairs = settle(pairs.groupBy("id", "key", "kept").agg(F.count(F.lit(1)).alias("copies")), "pairs")
+    return one_of_each(docs, id_col, F.sha2(normalised(text_col), 256), pairs.where("NOT kept"), pairs.where("kept AND copies > 1"))

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 
 from sortwell.session import settle
 
+#: Rows of a lookup that is broadcast, counted before (about 100 bytes each); beyond it Spark joins by a shuffle.
+LOOKUP_ROWS = 200_000
 
-def one_of_each(docs: DataFrame, id_col: str, key: Column, stay: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each row ``id, key, copies`` of ``stay``, with all columns of ``docs``.
+
+def one_of_each(docs: DataFrame, id_col: str, key: Column, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the pairs ``id, key`` in ``gone``, and one row of each pair in ``repeated``.
 
     ``key`` tells texts apart among rows that share an id, null ids included. Of rows
-    that share both the least by all columns stays; only such rows are grouped.
+    that share both the least as JSON text stays; only such rows are grouped. All
+    columns are kept, whatever their names. Up to ``LOOKUP_ROWS`` pairs are looked up
+    where the texts are; more of them are joined by a shuffle, which moves the texts
+    once. Either way gives the same rows.
     """
-    stay = settle(stay.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("copies").alias("_copies")), "stay")
-    rows = docs.withColumn("_text_key", key)
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    single = rows.join(stay.where("_copies = 1"), match, "left_semi").select(*docs.columns)
-    repeated = stay.where("_copies > 1")
-    if repeated.isEmpty():
+    pair = ["id", "key"]
+    repeated = settle(repeated.select(pair), "repeated")
+    away = settle(gone.select(pair).union(repeated).toDF("gone_id", "gone_key"), "gone")
+    found = away.count()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), key.alias("key"))
+    look = lambda side, n: F.broadcast(side) if n <= LOOKUP_ROWS else side
+    single = rows.join(look(away, found), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti").select("row.*")
+    more = repeated.count()
+    if not more:
         return single
-    least = rows.join(repeated, match).groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_least"))
-    return single.union(least.select("_least.*"))
+    again = rows.join(look(repeated.toDF("gone_id", "gone_key"), more), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_semi")
+    return single.union(again.groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))

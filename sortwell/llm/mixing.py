@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sortwell.operators.index import with_position
 from sortwell.session import settle, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -13,8 +14,8 @@ MAX_EPOCHS = 2.0
 SEED = 17
 #: Slices of the hash range in which a source's words are summed before its cut is sought in one of them.
 SLICES = 1024
-#: Sources up to this number are broadcast; more are joined by a shuffle.
-FEW_SOURCES = 10_000
+#: Sources up to this number are broadcast (about 100 bytes each); more are joined by a shuffle, a source spread over SPREAD sub-keys.
+FEW_SOURCES, SPREAD = 100_000, 32
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -33,11 +34,21 @@ def _slice_of(u):
     return F.shiftright(u, 60 - SLICES.bit_length() + 1).cast("int")
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
-    side = plan.withColumnRenamed("source", "_s")
+def _with_plan(rows: DataFrame, plan: DataFrame, n_sources: int, on: str = "source", spread: str | None = None) -> DataFrame:
+    """``rows`` with the columns of ``plan`` (``_s`` is its source).
+
+    A plan of many sources is repeated for the sub-keys to which rows are dealt by a
+    hash of ``spread``, so a hot source is many tasks' work also when it is joined by
+    a shuffle.
+    """
+    match = F.col(on).eqNullSafe(F.col("_s"))
     if n_sources <= FEW_SOURCES:
-        side = F.broadcast(side)
-    return rows.join(side, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return rows.join(F.broadcast(plan), match).drop("_s")
+    if spread is None:
+        return rows.join(plan, match).drop("_s")
+    dealt = rows.withColumn("_way", F.pmod(F.xxhash64(F.col(spread)), F.lit(SPREAD)).cast("int"))
+    side = plan.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(side, match & (F.col("_way") == F.col("_at"))).drop("_s", "_way", "_at")
 
 
 def water_fill(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -45,28 +56,29 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_ep
 
     Weights are dealt to the sources in code-point order (null last), repeating.
     The budget is ``share`` of all sizes. A source takes ``level * weight`` up to
-    ``max_epochs * size``; the level is the one at which the excess of clamped
-    sources, reshared by weight, is used up. It is found in one ordered pass: by
-    rising cap per weight, the first source whose cap reaches the level that the
-    budget left and the weights left give. Works on one row per source.
+    ``max_epochs * size``. Each round clamps the sources whose share is above their
+    cap and deals the rest of the budget to the others by weight, until none is
+    above: one sum over a row per source. A round at least halves what is dealt too
+    much or the weight that is left to share it, so rounds grow with the logarithm of
+    the budget (about 40 at 10^14 words, in practice a few). Sources are numbered by
+    ranges, so none of this puts all of them into one task.
+
+    Sources without words have the target 0. An empty table gives no rows.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    ranked = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = ranked.rowsBetween(Window.unboundedPreceding, -1)
-    rest = ranked.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    levels = (
-        sources.withColumn("weight", w)
-        .withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("left", F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.sum("weight").over(rest))
-    )
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct(F.row_number().over(ranked).alias("at"), "level"))).over(whole)
-    fits = first["level"]
-    target = F.when(fits.isNull(), F.col("cap")).otherwise(F.least("cap", fits * F.col("weight")))
-    return levels.withColumn("target", target).select("source", "source_size", "target")
+    numbered = with_position(sources.select("source", "source_size", F.lit(0).alias("all")), "all", [F.col("source").asc_nulls_last()], "place")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    caps = settle(numbered.select("source", "source_size", w.alias("weight"), (F.lit(float(max_epochs)) * F.col("source_size")).alias("cap")), "caps")
+    budget = float(share) * float(caps.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        above = F.col("cap") / F.col("weight") < level
+        dealt = caps.agg(F.sum(F.when(above, F.col("cap"))), F.sum(F.when(~above, F.col("weight")))).first()
+        if dealt[1] is None:  # all are clamped
+            return caps.select("source", "source_size", F.col("cap").alias("target"))
+        following = (budget - (dealt[0] or 0.0)) / dealt[1]
+        if following <= level:
+            return caps.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
+        level = following
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **shares) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +106,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         "targets",
     )
     n_sources = plan.count()
+    side = lambda df, *cols: df.select(F.col("source").alias("_s"), *cols)
     along = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slice_of_cut = (
-        _with_plan(sums, plan.select("source", "missing"), n_sources)
+        _with_plan(sums, side(plan, "missing"), n_sources)
+        .where("missing > 0")
         .withColumn("before", F.coalesce(F.sum("size").over(along), F.lit(0)))
         .where((F.col("before") <= F.col("missing")) & (F.col("missing") < F.col("before") + F.col("size")))
-        .select("source", F.col("slice").alias("cut_slice"), F.col("missing") - F.col("before"))
-        .toDF("source", "cut_slice", "need")
+        .select("source", F.col("slice").alias("cut_slice"), (F.col("missing") - F.col("before")).alias("need"))
     )
-    inside = _with_plan(rows, slice_of_cut, n_sources).where("slice = cut_slice").groupBy("source", "u", "need").agg(F.sum("size").alias("at_cut"))
+    inside = _with_plan(rows, side(slice_of_cut, "cut_slice", "need"), n_sources, spread="id").where("slice = cut_slice").groupBy("source", "u", "need").agg(F.sum("size").alias("at_cut"))
     along_u = Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         inside.withColumn("before", F.coalesce(F.sum("at_cut").over(along_u), F.lit(0)))
@@ -114,8 +127,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with ``times`` (whole takes) and ``extra`` (words of one more, partial take)."""
-    joined = _with_plan(rows, plan, plan.count())
-    # a source without words has no cut
+    joined = _with_plan(rows, plan.withColumnRenamed("source", "_s"), plan.count(), spread="id")
+    # a source of which no fraction is missing has no cut
     once_more = F.coalesce(F.col("u") < F.col("cut"), F.lit(False))
     extra = F.when(F.col("u") == F.col("cut"), F.floor(F.col("part") * (F.col("size") / F.col("at_cut")))).otherwise(0)
     return joined.withColumn("times", F.col("epochs") + once_more.cast("long")).withColumn("extra", F.coalesce(extra, F.lit(0)).cast("long"))
@@ -141,31 +154,33 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mixed rows themselves: each document as often as it is taken.
 
     A part is the document up to the end of its last word taken, with its length in
-    ``n_chars_col`` put right. Columns of ``docs`` are kept. Decisions come from a
-    lookup of the source's plan and the id's hash, so texts are not shuffled.
+    ``n_chars_col`` put right. Columns of ``docs`` are kept, whatever their names.
+    Decisions come from a lookup of the source's plan and the id's hash; texts are
+    shuffled only above ``FEW_SOURCES`` sources.
+
+    Null and empty texts are taken like other documents of their source, never more
+    often than the epochs allow, and stay null or empty. A null source is a source;
+    null ids share one place in the order, as do repeated rows, each of which is
+    taken. An empty table gives no rows.
     """
     seed = options.get("seed", SEED)
     _, plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    plan = plan.select(F.col("source").alias("p_source"), *[F.col(c).alias(f"p_{c}") for c in ("epochs", "cut", "at_cut", "part")])
-    if plan.count() <= FEW_SOURCES:
-        plan = F.broadcast(plan)
-    u, cut = place(id_col, seed), F.col("p_cut")
-    times = F.col("p_epochs") + F.when(u < cut, 1).otherwise(0)
-    extra = F.when(u == cut, F.floor(F.col("p_part") * (n_words(text_col) / F.col("p_at_cut")))).otherwise(0).cast("int")
+    side = plan.select(F.col("source").alias("_s"), "epochs", "cut", "at_cut", "part")
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), place(id_col, seed).alias("u"))
+    n_extra = F.when(F.col("u") == F.col("cut"), F.floor(F.col("part") * (n_words("text") / F.col("at_cut")))).otherwise(0).cast("int")
+    times = (F.col("epochs") + F.when(F.col("u") < F.col("cut"), 1).otherwise(0)).cast("int")
     # a word with the white space before it is one piece
-    pieces = F.split(F.col(text_col), "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
-    part = F.when(F.col("_whole"), F.col(text_col)).otherwise(F.array_join(F.slice(pieces, 1, F.col("_extra")), ""))
+    pieces = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
     picked = (
-        docs.join(plan, F.col(source_col).eqNullSafe(F.col("p_source")))
-        .withColumn("_times", times)
-        .withColumn("_extra", extra)
-        .withColumn("_whole", F.explode(F.concat(F.array_repeat(F.lit(True), F.col("_times").cast("int")), F.array_repeat(F.lit(False), (F.col("_extra") > 0).cast("int")))))
-        .withColumn(text_col, part)
+        _with_plan(rows, side, plan.count(), spread="id")
+        .withColumn("words", F.coalesce(n_extra, F.lit(0)))
+        .withColumn("whole", F.explode(F.concat(F.array_repeat(F.lit(True), times), F.array_repeat(F.lit(False), (F.col("words") > 0).cast("int")))))
+        .withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.col("words")), "")))
     )
-    if n_chars_col in docs.columns:
-        kind = docs.schema[n_chars_col].dataType
-        picked = picked.withColumn(n_chars_col, F.when(F.col("_whole"), F.col(n_chars_col)).otherwise(F.length(text_col).cast(kind)))
-    return picked.select(*docs.columns)
+    out = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("text")}
+    if n_chars_col in out:
+        out[n_chars_col] = F.when(F.col("whole"), out[n_chars_col]).otherwise(F.length("text").cast(docs.schema[n_chars_col].dataType))
+    return picked.select(*[c.alias(n) for n, c in out.items()])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sortwell.llm.arrow import sliced
 from sortwell.llm.keep import one_of_each
 from sortwell.operators.components import connected_components
+from sortwell.operators.spread import with_group
 from sortwell.session import evenly, map_arrow, settle, table
 
 WORDS = 3
@@ -57,8 +58,11 @@ def _segment(fp: Column, n: int) -> Column:
     return F.shiftrightunsigned(fp, 32 * n).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """``a, b``: pairs of the distinct fingerprints ``fp`` at ``MAX_BITS`` or fewer differing bits.
+def _matches(fps: DataFrame) -> DataFrame:
+    """``pfp, fp``: pairs of distinct fingerprints at ``MAX_BITS`` or fewer differing bits, each from one side.
+
+    ``fps`` has ``fp`` and ``root``, null or the group in which a fingerprint is known
+    to be; pairs within a group are left out.
 
     Of three differing bits, one of the two 32-bit segments has at most one. So each
     segment goes into a table by its value, each fingerprint looks up the Hamming
@@ -67,15 +71,36 @@ def links(fps: DataFrame) -> DataFrame:
     distance one, one has the bit and is found from the other.
     """
     seg = F.array(*[F.struct(F.lit(n).alias("n"), _segment(F.col("fp"), n).alias("seg")) for n in range(2)])
-    rows = fps.select("fp", F.inline(seg)).select("n", "seg", "fp")
+    rows = fps.select("fp", "root", F.inline(seg)).select("n", "seg", "fp", "root")
     ball = F.concat(F.array(F.col("seg")), F.expr("transform(filter(sequence(0, 31), i -> getbit(seg, i) = 0), i -> seg | shiftleft(1L, i))"))
-    probes = rows.select(F.col("n").alias("pn"), F.explode(ball).alias("at"), F.col("seg").alias("from_seg"), F.col("fp").alias("pfp"))
+    probes = rows.select(F.col("n").alias("pn"), F.explode(ball).alias("at"), F.col("seg").alias("from_seg"), F.col("fp").alias("pfp"), F.col("root").alias("proot"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= MAX_BITS
     once = (F.col("at") != F.col("from_seg")) | (F.col("pfp") < F.col("fp"))
-    return (
-        probes.join(rows, (F.col("pn") == F.col("n")) & (F.col("at") == F.col("seg")) & close & once)
-        .select(F.least("fp", "pfp").alias("a"), F.greatest("fp", "pfp").alias("b"))
-    )
+    apart = F.coalesce(F.col("root") != F.col("proot"), F.lit(True))
+    return probes.join(rows, (F.col("pn") == F.col("n")) & (F.col("at") == F.col("seg")) & close & once & apart).select("pfp", "fp", "proot", "root")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of the distinct fingerprints ``fp`` that link."""
+    found = _matches(fps.withColumn("root", F.lit(None).cast("long")))
+    return found.select(F.least("fp", "pfp").alias("a"), F.greatest("fp", "pfp").alias("b"))
+
+
+def fingerprint_groups(fps: DataFrame) -> DataFrame:
+    """``fp, root`` of the distinct fingerprints ``fp``: the least fingerprint reachable by links.
+
+    Links of a dense family are not written out. A first pass keeps one partner of
+    each fingerprint, which joins nearly all of a family; a second one looks for links
+    between the groups so found, one for each pair of groups. Together they reach what
+    all links reach.
+    """
+    fps = fps.select("fp")
+    one = _matches(fps.withColumn("root", F.lit(None).cast("long"))).groupBy("pfp").agg(F.max("fp").alias("fp"))
+    joined = fps.join(connected_components(one, "pfp", "fp"), F.col("fp") == F.col("node"), "left")
+    first = settle(joined.select("fp", F.coalesce("component", "fp").alias("root")), "families")
+    between = _matches(first).select(F.least("root", "proot").alias("a"), F.greatest("root", "proot").alias("b")).distinct()
+    joined = first.join(connected_components(between), F.col("root") == F.col("node"), "left")
+    return joined.select("fp", F.coalesce("component", "root").alias("root"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -96,19 +121,26 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS)
     """``id, key, fp, root, component_id`` of every row; ``root`` names the component also where ids repeat."""
     rows = settle(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = settle(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = connected_components(links(nodes.select("fp")))
-    grouped = settle(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "roots")
+    roots = settle(fingerprint_groups(nodes), "roots")
+    grouped = nodes.join(roots, "fp")
     least = settle(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = settle(grouped.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "named")
+    named = settle(roots.join(least, "root").select("fp", "root", "component_id"), "named")
     return rows.join(named, "fp").select("id", "key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, of its smallest id, with all its columns."""
-    first = _near_rows(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    texts = first.groupBy("root", "id", "fp", "key").agg(F.count(F.lit(1)).alias("copies"))
-    least = texts.groupBy("root").agg(F.min(F.struct("fp", "key", "copies", "id")).alias("least"))
-    return one_of_each(docs, id_col, _text_key(text_col), least.select("least.id", "least.key", "least.copies"))
+    """One row of ``docs`` for each component, of its smallest id, with all its columns.
+
+    Of several texts of that id the one with the least fingerprint stays, of repeated
+    rows one; a null id stays only where all ids of a component are null. Null and
+    empty texts are one component. Columns keep their names, also those used in here.
+    An empty table gives no rows. See ``one_of_each`` for when texts are moved.
+    """
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "key")
+    rows = with_group(_near_rows(docs, id_col, text_col), ["root"], {"least": F.min(order)}, "id").where("group_n >= 2")
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("fp") == F.col("least.fp")) & (F.col("key") == F.col("least.key"))
+    pairs = settle(rows.groupBy("id", "key", stays.alias("kept")).agg(F.count(F.lit(1)).alias("copies")), "pairs")
+    return one_of_each(docs, id_col, _text_key(text_col), pairs.where("NOT kept"), pairs.where("kept AND copies > 1"))
 
 
 def op10_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
