@@ -28,7 +28,7 @@ def evenly(df: DataFrame) -> DataFrame:
     the reader (``spark.sql.files.maxPartitionBytes``) and never shuffled here. Rows
     are the same either way.
     """
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
