@@ -20,8 +20,8 @@ from sortwell.session import evenly, map_arrow, table
 #: A chunk ends where the rolling hash of the last 32 bytes has this many low zero bits, MIN_CHUNK bytes after its start at least.
 CHUNK_BITS = 10
 MIN_CHUNK = 256
-#: Chunks that a task keeps, in two generations of this size each.
-KEEP_CHUNKS = 8_000
+#: Bytes that the chunks which a task keeps may take, with their ids, in each of two generations; a longer chunk than KEEP_CHUNK is not kept.
+KEEP_BYTES, KEEP_CHUNK = 16 << 20, 64 << 10
 
 #: Fixed values of byte-level vocabularies: the pattern of their pre-tokeniser.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,7 +68,7 @@ def _sure_backwards(data: bytes) -> Iterator[int]:
 class ChunkCoder:
     """Encodes texts of one byte-level BPE vocabulary by chunks; decodes ids.
 
-    Every distinct chunk is encoded once and kept (bounded, two generations). At a
+    Every distinct chunk is encoded once and kept (bounded in bytes, two generations). At a
     join, the text from the last sure piece boundary of the left chunk to the first
     one of the right chunk is encoded anew and replaces the tokens on both sides
     that the chunks have there. How many tokens those are comes from encoding each
@@ -97,7 +97,7 @@ class ChunkCoder:
         self.splitter = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.young: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
-        self.seen = self.reused = 0
+        self.seen = self.reused = self.held = 0
 
     def _encode(self, data: bytes) -> np.ndarray:
         return self.coding.encode_to_numpy(data.decode(), disallowed_special=())
@@ -115,9 +115,12 @@ class ChunkCoder:
                 head = next(((at, len(x)) for at in _sure(data) for x in (self._encode(data[:at]),) if np.array_equal(ids[: len(x)], x)), None)
                 tail = next(((at, len(x)) for at in _sure_backwards(data) for x in (self._encode(data[at:]),) if np.array_equal(ids[len(ids) - len(x) :], x)), None)
                 got = (ids, None, 0, 0, 0) if head is None or tail is None else (ids, *head, len(data) - tail[0], tail[1])
-            if len(self.young) >= KEEP_CHUNKS:
-                self.old, self.young = self.young, {}
-            self.young[data] = got
+            if len(data) <= KEEP_CHUNK:
+                took = len(data) + got[0].nbytes + 400  # and what Python adds to them
+                if self.held + took > KEEP_BYTES:
+                    self.old, self.young, self.held = self.young, {}, 0
+                self.young[data] = got
+                self.held += took
         else:
             self.reused += 1
         return got

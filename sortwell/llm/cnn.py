@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sortwell.llm.arrow import sliced
-from sortwell.session import evenly, map_arrow, table
+from sortwell.session import evenly, map_arrow, release, settle, table
 
-#: Training rows of each label value, taken by a hash of their ids; longer texts than MAX_TRAIN_WORDS are not trained on.
-ROWS_PER_LABEL, MAX_TRAIN_WORDS = 2500, 20_000
+#: The bounds of the training sample: rows and words of each label value, taken in the order of a hash of their ids.
+ROWS_PER_LABEL, WORDS_PER_LABEL = 2500, 3_000_000
 #: A word is the sum of two hashed vectors of its own and one of its first PREFIX letters.
 WORD_BUCKETS, PREFIX_BUCKETS, PREFIX, DIM = 1 << 16, 1 << 14, 4, 8
 WIDTHS, FILTERS = (1, 2, 3), 6
 #: Documents shown in training, half of either label; fewer rows are shown more often.
 SHOWN, BATCH, RATE = 18_000, 32, 0.15
-#: Share of a document's words that a showing leaves out, so that no single rare word settles its label; spread of the first embeddings.
+#: Share of a document's words that a showing blanks, so that no single rare word settles its label; spread of the first embeddings.
 LEAVE_OUT, INIT = 0.5, 0.01
 #: Every so many training rows are kept out to set the thresholds.
 CALIBRATE = 4
@@ -38,6 +38,7 @@ FUNCTION_WORDS = {
     "es": "el la los las de del que y en un una por con para se no al es",
 }
 _LANGS = sorted(FUNCTION_WORDS)
+UNKNOWN = len(_LANGS)
 #: Letters of the basic plane, and random odd multipliers by character and by place in a word (the places repeat).
 _LETTER = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
 _BY_CHAR = np.random.default_rng(11).integers(1, 2**63, 1 << 16, dtype=np.uint64)
@@ -81,9 +82,10 @@ _HAS = np.arange(1 << len(_LANGS))[:, None] >> np.arange(len(_LANGS)) & 1
 
 
 def featurise(text: str | None) -> tuple[np.ndarray, int]:
-    """Bucket ids of the words, and the number of the language with most function words."""
+    """Bucket ids of the words, and the number of the language with most function words; UNKNOWN without any."""
     ids = word_buckets(text or "")
-    return ids, int((np.bincount(_BITS[ids[:, 0]], minlength=1 << len(_LANGS)) @ _HAS).argmax())
+    found = np.bincount(_BITS[ids[:, 0]], minlength=1 << len(_LANGS)) @ _HAS
+    return ids, int(found.argmax()) if found.any() else UNKNOWN
 
 
 @dataclass
@@ -93,7 +95,7 @@ class Model:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    thresholds: np.ndarray  # logits, by language
+    thresholds: np.ndarray  # logits, by language, UNKNOWN last
     scale: float = 1.0
 
     def embed(self, ids: np.ndarray) -> np.ndarray:
@@ -149,8 +151,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def gradients(m: Model, docs: list[np.ndarray], y: np.ndarray, shown: list[np.ndarray]) -> tuple[list[np.ndarray], float, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of the logistic loss summed over ``docs``: gradients of kernel, bias and out, of the output bias, and (rows, gradients) of each table.
+
+    ``shown`` says which words a showing has; the others are blank like padding, and no
+    window starts at one. Only the windows that won the pooling get gradients.
+    """
+    n, pad = len(WIDTHS) * FILTERS, max(WIDTHS) - 1
+    blank = np.zeros((pad, 3), np.int32)
+    ids = np.concatenate([x for d, s in zip(docs, shown, strict=True) for x in (d * s[:, None], blank)])
+    acts = m.convolve(ids)
+    starts = np.concatenate([x for s in shown for x in (s, np.zeros(pad, bool))])
+    acts[~starts] = -np.inf
+    ends = np.cumsum([len(d) + pad for d in docs])
+    best = np.stack([e - len(d) - pad + acts[e - len(d) - pad : e].argmax(axis=0) for d, e in zip(docs, ends, strict=True)])  # document x filter
+    pooled = acts[best, np.arange(n)] + m.bias
+    h = np.where(np.isfinite(pooled), np.maximum(pooled, 0), 0)
+    err = 1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -30, 30))) - y
+    dh = (err[:, None] * m.out * (h > 0)).astype(np.float32)
+    kernel = np.zeros_like(m.kernel)
+    rows: list[list[np.ndarray]] = [[], [], []]
+    steps, at = [], 0
+    for k, width in enumerate(WIDTHS):
+        for offset in range(width):
+            mine = slice(k * FILTERS, (k + 1) * FILTERS)
+            cols = slice(at + offset * FILTERS, at + (offset + 1) * FILTERS)
+            d, f = np.nonzero(dh[:, mine])
+            word, g = ids[best[:, mine][d, f] + offset], dh[:, mine][d, f]
+            np.add.at(kernel.T, cols.start + f, g[:, None] * m.embed(word))
+            for t in range(3):
+                rows[t].append(word[:, t])
+            steps.append(g[:, None] * m.kernel[:, cols].T[f])
+        at += width * FILTERS
+    step, tables = np.concatenate(steps), []
+    for t in range(3):
+        where, back = np.unique(np.concatenate(rows[t]), return_inverse=True)
+        g = np.zeros((len(where), DIM), np.float32)
+        np.add.at(g, back, step)
+        g[where == 0] = 0
+        tables.append((where, g))
+    return [kernel, dh.sum(axis=0), err @ h], float(err.sum()), tables
+
+
 def fit(docs: list[np.ndarray], langs: np.ndarray, y: np.ndarray, prior: float, seed: int = 5) -> Model:
-    """Adagrad on the logistic loss; only the windows that won the pooling get gradients.
+    """Adagrad on the logistic loss.
 
     ``prior`` is the share of label 1 in the table, by which the thresholds weigh errors.
     """
@@ -159,59 +203,27 @@ def fit(docs: list[np.ndarray], langs: np.ndarray, y: np.ndarray, prior: float,
     tables = [rng.normal(0, INIT, (size, DIM)).astype(np.float32) for size in (WORD_BUCKETS, WORD_BUCKETS, PREFIX_BUCKETS)]
     for t in tables:
         t[0] = 0
-    m = Model(tables, rng.normal(0, 0.3, (DIM, sum(WIDTHS) * FILTERS)).astype(np.float32), np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), 0.0, np.zeros(len(_LANGS), np.float32))
-    params = [*tables, m.kernel, m.bias, m.out]
-    past = [np.full(p.shape, 1e-2, np.float32) for p in params]
+    m = Model(tables, rng.normal(0, 0.3, (DIM, sum(WIDTHS) * FILTERS)).astype(np.float32), np.zeros(n, np.float32), rng.normal(0, 0.3, n).astype(np.float32), 0.0, np.zeros(len(_LANGS) + 1, np.float32))
+    params = [m.kernel, m.bias, m.out]
+    past = [np.full(p.shape, 1e-2, np.float32) for p in (*params, *tables)]
     past_b = 1e-2
     held = np.arange(len(docs)) % CALIBRATE == 0
     train = np.flatnonzero(~held)
-    starts = {w: w * (w - 1) // 2 * FILTERS for w in WIDTHS}  # WIDTHS are 1, 2, ...
     sides = [train[y[train] == k] for k in (0, 1)]
     for _ in range(SHOWN // BATCH):
         batch = np.concatenate([rng.choice(side, BATCH // 2) for side in sides if len(side)])
-        grads = [None, None, None, np.zeros_like(m.kernel), np.zeros_like(m.bias), np.zeros_like(m.out)]
-        rows: list[list[np.ndarray]] = [[], [], []]
-        steps: list[np.ndarray] = []
-        grad_b = 0.0
-        for i in batch:
-            ids = docs[i][rng.random(len(docs[i])) >= LEAVE_OUT]
-            shown = len(ids)
-            ids = np.concatenate([ids, np.zeros((max(WIDTHS) - 1, 3), np.int32)])
-            acts = m.convolve(ids)[:shown]
-            if not len(acts):
-                continue
-            best = acts.argmax(axis=0)
-            pooled = acts[best, np.arange(n)] + m.bias
-            h = np.maximum(pooled, 0)
-            err = 1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -30, 30))) - y[i]
-            grads[5] += err * h
-            grad_b += err
-            dh = err * m.out * (pooled > 0)
-            grads[4] += dh
-            for w in WIDTHS:
-                for f in np.flatnonzero(dh[(w - 1) * FILTERS : w * FILTERS]):
-                    g, at = dh[(w - 1) * FILTERS + f], best[(w - 1) * FILTERS + f]
-                    for k in range(w):
-                        col = starts[w] + k * FILTERS + f
-                        grads[3][:, col] += g * m.embed(ids[at + k : at + k + 1])[0]
-                        for t in range(3):
-                            rows[t].append(ids[at + k, t])
-                        steps.append(g * m.kernel[:, col])
-        for p, s, g in zip(params[3:], past[3:], grads[3:], strict=True):
-            g /= len(batch)
+        shown = [rng.random(len(docs[i])) >= LEAVE_OUT for i in batch]
+        dense, dense_b, sparse = gradients(m, [docs[i] for i in batch], y[batch], shown)
+        for p, s, g in zip(params, past, dense, strict=False):
+            g = g / len(batch)
             s += g * g
-            p -= RATE * g / np.sqrt(s)
-        past_b += (grad_b / len(batch)) ** 2
-        m.out_bias -= RATE * grad_b / len(batch) / np.sqrt(past_b)
-        if steps:
-            step = np.stack(steps) / len(batch)
-            for t in range(3):
-                where, back = np.unique(np.array(rows[t]), return_inverse=True)
-                g = np.zeros((len(where), DIM), np.float32)
-                np.add.at(g, back, step)
-                g[where == 0] = 0
-                past[t][where] += g * g
-                tables[t][where] -= RATE * g / np.sqrt(past[t][where])
+            p -= (RATE * g / np.sqrt(s)).astype(np.float32)
+        past_b += (dense_b / len(batch)) ** 2
+        m.out_bias -= RATE * dense_b / len(batch) / np.sqrt(past_b)
+        for table_, s, (where, g) in zip(tables, past[3:], sparse, strict=True):
+            g = g / len(batch)
+            s[where] += g * g
+            table_[where] -= RATE * g / np.sqrt(s[where])
     _calibrate(m, [docs[i] for i in np.flatnonzero(held)], langs[held], y[held], prior)
     return m
 
@@ -234,7 +246,7 @@ def _calibrate(m: Model, docs, langs, y, prior) -> None:
     z = m.logits(docs) if docs else np.zeros(0)
     overall = _threshold(z, y, prior)
     overall = 0.0 if overall is None else overall
-    m.thresholds = np.array([t if (t := _threshold(z[langs == k], y[langs == k], prior)) is not None else overall for k in range(len(_LANGS))], np.float32)
+    m.thresholds = np.array([t if (t := _threshold(z[langs == k], y[langs == k], prior)) is not None else overall for k in range(len(_LANGS) + 1)], np.float32)
 
 
 def in_fold(id_col: str, mod: int, rest: int) -> Column:
@@ -243,10 +255,15 @@ def in_fold(id_col: str, mod: int, rest: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """A model from at most ``ROWS_PER_LABEL`` rows of each label value, or None without both values.
-
-    The labelled ids are few by that bound and are broadcast; the documents become
-    bucket ids on the executors, and only those come to the driver.
+    """A model from a bounded sample of the labelled rows, or None without both values.
+
+    The sample has at most ``ROWS_PER_LABEL`` rows and ``WORDS_PER_LABEL`` words of
+    each label value, in the order of a hash of the ids; a row that would exceed the
+    words is passed over for the next ones, so only a text of more words than the
+    bound itself is never learnt from. The ids of the sample are few by that bound and are
+    broadcast; their documents become bucket ids on the executors, and no more than
+    the bound comes to the driver. Labels other than 0 and 1, and null ids, are not
+    used; an id with several labels or rows counts with each.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     share = known.agg(F.avg("_y")).first()[0]
@@ -258,16 +275,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             got = [featurise(t.as_py()) for t in batch.column(1)]
-            ids = [x.ravel() if len(x) <= MAX_TRAIN_WORDS else None for x, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([lang for _, lang in got], pa.int32()), batch.column(2)], names=["id", "ids", "lang", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x, _ in got], pa.int64()), pa.array([x.ravel() for x, _ in got], pa.list_(pa.int32())), pa.array([lang for _, lang in got], pa.int32()), batch.column(2)], names=["id", "words", "ids", "lang", "y"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "_y")
-    rows = map_arrow(texts, run, f"id {id_type}, ids array<int>, lang int, y int").where("ids IS NOT NULL").toArrow().sort_by("id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("_id")).select("id", "text", "_y")
+    sample = settle(map_arrow(texts, run, f"id {id_type}, words long, ids array<int>, lang int, y int"), "sample")
+    left, fits = {0: WORDS_PER_LABEL, 1: WORDS_PER_LABEL}, []
+    for r in sample.select("id", "words", "y", F.xxhash64("ids").alias("h")).orderBy(F.xxhash64(F.lit(7), F.col("id")), "id", "h").limit(4 * ROWS_PER_LABEL).collect():
+        if r.words <= left[r.y]:
+            left[r.y] -= r.words
+            fits.append((r.id, r.y, r.h))
+    if len({y for _, y, _ in fits}) < 2:
+        return None
+    chosen = docs.sparkSession.createDataFrame(fits, f"id {id_type}, y int, h long").distinct()
+    rows = sample.withColumn("h", F.xxhash64("ids")).join(F.broadcast(chosen), ["id", "y", "h"]).toArrow().sort_by([("id", "ascending"), ("h", "ascending")])
+    release(sample)
     got = [np.asarray(x.values).reshape(-1, 3) for x in rows["ids"]]
     y = rows["y"].to_numpy().astype(np.float32)
-    if not len(y) or y.min() == y.max():
-        return None
     mixed = np.random.default_rng(3).permutation(len(y))
     return fit([got[i] for i in mixed], rows["lang"].to_numpy()[mixed], y[mixed], float(share))
 
@@ -278,7 +302,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
     The whole text is convolved, long ones by spans that overlap. Null and empty
     texts, and those without letters, get the score of no evidence. Without a model
     (labels of one value only) scores are 0. No other column is an input; the language
-    is guessed from the text. Rows are independent and none is dropped.
+    is guessed from the text, and a text without a known function word has a threshold
+    of its own. Rows are independent, repeated ones score alike, and none is dropped.
+    Columns keep their names inside ``row``, so none can clash.
     """
     kept = docs.select(F.struct("*").alias("row"))
     if model is None:

@@ -17,8 +17,10 @@ from sortwell.session import evenly, map_arrow, settle, table
 
 #: Shares of the pooled covariance and of its diagonal in each class's covariance.
 TO_POOLED, TO_DIAGONAL = 0.1, 0.05
-#: The score from which a document is predicted to be good.
+#: The score from which a document is predicted to be good; even odds are moved there.
 CUT = 0.3
+#: Share of the log density difference that goes into a score: statistics are correlated, so whole differences are too sure.
+SCALE = 0.5
 #: Words of a text whose pairs are taken at a time; distinct ones are held as 16-byte digests in a longer text.
 SPAN = 1 << 16
 
@@ -87,11 +89,14 @@ class Discriminant:
         """Log density of class 1 less that of class 0, priors included."""
         out = []
         for mean, factor, norm in zip(self.means, self.factors, self.log_norm, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = (x - mean).T
+            for i in range(len(z)):  # forward substitution in the triangular factor
+                z[i] = (z[i] - factor[i, :i] @ z[:i]) / factor[i, i]
             out.append(norm - 0.5 * (z * z).sum(axis=0))
         return out[1] - out[0]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        """From 0 to 1 by the scaled and moved log ratio. Even odds score ``CUT``; a score is an order, not a probability."""
         z = self.scale * self.log_ratio(x) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -106,8 +111,7 @@ def discriminant(n: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> Discri
     own = (1 - TO_DIAGONAL) * own + TO_DIAGONAL * eye * np.diagonal(pooled) + 1e-6 * eye
     factors = np.linalg.cholesky(own)
     log_norm = np.log(n / n.sum()) - np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1)
-    # density differences of correlated statistics are too sure; half of them, moved so that even odds score CUT
-    return Discriminant(means, factors, log_norm, 0.5, float(np.log(CUT / (1 - CUT))))
+    return Discriminant(means, factors, log_norm, SCALE, float(np.log(CUT / (1 - CUT))))
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,8 +126,12 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {id_type}, x array<double>")
 
 
-def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant | None:
-    """Class moments over all labelled rows, added up on the executors; None without two rows of both values."""
+def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant | float:
+    """Class moments over all labelled rows, added up on the executors.
+
+    Without two rows of both values there is no model but the share of label 1 among
+    the labelled rows (0 without any). A null id is not labelled.
+    """
     d = len(STATISTICS)
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     rows = stats.join(known, "id")
@@ -133,7 +141,8 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     sums = rows.select("y", terms.alias("t")).groupBy("y").agg(*[F.sum(F.col("t")[k]).alias(f"s{k}") for k in range(width)]).collect()
     got = {r.y: np.array(r[1:], float) for r in sums}
     if set(got) != {0, 1} or min(v[0] for v in got.values()) < 2:
-        return None
+        n = {k: v[0] for k, v in got.items()}
+        return float(n.get(1, 0.0) / sum(n.values())) if n else 0.0
     m = np.stack([got[0], got[1]])
     squares = np.zeros((2, d, d))
     i, j = np.triu_indices(d)
@@ -144,16 +153,18 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, score`` from 0 to 1, higher where label 1 is likelier.
 
-    Statistics cover whole texts; null and empty texts have those of zero words. Rows
-    without a usable model (labels of one value) score 0.5. Repeated rows score
-    alike, and several labels of an id all count. Texts are read once; statistics are
+    Statistics cover whole texts; null and empty texts have those of zero words.
+    Without a usable model all rows score the share of label 1 (see ``train``).
+    Repeated rows and ties score alike, and several labels of an id all count. A null
+    id is scored like others. Other columns are not read, so none can clash; an empty
+    table gives no rows. Texts are read once; statistics are
     written to the shared folder and serve training and scoring, so the join with
     the labels moves no text.
     """
     stats = settle(document_statistics(docs, id_col, text_col), "statistics")
     model = train(stats, labels, id_col)
-    if model is None:
-        return stats.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))
+    if isinstance(model, float):
+        return stats.select(F.col("id").alias(id_col), F.lit(model).alias("score"))
     id_type = stats.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,11 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> Data
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """``limit, total, docs_cut``: tokens left when documents are cut to each limit, from the suffix sums."""
+    """``limit, total, docs_cut``: tokens left when documents are cut to each limit, from the suffix sums.
+
+    One pass over the histogram, whatever the limits. A limit above all lengths leaves
+    all tokens; an empty histogram gives zeros.
+    """
     one = []
     for limit in limits:
         first = F.min(F.when(F.col("n_tokens") >= limit, F.struct("n_tokens", "docs_at_least", "tokens_at_least")))
@@ -71,7 +75,10 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def length_quantiles(histogram: DataFrame, quantiles: list[float]) -> DataFrame:
-    """``quantile, n_tokens``: the least length that a share of at least ``quantile`` of the documents does not exceed."""
+    """``quantile, n_tokens``: the least length that a share of at least ``quantile`` of the documents does not exceed.
+
+    Documents of equal length are one step. An empty histogram gives null.
+    """
     n = histogram.agg(F.max("docs_at_least")).first()[0] or 0
     up_to = F.lit(n) - F.col("docs_at_least") + F.col("n_docs")
     found = [F.struct(F.lit(float(q)).alias("quantile"), F.min(F.when(up_to >= float(q) * n, F.col("n_tokens"))).alias("n_tokens")) for q in quantiles]
