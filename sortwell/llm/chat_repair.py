@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,7 +164,8 @@ def repair(turns: list[tuple], entry: int = START, exit_: int | None = None, las
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per input turn: conversation, turn, ``role, action, inserted, cost, rendered``.
 
-    Turns are ordered by ``turn_col`` (null first), then role and text. The legal
+    Turns are ordered by ``turn_col`` (null first), then by a hash of role and text, so
+    the ranges by which they are dealt hold no texts. The legal
     order is an optional system turn, then user and assistant in turns, the assistant
     last. Merging a turn into the one before, relabelling it and inserting empty
     turns before it (or after the last) cost MERGE, RELABEL and INSERT each; the total
@@ -172,7 +174,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Unknown and null roles have to be relabelled; null texts are empty; rows without
     a conversation id are one conversation; repeated rows are repeated turns; other
-    columns are not read; an empty table gives no rows.
+    columns are not read, so none can clash; an empty table gives no rows.
 
     Turns are dealt by ranges of the order, so a conversation of any length is spread
     over tasks, and cut into bounded chunks. A chunk that a neighbour continues is
@@ -183,33 +185,40 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema.fields}
     key = f"conv {kinds[conv_col]}"
     plain = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    order = ["conv", "turn", "role", "text"]
-    ordered = plain.repartitionByRange(*order).sortWithinPartitions(*order)
+    # equal rows may stand in any order, so their place is drawn: many copies are many tasks' work
+    placed = plain.withColumn("place", F.xxhash64("role", "text")).withColumn("draw", F.rand(4))
+    order = ["conv", "turn", "place", "role", "text"]
+    ordered = placed.repartitionByRange("conv", "turn", "place", "draw").sortWithinPartitions(*order).select("conv", "turn", "role", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
-        rows: list[dict] = []
-        held, first, types = 0, True, None
+        held: list[pa.RecordBatch] = []  # rows of the chunk at hand
+        rows = chars = 0
+        conv, first, grown = None, True, False  # grown: the conversation at hand has given a chunk already
 
         def chunk(edge: bool) -> pa.RecordBatch:
-            nonlocal rows, held, no
-            cols = [pa.array([rows[0]["conv"]], types[0]), pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([edge])]
-            cols += [pa.array([[r[c] for r in rows]], pa.list_(t)) for c, t in zip(("turn", "role", "text"), types[1:], strict=True)]
-            rows, held, no = [], 0, no + 1
+            nonlocal held, rows, chars, no
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            ends = pa.array([0, rows], pa.int32())
+            cols = [whole.column(0).slice(0, 1), pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([edge])]
+            cols += [pa.ListArray.from_arrays(ends, whole.column(k)) for k in (1, 2, 3)]
+            held, rows, chars, no = [], 0, 0, no + 1
             return pa.RecordBatch.from_arrays(cols, names=["conv", "part", "no", "open", "turns", "roles", "texts"])
 
-        grown = False  # the conversation at hand has given a chunk already
         for batch in batches:
-            types = types or [f.type for f in batch.schema]
-            for r in batch.to_pylist():
-                if rows and r["conv"] != rows[0]["conv"]:
-                    yield chunk(first or grown)
-                    first = grown = False
-                elif rows and (len(rows) >= CHUNK_TURNS or held + len(r["text"] or "") > CHUNK_CHARS):
-                    yield chunk(True)
-                    grown = True
-                rows.append(r)
-                held += len(r["text"] or "")
+            start = 0
+            sizes = pc.fill_null(pc.utf8_length(batch.column(3)), 0).to_pylist()
+            for i, (c, n) in enumerate(zip(batch.column(0).to_pylist(), sizes, strict=True)):
+                other = rows > 0 and c != conv
+                if other or (rows and (rows >= CHUNK_TURNS or chars + n > CHUNK_CHARS)):
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    start = i
+                    yield chunk(not other or first or grown)
+                    first, grown = first and not other, not other
+                conv, rows, chars = c, rows + 1, chars + n
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
         if rows:
             yield chunk(True)  # the next task may go on with it
 

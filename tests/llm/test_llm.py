@@ -236,9 +236,11 @@ def test_chat(spark, monkeypatch):
     data = [(None if c == 3 else c, r.randint(0, 3) if c == 5 else i, r.choice(["user", "assistant", " System", "tool", None]), r.choice([None, "", f"t{i}"]), "z") for c, n in enumerate(sizes) for i in range(n)]
     data += [(50, 1, "user", "same", "z")] * 2 + [(51, None, "assistant", "x" * 300000, "z"), (51, 1, "user", "b", "z")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, cost string").repartition(4)
+    df = df.withColumns({c: F.lit("x") for c in ("conv", "part", "no", "open", "place", "draw", "rendered")})
     rows = chat_repair.format_chats(df).collect()
     assert len(rows) == len(data)
-    rank = lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")
+    place = {(r.role, r.text): r.h for r in df.select("role", "text", F.xxhash64("role", "text").alias("h")).distinct().collect()}
+    rank = lambda x: (x[1] is not None, x[1] or 0, place[x[2], x[3]], x[2] is not None, x[2] or "", x[3] is not None, x[3] or "")
     for c in {d[0] for d in data}:
         turns = sorted((d for d in data if d[0] == c), key=rank)
         mine = [x for x in rows if x.conv_id == c]
