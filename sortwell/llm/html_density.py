@@ -24,53 +24,63 @@ CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr": "t
 SCOPE = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select datalist", "tr": "table", "td": "table tr", "th": "table tr", "thead": "table", "tbody": "table", "tfoot": "table"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: Elements that never hold main text; a header is one unless it stands in an article.
-SKIP = frozenset("head title script style noscript template svg canvas iframe object audio video nav footer aside form button select datalist textarea menu dialog map annotation annotation-xml".split())
-#: Roles of parts that are not main text, and words that are the whole or the last part of such a part's class or id.
-SKIP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-SKIP_WORDS = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
-#: Of these, names of what readers add, which may be longer than the main text.
+#: Elements that never hold text of the page: they leave the tree. CONTROLS that are left open end at the next block.
+NEVER = frozenset("head title script style noscript template svg canvas iframe object audio video datalist map annotation annotation-xml".split())
+CONTROLS = frozenset("button select textarea".split())
+#: Evidence against a block, which density weighs: elements (a header outside of an article), roles, and words that are the whole or the last part of a class or id.
+SIDE = frozenset("nav footer aside form menu dialog header".split())
+SIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+SIDE_WORDS = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Names of what readers add, which density can't tell from the main text.
 READER_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
-KEEP_TAGS = frozenset("html body article main".split())
+#: How much of its density such a block keeps.
+SIDE_WEIGHT, READER_WEIGHT = 1 / 64, 0.0
+#: Elements that hold other blocks without being prose themselves, and those that are prose.
+GENERIC = frozenset("#page html body article aside center details dialog div fieldset footer form header hgroup main nav search section".split())
+PROSE = frozenset("p pre blockquote li dd".split())
+#: Share of the main block's density sum that other text needs which isn't in an element of prose.
+BESIDE = 1.0
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
-def _skipped(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
-    if tag in SKIP or (tag == "header" and not in_article):
-        return True
-    if tag in KEEP_TAGS:
+def _invisible(tag: str, attrs: dict[str, str | None]) -> bool:
+    if tag in ("html", "body", "article", "main"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in SKIP_ROLES:
-        return True
-    if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
-    return False
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
 
 
 def _name_words(names: str | None) -> list[list[str]]:
-    return [_WORDS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", x).lower()) for x in (names or "").split()]
+    """Words of each name, without numbers at the end."""
+    out = []
+    for name in (names or "").split():
+        words = _WORDS.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower())
+        while len(words) > 1 and words[-1].isdigit():
+            words.pop()
+        out.append(words)
+    return out
 
 
 def _named(tag: str, attrs: dict[str, str | None]) -> tuple[frozenset[str], frozenset[str]]:
-    """The words of the class and of the id by which the element is no main text.
+    """The words of the class and of the id that speak against the element.
 
     Headings and links are never judged by name, other inline elements not by their
-    id, since such an id is an anchor.
+    id, since such an id is an anchor; an article only by names of readers' additions.
     """
     none = frozenset()
-    if tag in KEEP_TAGS or tag in HEADINGS or tag == "a" or not (attrs.get("class") or attrs.get("id")):
+    if tag in ("html", "body", "main", "a") or tag in HEADINGS or not (attrs.get("class") or attrs.get("id")):
         return none, none
     classes, ids = _name_words(attrs.get("class")), _name_words(attrs.get("id"))
     if any(w in ("with", "has", "no", "without") for ws in classes + ids for w in ws):
         return none, none
-    last = lambda names: frozenset(ws[-1] for ws in names if ws and ws[-2:] != ["overflow", "hidden"]) & SKIP_WORDS
+    against = READER_WORDS if tag == "article" else READER_WORDS | SIDE_WORDS
+    last = lambda names: frozenset(ws[-1] for ws in names if ws and ws[-2:] != ["overflow", "hidden"]) & against
     return last(classes), last(ids) if tag in BLOCK else none
 
 
 class Node:
     """A block of the page. Inline elements count as tags of the block they stand in."""
 
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "kept", "cut")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "kept", "names", "weight", "prose")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
@@ -78,7 +88,9 @@ class Node:
         self.tags = 1
         self.density = self.sum = 0.0
         self.best, self.kept = self, False
-        self.cut: tuple[frozenset[str], frozenset[str]] | None = None
+        self.names: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())
+        self.weight = 1.0
+        self.prose = tag in PROSE
         if parent is not None:
             parent.children.append(self)
 
@@ -106,8 +118,9 @@ class Run:
 class Page(HTMLParser):
     """A tolerant tree of blocks, and the page's text in runs of one block each."""
 
-    def __init__(self) -> None:
+    def __init__(self, left_open: frozenset[str] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.left_open = left_open  # controls without their end tags
         self.root = self.node = Node("#page", None)
         self.body: Node | None = None
         self.stack: list[tuple[str, bool, Node]] = []  # open tag, whether it is skipped, the block outside it
@@ -116,7 +129,7 @@ class Page(HTMLParser):
         self.runs: list[Run] = []
         self.fresh = True
         self.line: Line | None = None
-        self.cuts: list[Node] = []  # blocks that are no main text by their name
+        self.doubted: list[Node] = []  # blocks with evidence against them
 
     def parse_marked_section(self, i, report=1):  # a bogus comment in HTML
         end = self.rawdata.find(">", i + 3)
@@ -125,15 +138,18 @@ class Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.fresh, self.line = True, None
+            if tag != "option":
+                for control in self.left_open:
+                    if self.open[control]:
+                        self._close(control)
             if tag in CLOSES:
                 self._close_among(CLOSES[tag].split(), SCOPE[tag].split())
             if self.open["p"]:
                 self._close("p")
         named = dict(attrs)
-        skip = _skipped(tag, named, bool(self.open["article"] or self.open["main"]))
-        cut = _named(tag, named) if attrs and not skip else ()
-        if any(cut) and tag not in BLOCK:
-            skip = True
+        names = _named(tag, named) if attrs else (frozenset(), frozenset())
+        # an inline element has no density of its own, so its name decides
+        skip = tag in NEVER or tag in CONTROLS or _invisible(tag, named) or (any(names) and tag not in BLOCK)
         if tag in VOID:
             if not self.skips and not skip:
                 self.node.tags += 1
@@ -147,6 +163,7 @@ class Page(HTMLParser):
         if tag in ("html", "body") and self.open[tag]:
             return
         in_math = self.open["math"] > 0  # a formula is one tag
+        in_article = self.open["article"] or self.open["main"]
         self.stack.append((tag, skip, self.node))
         self.open[tag] += 1
         self.skips += skip
@@ -157,9 +174,11 @@ class Page(HTMLParser):
             self.node = Node(tag, self.node)
             if tag == "body" and self.body is None:
                 self.body = self.node
-            if any(cut):
-                self.node.cut = cut
-                self.cuts.append(self.node)
+            role = (named.get("role") or "").lower() in SIDE_ROLES and tag not in ("body", "main", "article")
+            if any(names) or role or (tag in SIDE and not (tag == "header" and in_article)):
+                self.node.names = names
+                self.node.weight = READER_WEIGHT if not READER_WORDS.isdisjoint(names[0] | names[1]) else SIDE_WEIGHT
+                self.doubted.append(self.node)
         elif not in_math:
             self.node.tags += 1
             self._line().tags += 1
@@ -251,53 +270,67 @@ def composite_density(node: Node | Line, body_chars: int, body_link_chars: int)
     return c / t * math.log(max(1.0, c / max(1, lc) * (t / max(1, lt)))) / math.log(base)
 
 
-def _weight(node: Node) -> float:
-    return node.density if node.children else max(node.density, node.sum)
+def _value(node: Node) -> float:
+    """What a block adds to its parent's density sum. A block of lines only counts by its lines, so line breaks do not thin its text."""
+    return node.weight * (node.density if node.children else max(node.density, node.sum))
 
 
 def _measure(root: Node, runs: dict[int, list[Run]]) -> list[Node]:
     """The blocks of ``root`` in order, with their densities, sums and best blocks."""
     nodes = _in_order(root)
-    for node in reversed(nodes):
-        for child in node.children:
-            node.chars += child.chars
-            node.tags += child.tags
-            node.link_chars += child.link_chars
-            node.link_tags += child.link_tags
     for node in reversed(nodes):
         for run in runs.get(id(node), ()):
             run.density = sum(composite_density(line, root.chars, root.link_chars) for line in run.lines)
             node.sum += run.density
         node.density = composite_density(node, root.chars, root.link_chars)
-        node.sum += sum(_weight(child) for child in node.children)
+        # containers compete with the body for being the main block, so they do not make it one
+        node.sum += sum(_value(child) for child in node.children if node is not root or child.tag not in GENERIC)
         for child in node.children:
-            if child.best.sum > node.best.sum:
+            if child.weight * child.best.sum > node.best.sum:
                 node.best = child.best
     return nodes
 
 
-def _keep(nodes: list[Node], runs: list[Run]) -> None:
-    """Mark the content among ``nodes``, those of a whole tree, and ``runs``."""
-    root = nodes[0]
-    path = [root.best]
-    while path[-1] is not root:
-        path.append(path[-1].parent)
-    threshold = min(node.density for node in path)
-    for node in nodes:
-        if _weight(node) >= threshold and node.chars:
-            node.best.kept = True
-    for run in runs:
-        run.kept = run.density >= threshold
-    around = {id(n) for n in path}
-    for node in nodes:  # parents come before children
-        if node is not root and (node.parent.kept or (node.tag in HEADINGS and id(node.parent) in around)):
-            node.kept = True
+def _total(nodes: list[Node]) -> None:
+    """Add up characters and tags of the blocks inside each of ``nodes``, a tree in order."""
+    for node in reversed(nodes):
+        for child in node.children:
+            node.chars += child.chars
+            node.tags += child.tags
+            node.link_chars += child.link_chars
+            node.link_tags += child.link_tags
+            node.prose |= child.prose
+
 
+def _believed(page: Page, body: Node, nodes: list[Node], runs: dict[int, list[Run]]) -> list[Node]:
+    """Drop the evidence that the page itself refutes; the blocks for which only their share of the text speaks.
 
-def _in_article(node: Node | None) -> bool:
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    return node is not None
+    A block whose id is made from its heading is named for its subject. One that holds
+    the page's ``main``, or most of the page's text outside of links while no other
+    article or ``main`` has any, is a layout; readers' additions may be most of the
+    text, and are doubted until all the rest is less than a tenth.
+    """
+    by_share = []
+    inside = {id(node) for node in nodes}
+    doubted = [node for node in page.doubted if id(node) in inside]
+    plain = lambda node: node.chars - node.link_chars
+    mains = [node for node in nodes if node.tag in ("article", "main") and node.chars and node.weight == 1]
+
+    def under(node: Node | None, above: Node) -> bool:
+        while node is not None and node is not above:
+            node = node.parent
+        return node is not None
+
+    for node in doubted:
+        by_class, by_id = node.names
+        if by_id and not by_class and by_id.isdisjoint(READER_WORDS - {"discussion"}) and _titled(node, runs):
+            node.weight = 1.0
+        elif any(x.tag == "main" for x in mains if x is not node and under(x, node)):
+            node.weight = 1.0
+        elif plain(node) > plain(body) * (0.5 if node.weight == SIDE_WEIGHT else 0.9) and not any(not under(x, node) and not under(node, x) for x in mains):
+            node.weight = 1.0
+            by_share.append(node)
+    return by_share
 
 
 def _titled(node: Node, runs: dict[int, list[Run]]) -> bool:
@@ -306,60 +339,79 @@ def _titled(node: Node, runs: dict[int, list[Run]]) -> bool:
     near = [x for x in _in_order(node) if x.tag in HEADINGS][:1] + [x for x in node.parent.children[max(0, at - 1) : at] if x.tag in HEADINGS]
     for heading in near:
         title = _WORDS.findall("".join(p for x in _in_order(heading) for run in runs.get(id(x), ()) for p in run.parts).lower())
-        if node.cut[1] <= set(title):
+        if node.names[1] <= set(title):
             return True
     return False
 
 
+def _keep(nodes: list[Node], runs: list[Run], by_share: list[Node] = ()) -> None:
+    """Mark the content among ``nodes``, those of a whole tree, and ``runs``.
+
+    Where the main block is within one of ``by_share``, half the threshold is enough for
+    prose beside it.
+    """
+    root = nodes[0]
+    main = root.best
+    path = [main]
+    while path[-1] is not root:
+        path.append(path[-1].parent)
+    threshold = min(node.density for node in path)
+    around = {id(node) for node in path}
+    least = threshold / 2 if any(id(node) in around for node in by_share) else threshold
+    # how much of its density a block keeps, with the blocks around it
+    trust = {id(root): root.weight}
+    for node in nodes[1:]:
+        trust[id(node)] = trust[id(node.parent)] * node.weight
+    above = [id(main)]
+    if main is root:
+        # the text stands in the body itself; its containers have to show that they belong to it
+        for run in runs:
+            run.kept = run.node is root
+        for child in root.children:
+            child.kept = child.prose and child.tag not in GENERIC and child.link_chars * 2 < child.chars or child.tag in HEADINGS
+    else:
+        main.kept = True
+        for run in runs:
+            run.kept = id(run.node) in around and run.node is not main and run.density >= max(threshold, BESIDE * main.sum)
+    for node in nodes:
+        if node.chars and id(node) not in above and trust[id(node)] * (node.density if node.children else max(node.density, node.sum)) >= least:
+            best = node.best
+            if best is not root and (best.prose or trust[id(best)] * max(best.density, best.sum) >= BESIDE * main.sum):
+                best.kept = True
+    for node in nodes[1:]:  # parents come before children
+        if node.parent.kept and node.parent is not root:
+            node.kept = trust[id(node)] == 1 or trust[id(node)] * max(node.density, node.sum) >= threshold
+        elif node.tag in HEADINGS and id(node.parent) in around and trust[id(node)] == 1:
+            node.kept = True
+
+
 def main_text(html: str | None) -> str:
     """The text of the main content: its blocks in page order, one a line.
 
-    Parts that cannot be main text by their element, role or name are left out of the
-    tree. Every block gets its composite density, then the sum of its children's and of
-    its own lines'; a block without child blocks counts by its lines, so line breaks do
-    not thin its text. The block with the largest sum is the main one, and the least
-    density on the path from it to the body is the threshold: under every block that
-    reaches it, the subtree with the largest sum is content as well, as are text that
-    stands directly in a block and reaches it, and headings beside content.
-
-    A name is no proof. A block stays in the tree when its id is made from its
-    heading or when it holds the page's ``main``. The named block with the largest sum
-    of all, inside an article or on a page without one, is read as a page of its own,
-    besides the rest; one for readers' additions only if the rest has no text.
+    Every block gets its composite density, then the sum of its children's and of its
+    own lines'. The block with the largest sum is the main one, and the least density on
+    the path from it to the body is the threshold: under every other block that reaches
+    it the subtree with the largest sum is content as well, if it is prose or much
+    beside the main block, and so are headings beside content.
+
+    Elements, roles and names that speak against a block take most of its density, also
+    inside the content, and leave the choice to density: there is no list by which a
+    block of text is left out of the tree. Evidence that the page refutes counts for
+    nothing (see ``_believed``). Ties go to the block further out.
     """
-    page = Page()
-    page.feed(html or "")
+    html = html or ""
+    lower = html.lower()
+    page = Page(frozenset(c for c in CONTROLS if lower.count(f"<{c}") > lower.count(f"</{c}")))
+    page.feed(html)
     page.close()
     body = page.body or page.root
     runs: dict[int, list[Run]] = {}
     for run in page.runs:
         runs.setdefault(id(run.node), []).append(run)
-    for node in page.cuts:
-        by_class, by_id = node.cut
-        if not by_class and by_id.isdisjoint(READER_WORDS - {"discussion"}) and _titled(node, runs):
-            node.cut = None
-    cuts = [node for node in page.cuts if node.cut]
-    for node in cuts:
-        node.parent.children = [x for x in node.parent.children if x is not node]
-    if cuts and not any(x.tag == "main" for x in _in_order(body)):
-        for node in cuts:
-            if any(x.tag == "main" for x in _in_order(node)):
-                outer = node
-                while outer is not None:  # with the blocks around it
-                    if outer.cut:
-                        outer.parent.children.append(outer)
-                        outer.cut = None
-                    outer = outer.parent
-        cuts = [node for node in cuts if node.cut]
-    nodes = _measure(body, runs)
-    trees = [_measure(node, runs) for node in cuts]
-    left_out = {id(node): tree for tree in trees for node in tree}
-    _keep(nodes, [run for run in page.runs if id(run.node) not in left_out])
-    elsewhere = any(node.chars and node.tag in ("article", "main") for node in nodes)
-    able = [tree for tree in trees if (not elsewhere or _in_article(tree[0])) and (not body.chars or READER_WORDS.isdisjoint(tree[0].cut[0] | tree[0].cut[1]))]
-    largest = max(able, key=lambda tree: tree[0].best.sum, default=None)
-    if largest and largest[0].best.sum > body.best.sum:
-        _keep(largest, [run for run in page.runs if left_out.get(id(run.node)) is largest])
+    nodes = _in_order(body)
+    _total(nodes)
+    by_share = _believed(page, body, nodes, runs)
+    _keep(_measure(body, runs), page.runs, by_share)
     blocks = (" ".join("".join(run.parts).split()) for run in page.runs if run.kept or run.node.kept)
     return "\n".join(b for b in blocks if b)
 
@@ -368,7 +420,9 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
     """``row`` (all columns of ``pages`` as a struct) and ``out_col``, the main text.
 
     A null or empty page, and one without text, gives the empty string. Pages are
-    read whole, each on its own; repeated rows give repeated results.
+    read whole, however long, each on its own; repeated rows give repeated results.
+    Columns keep their names inside ``row``, so none can clash. An empty table gives no
+    rows.
     """
     kept = pages.select(F.struct("*").alias("row"))
 
