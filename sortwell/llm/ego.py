@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,11 +17,11 @@ from sortwell.session import map_arrow, settle, table
 
 COSINE = 0.93
 #: Leading principal dimensions in which the grid lies and blocks are told apart.
-LEAD = 4
+LEAD = 8
 #: Vectors from which the principal dimensions are fitted. They steer what is skipped, never what is found.
 FIT_ROWS = 2048
-#: Vectors in a block, in an interval that is compared at once, and blocks or intervals in the interval above.
-BLOCK, LEAF, FAN = 512, 64, 16
+#: Vectors in a block and in the least interval of the recursion; blocks in a side of a tile at most; leaves and pairs of intervals that a task takes at a time.
+BLOCK, LEAF, TILE, AT_ONCE = 512, 64, 128, 1 << 14
 
 
 def usable(label: str = "label", vec: str = "v"):
@@ -57,13 +58,8 @@ def project(u: np.ndarray, axes: dict[int, tuple[np.ndarray, np.ndarray]]) -> np
     return np.pad(p, ((0, 0), (0, LEAD - p.shape[1])))
 
 
-def gap2(lo_a, hi_a, lo_b, hi_b) -> float:
-    """Squared distance of two boxes."""
-    return float((np.maximum(0, np.maximum(lo_b - hi_a, lo_a - hi_b)) ** 2).sum())
-
-
-class BlockJoin:
-    """Links between two blocks (or within one) by joining intervals of their sequences recursively."""
+class IntervalJoin:
+    """Links between two sequences in epsilon grid order, or within one, by joining their intervals recursively."""
 
     def __init__(self, a, b, cosine: float) -> None:
         (self.va, self.pa, self.wa), (self.vb, self.pb, self.wb) = a, b
@@ -71,44 +67,89 @@ class BlockJoin:
         self.ua = unit(self.va)
         self.ub = self.ua if self.same else unit(self.vb)
         self.eps2 = (2 - 2 * cosine) * (1 + 1e-9) + 1e-9
-        n, m = len(self.ua), len(self.ub)
-        self.shift = 0 if self.same else n
-        self.counts = np.zeros(n + (0 if self.same else m), np.int64)
+        self.shift = 0 if self.same else len(self.ua)
+        self.counts = np.zeros(len(self.ua) + (0 if self.same else len(self.ub)), np.int64)
         self.comp = np.arange(len(self.counts))
-        self.join(0, n, 0, m)
-
-    def join(self, i: int, j: int, k: int, m: int) -> None:
-        if self.same and k < i:
-            return  # the mirror image is joined
-        pa_, pb_ = self.pa[i:j], self.pb[k:m]
-        if gap2(pa_.min(0), pa_.max(0), pb_.min(0), pb_.max(0)) > self.eps2:
-            return
-        if j - i <= LEAF and m - k <= LEAF:
-            return self.leaf(i, j, k, m)
-        ij = [(i, j)] if j - i <= LEAF else [(i, (i + j) // 2), ((i + j) // 2, j)]
-        km = [(k, m)] if m - k <= LEAF else [(k, (k + m) // 2), ((k + m) // 2, m)]
-        for x in ij:
-            for y in km:
-                self.join(*x, *y)
-
-    def leaf(self, i: int, j: int, k: int, m: int) -> None:
-        sim = self.ua[i:j] @ self.ub[k:m].T
+        self._join(self._boxes(self.pa), self._boxes(self.pb))
+        while (up := self.comp[self.comp]).tobytes() != self.comp.tobytes():
+            self.comp = up
+
+    @staticmethod
+    def _boxes(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Boxes of the leaves, then of each two neighbouring intervals, up to one interval."""
+        at = np.arange(0, len(p), LEAF)
+        levels = [(np.minimum.reduceat(p, at), np.maximum.reduceat(p, at))]
+        while len(levels[-1][0]) > 1:
+            lo, hi = levels[-1]
+            at = np.arange(0, len(lo), 2)
+            levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)))
+        return levels
+
+    def _join(self, a: list, b: list) -> None:
+        top = max(len(a), len(b)) - 1
+        zero = np.zeros(1, np.int64)
+        todo = [(top, zero, zero)]
+        while todo:
+            level, i, k = todo.pop()
+            (lo_a, hi_a), (lo_b, hi_b) = a[min(level, len(a) - 1)], b[min(level, len(b) - 1)]
+            gap = np.maximum(0, np.maximum(lo_b[k] - hi_a[i], lo_a[i] - hi_b[k]))
+            near = (gap * gap).sum(axis=1) <= self.eps2
+            i, k = i[near], k[near]
+            if not level:
+                self._leaves(i, k)
+                continue
+            # an interval that is alone on its level stands for itself below
+            half = lambda x, levels: np.stack([2 * x, 2 * x + 1], axis=-1) if level < len(levels) else x[..., None]  # noqa: B023, E731
+            left, right = half(i, a), half(k, b)
+            i = np.repeat(left, right.shape[-1], axis=-1).ravel()
+            k = np.tile(right, (1, left.shape[-1])).ravel()
+            there = (i < len(a[min(level - 1, len(a) - 1)][0])) & (k < len(b[min(level - 1, len(b) - 1)][0]))
+            if self.same:
+                there &= i <= k  # the mirror image is joined
+            i, k = i[there], k[there]
+            for at in range(0, len(i), AT_ONCE):
+                todo.append((level - 1, i[at : at + AT_ONCE], k[at : at + AT_ONCE]))
+
+    def _leaves(self, i: np.ndarray, k: np.ndarray) -> None:
+        order = np.lexsort((k, i))
+        i, k = i[order], k[order]
+        for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+            for at in range(0, len(part), 64):
+                some = part[at : at + 64]
+                self._compare(int(i[some[0]]), k[some])
+
+    def _compare(self, leaf: int, others: np.ndarray) -> None:
+        rows = np.arange(leaf * LEAF, min((leaf + 1) * LEAF, len(self.ua)))
+        cols = (others[:, None] * LEAF + np.arange(LEAF)).ravel()
+        cols = cols[cols < len(self.ub)]
+        sim = self.ua[rows] @ self.ub[cols].T
         linked = sim >= self.cosine
         for x, y in np.argwhere(np.abs(sim - self.cosine) < 1e-9):  # rounding decides: take the quotient itself
-            a, b = self.va[i + x].astype(np.float64), self.vb[k + y].astype(np.float64)
+            a, b = self.va[rows[x]].astype(np.float64), self.vb[cols[y]].astype(np.float64)
             linked[x, y] = a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= self.cosine
-        if self.same and i == k:
-            np.fill_diagonal(linked, False)
+        if self.same:
+            linked &= rows[:, None] != cols
         if not linked.any():
             return
-        self.counts[i:j] += linked @ self.wb[k:m]
-        if not (self.same and i == k):
-            self.counts[self.shift + k : self.shift + m] += linked.T @ self.wa[i:j]
-        right = np.arange(self.shift + k, self.shift + m)
-        for x in np.flatnonzero(linked.any(axis=1)):
-            found = np.unique(np.append(self.comp[right[linked[x]]], self.comp[i + x]))
-            if len(found) > 1:
-                self.comp[np.isin(self.comp, found)] = found[0]
+        self.counts[rows] += linked @ self.wb[cols]
+        other = slice(None) if not self.same else cols // LEAF != leaf
+        self.counts[self.shift + cols[other]] += linked[:, other].T @ self.wa[rows]
+        cols = cols + self.shift
+        while True:
+            x, y = self._roots(rows), self._roots(cols)
+            apart = linked & (x[:, None] != y)
+            open_ = np.flatnonzero(apart.any(axis=1))
+            if not len(open_):
+                return
+            for r, c in zip(open_, apart[open_].argmax(axis=1), strict=True):
+                p, q = self._roots(rows[r]), self._roots(cols[c])
+                self.comp[max(p, q)] = min(p, q)
+
+    def _roots(self, x):
+        up = self.comp[x]
+        while np.any((above := self.comp[up]) != up):
+            up = above
+        return up
 
 
 def _blocks(reps: DataFrame, axes, id_type: str, label_type: str, width: str) -> DataFrame:
@@ -143,8 +184,8 @@ def _blocks(reps: DataFrame, axes, id_type: str, label_type: str, width: str) ->
             made += 1
             one = lambda x, t: pa.array([x], t)
             return pa.RecordBatch.from_arrays(
-                [one((part << 32) | made, pa.int64()), rows["label"].combine_chunks().slice(0, 1), rows["dim"].combine_chunks().slice(0, 1), one(p.min(0).tolist(), pa.list_(pa.float64())), one(p.max(0).tolist(), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), rows["node"].combine_chunks()), one(np.asarray(rows["n"]).tolist(), pa.list_(pa.int64())), one(v.tobytes(), pa.binary()), one(p.tobytes(), pa.binary())],
-                names=["block", "label", "dim", "lo", "hi", "nodes", "ns", "vs", "ps"],
+                [one((part << 32) | made, pa.int64()), rows["label"].combine_chunks().slice(0, 1), rows["dim"].combine_chunks().slice(0, 1), one(p.min(0).tolist(), pa.list_(pa.float64())), one(p.max(0).tolist(), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), rows["node"].combine_chunks()), one(np.asarray(rows["n"]).tolist(), pa.list_(pa.int64())), one(v.tobytes(), pa.binary())],
+                names=["block", "label", "dim", "lo", "hi", "nodes", "ns", "vs"],
             )
 
         def ready(rows: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
@@ -168,7 +209,7 @@ def _blocks(reps: DataFrame, axes, id_type: str, label_type: str, width: str) ->
             yield from ready(rest, True)[0]
 
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return settle(map_arrow(ordered, cut, f"block long, label {label_type}, dim int, lo array<double>, hi array<double>, nodes array<{id_type}>, ns array<long>, vs binary, ps binary"), "blocks")
+    return settle(map_arrow(ordered, cut, f"block long, label {label_type}, dim int, lo array<double>, hi array<double>, nodes array<{id_type}>, ns array<long>, vs binary"), "blocks")
 
 
 def _near(a: str, b: str, eps2: float):
@@ -176,29 +217,36 @@ def _near(a: str, b: str, eps2: float):
     return F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= eps2
 
 
-def _block_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
-    """``a, b``: blocks of a label and dimension whose boxes are not farther apart than the links reach.
+def _tiles(blocks: DataFrame, cosine: float) -> DataFrame:
+    """``label, dim, a, b, grp, block``: which blocks a tile compares, those of its intervals ``a`` and ``b``.
 
-    From the top, intervals of the sequence are paired with each other and replaced by
-    pairs of their parts where they are near enough, down to blocks.
+    The B blocks of a label and dimension fall into intervals of about sqrt(B) blocks, at
+    most ``TILE``. Two intervals whose boxes are within reach of each other are a tile,
+    one task's work, to which go their blocks that are within reach of the other
+    interval. So a block goes to at most as many tasks as there are intervals, not to
+    one per other block.
     """
     eps2 = (2 - 2 * cosine) * (1 + 1e-9) + 1e-9
-    seq = Window.partitionBy("label", "dim").orderBy("block")
-    level = settle(blocks.select("block", "label", "dim", "lo", "hi").withColumn("at", F.row_number().over(seq) - 1).select("label", "dim", "at", "lo", "hi", "block"), "level")
-    levels = [level]
-    while (levels[-1].agg(F.max("at")).first()[0] or 0) >= FAN:
-        ends = lambda c, f: F.array(*[f(F.col(c)[d]) for d in range(LEAD)]).alias(c)
-        levels.append(settle(levels[-1].groupBy("label", "dim", F.floor(F.col("at") / FAN).cast("int").alias("at")).agg(ends("lo", F.min), ends("hi", F.max)), "level"))
-    side = lambda lv, s: lv.select("label", "dim", *[F.col(c).alias(f"{c}_{s}") for c in lv.columns if c not in ("label", "dim")])
-    top = levels[-1]
-    pairs = side(top, "a").join(side(top, "b"), ["label", "dim"]).where((F.col("at_a") <= F.col("at_b")) & _near("a", "b", eps2))
-    for lv in reversed(levels[:-1]):
-        pairs = settle(pairs.select("label", "dim", F.col("at_a").alias("up_a"), F.col("at_b").alias("up_b")), "pairs")
-        for s in "ab":
-            below = side(lv, s).withColumn(f"up_{s}", F.floor(F.col(f"at_{s}") / FAN).cast("int"))
-            pairs = pairs.join(below, ["label", "dim", f"up_{s}"])
-        pairs = pairs.where((F.col("at_a") <= F.col("at_b")) & _near("a", "b", eps2))
-    return pairs.select(F.col("block_a").alias("a"), F.col("block_b").alias("b"))
+    narrow = blocks.select("block", "label", "dim", F.shiftright("block", 32).alias("part"), "lo", "hi")
+    # places in the label: those in the partition, and the blocks of the partitions before
+    runs = narrow.groupBy("label", "dim", "part").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("label", "dim")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    width = F.least(F.ceil(F.sqrt(F.sum("n").over(whole))), F.lit(TILE))
+    runs = runs.select("label", "dim", "part", "first", before.alias("before"), width.alias("width"))
+    placed = narrow.join(runs, ["label", "dim", "part"]).withColumn("grp", F.floor((F.col("block") - F.col("first") + F.col("before")) / F.col("width")).cast("int"))
+    placed = settle(placed.select("label", "dim", "grp", "block", "lo", "hi"), "places")
+    ends = lambda c, f: F.array(*[f(F.col(c)[d]) for d in range(LEAD)])
+    boxes = placed.groupBy("label", "dim", "grp").agg(ends("lo", F.min).alias("lo"), ends("hi", F.max).alias("hi"))
+    side = lambda s: boxes.select("label", "dim", F.col("grp").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+    tiles = settle(side("a").join(side("b"), ["label", "dim"]).where((F.col("a") <= F.col("b")) & _near("a", "b", eps2)), "tiles")
+    out = None
+    own = placed.select("label", "dim", "grp", "block", F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"))
+    for mine, other in (("a", "b"), ("b", "a")):
+        reach = tiles if mine == "a" else tiles.where("a < b")
+        sent = own.join(reach.withColumn("grp", F.col(mine)), ["label", "dim", "grp"]).where(_near("x", other, eps2)).select("label", "dim", "a", "b", "grp", "block")
+        out = sent if out is None else out.union(sent)
+    return settle(out, "sent")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -208,10 +256,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ``cosine`` or more, in double precision. Vectors that are null, empty, zero or
     hold null or non-finite components, and those without a label, link with nothing.
     Equal vectors of a label are one node with a weight, so copies are never paired.
-    Each pair of blocks gives link counts and a spanning forest, at most one row per
-    vector, so a dense cluster does not give its pairs. Ids are taken as unique: rows
-    that share one share component and links between them are counted like others.
-    A null id links with nothing and is kept. An empty table gives no rows.
+    Each tile of two intervals gives link counts and a spanning forest, at most one row
+    per vector, so a dense cluster does not give its pairs. Ids are taken as unique:
+    rows that share one share component and links between them are counted like others.
+    A null id links with nothing and is kept. Other columns are not read, so none can
+    clash. An empty table gives no rows.
     """
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     width = kinds[vec_col][len("array<") : -1]
@@ -222,28 +271,34 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     members = settle(ok.select("id", F.coalesce("rep", "id").alias("node"), F.coalesce("group_n", F.lit(1)).cast("long").alias("n"), "label", "v"), "members")
     reps = members.where("id = node")
     sample = [np.array(r.v) for r in reps.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("v").collect()]
-    blocks = _blocks(reps, principal(sample), kinds[id_col], kinds[label_col], width)
-    pairs = _block_pairs(blocks, cosine)
-    side = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("dim", "nodes", "ns", "vs", "ps")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "dim_a", *[f"{c}_{s}" for s in "ab" for c in ("nodes", "ns", "vs", "ps")])
+    axes = principal(sample)
+    blocks = _blocks(reps, axes, kinds[id_col], kinds[label_col], width)
+    sent = _tiles(blocks, cosine).join(blocks.select("block", "nodes", "ns", "vs"), "block")
     kind = np.float32 if width == "float" else np.float64
-    id_arrow = pa.int64() if kinds[id_col] == "bigint" else None
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {name: batch.column(c)[i] for c, name in enumerate(batch.schema.names)}
-                dim = r["dim_a"].as_py()
-                load = lambda s: (np.frombuffer(r[f"vs_{s}"].as_py(), kind).reshape(-1, dim), np.frombuffer(r[f"ps_{s}"].as_py(), np.float64).reshape(-1, LEAD), np.asarray(r[f"ns_{s}"].values))  # noqa: B023, E731
-                a = load("a")
-                same = r["a"].as_py() == r["b"].as_py()
-                out = BlockJoin(a, a if same else load("b"), cosine)
-                ids = r["nodes_a"].as_py() + ([] if same else r["nodes_b"].as_py())
-                hit = np.flatnonzero(out.counts)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in hit], id_arrow), pa.array(out.counts[hit]), pa.array([ids[x] for x in out.comp[hit]], id_arrow)], names=["node", "cnt", "root"])
-
-    found = settle(map_arrow(both, join, f"node {kinds[id_col]}, cnt long, root {kinds[id_col]}"), "links")
+    def join(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        dim = t["dim"][0].as_py()
+
+        def load(grp: int):
+            rows = t.filter(pc.equal(t["grp"], grp))
+            if not rows.num_rows:
+                return None
+            v = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows["vs"]]).reshape(-1, dim)
+            return (v, project(unit(v), axes), rows["ns"].combine_chunks().flatten().to_numpy()), rows["nodes"].combine_chunks().flatten()
+
+        a, b = t["a"][0].as_py(), t["b"][0].as_py()
+        left = load(a)
+        right = left if a == b else load(b)
+        none = pa.array([], t.schema.field("nodes").type.value_type)
+        if left is None or right is None:
+            return pa.table([none, pa.array([], pa.int64()), none], names=["node", "cnt", "root"])
+        out = IntervalJoin(left[0], right[0], cosine)
+        ids = left[1] if a == b else pa.concat_arrays([left[1], right[1]])
+        hit = np.flatnonzero(out.counts)
+        return pa.table([ids.take(pa.array(hit)), pa.array(out.counts[hit]), ids.take(pa.array(out.comp[hit]))], names=["node", "cnt", "root"])
+
+    found = settle(sent.groupBy("label", "dim", "a", "b").applyInArrow(join, f"node {kinds[id_col]}, cnt long, root {kinds[id_col]}"), "links")
     comps = connected_components(found, "node", "root")
     counts = found.groupBy("node").agg(F.sum("cnt").alias("cnt"))
     nodes = settle(counts.join(comps, "node", "left"), "nodes")

@@ -371,10 +371,9 @@ def test_ego(spark, monkeypatch):
                 p, q = find(a[0]), find(b[0])
                 parent[max(p, q)] = min(p, q)
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, label int, n long").repartition(3)
-    for block, leaf, fan in ((512, 64, 16), (16, 4, 2)):
-        monkeypatch.setattr(ego, "BLOCK", block)
-        monkeypatch.setattr(ego, "LEAF", leaf)
-        monkeypatch.setattr(ego, "FAN", fan)
+    for sizes in ((512, 64, 128, 1 << 14), (8, 4, 2, 3), (16, 3, 128, 50)):
+        for name, size in zip(("BLOCK", "LEAF", "TILE", "AT_ONCE"), sizes, strict=True):
+            monkeypatch.setattr(ego, name, size)
         got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in ego.near_vectors(df).collect()}
         assert got == {i: (links[i], find(i), find(i) == i) for i in links}
     assert ego.near_vectors(df.where("false")).count() == 0
