@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortwell.functions.images import histogram_features, hsv_of, raster
+from sortwell.functions.rasters import color_histogram, raster
 from sortwell.session import map_arrow
 
 #: A model takes a list of BGR rasters and gives one vector for each.
@@ -37,7 +37,7 @@ def embed(images: DataFrame, load: Callable[[], Model], method: str, batch_size:
         try:
             return unit(np.asarray(model([m]))[0]), method
         except Exception:  # whatever a model raises on an image, the run goes on
-            return histogram_features(hsv_of(m)).tolist(), "histogram"
+            return unit(color_histogram(m.astype(np.int64))), "histogram"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None

@@ -50,10 +50,21 @@ def untagged(payload: Column) -> Column:
     return F.regexp_replace(payload, r"^\[(train|test)\] ", "")
 
 
+# fixed values: the formats of display texts
+
+
 def label_text(label: Column, train: Column, test: Column) -> Column:
     return F.format_string("%s (Train: %d, Test: %d)", label, train, test)
 
 
+def moved_text(name: Column, source: Column, target: Column) -> Column:
+    return F.format_string("Moved %s from %s to %s", name, source, target)
+
+
+def result_text(label: Column, total: Column, removed: Column) -> Column:
+    return F.format_string("Label '%s': %d images processed, %d duplicates removed", label, total, removed)
+
+
 def percent_text(part: Column, total: Column) -> Column:
     """``(12.3%)``, or the empty string where there is no total."""
     return F.when(total > 0, F.format_string("(%.1f%%)", 100.0 * part / total)).otherwise("")

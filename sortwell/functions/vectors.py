@@ -24,8 +24,9 @@ def token_vector(text: Column) -> Column:
     A token becomes two characters for its bucket; a bucket's count is what the joined
     codes lose when the code is taken out. No row is exploded and nothing is shuffled.
     """
-    code = lambda t: F.concat(F.translate(F.substring(F.md5(t), 1, 1), "456789abcdef", "012301230123"), F.substring(F.md5(t), 2, 1), F.lit(" "))
-    codes = F.array_join(F.transform(F.split(text, " "), code), "")
+    heads = F.transform(F.split(text, " "), lambda t: F.substring(F.md5(t), 1, 2))  # its own step, so each digest is taken once
+    code = lambda h: F.concat(F.translate(F.substring(h, 1, 1), "456789abcdef", "012301230123"), F.substring(h, 2, 1), F.lit(" "))
+    codes = F.array_join(F.transform(heads, code), "")
     each = F.array(*[F.lit(f"{k // 16}{k % 16:x} ") for k in range(BUCKETS)])
     return bound(codes, lambda s: F.transform(each, lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / F.lit(3.0)))
 
@@ -65,11 +66,6 @@ def average_hash(v: Column) -> Column:
     return bound(total(v) / F.size(v), lambda mean: F.array_join(F.transform(v, lambda x: F.when(x > mean, "1").otherwise("0")), ""))
 
 
-def hash_half(bits: Column, n: int) -> Column:
-    """The nth 32 of 64 bits as a number."""
-    return F.conv(F.substring(bits, 32 * n + 1, 32), 2, 10).cast("long")
-
-
 def hamming(a: Column, b: Column) -> Column:
     """Places at which two strings differ; of different lengths, the first one's length."""
     at = F.sequence(F.lit(1), F.length(a))

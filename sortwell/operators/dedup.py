@@ -2,48 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sortwell.operators.match import same_join
+from sortwell.operators.spread import with_group
+
 
 def key_groups(items: DataFrame, hash_col: str, key: str = "label", idx: str = "idx") -> DataFrame:
-    """``key, hash, n, members`` of hashes that several rows of a label share; empty hashes are missing ones."""
-    return (
-        items.withColumn("_h", F.nullif(F.col(hash_col), F.lit("")))
-        .where(F.col("_h").isNotNull())
-        .groupBy(key, F.col("_h").alias("hash"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(idx)).alias("members"))
-        .where("n > 1")
-    )
+    """``key, hash, n, group_no, idx``: rows of hashes that several rows of a label share, numbered by their first position.
+
+    Empty hashes are missing ones. A hash that a large part of the rows share is spread
+    over sub-keys, and its rows stay rows. A null label is a label.
+    """
+    rows = items.select(key, F.nullif(F.col(hash_col), F.lit("")).alias("hash"), idx).where("hash IS NOT NULL")
+    found = with_group(rows, [key, "hash"], {"group_no": F.min(idx)}, idx).where("group_n > 1")
+    return found.select(key, "hash", F.col("group_n").alias("n"), "group_no", idx)
 
 
 def best_of_groups(groups: DataFrame, items: DataFrame, quality: str = "quality", key: str = "label", idx: str = "idx") -> DataFrame:
     """``key, group_no, best``: the group's row of highest quality, ties to the smaller position."""
-    members = groups.select(F.col(key).alias("_k"), "group_no", F.explode("members").alias("_i"))
-    rows = members.join(items.select(key, idx, quality), F.col("_k").eqNullSafe(F.col(key)) & (F.col("_i") == F.col(idx)))
+    rows = same_join(groups.select(key, "group_no", idx), items.select(key, idx, quality), [key, idx])
     return rows.groupBy(key, "group_no").agg(F.max_by(idx, F.struct(F.col(quality), -F.col(idx))).alias("best"))
 
 
 def losers(groups: DataFrame, items: DataFrame, quality: str = "quality", key: str = "label", idx: str = "idx") -> DataFrame:
     """``key, idx`` of rows that lose in any of their groups."""
     best = best_of_groups(groups, items, quality, key, idx)
-    return groups.join(best, [key, "group_no"]).select(key, "best", F.explode("members").alias(idx)).where(F.col(idx) != F.col("best")).select(key, idx).distinct()
+    return same_join(groups.select(key, "group_no", idx), best, [key, "group_no"]).where(F.col(idx) != F.col("best")).select(key, idx).distinct()
 
 
 def unique_items(items: DataFrame, groups: DataFrame, quality: str = "quality", key: str = "label", idx: str = "idx") -> DataFrame:
     """``items`` without the losers of every group."""
-    return items.join(losers(groups, items, quality, key, idx), [key, idx], "left_anti")
+    return same_join(items, losers(groups, items, quality, key, idx), [key, idx], "left_anti")
 
 
 def remapped_groups(groups: DataFrame, unique: DataFrame, key: str = "label", idx: str = "idx", new_idx: str = "uidx") -> DataFrame:
-    """``groups`` in the positions of ``unique``; groups with fewer than two survivors go."""
-    flat = groups.select(key, "group_no", F.explode("members").alias(idx))
-    return (
-        flat.join(unique.select(key, idx, new_idx), [key, idx])
-        .groupBy(key, "group_no")
-        .agg(F.sort_array(F.collect_list(new_idx)).alias("members"))
-        .where(F.size("members") > 1)
-    )
+    """``groups`` in the positions of ``unique`` (as ``idx``); groups with fewer than two survivors go."""
+    flat = same_join(groups.select(key, "group_no", idx), unique.select(key, idx, new_idx), [key, idx]).select(key, "group_no", F.col(new_idx).alias(idx))
+    return with_group(flat, [key, "group_no"], {}, idx).where("group_n > 1").drop("group_n")
 
 
 def weighted_best(items: DataFrame, key: str = "group") -> DataFrame:

@@ -9,65 +9,121 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sortwell.session import map_arrow
+from sortwell.operators.match import same_join
+from sortwell.operators.spread import with_group
+from sortwell.session import map_arrow, settle
 
-#: Rows of a label that are compared with as many others at a time.
-BLOCK = 512
+#: Positions in a block, blocks in a side of a tile at most, and rows that are compared with a side at a time.
+BLOCK, TILE, AT_ONCE = 512, 32, 128
 MAX_BITS = 3
 
 
+def with_representative(items: DataFrame, value: str, key: str = "label", idx: str = "idx") -> DataFrame:
+    """``key, idx, value, rep``: ``rep`` is the smallest position of the label with an equal value."""
+    rows = with_group(items.select(key, idx, value), [key, value], {"rep": F.min(idx)}, idx)
+    return rows.select(key, idx, value, F.coalesce("rep", idx).alias("rep"))
+
+
+def _copies(classes: DataFrame, key: str, idx: str, name: str, measure: Column) -> DataFrame:
+    return classes.where(F.col(idx) != F.col("rep")).select(key, F.col("rep").alias("i"), F.col(idx).alias("j"), measure.alias(name), F.lit(True).alias("copy"))
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group of equal keys as a table; rows have to come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        names = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True))
+        start = 0
+        for i, name in enumerate(names):
+            if at is None or name != at:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, at = [], i, name
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def cosine_edges(items: DataFrame, threshold: float, vec: str = "v", key: str = "label", idx: str = "idx") -> DataFrame:
-    """``key, i, j, sim`` for ``i < j`` of one label with a cosine over ``threshold``.
+    """``key, i, j, sim, copy`` for ``i < j`` of one label with a cosine over ``threshold``.
 
-    Rows go into blocks of consecutive positions; every pair of a label's blocks is
-    one matrix product, and only pairs over the threshold leave it. The similarity
-    matrix is never held, and a large label is many block pairs, not one task.
+    Equal vectors are one class: links are those between the classes' smallest
+    positions (``copy`` is false), and of each class from that position to the others
+    (``copy`` is true), so copies are never paired and no link between different
+    vectors is lost. Null and zero vectors link with nothing, nor do vectors of
+    different lengths; a null label is a label.
+
+    A label's positions fall into intervals of about the square root of its blocks, at
+    most ``TILE`` blocks, and each pair of intervals is one tile: a row goes to as many
+    tiles as there are intervals, and a large label is many tiles, each dealt by itself.
     ``idx`` has to be a position in the label (see ``with_position``).
     """
-    label_type = items.schema[key].dataType.simpleString()
-    rows = items.where(F.col(vec).isNotNull()).select(F.col(key).alias("label"), F.floor(F.col(idx) / BLOCK).alias("b"), F.struct(F.col(idx).alias("i"), F.col(vec).cast("array<double>").alias("v")).alias("r"))
-    blocks = rows.groupBy("label", "b").agg(F.collect_list("r").alias("rs"))  # at most BLOCK rows each
-    side = lambda s: blocks.select(F.col("label").alias(f"l{s}"), F.col("b").alias(f"b{s}"), F.col("rs.i").alias(f"i{s}"), F.flatten("rs.v").alias(f"v{s}"))
-    pairs = side("x").join(side("y"), F.col("lx").eqNullSafe(F.col("ly")) & (F.col("bx") <= F.col("by"))).select("lx", "ix", "vx", "iy", "vy")
+    label_type, idx_type = items.schema[key].dataType.simpleString(), "long"
+    some = F.exists(vec, lambda x: x != 0)
+    usable = items.where(some).select(F.col(key).alias("label"), F.col(idx).cast(idx_type).alias("idx"), F.col(vec).cast("array<double>").alias("v"))
+    classes = settle(with_representative(usable, "v", "label", "idx"), "classes")
+    n_blocks = F.ceil((F.max("idx") + 1) / BLOCK)
+    sizes = usable.groupBy("label").agg((F.least(F.ceil(F.sqrt(n_blocks)), F.lit(TILE)) * BLOCK).alias("width"), F.max("idx").alias("last"))
+    rows = same_join(classes.where("idx = rep").select("label", "idx", "v", F.size("v").alias("dim")), sizes, ["label"])
+    part, other = F.floor(F.col("idx") / F.col("width")), F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("width")))
+    sent = rows.select("label", "dim", "idx", "v", part.alias("part"), F.explode(other).alias("other"))
+    tiled = sent.select("label", "dim", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "idx", "v")
+    keys = ["label", "dim", "a", "b"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                label, ix, vx, iy, vy = (batch.column(c)[r] for c in range(5))
-                at = [np.asarray(x.values) for x in (ix, iy)]
-                unit = []
-                for ids, v in zip(at, (vx, vy), strict=True):
-                    m = np.asarray(v.values).reshape(len(ids), -1)
-                    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-                    unit.append(np.divide(m, n, out=np.zeros_like(m), where=n > 0))
-                sim = unit[0] @ unit[1].T
-                a, b = np.nonzero(sim > threshold)
-                # of a block with itself each pair shows twice
-                keep = at[0][a] < at[1][b] if at[0][0] == at[1][0] and len(at[0]) == len(at[1]) else slice(None)
-                a, b = a[keep], b[keep]
-                if len(a):
-                    i, j = np.minimum(at[0][a], at[1][b]), np.maximum(at[0][a], at[1][b])
-                    yield pa.RecordBatch.from_arrays([pa.array([label.as_py()] * len(a), label.type), pa.array(i), pa.array(j), pa.array(sim[a, b])], names=["label", "i", "j", "sim"])
-
-    return map_arrow(pairs, compare, f"label {label_type}, i long, j long, sim double").withColumnRenamed("label", key)
+        for t in by_group(batches, keys):
+            dim, a, b = (t[k][0].as_py() for k in ("dim", "a", "b"))
+            at = t["idx"].to_numpy()
+            m = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the squares
+            m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+            part = t["part"].to_numpy()
+            left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
+            for start in range(0, len(left), AT_ONCE):
+                mine = left[start : start + AT_ONCE]
+                sim = m[mine] @ m[right].T
+                x, y = np.nonzero(sim > threshold)
+                i, j = at[mine[x]], at[right[y]]
+                once = i < j  # within an interval each pair shows twice
+                if once.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([t["label"][0].as_py()] * int(once.sum()), t.schema.field("label").type), pa.array(i[once]), pa.array(j[once]), pa.array(sim[x, y][once])], names=["label", "i", "j", "sim"])
+
+    found = map_arrow(tiled.repartition(*keys).sortWithinPartitions(*keys), compare, f"label {label_type}, i long, j long, sim double")
+    links = found.withColumn("copy", F.lit(False)).unionByName(_copies(classes, "label", "idx", "sim", F.lit(1.0)))
+    return links.withColumnRenamed("label", key)
 
 
 def hamming_edges(items: DataFrame, max_bits: int = MAX_BITS, bits: str = "phash", key: str = "label", idx: str = "idx") -> DataFrame:
-    """``key, i, j, bits`` for ``i < j`` of one label whose 64-bit hashes differ in at most ``max_bits``.
+    """``key, i, j, bits, copy`` for ``i < j`` of one label whose 64-bit hashes differ in at most ``max_bits``.
 
-    Of ``max_bits`` + 1 bands one is equal, so pairs meet in an equi-join on a band;
-    a pair is kept at its first equal band only, which spares a distinct.
+    Equal hashes are one class, linked as in ``cosine_edges``. A hash is cut into so few
+    segments that one of them has at most one of ``max_bits`` differing bits; each
+    looks up its own value and, of the values one bit away, those with a bit more,
+    so a pair is met from one side. It is kept at its first such segment only, which
+    spares a distinct. Other strings than 64 bits link with nothing; a null label is a label.
     """
-    n = max_bits + 1
+    n = max_bits // 2 + 1
     cut = [round(64 * k / n) for k in range(n + 1)]
-    band = lambda h, k: F.substring(h, cut[k] + 1, cut[k + 1] - cut[k])
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), band(F.col("h"), k).alias("band")) for k in range(n)])
-    rows = items.where(F.length(bits) == 64).select(F.col(key).alias("label"), F.col(idx).alias("i"), F.col(bits).alias("h"))
-    banded = rows.select("label", "i", "h", *[F.conv(F.substring("h", 32 * s + 1, 32), 2, 10).cast("long").alias(f"h{s}") for s in range(2)], F.inline(bands))
-    a, b = banded.alias("a"), banded.alias("b")
-    differ: Column = F.bit_count(F.col("a.h0").bitwiseXOR(F.col("b.h0"))) + F.bit_count(F.col("a.h1").bitwiseXOR(F.col("b.h1")))
+    size = [b - a for a, b in zip(cut, cut[1:], strict=False)]
+    half = lambda s: F.conv(F.substring(bits, 32 * s + 1, 32), 2, 10).cast("long")
+    whole = F.shiftleft(half(0), 32).bitwiseOR(half(1))
+    rows = items.where(F.length(bits) == 64).select(F.col(key).alias("label"), F.col(idx).alias("idx"), whole.alias("h"))
+    classes = settle(with_representative(rows, "h", "label", "idx"), "classes")
+    segment = lambda h, k: F.shiftrightunsigned(h, 64 - cut[k + 1]).bitwiseAND(F.lit((1 << size[k]) - 1)) if size[k] < 64 else h
+    segments = F.array(*[F.struct(F.lit(k).alias("k"), segment(F.col("h"), k).alias("seg")) for k in range(n)])
+    table = classes.where("idx = rep").select("label", "idx", "h", F.inline(segments))
+    width = F.element_at(F.array(*[F.lit(s) for s in size]), F.col("k") + 1)
+    more = F.transform(F.sequence(F.lit(0), F.least(width, F.lit(63)) - 1), lambda i: F.when(F.call_function("getbit", F.col("seg"), i) == 0, F.col("seg").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    probes = table.select(F.col("label").alias("l2"), F.col("idx").alias("idx2"), F.col("h").alias("h2"), F.col("k").alias("k2"), F.col("seg").alias("from"), F.explode(F.concat(F.array("seg"), F.array_compact(more))).alias("at"))
+    xor = F.col("h").bitwiseXOR(F.col("h2"))
+    differ = F.bit_count(xor)
     earlier = F.lit(False)
     for k in range(n - 1):
-        earlier = earlier | ((F.col("a.k") > k) & (band(F.col("a.h"), k) == band(F.col("b.h"), k)))
-    on = F.col("a.label").eqNullSafe(F.col("b.label")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.i") < F.col("b.i"))
-    return a.join(b, on & (differ <= max_bits) & ~earlier).select(F.col("a.label").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j"), differ.cast("int").alias("bits"))
+        earlier = earlier | ((F.col("k") > k) & (F.bit_count(segment(xor, k)) <= 1))
+    on = F.col("label").eqNullSafe(F.col("l2")) & (F.col("k") == F.col("k2")) & (F.col("seg") == F.col("at")) & ((F.col("at") != F.col("from")) | (F.col("idx2") < F.col("idx")))
+    found = probes.join(table, on & (differ <= max_bits) & ~earlier).select("label", F.least("idx", "idx2").alias("i"), F.greatest("idx", "idx2").alias("j"), differ.cast("int").alias("bits"), F.lit(False).alias("copy"))
+    return found.unionByName(_copies(classes, "label", "idx", "bits", F.lit(0))).withColumnRenamed("label", key)

@@ -1,12 +1,16 @@
-"""Groups of related rows: greedy leaders, ordered merging, components."""
+"""Groups of related rows: greedy leaders, ordered merging, components.
+
+Groups are rows ``key, group_no, idx``, one per member, so that no group has to fit into a row.
+"""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortwell.operators.components import connected_components
+from sortwell.operators.index import with_position
+from sortwell.operators.match import same_join
 from sortwell.session import release, settle
 
 
@@ -20,91 +24,104 @@ def leader_groups(edges: DataFrame, key: str = "label") -> DataFrame:
     members, and a member once a smaller neighbour is a leader. Only edges whose ends
     are both undecided, or whose greater end is, are carried on. Leaders without
     members are not groups.
+
+    Edges marked ``copy`` go from the smallest position of a class of equal rows to the
+    others. All of a class have the same neighbours, so its smallest position decides
+    for it, and the others follow. A null label is a label. Each round decides at
+    least the smallest open row of each label; one that decides nothing is an error.
+    Rounds can be as many as the edges of the longest rising path.
     """
-    live = settle(edges.select(F.col(key).alias("k"), "i", "j"), "edges")
+    copies = edges.where("copy").select(F.col(key).alias("k"), F.col("i").alias("rep"), F.col("j").alias("idx")) if "copy" in edges.columns else None
+    live = edges.where("NOT copy") if copies is not None else edges
+    live = settle(live.select(F.col(key).alias("k"), "i", "j"), "edges")
     first = live
     # a row without a smaller neighbour leads
     tails = live.select("k", F.col("j").alias("x")).distinct()
-    leaders = live.select("k", F.col("i").alias("x")).distinct().join(tails, ["k", "x"], "left_anti")
-    decided = []
-    while not live.isEmpty():
+    leaders = same_join(live.select("k", F.col("i").alias("x")).distinct(), tails, ["k", "x"], "left_anti")
+    decided, left = [], live.count()
+    while left:
         leaders = settle(leaders, "leaders")
         decided.append(leaders)
-        taken = settle(live.join(leaders.withColumnRenamed("x", "i"), ["k", "i"], "left_semi").select("k", F.col("j").alias("x")).distinct(), "members")
+        taken = settle(same_join(live, leaders.withColumnRenamed("x", "i"), ["k", "i"], "left_semi").select("k", F.col("j").alias("x")).distinct(), "members")
         gone = leaders.union(taken)
         # ends of edges that are decided: an edge from a leader or to a member is done with, one from a member no longer holds back its greater end
-        rest = settle(
-            live.join(gone.withColumnRenamed("x", "j"), ["k", "j"], "left_anti").join(gone.withColumnRenamed("x", "i"), ["k", "i"], "left_anti"),
-            "edges",
-        )
-        free = (
-            live.select("k", F.col("i").alias("x")).union(live.select("k", F.col("j").alias("x"))).distinct()
-            .join(gone, ["k", "x"], "left_anti")
-            .join(rest.select("k", F.col("j").alias("x")).distinct(), ["k", "x"], "left_anti")
-        )
+        rest = same_join(same_join(live, gone.withColumnRenamed("x", "j"), ["k", "j"], "left_anti"), gone.withColumnRenamed("x", "i"), ["k", "i"], "left_anti")
+        rest = settle(rest, "edges")
+        ends = live.select("k", F.col("i").alias("x")).union(live.select("k", F.col("j").alias("x"))).distinct()
+        free = same_join(same_join(ends, gone, ["k", "x"], "left_anti"), rest.select("k", F.col("j").alias("x")).distinct(), ["k", "x"], "left_anti")
         leaders = settle(free, "leaders")
         if live is not first:
             release(live)
-        live = rest
-    leaders = settle(leaders, "leaders")
-    decided.append(leaders)
+        live, before, left = rest, left, rest.count()
+        if left >= before:
+            raise RuntimeError("a round over the edges decided nothing")
+    decided.append(settle(leaders, "leaders"))
     every = decided[0]
     for more in decided[1:]:
         every = every.union(more)
     every = settle(every.distinct(), "leaders")
-    at = every.withColumnRenamed("x", "i")
-    followers = first.join(every.withColumnRenamed("x", "j"), ["k", "j"], "left_anti").join(at, ["k", "i"], "left_semi")
+    followers = same_join(same_join(first, every.withColumnRenamed("x", "j"), ["k", "j"], "left_anti"), every.withColumnRenamed("x", "i"), ["k", "i"], "left_semi")
     members = followers.groupBy("k", F.col("j").alias("idx")).agg(F.min("i").alias("leader")).select("k", "leader", "idx")
+    if copies is not None:
+        members = settle(members, "members")
+        led = same_join(copies, members.select("k", F.col("idx").alias("rep"), "leader"), ["k", "rep"], "left")
+        members = members.union(led.select("k", F.coalesce("leader", "rep").alias("leader"), "idx"))
     heads = members.select("k", "leader", F.col("leader").alias("idx")).distinct()
     return members.union(heads).withColumnRenamed("k", key)
 
 
 def numbered_groups(members: DataFrame, levels: list[str], key: str = "label") -> DataFrame:
-    """``key, group_no, members`` from ``key, level, lead, idx``: groups in order of level, then of their first row."""
+    """``key, group_no, idx`` from ``key, level, lead, idx``: groups numbered from 1 in order of level, then of their lead."""
+    members = settle(members, "members")
     at = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("level"))
-    groups = members.groupBy(key, "level", "lead").agg(F.sort_array(F.collect_set("idx")).alias("members"))
-    return groups.withColumn("group_no", F.row_number().over(Window.partitionBy(key).orderBy(at, "lead")).cast("long")).select(key, "group_no", "members")
+    heads = with_position(members.select(key, "level", "lead").distinct().withColumn("at", at), key, [F.col("at"), F.col("lead")], "no")
+    return same_join(members, heads.select(key, "level", "lead", "no"), [key, "level", "lead"]).select(key, (F.col("no") + 1).alias("group_no"), "idx").distinct()
 
 
 def merge_single_pass(groups: DataFrame, key: str = "label") -> DataFrame:
-    """``key, group_no, members``: the first group absorbs all later ones that it overlaps, once; then the next.
+    """``key, group_no, idx``: the first group absorbs all later ones that it overlaps, once; then the next.
 
-    What a group absorbed does not make it absorb more, so results may overlap. Groups
-    that are not connected by shared rows never meet, so each connected set of groups
-    is folded by itself, in its order, and labels are not tasks.
+    What a group absorbed does not make it absorb more, so results may overlap. A group
+    absorbs by its own rows only, so the pass is a leader problem over groups, solved
+    in rounds over rows: a group that is the first of the open ones in all its rows
+    leads, and the open groups that share a row with it are absorbed. Groups that lead
+    share no row, so a row names the leader of each group in it, and the least one is
+    where an absorbed group goes. No pair of groups is ever written, and no set of
+    groups is one task's work. Each round decides at least the first open group of
+    each label.
     """
-    rows = settle(groups.select(F.col(key).alias("k"), "group_no", "members"), "groups")
-    flat = rows.select("k", "group_no", F.explode("members").alias("idx"))
-    least = flat.groupBy("k", "idx").agg(F.min("group_no").alias("first"))
-    shared = flat.join(least, ["k", "idx"]).where("group_no != first")
-    node = lambda n: F.struct("k", F.col(n).alias("g"))
-    comps = connected_components(shared.select(node("group_no").alias("a"), node("first").alias("b")))
-    placed = rows.join(comps.select(F.col("node.k").alias("k"), F.col("node.g").alias("group_no"), F.col("component.g").alias("comp")), ["k", "group_no"], "left")
-    alone = placed.where("comp IS NULL").select("k", "group_no", "members")
-    together = placed.where("comp IS NOT NULL")
-    kind = groups.schema[key].dataType.simpleString()
-
-    def fold(t: pa.Table) -> pa.Table:
-        left = [(r["group_no"], set(r["members"])) for r in t.sort_by("group_no").to_pylist()]
-        out = []
-        while left:
-            (no, current), *left = left
-            met = [g for g in left if current & g[1]]
-            left = [g for g in left if not current & g[1]]
-            out.append((no, sorted(current.union(*[m for _, m in met]))))
-        return pa.table([pa.array([t["k"][0].as_py()] * len(out), t.schema.field("k").type), pa.array([n for n, _ in out], pa.int64()), pa.array([m for _, m in out], pa.list_(pa.int64()))], names=["k", "group_no", "members"])
-
-    folded = together.groupBy("k", "comp").applyInArrow(fold, f"k {kind}, group_no long, members array<long>")
-    return alone.select("k", "group_no", F.transform("members", lambda x: x.cast("long")).alias("members")).union(folded).withColumnRenamed("k", key)
+    flat = settle(groups.select(F.col(key).alias("k"), "group_no", "idx").distinct(), "groups")
+    live, leads, left = flat, None, flat.count()
+    while left:
+        seen = same_join(live, live.groupBy("k", "idx").agg(F.min("group_no").alias("least")), ["k", "idx"])
+        lead = settle(seen.groupBy("k", "group_no").agg(F.min("least").alias("least")).where("least = group_no").select("k", "group_no"), "leaders")
+        leads = lead if leads is None else leads.union(lead)
+        held = same_join(live, lead, ["k", "group_no"], "left_semi").select("k", "idx")
+        met = same_join(live, held, ["k", "idx"], "left_semi").select("k", "group_no").distinct()
+        rest = settle(same_join(live, met, ["k", "group_no"], "left_anti"), "groups")
+        if live is not flat:
+            release(live)
+        live, before, left = rest, left, rest.count()
+        if left >= before:
+            raise RuntimeError("a round over the groups decided nothing")
+    if leads is None:
+        return flat.withColumnRenamed("k", key)
+    leads = settle(leads, "leaders")
+    own = settle(same_join(flat, leads, ["k", "group_no"], "left_semi"), "leading")
+    others = same_join(flat, leads, ["k", "group_no"], "left_anti")
+    into = same_join(others, own.withColumnRenamed("group_no", "lead"), ["k", "idx"]).groupBy("k", "group_no").agg(F.min("lead").alias("lead"))
+    absorbed = same_join(others, into, ["k", "group_no"]).select("k", F.col("lead").alias("group_no"), "idx")
+    return own.union(absorbed).distinct().withColumnRenamed("k", key)
 
 
 def merge_components(groups: DataFrame, key: str = "label") -> DataFrame:
-    """``key, group_no, members``: groups merged as long as any share a row; results are disjoint."""
-    flat = groups.select(F.col(key).alias("k"), "group_no", F.explode("members").alias("idx"), F.element_at("members", 1).alias("head"))
+    """``key, group_no, idx``: groups merged as long as any share a row; results are disjoint and numbered by their first group."""
+    flat = settle(groups.select(F.col(key).alias("k"), "group_no", "idx").distinct(), "groups")
+    heads = flat.groupBy("k", "group_no").agg(F.min("idx").alias("head"))
     node = lambda n: F.struct("k", F.col(n).alias("x"))
-    comps = connected_components(flat.select(node("idx").alias("a"), node("head").alias("b")))
-    members = comps.select(F.col("node.k").alias("k"), F.col("node.x").alias("idx"), F.col("component.x").alias("comp"))
-    named = settle(members, "members")
-    numbers = flat.join(named, ["k", "idx"]).groupBy("k", "comp").agg(F.min("group_no").alias("group_no"))
-    sets = named.groupBy("k", "comp").agg(F.sort_array(F.collect_list(F.col("idx").cast("long"))).alias("members"))
-    return sets.join(numbers, ["k", "comp"]).select(F.col("k").alias(key), "group_no", "members")
+    linked = same_join(flat, heads, ["k", "group_no"])
+    comps = connected_components(linked.select(node("idx").alias("a"), node("head").alias("b")))
+    named = same_join(flat, comps.select(F.col("node.k").alias("k"), F.col("node.x").alias("idx"), F.col("component.x").alias("comp")), ["k", "idx"], "left").withColumn("comp", F.coalesce("comp", "idx"))
+    named = settle(named, "members")
+    numbers = named.groupBy("k", "comp").agg(F.min("group_no").alias("first"))
+    return same_join(named.select("k", "comp", "idx").distinct(), numbers, ["k", "comp"]).select(F.col("k").alias(key), F.col("first").alias("group_no"), "idx")

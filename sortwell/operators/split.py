@@ -7,68 +7,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortwell.operators.index import with_position
+from sortwell.operators.match import same_join
 from sortwell.session import settle
 
 #: Deviation of the train share over which a group is moved.
 OFF_TARGET = 0.05
 
 
-def _allot(sizes: list[dict], n: int, ratio: float, rebalance: bool) -> list[dict]:
-    """Side of each group, in order of size, under the capacities left; at most one group is moved afterwards.
+def _allot(size: list[int], fresh: list[int], head: list[int], n: int, ratio: float, rebalance: bool) -> tuple[list[str | None], list[str | None]]:
+    """Sides of the groups, in order of size, under the capacities left, and where at most one of them is moved afterwards.
 
     ``size`` is the group's and decides; ``fresh`` is how many of its rows no earlier
-    group holds, and is what fills a side.
+    group holds, and is what fills a side. ``head`` is the place of the group that
+    decided for the group's first row.
     """
     n_train = int(n * ratio)
     used = {"train": 0, "test": 0}
-    out = []
-    for g in sizes:
+    sides: list[str | None] = []
+    for s, f in zip(size, fresh, strict=True):
         room_train, room_test = n_train - used["train"], n - n_train - used["test"]
         if room_train + room_test <= 0:
-            out.append({**g, "split": None})
+            sides.append(None)
             continue
-        share = room_train / (room_train + room_test) if g["size"] <= room_train else ratio
-        side = "train" if (room_train >= g["size"] and share >= 0.5) or room_test < g["size"] else "test"
-        used[side] += g["fresh"]
-        out.append({**g, "split": side})
-    free = n - used["train"] - used["test"]
-    train = used["train"] + min(max(n_train - used["train"], 0), free)
-    for g in out:
-        g["moved_to"] = None
+        share = room_train / (room_train + room_test) if s <= room_train else ratio
+        side = "train" if (room_train >= s and share >= 0.5) or room_test < s else "test"
+        used[side] += f
+        sides.append(side)
+    moved: list[str | None] = [None] * len(size)
+    train = used["train"] + min(max(n_train - used["train"], 0), n - used["train"] - used["test"])
     off = abs(train / n - ratio)
     if rebalance and off > OFF_TARGET:
-        for g in sorted((g for g in out if g["size"] <= abs(train - n_train) and g["split"]), key=lambda g: g["size"]):
-            step = -g["size"] if g["first_split"](out) == "train" else g["size"]
+        for i in sorted((i for i, s in enumerate(size) if s <= abs(train - n_train) and sides[i]), key=lambda i: size[i]):
+            step = -size[i] if sides[head[i]] == "train" else size[i]
             if (step < 0) == (train > n_train) and abs((train + step) / n - ratio) < off:
-                g["moved_to"] = "test" if step < 0 else "train"
+                moved[i] = "test" if step < 0 else "train"
                 break
-    return out
+    return sides, moved
 
 
 def group_sides(items: DataFrame, groups: DataFrame, ratio: float, key: str = "label", rebalance: bool = True) -> DataFrame:
-    """``key, group_no, split, moved_to``: groups by falling size, then by number, dealt to the sides.
+    """``key, group_no, split, moved_to``: groups ``key, group_no, idx`` by falling size, then by number, dealt to the sides.
 
-    Only one narrow row per group is folded for a label; members stay distributed.
+    Each decision depends on all before it, so a label is folded in one task; it is
+    given four numbers per group of two or more rows, never the rows themselves.
     """
     kind = items.schema[key].dataType.simpleString()
-    sized = groups.select(F.col(key).alias("k"), "group_no", F.size("members").alias("size"), F.explode("members").alias("idx"))
+    flat = groups.select(F.col(key).alias("k"), "group_no", "idx")
+    sized = same_join(flat, flat.groupBy("k", "group_no").agg(F.count(F.lit(1)).alias("size")), ["k", "group_no"])
     order = F.struct((-F.col("size")).alias("s"), F.col("group_no").alias("g"))
     owner = sized.groupBy("k", "idx").agg(F.min(order).alias("o"))
-    per_group = sized.join(owner, ["k", "idx"]).withColumn("own", F.col("o.g") == F.col("group_no"))
-    head = F.min_by("o", "idx")["g"]
-    rows = per_group.groupBy("k", "group_no", "size").agg(F.sum(F.col("own").cast("long")).alias("fresh"), head.alias("head_group"))
+    per_group = same_join(sized, owner, ["k", "idx"])
+    rows = per_group.groupBy("k", "group_no", "size").agg(F.sum((F.col("o.g") == F.col("group_no")).cast("long")).alias("fresh"), F.min_by("o", "idx")["g"].alias("head"))
     n = items.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
     def fold(t: pa.Table) -> pa.Table:
-        gs = sorted(t.to_pylist(), key=lambda g: (-g["size"], g["group_no"]))
-        by_no = {g["group_no"]: i for i, g in enumerate(gs)}
-        for g in gs:
-            at = by_no[g["head_group"]]
-            g["first_split"] = lambda out, at=at: out[at]["split"]
-        done = _allot(gs, gs[0]["n"], ratio, rebalance)
-        return pa.table({"k": pa.array([g["k"] for g in done], t.schema.field("k").type), "group_no": pa.array([g["group_no"] for g in done], pa.int64()), "split": pa.array([g["split"] for g in done], pa.string()), "moved_to": pa.array([g["moved_to"] for g in done], pa.string())})
+        t = t.sort_by([("size", "descending"), ("group_no", "ascending")])
+        place = {g: i for i, g in enumerate(t["group_no"].to_pylist())}
+        sides, moved = _allot(t["size"].to_pylist(), t["fresh"].to_pylist(), [place[g] for g in t["head"].to_pylist()], t["n"][0].as_py(), ratio, rebalance)
+        return pa.table({"k": t["k"], "group_no": t["group_no"].cast(pa.int64()), "split": pa.array(sides, pa.string()), "moved_to": pa.array(moved, pa.string())})
 
-    return rows.join(n, "k").groupBy("k").applyInArrow(fold, f"k {kind}, group_no long, split string, moved_to string").withColumnRenamed("k", key)
+    return same_join(rows, n, ["k"]).groupBy("k").applyInArrow(fold, f"k {kind}, group_no long, split string, moved_to string").withColumnRenamed("k", key)
 
 
 def smart_split(items: DataFrame, groups: DataFrame, ratio: float, *, content: str | None = None, simple_to_test: float = 0.6, detailed_to_train: float = 0.7, rebalance: bool = True, key: str = "label", idx: str = "idx", quality: str = "quality") -> DataFrame:
@@ -79,22 +77,25 @@ def smart_split(items: DataFrame, groups: DataFrame, ratio: float, *, content: s
     does (all of them simple, the best ones to test up to a quota);
     ``content="intended"`` deals rows of content_type complex by completeness and the
     others by complexity_score (columns of ``items``). Ranks are taken by
-    ``with_position``, so a label is never ordered in one task.
+    ``with_position``, so a label is never ordered in one task. ``groups`` are rows
+    ``key, group_no, idx``; a null label is a label.
     """
     sides = settle(group_sides(items, groups, ratio, key, rebalance), "sides")
-    flat = groups.select(key, "group_no", F.size("members").alias("_size"), F.explode("members").alias(idx)).join(sides, [key, "group_no"]).where(F.col("split").isNotNull())
+    sizes = groups.groupBy(key, "group_no").agg(F.count(F.lit(1)).alias("_size"))
+    dealt = same_join(sides.where("split IS NOT NULL"), sizes, [key, "group_no"])
+    flat = same_join(groups.select(key, "group_no", F.col("idx").alias(idx)), dealt, [key, "group_no"])
     order = F.struct((-F.col("_size")).alias("s"), F.col("group_no").alias("g"))
     taken = flat.groupBy(key, idx).agg(F.min_by("split", order).alias("_first"), F.max("moved_to").alias("_moved"))
-    rows = settle(items.join(taken, [key, idx], "left"), "grouped")
+    rows = settle(same_join(items, taken, [key, idx], "left"), "grouped")
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.sum((F.col("_first") == s).cast("long")).alias(f"_{s}") for s in ("train", "test")]).na.fill(0)
     train_n = F.floor(F.col("_n") * F.lit(float(ratio)).cast("double"))
     counts = counts.withColumn("_nt", train_n)
     free = rows.where("_first IS NULL").drop("_first", "_moved")
     if content is None:
-        ranked = with_position(free, key, [F.col(quality).desc(), F.col(idx).asc()], "_r").join(counts, key)
+        ranked = same_join(with_position(free, key, [F.col(quality).desc(), F.col(idx).asc()], "_r"), counts, [key])
         split = F.when(F.col("_r") < F.col("_nt") - F.col("_train"), "train").otherwise("test")
     elif content == "compat":
-        ranked = with_position(free, key, [F.col(quality).desc(), F.col(idx).asc()], "_r").join(counts, key)
+        ranked = same_join(with_position(free, key, [F.col(quality).desc(), F.col(idx).asc()], "_r"), counts, [key])
         u = F.col("_n") - F.col("_train") - F.col("_test")
         split = _simple_side(u, F.col("_test"), simple_to_test)
     else:
@@ -102,7 +103,7 @@ def smart_split(items: DataFrame, groups: DataFrame, ratio: float, *, content: s
         score = F.when(detailed, -F.coalesce("completeness_score", F.lit(0.5))).otherwise(F.coalesce("complexity_score", F.lit(0.5)))
         typed = free.withColumn("_kind", F.struct(F.col(key).alias("k"), detailed.alias("d"))).withColumn("_score", score)
         per = typed.groupBy(key).agg(F.sum(F.col("_kind.d").cast("long")).alias("_d"), F.sum((~F.col("_kind.d")).cast("long")).alias("_s"))
-        ranked = with_position(typed, "_kind", [F.col("_score").asc(), F.col(quality).desc(), F.col(idx).asc()], "_r").join(counts, key).join(per, key)
+        ranked = same_join(same_join(with_position(typed, "_kind", [F.col("_score").asc(), F.col(quality).desc(), F.col(idx).asc()], "_r"), counts, [key]), per, [key])
         room = F.col("_nt") - F.col("_train")
         to_train = F.greatest(F.lit(0), F.least(F.floor(F.col("_d") * F.lit(float(detailed_to_train))), room))
         split = F.when(F.col("_kind.d"), F.when(F.col("_r") < to_train, "train").otherwise("test")).otherwise(_simple_side(F.col("_s"), F.col("_test") + F.col("_d") - to_train, simple_to_test))
@@ -126,11 +127,11 @@ def split_by_quality(items: DataFrame, ratio: float, key: str = "label", idx: st
 
 
 def cross_split_conflicts(splits: DataFrame, hashes=("file_hash", "phash"), key: str = "label") -> DataFrame:
-    """``key, hash_name, conflicts``: test rows whose hash a train row of the label has too."""
+    """``key, hash_name, conflicts``: test rows whose hash a train row of the label has too; a null label is a label."""
     out = None
     for h in hashes:
         rows = splits.where(F.nullif(F.col(h), F.lit("")).isNotNull())
         in_train = rows.where("split = 'train'").select(key, h).distinct()
-        hit = rows.where("split = 'test'").join(in_train, [key, h], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("conflicts")).select(key, F.lit(h).alias("hash_name"), "conflicts")
+        hit = same_join(rows.where("split = 'test'"), in_train, [key, h], "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("conflicts")).select(key, F.lit(h).alias("hash_name"), "conflicts")
         out = hit if out is None else out.union(hit)
     return out

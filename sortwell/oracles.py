@@ -10,6 +10,9 @@ items AS (
          CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split_in
   FROM documents)"""
 
+#: The same with the language as the label, which has more copies.
+_BY_LANG = _ITEMS.replace("source AS label", "lang AS label").replace("PARTITION BY source", "PARTITION BY lang").replace("source ||", "lang ||")
+
 _VECTORS = """
 counted AS (
   SELECT label, idx, b, count(*) AS c FROM (SELECT label, idx, ('0x' || substr(md5(t), 1, 2))::INT % 64 AS b
@@ -36,6 +39,16 @@ bit_edges AS (
   FROM features a JOIN features b ON a.label = b.label AND a.idx < b.idx WHERE hamming(a.phash, b.phash) <= 3)"""
 
 
+def _class_pairs(value: str, measure: str, same: str, where: str, source: str = "features") -> str:
+    """Links between the first rows of equal values, and from each first row to the others of its class."""
+    return f"""
+classes AS (SELECT label, idx, {value} AS x, min(idx) OVER (PARTITION BY label, {value}) AS rep FROM {source}),
+firsts AS (SELECT * FROM classes WHERE idx = rep),
+class_pairs AS (
+  SELECT a.label, a.idx AS i, b.idx AS j, {measure} AS m, false AS copy FROM firsts a JOIN firsts b ON a.label = b.label AND a.idx < b.idx WHERE {measure} {where}
+  UNION ALL SELECT label, rep, idx, {same}, true FROM classes WHERE idx <> rep)"""
+
+
 def _leaders(edges: str, name: str) -> str:
     """A scan by position that carries what is taken."""
     return f"""
@@ -87,7 +100,7 @@ levels AS (
   FROM (SELECT 1 AS lv, * FROM near UNION ALL SELECT 2, * FROM variation UNION ALL SELECT 3, * FROM perceptual))"""
 )
 
-_TEXT = "array_to_string(members, ',') AS members"
+_HEADS = "SELECT label, members[1] AS head, len(members) AS n, unnest(members) AS idx FROM m"
 
 _N_TRAIN = "floor(count(*) * 0.75::DOUBLE)::BIGINT"
 
@@ -147,7 +160,7 @@ _KFOLD = """
 placed AS (SELECT i.*, CASE WHEN n // 5 = 0 THEN 4 ELSE least(idx // greatest(n // 5, 1), 4) END::INT AS fold FROM items i JOIN (SELECT label, count(*) AS n FROM items GROUP BY label) USING (label)),
 folds AS (SELECT DISTINCT label, f.fold::INT AS fold FROM items, range(5) f(fold)),
 per AS (
-  SELECT f.label, f.fold, avg(quality) FILTER (p.fold <> f.fold) AS tr, avg(quality) FILTER (p.fold = f.fold) AS te, count(*) AS n
+  SELECT f.label, f.fold, (sum(quality::DECIMAL(18, 9)) FILTER (p.fold <> f.fold))::DOUBLE / count(*) FILTER (p.fold <> f.fold) AS tr, (sum(quality::DECIMAL(18, 9)) FILTER (p.fold = f.fold))::DOUBLE / count(*) FILTER (p.fold = f.fold) AS te, count(*) AS n
   FROM folds f JOIN placed p USING (label) GROUP BY f.label, f.fold),
 crossing AS (
   SELECT f.label, f.fold, count(DISTINCT a.file_hash) AS c
@@ -167,6 +180,13 @@ _SCORE = """0.4::DOUBLE * (l_quantity / 50.0::DOUBLE) + 0.15::DOUBLE * (l_extend
 
 _CONFIG = "(VALUES (0, 'Default', 0.95::DOUBLE), (1, 'Conservative', 0.98::DOUBLE), (2, 'Aggressive', 0.85::DOUBLE), (3, 'Balanced Split', 0.92::DOUBLE), (4, 'Quality Focused', 0.90::DOUBLE)) c(no, config, t)"
 
+_RESULTS = """
+g AS (SELECT label, count(*) AS d FROM (SELECT label FROM items GROUP BY label, file_hash HAVING count(*) > 1) GROUP BY label),
+r AS (SELECT s.label, count(*) AS t, coalesce(max(d), 0) AS d, count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'test') AS te FROM sides s LEFT JOIN g USING (label) GROUP BY s.label HAVING te > 0)"""
+
+_GRAYS = """ l AS (SELECT vec_id, label, list_transform(embedding, lambda x: greatest(0, least(255, round((x * 300::FLOAT + 128::FLOAT)::DOUBLE)))::INT) AS v FROM embeddings),
+g AS (SELECT *, list_avg(v) AS m, list_stddev_pop(v) AS s, greatest(0.0, (len(list_filter(v, lambda x: x >= 50 AND x < 200)) - 2 * len(list_filter(v, lambda x: x < 10 OR x >= 245))) / len(v)::DOUBLE) AS x FROM l)"""
+
 ORACLES: dict[str, str] = {
     "flagship_dedup_split": "WITH" + _ITEMS + f""",
 best AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY label, file_hash ORDER BY quality DESC, idx) = 1)
@@ -187,14 +207,16 @@ SELECT doc_id, name AS file_name, source AS label, '.' || lower(ext) AS suffix,
     "text_lines": "SELECT page_id, length(array_to_string(list_filter(string_split(html, chr(10)), lambda x: NOT starts_with(x, '<')), chr(10)))::INT AS left_chars FROM pages",
     "progress_log": "SELECT event_id, '[' || strftime(ts, '%H:%M:%S') || '] ' || event_type AS line FROM events",
     "config_defaults": "SELECT event_id, coalesce((props->>'$.k')::INT, 8) AS hash_threshold, coalesce((props->>'$.train_ratio')::DOUBLE, 0.75::DOUBLE) AS train_ratio, 0.92::DOUBLE AS near_duplicate_threshold FROM events",
-    "file_hash_groups": "WITH" + _ITEMS + "," + _by_hash("file_hash", "items", "g") + f" SELECT label, hash, n, {_TEXT} FROM g",
-    "phash_groups": "WITH" + _ITEMS + "," + _VECTORS + "," + _by_hash("phash", "features", "g") + f" SELECT label, hash, n, {_TEXT} FROM g",
-    "hamming_pairs": "WITH" + _ITEMS + "," + _VECTORS + "," + _BITS + " SELECT * FROM bit_edges",
-    "embedding_pairs": """WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
-SELECT a.label, a.idx AS i, b.idx AS j, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.label = b.label AND a.idx < b.idx WHERE list_cosine_similarity(a.v, b.v) > 0.35""",
+    "settings_merge": "SELECT event_id, coalesce((props->>'$.k')::INT, 0) AS k, 5 AS folds, (2 + len(list_filter(json_keys(props), lambda x: x NOT IN ('k', 'folds'))))::INT AS n FROM events",
+    "price_histogram": "SELECT l_returnflag, CASE WHEN l_quantity BETWEEN 0 AND 50 THEN least(floor(l_quantity * 10 / 50.0::DOUBLE), 9)::INT END AS bin, count(*) AS n FROM lineitem GROUP BY ALL",
+    "file_hash_groups": "WITH" + _BY_LANG + "," + _by_hash("file_hash", "items", "g") + " SELECT label, hash, n, members[1] AS group_no, unnest(members) AS idx FROM g",
+    "phash_groups": "WITH" + _BY_LANG + "," + _VECTORS + "," + _by_hash("phash", "features", "g") + " SELECT label, hash, n, members[1] AS group_no, unnest(members) AS idx FROM g",
+    "hamming_pairs": "WITH" + _ITEMS + "," + _VECTORS + "," + _class_pairs("phash", "hamming(a.x, b.x)::INT", "0", "<= 3") + " SELECT label, i, j, m AS bits, copy FROM class_pairs",
+    "embedding_pairs": "WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),"
+    + _class_pairs("v", "list_cosine_similarity(a.x, b.x)", "1.0::DOUBLE", "> 0.35", "e") + " SELECT label, i, j, round(m, 6) AS sim, copy FROM class_pairs",
     "leader_groups_perceptual": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _BITS + "," + _leaders("bit_edges", "g") + " SELECT label, leader, unnest(members) AS idx FROM g",
-    "merge_single_pass": _LEVELS + "," + _single_pass("levels", "m") + f" SELECT label, {_TEXT} FROM m",
-    "merge_components": _LEVELS + "," + _components("levels", "m") + f" SELECT label, {_TEXT} FROM m",
+    "merge_single_pass": _LEVELS + "," + _single_pass("levels", "m") + " " + _HEADS,
+    "merge_components": _LEVELS + "," + _components("levels", "m") + " " + _HEADS,
     "detect_all_levels": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _edges(0.95, "e95") + "," + _edges(0.85, "e85") + "," + _edges(0.80, "e80") + "," + _BITS + ","
     + _leaders("e95", "near") + "," + _leaders("e85", "variation") + "," + _leaders("e80", "semantic") + "," + _leaders("bit_edges", "perceptual") + ","
     + _by_hash("file_hash", "features", "files") + "," + _by_hash("phash", "features", "looks") + """,
@@ -203,8 +225,8 @@ near_in AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY lv, lea
     + _single_pass("exact_in", "exact_out") + "," + _single_pass("near_in", "near_out") + """,
 all_in AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY lv, g) AS group_no, members
   FROM (SELECT 1 AS lv, label, group_no::BIGINT AS g, members FROM exact_out UNION ALL SELECT 2, label, group_no, members FROM near_out UNION ALL SELECT 3, label, leader, members FROM variation UNION ALL SELECT 4, label, leader, members FROM semantic)),"""
-    + _single_pass("all_in", "m") + f" SELECT label, {_TEXT} FROM m",
-    "keep_best": "WITH" + _ITEMS + """ SELECT label, min(idx) AS group_no, arg_min(idx, (-quality, idx)) AS best FROM items GROUP BY label, file_hash HAVING count(*) > 1""",
+    + _single_pass("all_in", "m") + " " + _HEADS,
+    "keep_best": "WITH" + _BY_LANG + """ SELECT label, min(idx) AS group_no, arg_min(idx, (-quality, idx)) AS best FROM items GROUP BY label, file_hash HAVING count(*) > 1""",
     "unique_dataset": _LEVELS + "," + _single_pass("levels", "m") + """,
 flat AS (SELECT label, group_no, unnest(members) AS idx FROM m),
 ranked AS (SELECT f.*, row_number() OVER (PARTITION BY f.label, group_no ORDER BY quality DESC, f.idx) AS r FROM flat f JOIN items i ON i.label = f.label AND i.idx = f.idx)
@@ -213,11 +235,17 @@ SELECT label, idx, doc_id FROM items i WHERE NOT EXISTS (SELECT 1 FROM ranked r
 kept AS (SELECT label, idx, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS uidx FROM (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY label, file_hash ORDER BY quality DESC, idx) = 1)),
 flat AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY leader) AS group_no, members FROM g),
 un AS (SELECT label, group_no, unnest(members) AS idx FROM flat)
-SELECT label, group_no, array_to_string(list(uidx ORDER BY uidx), ',') AS members FROM un JOIN kept USING (label, idx) GROUP BY label, group_no HAVING count(*) > 1""",
+SELECT label, group_no, uidx AS idx FROM un JOIN kept USING (label, idx) QUALIFY count(*) OVER (PARTITION BY label, group_no) > 1""",
+    "unique_keeping_near": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _by_hash("file_hash", "features", "files") + "," + _by_hash("phash", "features", "looks") + """,
+exact_in AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY lv, members[1]) AS group_no, members FROM (SELECT 1 AS lv, label, members FROM files UNION ALL SELECT 2, label, members FROM looks)),"""
+    + _single_pass("exact_in", "m") + """,
+flat AS (SELECT label, group_no, unnest(members) AS idx FROM m),
+ranked AS (SELECT f.*, row_number() OVER (PARTITION BY f.label, group_no ORDER BY quality DESC, f.idx) AS r FROM flat f JOIN items i ON i.label = f.label AND i.idx = f.idx)
+SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY idx) - 1 AS uidx FROM items i WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.label = i.label AND r.idx = i.idx AND r.r > 1)""",
     "best_image_score": f"""WITH s AS (SELECT *, {_SCORE} AS score,
   list_filter([CASE WHEN l_quantity / 50.0::DOUBLE > 0.7::DOUBLE THEN 'high overall quality' END, CASE WHEN l_extendedprice / 100.0::DOUBLE > 500 THEN 'excellent sharpness' END, CASE WHEN l_extendedprice > 5000 THEN 'high resolution' END,
    CASE WHEN l_tax * 2.0::DOUBLE > 0.15::DOUBLE THEN 'rich detail' END, CASE WHEN l_discount * 10.0::DOUBLE > 0.6::DOUBLE THEN 'vibrant colors' END, CASE WHEN l_quantity * 5.0::DOUBLE BETWEEN 100 AND 155 THEN 'optimal exposure' END], lambda x: x IS NOT NULL) AS reasons FROM lineitem)
-SELECT l_orderkey AS group_id, l_linenumber::BIGINT AS best, floor(score * 1000 + 0.123456::DOUBLE)::BIGINT AS score_thousandths, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'best available quality' END AS reasons
+SELECT l_orderkey AS group_id, l_linenumber::BIGINT AS best, round(score, 9) AS score, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, '; ') ELSE 'best available quality' END AS reasons
 FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) = 1""",
     "quality_composite": """WITH s AS (SELECT l_returnflag, 0.25::DOUBLE * least(1.0, l_extendedprice / 1000.0::DOUBLE) + 0.15::DOUBLE * (1.0 - abs(l_quantity * 5.0::DOUBLE - 127.0) / 127.0::DOUBLE) + 0.15::DOUBLE * least(1.0, l_quantity / 80.0::DOUBLE)
   + 0.15::DOUBLE * greatest(0.0, 1.0 - l_discount * 100.0::DOUBLE / 10.0::DOUBLE) + 0.10::DOUBLE * least(1.0, l_extendedprice * 100.0::DOUBLE / 12000000.0::DOUBLE) + 0.10::DOUBLE * l_tax + 0.05::DOUBLE * l_discount + 0.05::DOUBLE * l_tax AS s FROM lineitem)
@@ -232,38 +260,66 @@ SELECT CASE WHEN (s > 0.6::DOUBLE AND c > 0.6::DOUBLE AND n >= 2) OR s > 0.6::DO
     "split_rebalance": _group_split(0.80, _REST_PLAIN),
     "split_content_compat": _group_split(0.95, _REST_COMPAT),
     "split_content_intended": _group_split(0.95, _REST_INTENDED),
-    "verify_cross_split": "WITH" + _ITEMS + "," + _VECTORS + """
+    "verify_cross_split": "WITH" + _BY_LANG + "," + _VECTORS + """
 SELECT label, 'file_hash' AS hash_name, count(*) AS conflicts FROM features t WHERE split_in = 'test' AND EXISTS (SELECT 1 FROM features r WHERE r.split_in = 'train' AND r.label = t.label AND r.file_hash = t.file_hash) GROUP BY label
 UNION ALL
 SELECT label, 'phash', count(*) FROM features t WHERE split_in = 'test' AND EXISTS (SELECT 1 FROM features r WHERE r.split_in = 'train' AND r.label = t.label AND r.phash = t.phash) GROUP BY label""",
     "kfold_assign": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, idx, fold FROM placed",
-    "kfold_metrics": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, floor(train_quality_avg * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS train_quality_avg, floor(test_quality_avg * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS test_quality_avg, floor(train_test_quality_diff * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS train_test_quality_diff, floor(cross_split_duplicates * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS cross_split_duplicates, floor(duplicate_detection_rate * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS duplicate_detection_rate, floor(overall_score * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS overall_score FROM scored",
+    "kfold_metrics": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("train_quality_avg", "test_quality_avg", "train_test_quality_diff", "cross_split_duplicates", "duplicate_detection_rate", "overall_score")) + " FROM scored",
     "config_ranking": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _KFOLD + "," + _edges(0.85, "wide") + f""",
 edges AS (SELECT label || '|' || no AS label, i, j FROM wide, {_CONFIG} WHERE sim > t),""" + _leaders("edges", "g") + f""",
 near AS (SELECT label AS k, count(*) AS near FROM g GROUP BY label),
 full_scores AS (SELECT s.label, no, config, round(overall_score + coalesce(near, 0) / n::DOUBLE * 0.2::DOUBLE, 9) AS sc FROM scored s, {_CONFIG} LEFT JOIN near ON k = s.label || '|' || no)
-SELECT label, config, floor(sc * 100000.0::DOUBLE + 0.123456::DOUBLE) / 100000.0::DOUBLE AS overall_score, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN isnan(sc) THEN NULL ELSE sc END DESC NULLS LAST, no) AS place FROM full_scores""",
+SELECT label, config, sc AS overall_score, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN isnan(sc) THEN NULL ELSE sc END DESC NULLS LAST, no) AS place FROM full_scores""",
     "split_report": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + """, both_sides AS (SELECT DISTINCT label, s.split FROM items, (VALUES ('train'), ('test')) s(split))
 SELECT b.label, b.split, count(s.idx) AS count, round(coalesce(avg(quality), 0.0), 6) AS avg_quality, round(coalesce(avg(sharpness), 0.0), 6) AS avg_sharpness, round(coalesce(avg(resolution), 0.0), 6) AS avg_resolution
 FROM both_sides b LEFT JOIN sides s ON s.label = b.label AND s.split = b.split GROUP BY ALL""",
     "ratio_report": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + """
 SELECT label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test, round(count(*) FILTER (split = 'train') / count(*)::DOUBLE, 6) AS train_ratio, round(abs(count(*) FILTER (split = 'train') / count(*)::DOUBLE - 0.75::DOUBLE), 6) AS deviation FROM sides GROUP BY label""",
-    "group_report": "WITH" + _ITEMS + """, g AS (SELECT label, min(idx) AS head, count(*) AS size, array_to_string(list(path ORDER BY idx), ',') AS images FROM items GROUP BY label, file_hash HAVING count(*) > 1)
-SELECT label, row_number() OVER (PARTITION BY label ORDER BY head) - 1 AS group_id, size, images FROM g""",
-    "groups_per_side": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + """, g AS (SELECT label, min(idx) AS idx FROM items GROUP BY label, file_hash HAVING count(*) > 1)
+    "group_report": "WITH" + _BY_LANG + "," + _by_hash("file_hash", "items", "g") + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY members[1]) - 1 AS group_id FROM g),
+flat AS (SELECT label, group_id, n AS size, unnest(members) AS idx FROM n)
+SELECT f.label, group_id, size, f.idx, path FROM flat f JOIN items i ON i.label = f.label AND i.idx = f.idx""",
+    "groups_per_side": "WITH" + _BY_LANG + "," + _QUALITY_SPLIT + """, g AS (SELECT label, min(idx) AS idx FROM items GROUP BY label, file_hash HAVING count(*) > 1)
 SELECT label, count(*) FILTER (split = 'train') AS groups_train, count(*) FILTER (split = 'test') AS groups_test FROM g JOIN sides USING (label, idx) GROUP BY label""",
     "copy_manifest": "WITH" + _ITEMS + """, f AS (SELECT split_in || '/' || label AS folder, 'img' || doc_id % 7 AS stem, file_hash, doc_id FROM items),
 once AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY folder, stem, file_hash ORDER BY doc_id) = 1)
 SELECT folder, doc_id, stem || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.JPG' AS target_name FROM (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY doc_id) - 1 AS n FROM once)""",
     "move_one": "WITH" + _ITEMS + """ SELECT label, CASE WHEN idx = 0 THEN CASE WHEN split_in = 'train' THEN 'test' ELSE 'train' END ELSE split_in END AS split, count(*) AS n FROM items GROUP BY ALL""",
-    "run_totals": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + """, g AS (SELECT label, count(*) AS d FROM (SELECT label FROM items GROUP BY label, file_hash HAVING count(*) > 1) GROUP BY label),
-r AS (SELECT s.label, count(*) AS t, coalesce(max(d), 0) AS d, count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'test') AS te FROM sides s LEFT JOIN g USING (label) GROUP BY s.label)
-SELECT count(*) AS labels_processed, sum(t)::BIGINT AS total_images, sum(d)::BIGINT AS duplicates_found, sum(te)::BIGINT AS moved_to_test, sum(tr)::BIGINT AS train_images, sum(te)::BIGINT AS test_images,
-       string_agg('Label ''' || label || ''': ' || t || ' images processed, ' || d || ' duplicates removed', chr(10) ORDER BY label) AS details FROM r""",
-    "image_levels": """WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, round((x * 300::FLOAT + 128::FLOAT)::DOUBLE)))::INT) AS v FROM embeddings)
-SELECT vec_id, round(list_avg(v), 4) AS brightness, round(list_stddev_pop(v), 4) AS contrast,
-       round(greatest(0.0, (len(list_filter(v, lambda x: x >= 50 AND x < 200)) - 2 * len(list_filter(v, lambda x: x < 10 OR x >= 245))) / 64.0::DOUBLE), 6) AS exposure, 1024::BIGINT AS pixels FROM g""",
+    "output_recount": "WITH" + _ITEMS + """, once AS (SELECT split_in AS split, count(DISTINCT (label, doc_id % 7, file_hash)) AS written, count(*) AS expected FROM items GROUP BY ALL)
+SELECT split, written, expected, written = expected AS matches FROM once""",
+    "name_lookup": "WITH" + _ITEMS + """, f AS (SELECT label, split_in, 'img' || doc_id % 7 || '.JPG' AS file_name, path FROM items),
+best AS (SELECT label, file_name, arg_min((split_in, path), (split_in <> 'train', path)) AS hit FROM f GROUP BY ALL)
+SELECT a.label, 'img' || k || '.JPG' AS file_name, hit[1] AS split, hit[2] AS path FROM (SELECT DISTINCT label FROM items) a CROSS JOIN range(9) r(k) LEFT JOIN best b ON b.label = a.label AND b.file_name = 'img' || k || '.JPG'""",
+    "move_report": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + """
+SELECT label, path, 'Moved ' || doc_id || '.JPG from ' || split_in || ' to ' || split AS line FROM sides WHERE split <> split_in""",
+    "run_totals": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + "," + _RESULTS + """
+SELECT count(*) AS labels_processed, sum(t)::BIGINT AS total_images, sum(d)::BIGINT AS duplicates_found, sum(te)::BIGINT AS moved_to_test, sum(tr)::BIGINT AS train_images, sum(te)::BIGINT AS test_images FROM r""",
+    "run_lines": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + "," + _RESULTS + """
+SELECT label, 'Label ' || chr(39) || label || chr(39) || ': ' || t || ' images processed, ' || d || ' duplicates removed' AS line FROM r""",
+    "run_report": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _edges(0.95, "near_edges") + "," + _leaders("near_edges", "near") + """,
+best AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY label, file_hash ORDER BY quality DESC, idx) = 1),
+sides AS (SELECT b.*, CASE WHEN row_number() OVER (PARTITION BY b.label ORDER BY quality DESC, idx) <= nt THEN 'train' ELSE 'test' END AS split
+  FROM best b JOIN (SELECT label, floor(count(*) * 0.75::DOUBLE)::BIGINT AS nt FROM best GROUP BY label) USING (label)),
+u AS (SELECT label, count(*) AS n, """ + ", ".join(f"count(*) FILTER (split = '{s}') AS {s}_n, count(*) FILTER (split = '{s}' AND doc_id % 10 <> 0) AS {s}_w, " + ", ".join(f"round(coalesce(avg({c}) FILTER (split = '{s}'), 0.0), 6) AS {s}_avg_{c}" for c in ("quality", "sharpness", "resolution")) for s in ("train", "test")) + """ FROM sides GROUP BY label),
+e AS (SELECT label, count(*) AS k FROM (SELECT label FROM items GROUP BY label, file_hash HAVING count(*) > 1) GROUP BY label),
+g AS (SELECT label, count(*) AS k FROM near GROUP BY label)
+SELECT u.label, (SELECT count(*) FROM items i WHERE i.label = u.label) AS original_images_found, u.n AS unique_images_processed, train_w + test_w AS images_copied, coalesce(e.k, 0) AS exact_duplicate_groups, coalesce(g.k, 0) AS near_duplicate_groups,
+       true AS remove_exact_duplicates, true AS keep_near_duplicates, train_w AS train_folder_count, test_w AS test_folder_count, train_w + test_w AS total_output_count, u.n AS expected_unique_count,
+       train_n AS train_count, train_w AS train_files_copied, test_n AS test_count, test_w AS test_files_copied, train_avg_quality, train_avg_sharpness, train_avg_resolution, test_avg_quality, test_avg_sharpness, test_avg_resolution,
+       0.75::DOUBLE AS train_ratio, 'tokens' AS embedding_method
+FROM u LEFT JOIN e ON e.label = u.label LEFT JOIN g ON g.label = u.label""",
+    "image_levels": "WITH" + _GRAYS + """
+SELECT vec_id, round(m, 4) AS brightness, round(s, 4) AS contrast, round(x, 6) AS exposure, len(v)::BIGINT AS pixels FROM g""",
+    "image_measures": "WITH" + _GRAYS + """, q AS (SELECT *, list_sum(list_transform(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]))) / (len(v) - 1)::DOUBLE AS steps FROM g)
+SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS phash,
+       round(0.25::DOUBLE * least(1.0, steps * 10 / 1000.0::DOUBLE) + 0.15::DOUBLE * (1.0 - abs(m - 127.0::DOUBLE) / 127.0::DOUBLE) + 0.15::DOUBLE * least(1.0, s / 80.0::DOUBLE) + 0.15::DOUBLE + 0.10::DOUBLE * (len(v) / 12000000.0::DOUBLE) + 0.05::DOUBLE * x, 6) AS quality,
+       round(steps, 4) AS steps, CASE WHEN s / 60.0::DOUBLE > 0.6::DOUBLE * 1.2::DOUBLE THEN 'complex' ELSE 'simple' END AS content_type FROM q""",
+    "ssim_neighbours": "WITH" + _GRAYS + """, b AS (SELECT *, lag(v) OVER w AS u, lag(m) OVER w AS k, lag(s) OVER w AS t FROM g WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+c AS (SELECT *, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - m) * (u[i] - k))) / len(v)::DOUBLE AS cov FROM b WHERE u IS NOT NULL)
+SELECT vec_id, round((2 * m * k + 6.5025::DOUBLE) * (2 * cov + 58.5225::DOUBLE) / ((m * m + k * k + 6.5025::DOUBLE) * (s * s + t * t + 58.5225::DOUBLE)), 6) AS ssim,
+       round(list_cosine_similarity(v, u), 6) AS cosine, list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN (v[i] > m) <> (u[i] > k) THEN 1 ELSE 0 END))::INT AS bits FROM c""",
 }
 for _name, _t in (("near", 0.95), ("variation", 0.85), ("semantic", 0.80)):
-    ORACLES[f"cosine_pairs_{_name}"] = "WITH" + _ITEMS + "," + _VECTORS + "," + _edges(_t) + " SELECT label, i, j, round(sim, 6) AS sim FROM edges"
+    ORACLES[f"cosine_pairs_{_name}"] = "WITH" + _ITEMS + "," + _VECTORS + "," + _class_pairs("v", "list_cosine_similarity(a.x, b.x)", "1.0::DOUBLE", f"> {_t}") + " SELECT label, i, j, round(m, 6) AS sim, copy FROM class_pairs"
     ORACLES[f"leader_groups_{_name}"] = "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _edges(_t) + "," + _leaders("edges", "g") + " SELECT label, leader, unnest(members) AS idx FROM g"

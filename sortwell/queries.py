@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortwell.functions import images as I
+from sortwell.functions import measures as M
 from sortwell.functions import paths as P
 from sortwell.functions import vectors as V
 from sortwell.operators import dedup, evaluate, report, split
@@ -16,18 +16,18 @@ from sortwell.operators.edges import cosine_edges, hamming_edges
 from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
 from sortwell.operators.index import with_position
 from sortwell.oracles import ORACLES
-from sortwell.plans.detect import detect_groups, keyed, led, led_by_level
+from sortwell.plans.detect import detect_groups, keyed, kept_items, led, led_by_level
 from sortwell.session import evenly, settle, table
 from sortwell.sources.files import FORM_DEFAULTS, Settings
 
 RATIO = 0.75
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as items: source is the label, their order by id the position."""
-    docs = evenly(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"))
-    narrow = docs.select(F.col("source").alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"))
-    rows = with_position(narrow, "label", [F.col("doc_id")])
+def items(spark: SparkSession, sf_dir: str, label: str = "source") -> DataFrame:
+    """Documents as items: a column is the label, their order by id the position."""
+    docs = table(spark, sf_dir, "documents")
+    narrow = docs.select(F.col(label).alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"))
+    rows = with_position(settle(narrow, "narrow"), "label", [F.col("doc_id")])  # dealing by ranges samples its input, so it is written first
     return rows.withColumns({
         "path": F.concat("label", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".JPG")), "quality": F.least(F.lit(1.0), F.col("n_chars") / 10000.0),
         "sharpness": F.pmod("n_chars", F.lit(1000)) / 1000.0, "resolution": F.pmod("doc_id", F.lit(97)) / 97.0,
@@ -35,25 +35,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, label: str = "source") -> DataFrame:
     """Items with their token vector and its average hash, written once."""
-    docs = evenly(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"))
-    vectors = docs.select(F.col("source").alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"), V.token_vector(F.col("text")).alias("v"))
-    rows = with_position(settle(vectors, "vectors"), "label", [F.col("doc_id")])  # dealing by ranges samples its input, so it is written first
+    docs = evenly(table(spark, sf_dir, "documents").select("doc_id", label, "text", "n_chars"))
+    vectors = docs.select(F.col(label).alias("label"), "doc_id", "n_chars", V.file_hash(F.col("text")).alias("file_hash"), V.token_vector(F.col("text")).alias("v"))
+    rows = with_position(settle(vectors, "vectors"), "label", [F.col("doc_id")])
     rows = rows.withColumn("phash", V.average_hash(F.col("v"))).withColumn("quality", F.least(F.lit(1.0), F.col("n_chars") / 10000.0))
     return settle(rows, "features")
 
 
-def steady(x, digits: int = 5):
-    """``x`` cut to ``digits`` places, off the places where sums in another order would tip a rounding."""
-    scale = float(10**digits)
-    return F.floor(x * scale + F.lit(0.123456)) / scale
-
-
-def as_text(members: str = "members"):
-    return F.array_join(F.transform(members, lambda x: x.cast("string")), ",").alias(members)
-
-
 # inventory, names and display
 
 
@@ -102,12 +92,25 @@ def config_defaults(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(got["k"], F.lit(FORM_DEFAULTS["hash_threshold"])).alias("hash_threshold"), F.coalesce(got["train_ratio"], F.lit(FORM_DEFAULTS["train_ratio"])).alias("train_ratio"), F.lit(FORM_DEFAULTS["similarity_threshold"]).alias("near_duplicate_threshold"))
 
 
+def settings_merge(spark, sf_dir):
+    """The properties of an event as a map over a map of defaults, entry by entry."""
+    base = F.create_map(F.lit("k"), F.lit(0), F.lit("folds"), F.lit(FORM_DEFAULTS["cross_validation_folds"]))
+    got = M.merged_map(base, F.from_json("props", "map<string,int>"))
+    return table(spark, sf_dir, "events").select("event_id", got["k"].alias("k"), got["folds"].alias("folds"), F.size(got).alias("n"))
+
+
+def price_histogram(spark, sf_dir):
+    """Line items by return flag in ten bins of quantity."""
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", M.fixed_bin(F.col("l_quantity"), 0, 50, 10).alias("bin"))
+    return li.groupBy("l_returnflag", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 # hashes, vectors, edges, groups
 
 
 def hash_groups(column, spark, sf_dir):
-    src = items(spark, sf_dir) if column == "file_hash" else features(spark, sf_dir)
-    return dedup.key_groups(src, column).select("label", "hash", "n", as_text())
+    src = items(spark, sf_dir, "lang") if column == "file_hash" else features(spark, sf_dir, "lang")
+    return dedup.key_groups(src, column).select("label", "hash", "n", "group_no", "idx")
 
 
 def hamming_pairs(spark, sf_dir):
@@ -138,20 +141,24 @@ def level_groups(spark, sf_dir):
 
 
 def merged(how, spark, sf_dir):
-    return how(level_groups(spark, sf_dir)[1]).select("label", as_text())
+    """A merged group is named by its first row; two of them may share it, so the number of its rows is told too."""
+    rows = settle(how(level_groups(spark, sf_dir)[1]), "merged")
+    heads = rows.groupBy("label", "group_no").agg(F.min("idx").alias("head"), F.count(F.lit(1)).alias("n"))
+    return rows.join(heads, ["label", "group_no"]).select("label", "head", "n", "idx")
 
 
 def detect_all_levels(spark, sf_dir):
-    return detect_groups(features(spark, sf_dir), Settings()).select("label", as_text())
+    rows = settle(detect_groups(features(spark, sf_dir), Settings()), "detected")
+    heads = rows.groupBy("label", "group_no").agg(F.min("idx").alias("head"), F.count(F.lit(1)).alias("n"))
+    return rows.join(heads, ["label", "group_no"]).select("label", "head", "n", "idx")
 
 
 # keeping the best
 
 
 def keep_best(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
-    return dedup.best_of_groups(groups, rows)
+    rows = settle(items(spark, sf_dir, "lang"), "items")
+    return dedup.best_of_groups(dedup.key_groups(rows, "file_hash"), rows)
 
 
 def unique_dataset(spark, sf_dir):
@@ -159,13 +166,19 @@ def unique_dataset(spark, sf_dir):
     return dedup.unique_items(f, merge_single_pass(groups)).select("label", "idx", "doc_id")
 
 
+def unique_keeping_near(spark, sf_dir):
+    """What is left when near duplicates are told from exact ones and kept."""
+    f = features(spark, sf_dir)
+    settings = Settings(keep_near_duplicates=True)
+    return kept_items(f, settle(detect_groups(f, settings, levels="intended"), "groups"), settings).select("label", "doc_id", "uidx")
+
+
 def index_remap(spark, sf_dir):
     """Groups by near vectors in the positions that are left after exact copies are gone."""
     f = features(spark, sf_dir)
-    exact = dedup.key_groups(f, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
-    unique = with_position(dedup.unique_items(f, exact), "label", [F.col("idx")], "uidx")
+    unique = with_position(dedup.unique_items(f, dedup.key_groups(f, "file_hash")), "label", [F.col("idx")], "uidx")
     near = numbered_groups(led(leader_groups(cosine_edges(f, 0.85)), "near"), ["near"])
-    return dedup.remapped_groups(near, unique).select("label", "group_no", as_text())
+    return dedup.remapped_groups(near, unique).select("label", "group_no", "idx")
 
 
 def best_image_score(spark, sf_dir):
@@ -175,7 +188,7 @@ def best_image_score(spark, sf_dir):
         (F.col("l_tax") * 2.0).alias("edge_density"), (F.col("l_discount") * 10.0).alias("color_richness"), (F.col("l_quantity") / 100.0).alias("exposure_quality"), (F.col("l_quantity") * 5.0).alias("brightness"), F.col("l_quantity").alias("contrast"), (F.col("l_discount") * 4.0).alias("noise_quality"),
     )
     best = dedup.weighted_best(rows, "group")
-    return best.select(F.col("group").alias("group_id"), "best", F.floor(F.col("score") * 1000 + F.lit(0.123456)).alias("score_thousandths"), F.array_join("reasons", "; ").alias("reasons"))
+    return best.select(F.col("group").alias("group_id"), "best", F.round("score", 9).alias("score"), F.array_join("reasons", "; ").alias("reasons"))
 
 
 # measures
@@ -184,11 +197,8 @@ def best_image_score(spark, sf_dir):
 def quality_composite(spark, sf_dir):
     """The composite score of raw measures taken from line items, and its mean by flag."""
     li = table(spark, sf_dir, "lineitem")
-    one = F.lit(1.0)
-    score = (
-        0.25 * F.least(one, F.col("l_extendedprice") / 1000.0) + 0.15 * (one - F.abs(F.col("l_quantity") * 5.0 - 127.0) / 127.0) + 0.15 * F.least(one, F.col("l_quantity") / 80.0)
-        + 0.15 * F.greatest(F.lit(0.0), one - F.col("l_discount") * 100.0 / 10.0) + 0.10 * F.least(one, F.col("l_extendedprice") * 100.0 / 12000000.0) + 0.10 * F.col("l_tax") + 0.05 * F.col("l_discount") + 0.05 * F.col("l_tax")
-    )
+    price, quantity, discount, tax = (F.col(f"l_{c}") for c in ("extendedprice", "quantity", "discount", "tax"))
+    score = M.composite_score(price, quantity * 5.0, quantity, discount * 100.0, price * 100.0, tax, discount, tax)
     return li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 6).alias("avg_score"), F.round(F.max(score), 6).alias("max_score"))
 
 
@@ -205,7 +215,7 @@ def vector_histograms(spark, sf_dir):
 
 def classify_content(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(
-        I.content_type(F.when(F.col("l_linenumber") != 7, F.col("l_quantity") / 50.0), F.col("l_discount") * 10.0, F.when(F.col("l_linenumber") < 6, F.col("l_linenumber"))).alias("content_type"), "l_quantity"
+        M.content_type(F.when(F.col("l_linenumber") != 7, F.col("l_quantity") / 50.0), F.col("l_discount") * 10.0, F.when(F.col("l_linenumber") < 6, F.col("l_linenumber"))).alias("content_type"), "l_quantity"
     )
     return rows.groupBy("content_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
@@ -220,7 +230,9 @@ def split_by_quality(spark, sf_dir):
 def component_groups(threshold, spark, sf_dir):
     f = features(spark, sf_dir)
     pairs = numbered_groups(led(leader_groups(cosine_edges(f, threshold)), "near").union(keyed(dedup.key_groups(f, "file_hash"), "file")), ["near", "file"])
-    return f, merge_components(pairs).withColumn("group_no", F.element_at("members", 1))
+    merged_ = settle(merge_components(pairs), "components")
+    heads = merged_.groupBy("label", "group_no").agg(F.min("idx").alias("head"))
+    return f, merged_.join(heads, ["label", "group_no"]).select("label", F.col("head").alias("group_no"), "idx")
 
 
 def group_split(threshold, content, spark, sf_dir):
@@ -231,14 +243,13 @@ def group_split(threshold, content, spark, sf_dir):
 
 def verify_cross_split(spark, sf_dir):
     """Conflicts of the sides that files have come with."""
-    return split.cross_split_conflicts(features(spark, sf_dir).withColumn("split", F.when(F.pmod("doc_id", F.lit(5)) == 0, "test").otherwise("train")))
+    return split.cross_split_conflicts(features(spark, sf_dir, "lang").withColumn("split", F.when(F.pmod("doc_id", F.lit(5)) == 0, "test").otherwise("train")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of a label go, the best stays, and the rest is split by quality."""
     rows = settle(items(spark, sf_dir), "items")
-    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
-    unique = dedup.unique_items(rows, groups)
+    unique = dedup.unique_items(rows, dedup.key_groups(rows, "file_hash"))
     return split.split_by_quality(unique, RATIO).select("label", "doc_id", "split")
 
 
@@ -248,27 +259,14 @@ def kfold_assign(spark, sf_dir):
 
 def kfold_metrics(spark, sf_dir):
     rows = settle(items(spark, sf_dir), "items")
-    groups = dedup.key_groups(rows, "file_hash").groupBy("label").agg(F.count(F.lit(1)).alias("n_groups"))
+    groups = dedup.key_groups(rows, "file_hash").select("label", "group_no").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n_groups"))
     got = evaluate.kfold_metrics(rows, groups)
-    return got.select("label", *[steady(F.col(c)).alias(c) for c in got.columns if c != "label"])
+    return got.select("label", *[F.round(c, 9).alias(c) for c in got.columns if c != "label"])
 
 
 def config_ranking(spark, sf_dir):
     """Configurations by overall score, each with the groups that its own near threshold finds."""
-    f = features(spark, sf_dir)
-    limits = [(n, c.get("near_duplicate_threshold", 0.95)) for n, c in enumerate(evaluate.CONFIGS)]
-    e = cosine_edges(f, min(t for _, t in limits))
-    per = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(t)).alias("t")) for n, t in limits])
-    wide = e.select("label", "i", "j", "sim", F.inline(per)).where("sim > t").select(F.concat("label", F.lit("|"), F.col("n").cast("string")).alias("label"), "i", "j")
-    near = leader_groups(wide).select("label", "leader").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("near"))
-    exact = dedup.key_groups(f, "file_hash").groupBy("label").agg(F.count(F.lit(1)).alias("exact"))
-    names = F.array(*[F.struct(F.lit(n).alias("config_no"), F.lit(c["name"]).alias("config")) for n, c in enumerate(evaluate.CONFIGS)])
-    runs = evaluate.kfold_metrics(f, exact.withColumnRenamed("exact", "n_groups")).join(exact, "label", "left").select("*", F.inline(names))
-    keyed_runs = runs.withColumn("_k", F.concat("label", F.lit("|"), F.col("config_no").cast("string"))).join(near.withColumnRenamed("label", "_k"), "_k", "left")
-    n = f.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    more = keyed_runs.join(n, "label").withColumn("overall_score", F.col("overall_score") + F.coalesce("near", F.lit(0)) / F.col("n") * 0.2)
-    ranked = evaluate.rank_configs(more.withColumn("overall_score", F.round("overall_score", 9)))
-    return ranked.select("label", "config", steady(F.col("overall_score")).alias("overall_score"), "place")
+    return evaluate.evaluate_configs(features(spark, sf_dir)).select("label", "config", "overall_score", "place")
 
 
 # reports
@@ -285,20 +283,34 @@ def ratio_report(spark, sf_dir):
 
 
 def group_report(spark, sf_dir):
-    rows = settle(items(spark, sf_dir), "items")
-    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
-    return report.group_report(groups, rows).select("label", F.col("group_id").cast("long").alias("group_id"), "size", F.array_join("images", ",").alias("images"))
+    rows = settle(items(spark, sf_dir, "lang"), "items")
+    return report.group_report(dedup.key_groups(rows, "file_hash"), rows).select("label", "group_id", "size", "idx", "path")
 
 
 def groups_per_side(spark, sf_dir):
-    rows = settle(items(spark, sf_dir), "items")
-    groups = dedup.key_groups(rows, "file_hash").select("label", F.element_at("members", 1).alias("group_no"), "members")
-    return report.groups_per_side(groups, split.split_by_quality(rows, RATIO))
+    rows = settle(items(spark, sf_dir, "lang"), "items")
+    return report.groups_per_side(dedup.key_groups(rows, "file_hash"), split.split_by_quality(rows, RATIO))
+
+
+def manifest_of(spark, sf_dir):
+    rows = items(spark, sf_dir).select("label", F.col("split_in").alias("split"), F.concat("split_in", F.lit("/"), "label").alias("folder"), F.concat(F.lit("img"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit(".JPG")).alias("file_name"), "file_hash", "doc_id")
+    return report.copy_manifest(rows, "folder", order="doc_id")
 
 
 def copy_manifest(spark, sf_dir):
-    rows = items(spark, sf_dir).select(F.concat("split_in", F.lit("/"), "label").alias("folder"), F.concat(F.lit("img"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit(".JPG")).alias("file_name"), "file_hash", "doc_id")
-    return report.copy_manifest(rows, "folder", order="doc_id").select("folder", "doc_id", "target_name")
+    return manifest_of(spark, sf_dir).select("folder", "doc_id", "target_name")
+
+
+def output_recount(spark, sf_dir):
+    """Files of the manifest against the items that should be in the output."""
+    return report.recount(manifest_of(spark, sf_dir), items(spark, sf_dir).select(F.col("split_in").alias("split")))
+
+
+def name_lookup(spark, sf_dir):
+    """Where each name of a label is found, in train first."""
+    rows = settle(items(spark, sf_dir).select("label", F.col("split_in").alias("split"), F.concat(F.lit("img"), F.pmod("doc_id", F.lit(7)).cast("string"), F.lit(".JPG")).alias("file_name"), "path"), "files")
+    asked = rows.select("label").distinct().withColumn("file_name", F.explode(F.array(*[F.lit(f"img{k}.JPG") for k in range(9)])))
+    return report.lookup_names(asked, rows)
 
 
 def move_one(spark, sf_dir):
@@ -307,43 +319,78 @@ def move_one(spark, sf_dir):
     return report.moved(rows, "first").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_totals(spark, sf_dir):
+def move_report(spark, sf_dir):
+    """A line for each file whose side a split by quality changes."""
+    rows = settle(items(spark, sf_dir), "items")
+    before = rows.select("label", "path", F.col("split_in").alias("split"), P.base_name(F.col("path")).alias("file_name"))
+    return report.move_lines(before, split.split_by_quality(rows, RATIO).select("label", "path", "split"))
+
+
+def label_results(spark, sf_dir):
     rows = settle(items(spark, sf_dir), "items")
     n = rows.groupBy("label").agg(F.count(F.lit(1)).alias("total_images"))
-    groups = dedup.key_groups(rows, "file_hash").groupBy("label").agg(F.count(F.lit(1)).alias("duplicates_removed"))
+    groups = dedup.key_groups(rows, "file_hash").select("label", "group_no").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("duplicates_removed"))
     sides = split.split_by_quality(rows, RATIO).groupBy("label").agg(*[F.count(F.when(F.col("split") == s, 1)).alias(f"{s}_images") for s in ("train", "test")])
-    return report.run_totals(n.join(groups, "label", "left").na.fill(0).join(sides, "label"))
+    # a label without test files counts as failed
+    return n.join(groups, "label", "left").na.fill(0).join(sides, "label").withColumn("total_images", F.when(F.col("test_images") > 0, F.col("total_images")))
 
 
-# images: an embedding's 64 numbers as the grays of 8 x 8 tiles
+def run_totals(spark, sf_dir):
+    return report.run_totals(label_results(spark, sf_dir))
+
+
+def run_lines(spark, sf_dir):
+    return report.run_lines(label_results(spark, sf_dir))
+
+
+def run_report(spark, sf_dir):
+    """The summary of a run that keeps near duplicates, label by label, with what was written."""
+    f = features(spark, sf_dir).withColumns({"sharpness": F.pmod("n_chars", F.lit(1000)) / 1000.0, "resolution": F.pmod("doc_id", F.lit(97)) / 97.0})
+    exact = settle(dedup.key_groups(f, "file_hash"), "exact")
+    near = leader_groups(cosine_edges(f, 0.95)).withColumnRenamed("leader", "group_no")
+    unique = settle(dedup.unique_items(f, exact), "unique")
+    dealt = settle(split.split_by_quality(unique, RATIO), "splits")
+    written = dealt.where(F.pmod("doc_id", F.lit(10)) != 0).select("label", "split")
+    got = report.run_report(f, unique, exact, near, dealt, written, {"remove_exact_duplicates": True, "keep_near_duplicates": True, "train_ratio": RATIO, "embedding_method": "tokens"})
+    flat = lambda c: F.round(f"split_results.{c}", 6).alias(c.replace(".", "_"))
+    return got.select(
+        "label", "processing_summary.*", "verification.*", *[F.col(f"split_results.{s}.{c}").alias(f"{s}_{c}") for s in ("train", "test") for c in ("count", "files_copied")],
+        *[flat(f"{s}.avg_{c}") for s in ("train", "test") for c in ("quality", "sharpness", "resolution")], "settings.train_ratio", "settings.embedding_method",
+    )
+
+
+# images: an embedding's numbers as the gray levels of a raster
 
 
 def rasters(spark, sf_dir):
-    rows = evenly(table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64))
     gray = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.round(x * 300 + 128))).cast("int"))
-    hexed = F.transform(gray, lambda g: F.lpad(F.hex(g.cast("long")), 2, "0"))
-    line = lambda y: F.repeat(F.array_join(F.transform(F.slice(hexed, 8 * y + 1, 8), lambda h: F.repeat(h, 4)), ""), 4)
-    return rows.select("vec_id", "label", F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("channels"), F.unhex(F.concat(*[line(y) for y in range(8)])).alias("data"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", gray.alias("gray"), F.transform(gray, lambda x: x.cast("double")).alias("g"))
 
 
-def image_measures(spark, sf_dir):
-    got = I.image_features(rasters(spark, sf_dir))
-    return got.select("vec_id", "phash", F.round("quality.composite_score", 6).alias("quality"), F.round("quality.raw_sharpness", 3).alias("sharpness"), F.round("quality.raw_brightness", 4).alias("brightness"), F.round("quality.edge_density", 6).alias("edge_density"), F.round("complexity.complexity_score", 6).alias("complexity"), I.content_type(F.col("complexity.complexity_score"), F.col("complexity.completeness_score"), F.col("complexity.object_count")).alias("content_type"))
+def image_levels(spark, sf_dir):
+    """Mean, spread and exposure of the gray levels."""
+    g = F.col("g")
+    return rasters(spark, sf_dir).select("vec_id", F.round(M.mean(g), 4).alias("brightness"), F.round(M.spread(g), 4).alias("contrast"), F.round(M.exposure(F.col("gray")), 6).alias("exposure"), F.size("gray").cast("long").alias("pixels"))
 
 
-def image_levels(spark, sf_dir):
-    """Gray levels of the rasters: mean, spread and range, as the kernels take them."""
-    got = I.image_features(rasters(spark, sf_dir), with_complexity=False)
-    return got.select("vec_id", F.round("quality.raw_brightness", 4).alias("brightness"), F.round("quality.raw_contrast", 4).alias("contrast"), F.round("quality.exposure_quality", 6).alias("exposure"), F.col("quality.raw_resolution").cast("long").alias("pixels"))
+def image_measures(spark, sf_dir):
+    """Hash, composite quality and content type of each raster."""
+    g = F.col("g")
+    steps = V.total(F.transform(F.sequence(F.lit(2), F.size(g)), lambda i: F.abs(F.element_at(g, i) - F.element_at(g, i - 1)))) / (F.size(g) - 1)
+    rows = rasters(spark, sf_dir).select("vec_id", "gray", V.average_hash(g).alias("phash"), M.mean(g).alias("m"), M.spread(g).alias("s"), steps.alias("steps"), F.size("gray").alias("n"))
+    nothing = F.lit(0.0)
+    quality = M.composite_score(F.col("steps") * 10, F.col("m"), F.col("s"), nothing, F.col("n"), nothing, nothing, M.exposure(F.col("gray")))
+    kind = M.content_type(F.col("s") / 60.0, F.lit(None).cast("double"), F.lit(None).cast("int"))
+    return rows.select("vec_id", "phash", F.round(quality, 6).alias("quality"), F.round("steps", 4).alias("steps"), kind.alias("content_type"))
 
 
 def ssim_neighbours(spark, sf_dir):
-    """Structural similarity of each raster and the one before it in its label."""
-    img = F.struct("height", "width", "channels", "data")
-    rows = with_position(rasters(spark, sf_dir).withColumn("img", img), "label", [F.col("vec_id")]).select("label", "idx", "vec_id", "img")
-    before = rows.select("label", (F.col("idx") + 1).alias("idx"), F.col("img").alias("b"))
-    got = I.image_pairs_ssim(rows.join(before, ["label", "idx"]).select(F.struct("vec_id").alias("row"), F.col("img").alias("a"), "b"))
-    return got.select("row.vec_id", *[F.round(c, 6).alias(c) for c in ("ssim", "rotation_ssim", "foreground_ssim")])
+    """Likeness of each raster and the one before it in its label: structural, by cosine, and by differing hash bits."""
+    rows = settle(with_position(rasters(spark, sf_dir), "label", [F.col("vec_id")]), "rasters")
+    before = rows.select(F.col("label").alias("l"), (F.col("idx") + 1).alias("at"), F.col("g").alias("h"))
+    pairs = rows.join(before, F.col("label").eqNullSafe(F.col("l")) & (F.col("idx") == F.col("at")))
+    g, h = F.col("g"), F.col("h")
+    return pairs.select("vec_id", F.round(M.ssim(g, h), 6).alias("ssim"), F.round(V.cosine(g, h), 6).alias("cosine"), V.hamming(V.average_hash(g), V.average_hash(h)).alias("bits"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -357,6 +404,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_lines": text_lines,
         "progress_log": progress_log,
         "config_defaults": config_defaults,
+        "settings_merge": settings_merge,
+        "price_histogram": price_histogram,
         "file_hash_groups": partial(hash_groups, "file_hash"),
         "phash_groups": partial(hash_groups, "phash"),
         "hamming_pairs": hamming_pairs,
@@ -373,6 +422,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "detect_all_levels": detect_all_levels,
         "keep_best": keep_best,
         "unique_dataset": unique_dataset,
+        "unique_keeping_near": unique_keeping_near,
         "index_remap": index_remap,
         "best_image_score": best_image_score,
         "quality_composite": quality_composite,
@@ -392,8 +442,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "group_report": group_report,
         "groups_per_side": groups_per_side,
         "copy_manifest": copy_manifest,
+        "output_recount": output_recount,
+        "name_lookup": name_lookup,
         "move_one": move_one,
+        "move_report": move_report,
         "run_totals": run_totals,
+        "run_lines": run_lines,
+        "run_report": run_report,
         "image_measures": image_measures,
         "image_levels": image_levels,
         "ssim_neighbours": ssim_neighbours,

@@ -59,6 +59,8 @@ class Settings:
     near_duplicate_threshold: float = 0.95
     variation_threshold: float = 0.85
     semantic_threshold: float = 0.80
+    hash_threshold: int = 5
+    evaluate_models: bool = True
     cross_validation_folds: int = 5
     enable_content_filtering: bool = False
     detailed_to_train_ratio: float = 0.7

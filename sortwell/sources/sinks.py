@@ -7,9 +7,12 @@ import os
 import shutil
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from sortwell.functions.paths import base_name, parent_name
+from sortwell.sources.files import has_files
+
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("errorifexists").partitionBy("split").parquet(path)
@@ -47,32 +50,23 @@ def _md5(path: str) -> str:
         return hashlib.file_digest(f, "md5").hexdigest()
 
 
-def analysis_report(found: DataFrame, unique: DataFrame, groups: DataFrame, sides: DataFrame, settings: dict) -> DataFrame:
-    """One row per label: the run's report as JSON text.
+def written_files(spark: SparkSession, out: str, labels: bool = True) -> DataFrame:
+    """``split, label, file_name`` of the files that stand in ``out/split/label`` (``out/split`` without labels)."""
+    found = None
+    for side in ("train", "test"):
+        pattern = f"{out}/{side}/*/*" if labels else f"{out}/{side}/*"
+        if has_files(spark, pattern):
+            names = spark.read.format("binaryFile").load(pattern).select("path")
+            label = parent_name(F.col("path")) if labels else F.lit(None).cast("string")
+            one = names.select(F.lit(side).alias("split"), label.alias("label"), base_name(F.col("path")).alias("file_name"))
+            found = one if found is None else found.union(one)
+    return found if found is not None else spark.createDataFrame([], "split string, label string, file_name string")
+
+
+def write_report(report: DataFrame, groups: DataFrame, out: str) -> None:
+    """The run's report as JSON lines: ``summary``, a line per label, and ``groups``, a line per member of a group.
 
-    ``groups`` are rows of ``group_report`` (label, group_id, size, images), ``sides``
-    rows of ``split_report``. Group lists of a label are in its own row.
+    A group is not gathered into a line, since copies of one image may be a large part of all.
     """
-    count = lambda df, name: df.groupBy("label").agg(F.count(F.lit(1)).alias(name))
-    listed = groups.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("group_id", "size", "images"))).alias("exact_duplicates"))
-    results = sides.groupBy("label").agg(
-        F.map_from_entries(F.collect_list(F.struct("split", F.struct("count", "avg_quality", "avg_sharpness", "avg_resolution", F.col("count").alias("files_copied"))))).alias("split_results"),
-        F.sum(F.when(F.col("split") == "train", F.col("count"))).alias("train_folder_count"), F.sum(F.when(F.col("split") == "test", F.col("count"))).alias("test_folder_count"),
-    )
-    rows = count(found, "original").join(count(unique, "unique"), "label", "left").join(listed, "label", "left").join(results, "label", "left")
-    fixed = F.struct(*[F.lit(v).alias(k) for k, v in settings.items()])
-    body = F.struct(
-        F.struct(F.col("original").alias("original_images_found"), F.col("unique").alias("unique_images_processed"), F.coalesce(F.size("exact_duplicates"), F.lit(0)).alias("exact_duplicate_groups")).alias("processing_summary"),
-        F.struct("exact_duplicates").alias("duplicate_analysis"),
-        F.col("split_results"),
-        F.struct("train_folder_count", "test_folder_count", (F.col("train_folder_count") + F.col("test_folder_count")).alias("total_output_count"), F.col("unique").alias("expected_unique_count")).alias("verification"),
-        fixed.alias("settings"),
-    )
-    return rows.select("label", F.to_json(body).alias("report"))
-
-
-def recount(written: DataFrame, expected: DataFrame) -> DataFrame:
-    """``split, written, expected, matches`` of files that were written and should be."""
-    a = written.groupBy("split").agg(F.count(F.lit(1)).alias("written"))
-    b = expected.groupBy("split").agg(F.count(F.lit(1)).alias("expected"))
-    return a.join(b, "split", "full_outer").na.fill(0).withColumn("matches", F.col("written") == F.col("expected"))
+    report.write.mode("errorifexists").json(f"{out}/summary")
+    groups.write.mode("errorifexists").json(f"{out}/groups")

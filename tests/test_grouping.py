@@ -1,9 +1,12 @@
 """Group operators against plain restatements on random input."""
 
+import itertools
+import math
 import random
 
+from sortwell.operators import dedup, edges
 from sortwell.operators.components import connected_components
-from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass
+from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
 from sortwell.operators.index import with_position
 from sortwell.operators.split import group_sides, smart_split
 from pyspark.sql import functions as F
@@ -30,6 +33,7 @@ def greedy(edges):
 
 def test_leaders(spark):
     e = edges_of(random.Random(1))
+    e = [(None if k == "l3" else k, i, j) for k, i, j in e]  # a null label is a label
     got = leader_groups(spark.createDataFrame(e, "label string, i long, j long")).collect()
     for k in {x[0] for x in e}:
         assert {(r.leader, r.idx) for r in got if r.label == k} == greedy([(i, j) for l, i, j in e if l == k])
@@ -40,8 +44,91 @@ def test_leaders_of_nothing(spark):
     assert leader_groups(spark.createDataFrame([], "label string, i long, j long")).count() == 0
 
 
+def test_leaders_along_a_chain(spark):
+    e = [(None, i, i + 1) for i in range(9)]
+    got = {(r.leader, r.idx) for r in leader_groups(spark.createDataFrame(e, "label string, i long, j long")).collect()}
+    assert got == greedy([(i, j) for _, i, j in e])
+
+
+def vectors(r, n=130, kinds=14):
+    base = [[r.gauss(0, 1) for _ in range(6)] for _ in range(kinds)]
+    rows = [(r.choice(["a", "a", "a", "b", None]), [x + r.choice([0, 0, 0.3]) * r.gauss(0, 1) for x in r.choice(base)]) for _ in range(n)]
+    rows += [("a", [0.0] * 6), ("a", [0.0] * 6), ("a", None), ("a", rows[0][1][:5]), ("b", [2 * x for x in base[0]])]
+    at = {}
+    return [(k, at.setdefault(k, itertools.count()).__next__(), v) for k, v in rows]
+
+
+def links_of(rows, t):
+    ok = [x for x in rows if x[2] is not None and any(x[2])]
+    near = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)) > t
+    return {(a[0], a[1], b[1]) for a, b in itertools.permutations(ok, 2) if a[0] == b[0] and a[1] < b[1] and len(a[2]) == len(b[2]) and near(a[2], b[2])}
+
+
+def test_cosine_links_are_those_of_classes(spark, monkeypatch):
+    rows = vectors(random.Random(7))
+    want = links_of(rows, 0.9)
+    df = spark.createDataFrame(rows, "label string, idx long, v array<double>")
+    value = {(k, i): v for k, i, v in rows}
+    first = {x: min(i for (k, i), v in value.items() if k == x[0] and v == value[x]) for x in value}
+    for block, tile, at_once in ((512, 32, 128), (8, 3, 2)):
+        monkeypatch.setattr(edges, "BLOCK", block)
+        monkeypatch.setattr(edges, "TILE", tile)
+        monkeypatch.setattr(edges, "AT_ONCE", at_once)
+        got = edges.cosine_edges(df, 0.9).collect()
+        assert len(got) == len({(r.label, r.i, r.j) for r in got})
+        assert {(r.label, r.i, r.j) for r in got if not r.copy} == {(k, i, j) for k, i, j in want if first[k, i] == i and first[k, j] == j and value[k, i] != value[k, j]}
+        assert {(r.label, r.i, r.j) for r in got if r.copy} == {(k, first[k, j], j) for k, _, j in want if first[k, j] != j}
+        led = {(r.label, r.leader, r.idx) for r in leader_groups(edges.cosine_edges(df, 0.9)).collect()}
+        assert led == {(k, *p) for k in ("a", "b", None) for p in greedy([(i, j) for l, i, j in sorted(want, key=repr) if l == k])}
+
+
+def test_links_of_one_label_come_from_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(edges, "BLOCK", 8)
+    rows = [("a", i, [1.0, i / 1000, (i * i % 7) / 100]) for i in range(120)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = edges.cosine_edges(spark.createDataFrame(rows, "label string, idx long, v array<double>"), 0.9)
+        assert got.where("NOT copy").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_hamming_links(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        h = r.choice(base)
+        for b in r.sample(range(64), r.choice([0, 0, 1, 2, 3, 4, 6])):
+            h ^= 1 << b
+        rows.append((r.choice(["a", None]), i, f"{h:064b}"))
+    rows += [("a", 200, ""), ("a", 201, None), ("a", 202, "1" * 64), ("a", 203, "1" * 64)]
+    df = spark.createDataFrame(rows, "label string, idx long, phash string")
+    ok = [(k, i, int(h, 2)) for k, i, h in rows if h]
+    first = {(k, h): min(i for l, i, g in ok if (l, g) == (k, h)) for k, _, h in ok}
+    for bits in (0, 3, 5, 8):
+        got = [tuple(x) for x in edges.hamming_edges(df, bits).collect()]
+        firsts = [(k, i, h) for (k, h), i in first.items()]
+        want = {(a[0], min(a[1], b[1]), max(a[1], b[1]), (a[2] ^ b[2]).bit_count(), False) for a, b in itertools.combinations(firsts, 2) if a[0] == b[0] and (a[2] ^ b[2]).bit_count() <= bits}
+        want |= {(k, first[k, h], i, 0, True) for k, i, h in ok if first[k, h] != i}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def groups_of(r):
-    return [(f"l{k}", n, sorted(r.sample(range(30), r.randint(2, 5)))) for k in range(10) for n in range(1, r.randint(2, 9))]
+    return [(None if k == 4 else f"l{k}", n, sorted(r.sample(range(30), r.randint(2, 5)))) for k in range(10) for n in range(1, r.randint(2, 9))]
+
+
+def frame(spark, groups):
+    return spark.createDataFrame([(k, no, i) for k, no, m in groups for i in m], "label string, group_no long, idx long")
+
+
+def sets_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.label, r.group_no), []).append(r.idx)
+    return {k: sorted(v) for k, v in out.items()}
 
 
 def fold_once(groups):
@@ -56,17 +143,17 @@ def fold_once(groups):
 
 def test_single_pass(spark):
     g = groups_of(random.Random(2))
-    got = merge_single_pass(spark.createDataFrame(g, "label string, group_no long, members array<long>")).collect()
+    got = sets_of(merge_single_pass(frame(spark, g)).collect())
     for k in {x[0] for x in g}:
-        assert sorted(r.members for r in got if r.label == k) == fold_once([m for l, _, m in g if l == k])
-    one = [("a", 1, [1, 2]), ("a", 2, [3, 4]), ("a", 3, [2, 3])]
-    got = merge_single_pass(spark.createDataFrame(one, "label string, group_no long, members array<long>"))
-    assert sorted(r.members for r in got.collect()) == [[1, 2, 3], [3, 4]]
+        assert sorted(m for (l, _), m in got.items() if l == k) == fold_once([m for l, _, m in g if l == k])
+    got = sets_of(merge_single_pass(frame(spark, [("a", 1, [1, 2]), ("a", 2, [3, 4]), ("a", 3, [2, 3])])).collect())
+    assert got == {("a", 1): [1, 2, 3], ("a", 2): [3, 4]}
+    assert merge_single_pass(frame(spark, [])).count() == 0
 
 
 def test_components(spark):
     g = groups_of(random.Random(3))
-    got = merge_components(spark.createDataFrame(g, "label string, group_no long, members array<long>")).collect()
+    got = sets_of(merge_components(frame(spark, g)).collect())
     for k in {x[0] for x in g}:
         sets = [set(m) for l, _, m in g if l == k]
         while True:
@@ -74,7 +161,24 @@ def test_components(spark):
             if len(nxt) == len(sets):
                 break
             sets = nxt
-        assert sorted(r.members for r in got if r.label == k) == sorted(sorted(s) for s in sets)
+        assert sorted(m for (l, _), m in got.items() if l == k) == sorted(sorted(s) for s in sets)
+
+
+def test_numbers_follow_level_and_lead(spark):
+    rows = [("b", "y", 3, 3), ("b", "y", 3, 9), ("b", "x", 7, 7), (None, "y", 1, 1), (None, "x", 2, 2), (None, "x", 2, 5)]
+    got = sets_of(numbered_groups(spark.createDataFrame(rows, "label string, level string, lead long, idx long"), ["x", "y"]).collect())
+    assert got == {("b", 1): [7], ("b", 2): [3, 9], (None, 1): [2, 5], (None, 2): [1]}
+
+
+def test_best_and_losers_with_null_labels(spark):
+    items = spark.createDataFrame([(None, 0, "h", 0.1), (None, 1, "h", 0.5), (None, 2, "", 0.5), (None, 3, "", 0.5), ("a", 0, "h", 0.3), ("a", 1, "h", 0.3), ("a", 2, None, 0.3)], "label string, idx long, hash string, quality double")
+    groups = dedup.key_groups(items, "hash")
+    assert sorted((str(r.label), r.n, r.group_no, r.idx) for r in groups.collect()) == [("None", 2, 0, 0), ("None", 2, 0, 1), ("a", 2, 0, 0), ("a", 2, 0, 1)]
+    unique = dedup.unique_items(items, groups)
+    assert sorted((str(r.label), r.idx) for r in unique.collect()) == [("None", 1), ("None", 2), ("None", 3), ("a", 0), ("a", 2)]
+    more = frame(spark, [(None, 1, [0, 1, 2, 3]), ("a", 1, [0, 1])])
+    left = dedup.remapped_groups(more, unique.withColumn("uidx", F.col("idx") * 10))
+    assert sets_of(left.collect()) == {(None, 1): [10, 20, 30]}
 
 
 def test_connected_components(spark):
@@ -135,11 +239,12 @@ def test_split(spark):
             free = free[size:]
         if r.random() < 0.5 and n > 4:
             gs.append((len(gs) + 1, sorted(r.sample(range(n), 3))))  # overlaps
-        rows += [(f"l{k}", i, q[i]) for i in range(n)]
-        groups += [(f"l{k}", no, g) for no, g in gs]
-        want[f"l{k}"] = split_plainly(n, q, gs, 0.75)
+        label = None if k == 7 else f"l{k}"
+        rows += [(label, i, q[i]) for i in range(n)]
+        groups += [(label, no, g) for no, g in gs]
+        want[label] = split_plainly(n, q, gs, 0.75)
     items = spark.createDataFrame(rows, "label string, idx long, quality double")
-    got = smart_split(items, spark.createDataFrame(groups, "label string, group_no long, members array<long>"), 0.75).collect()
+    got = smart_split(items, frame(spark, groups), 0.75).collect()
     assert len(got) == len(rows)
     for x in got:
         assert want[x.label][x.idx] == x.split, x

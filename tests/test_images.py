@@ -1,17 +1,19 @@
 """Images from PNG files that are made here, through Spark's image source."""
 
 import json
-import math
 import struct
 import zlib
 
 import numpy as np
 import pytest
 
-from sortwell.functions import images as I
-from sortwell.plans import app
-from sortwell.sources import files, sinks
+from pyspark.sql import functions as F
+
+from sortwell.functions import rasters as R
+from sortwell.functions.vectors import average_hash
 from sortwell.operators import report
+from sortwell.plans import app, detect
+from sortwell.sources import files
 
 
 def png(m):
@@ -58,52 +60,20 @@ def test_scan_and_inventory(spark, roots):
     assert valid["flat.png"] and not valid["broken.png"]
 
 
-def test_features(spark, roots):
-    rows = {r.path.rsplit("/", 1)[1]: r for r in I.image_features(files.read_images(spark, roots["train"] + "/leaf")).collect()}
+def test_measures(spark, roots):
+    rows = {r.path.rsplit("/", 1)[1]: r for r in R.image_measures(files.read_images(spark, roots["train"] + "/leaf")).withColumn("phash", average_hash(F.col("thumb"))).collect()}
     flat, half, broken = rows["flat.png"], rows["half.PNG"], rows["broken.png"]
-    assert flat.quality.raw_sharpness == 0 and flat.quality.raw_brightness == 127 and flat.quality.raw_contrast == 0 and flat.quality.edge_density == 0
-    assert flat.quality.brightness == 1 and flat.quality.exposure_quality == 1 and flat.phash == "0" * 64
-    assert half.quality.raw_brightness == 127.5 and half.quality.raw_contrast == 127.5 and half.phash == "00001111" * 8
-    assert abs(half.quality.edge_density - 1 / 40) < 0.03 and half.complexity.object_count == 1
-    assert len(flat.features) == 94 and abs(sum(flat.features) - 3) < 1e-3
-    assert broken.phash is None and broken.quality.raw_noise == 100 and broken.features is None
-
-
-def test_kernels():
-    g = lambda m: I.gray_of(m.astype(np.uint8))
-    assert I.sharpness(g(CHECKER)) == pytest.approx(1020**2)
-    assert I.ssim(g(HALF), g(HALF), 64) == pytest.approx(1) and I.rotation_ssim(g(HALF), np.rot90(g(HALF)), 64) == pytest.approx(1)
-    assert I.foreground_ssim(HALF.astype(np.uint8), HALF.astype(np.uint8), 64) == pytest.approx(1)
-    red = np.zeros((4, 4, 3), np.uint8)
-    red[:, :, 2] = 255
-    assert I.hsv_of(red)[0, 0].tolist() == [0, 255, 255]
-    assert I.complexity(SMALL.astype(np.uint8))["texture_complexity"] == 0.5
-    mask = np.zeros((30, 30), bool)
-    mask[5:15, 5:15] = True
-    (area, perimeter, _), = I.outlines(mask)
-    assert (area, perimeter) == (81, 36)
-    blob = np.zeros((80, 80), np.uint8)
-    blob[10:40, 10:40] = blob[50:78, 50:78] = 200
-    assert I.object_count(blob) == 2 and I.completeness(blob, I.outlines(I.otsu(blob))) == 0.5
-
-
-def test_noise_of_a_flat_image_counts_as_none():
-    q = I.quality(FLAT.astype(np.uint8))
-    assert q["noise_quality"] in (0.0, 1.0) or math.isfinite(q["raw_noise"])
-
-
-def test_ssim_query_compares_at_the_size_of_the_reference(spark, monkeypatch):
-    from sortwell import queries
-
-    sizes, plain = [], I.image_pairs_ssim  # the rows are not computed here
+    assert flat.sharpness == 0 and flat.resolution == 1600 and np.allclose(flat.thumb, 127) and flat.phash == "0" * 64
+    assert half.phash == "00001111" * 8 and abs(half.sharpness - 255 / 39 / 2) < 1e-9
+    assert len(half.histogram) == 96 and abs(sum(half.histogram) - 3) < 1e-9 and half.histogram[0] == 0.5
+    assert broken.thumb is None and broken.histogram is None
 
-    def noted(pairs, size=256):
-        sizes.append(size)
-        return plain(pairs, size)
 
-    monkeypatch.setattr(I, "image_pairs_ssim", noted)
-    got = queries.ssim_neighbours(spark, "/root/testdata/sf0.001")
-    assert sizes == [256] and got.columns == ["vec_id", "ssim", "rotation_ssim", "foreground_ssim"]
+def test_thumbnails_of_any_size():
+    m = np.arange(30.0).reshape(5, 6)
+    assert len(R.thumbnail(m)) == 64 and R.thumbnail(np.full((1, 1), 7.0)) == [7.0] * 64
+    big = np.random.default_rng(1).random((64, 80))
+    assert np.allclose(np.reshape(R.thumbnail(big), (8, 8)), big.reshape(8, 8, 8, 10).mean(axis=(1, 3)))
 
 
 def test_run(spark, roots, tmp_path):
@@ -116,8 +86,28 @@ def test_run(spark, roots, tmp_path):
     assert len({r.file_hash for r in leaf}) == len(leaf) and {r.split for r in leaf} <= {"train", "test"}
     for r in manifest:
         assert (out / r.split / r.label / r.target_name).exists()
-    reports = [json.loads(x) for f in (out / "split_analysis").glob("part-*") for x in f.read_text().splitlines()]
-    assert sum(x["verification"]["total_output_count"] for x in reports) == len(manifest)
+    lines = lambda *at: [json.loads(x) for f in out.joinpath(*at).glob("part-*") for x in f.read_text().splitlines()]
+    reports = {x["label"]: x for x in lines("split_analysis", "summary")}
+    assert sum(x["verification"]["total_output_count"] for x in reports.values()) == len(manifest)
+    assert reports["leaf"]["processing_summary"]["images_copied"] == len(leaf) and reports["leaf"]["settings"]["embedding_method"] == "histogram"
+    assert {x["label"] for x in lines("split_analysis", "groups")} == {"leaf"}
+    ranked = lines("evaluation")
+    assert {(x["label"], x["place"]) for x in ranked} == {(k, n) for k in ("leaf", "root") for n in range(1, 6)}
+
+
+def test_run_keeps_near_duplicates_as_intended(spark):
+    v = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [1.0, 0.0]]
+    rows = [("a", i, f"h{i % 3}", f"{i % 3:064b}" if i else f"{0:064b}", x, i / 10) for i, x in enumerate(v)]
+    f = spark.createDataFrame(rows, "label string, idx long, file_hash string, phash string, v array<double>, quality double")
+    f = f.withColumn("phash", F.when(F.col("idx") == 2, "1" * 64).when(F.col("idx") == 1, "01" * 32).otherwise("0" * 64))
+    for keep, left in ((True, [1, 2, 3]), (False, [2, 3])):
+        s = files.Settings(keep_near_duplicates=keep)
+        groups = detect.detect_groups(f, s, levels="intended")
+        assert sorted((r.kind, r.idx) for r in groups.collect()) == [("exact", 0), ("exact", 3), ("near", 0), ("near", 1), ("near", 3)]
+        assert sorted(r.idx for r in detect.kept_items(f, groups, s).collect()) == left
+    assert sorted(r.idx for r in detect.kept_items(f, detect.detect_groups(f, s), s).collect()) == [2, 3]
+    mixed = f.withColumn("embedding_method", F.when(F.col("idx") == 1, "x").otherwise("y"))
+    assert {(r.i, r.j) for r in detect.vector_edges(mixed, 0.9).collect()} == {(0, 3)}
 
 
 def test_manifest_names(spark):
@@ -141,7 +131,7 @@ def test_settings(tmp_path):
 
 def test_recount(spark):
     a = spark.createDataFrame([("train",), ("train",), ("test",)], "split string")
-    got = {r.split: r.matches for r in sinks.recount(a, a.where("split = 'train'")).collect()}
+    got = {r.split: r.matches for r in report.recount(a, a.where("split = 'train'")).collect()}
     assert got == {"train": True, "test": False}
 
 
@@ -158,5 +148,5 @@ def test_embedding(spark, roots):
 
     rows = {r.path.rsplit("/", 1)[1]: r for r in embed(files.read_images(spark, roots["train"] + "/leaf"), load, "mean").collect()}
     assert np.allclose(rows["flat.png"].embedding, [3**-0.5] * 3, atol=1e-6) and rows["flat.png"].embedding_method == "mean"
-    assert len(rows["noise.png"].embedding) == 94 and rows["noise.png"].embedding_method == "histogram"
+    assert len(rows["noise.png"].embedding) == 96 and rows["noise.png"].embedding_method == "histogram"
     assert rows["broken.png"].embedding is None
