@@ -37,7 +37,7 @@ READER_WORDS = frozenset("comment comments commentlist discussion disqus replies
 SIDE_WEIGHT, READER_WEIGHT = 1 / 64, 0.0
 #: Elements that hold other blocks without being prose themselves, and those that are prose.
 GENERIC = frozenset("#page html body article aside center details dialog div fieldset footer form header hgroup main nav search section".split())
-PROSE = frozenset("p pre blockquote li dd".split())
+PROSE = frozenset("p pre blockquote li dt dd td th".split())
 #: Share of the main block's density sum that other text needs which isn't in an element of prose.
 BESIDE = 1.0
 _WORDS = re.compile(r"[a-z0-9]+")

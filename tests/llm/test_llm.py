@@ -18,7 +18,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import duckdb  # noqa: E402
 
-from sortwell.llm import bpe, chat_repair, cnn, ego, exact_dedup, html_density, mixing, qda, simhash, token_histogram  # noqa: E402
+from sortwell.llm import bpe, chat_repair, cnn, ego, exact_dedup, html_density, keep, mixing, qda, simhash, token_histogram  # noqa: E402
 from sortwell.llm.queries import oracle_sql, queries  # noqa: E402
 
 DIR = "/root/testdata/sf0.001"
@@ -84,6 +84,22 @@ def test_bpe_chunks_agree_with_the_whole_text():
     assert c.reused > before
 
 
+def test_bpe_keeps_chunks_by_bytes(monkeypatch):
+    c, r = bpe.ChunkCoder(PATH), random.Random(2)
+    text = "".join(r.choices("abcdefgh", k=400_000))
+    for k in range(12):  # texts without a place to cut
+        ids = c.encode(chr(97 + k) + text)
+        assert c.decode(ids) == chr(97 + k) + text
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 50_000)
+    c = bpe.ChunkCoder(PATH)
+    for _ in range(60):
+        c.encode(" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(800)))
+        for table in (c.young, c.old):
+            assert sum(len(x) + got[0].nbytes for x, got in table.items()) <= 50_000
+            assert all(len(x) <= bpe.KEEP_CHUNK for x in table)
+    assert c.seen > 200
+
+
 def test_histogram(spark, odd, none):
     t = Tokenizer.from_file(PATH)
     n = np.array([len(t.encode(x or "", add_special_tokens=False).ids) for _, x, *_ in ODD])
@@ -117,6 +133,72 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.materialise(none).count() == 0
 
 
+def plain_mix(docs):
+    """(id, taken, times, extra) of (id, text, source), from the definition, one document after another."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    place = lambda i: int(hashlib.md5(f"17:{'' if i is None else i}".encode()).hexdigest()[:15], 16)
+    by_source = {}
+    for i, t, s in docs:
+        by_source.setdefault(s, []).append((place(i), i, words(t)))
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    size = {s: sum(n for *_, n in by_source[s]) for s in names}
+    target, open_ = {}, set(names)
+    while True:
+        rest = 1.5 * sum(size.values()) - sum(target.values())
+        over = {s for s in open_ if weight[s] * rest / sum(weight[x] for x in open_) > 2 * size[s]}
+        if not over:
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        open_ -= over
+        if not open_:
+            break
+    for s in open_:
+        target[s] = min(2.0 * size[s], weight[s] * rest / sum(weight[x] for x in open_))
+    out = []
+    for s in names:
+        epochs = int(target[s] // size[s]) if size[s] else 0
+        missing = math.floor(target[s] - epochs * size[s] + 0.5)
+        if size[s] and missing >= size[s]:
+            epochs, missing = epochs + 1, 0
+        at = {}
+        for u, _, n in by_source[s]:
+            at[u] = at.get(u, 0) + n
+        before, total = {}, 0
+        for u in sorted(at):
+            before[u], total = total, total + at[u]
+        for u, i, n in by_source[s]:
+            once = missing > 0 and before[u] + at[u] <= missing
+            part = int((missing - before[u]) * (n / at[u])) if missing > 0 and at[u] and before[u] <= missing < before[u] + at[u] else 0
+            out.append((i, (epochs + once) * n + part, epochs + once, part))
+    return out
+
+
+def test_mixing_against_a_plain_one(spark, monkeypatch):
+    r = random.Random(9)
+    docs = [(i if i % 40 else None, None if i % 17 == 0 else " ".join(["w"] * r.choice([0, 1, 3, 50, 400])), r.choice(["a"] * 6 + ["b", "c", "d", None])) for i in range(150)]
+    docs += [docs[5]] * 3 + [(900, "x y", "tiny"), (901, "", "none"), (902, None, "none")]
+    clash = ("row", "id", "u", "p_cut", "cut", "_times", "_whole", "_extra", "_s", "times", "words", "whole", "epochs", "_way")
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], DOCS).withColumns({c: F.lit(77) for c in clash})
+    want = plain_mix(docs)
+    for few in (mixing.FEW_SOURCES, 0):
+        monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+        got = [(x.doc_id, x.taken, x.times, x.extra) for x in mixing.mix(df).collect()]
+        # words lost where copies share a cut are at most one each
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        out = mixing.materialise(df)
+        assert out.columns == df.columns and {tuple(x[c] for c in clash) for x in out.collect()} == {(77,) * len(clash)}
+        copies = {}
+        for i, _, times, extra in want:
+            copies[i] = copies.get(i, 0) + times + (extra > 0)
+        held = {}
+        for x in out.collect():
+            held[x.doc_id] = held.get(x.doc_id, 0) + 1
+            assert x.n_chars == len(x.text or "")
+        assert held == {i: n for i, n in copies.items() if n}
+    assert all(times + (extra > 0) <= 2 for _, _, times, extra in want)
+
+
 def test_mixing_of_sources_without_words(spark):
     assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, "", "en", "a", 0), (2, None, "en", "b", 0)], DOCS)).collect()] == [0, 0]
 
@@ -204,6 +286,75 @@ def test_html_query(spark):
     assert got == {i: (article(h), len(article(h))) for i, h in rows}
 
 
+STORY = "some words of the story that run on for a while, as they do here. " * 3
+ARTICLE = f"<h1>Title</h1><p>{STORY}</p><p>{STORY}{STORY}</p><p>{STORY}</p>"
+ARTICLE_TEXT = "\n".join(["Title", STORY.strip(), (STORY + STORY).strip(), STORY.strip()])
+MENU = "<nav><ul>" + "".join(f"<li><a href=/{i}>menu {i}</a></li>" for i in range(6)) + "</ul></nav>"
+
+
+def test_html_parts_that_lists_of_names_get_wrong():
+    text = html_density.main_text
+    assert text(f"<body><form action=x>{MENU}<div class=c>{ARTICLE}</div><input name=q><select><option>a<option>b</select><button>Go</button></form></body>") == ARTICLE_TEXT
+    assert text(f"<body>{MENU}<div><button>Go<div class=c>{ARTICLE}</div></div></body>") == ARTICLE_TEXT
+    assert text(f"<body><article><h1>T</h1><p>{STORY}</p><div class='section related-work'><p>{STORY}</p></div><div class='share-price'><p>{STORY}</p></div></article></body>") == "\n".join(["T"] + [STORY.strip()] * 3)
+    for comments in (f"<article class='comment'><p>{STORY}</p></article><article id='comment-5'><p>{STORY * 9}</p></article>",):
+        assert text(f"<body>{MENU}<article>{ARTICLE}</article>{comments}</body>") == ARTICLE_TEXT
+        assert text(f"<body>{MENU}<article>{ARTICLE}<section class=comments>{comments}</section></article></body>") == ARTICLE_TEXT
+    assert text(f"<body>{MENU}{ARTICLE}<footer>c me</footer></body>") == ARTICLE_TEXT
+    assert text(f"<body><div><ul><li><a href=x>a</a><li><a href=y>b</a></ul></div>{ARTICLE}<div>copyright me</div></body>") == ARTICLE_TEXT
+    parts = "".join(f"<section><h2>{k}</h2>" + f"<p>{STORY}</p>" * n + "</section>" for k, n in zip("ABC", (3, 1, 2)))
+    assert text(f"<body>{MENU}<div>{parts}</div><div>buy now</div></body>") == "\n".join(x for k, n in zip("ABC", (3, 1, 2)) for x in [k] + [STORY.strip()] * n)
+
+
+def test_html_density_finds_the_article_without_names():
+    rows = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    tried = 0
+    for (h,) in rows:
+        plain = re.sub(r"<(/?)(nav|article|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", h)
+        plain = re.sub(r'\s(class|id|role)="[^"]*"', "", plain)
+        want = html_density.main_text(h)
+        rest = re.sub(r"<[^>]*>", "", re.sub(r"(?s)<head>.*?</head>|<nav>.*?</nav>|<article>.*</article>", "", h))
+        if len(want) > 2 * len(rest):  # an article shorter than the loose text around it looks like that
+            tried += 1
+            assert html_density.main_text(plain) == want
+    assert tried > 0.9 * len(rows)
+
+
+def test_html_without_density_is_another_text(monkeypatch):
+    rows = duckdb.sql(f"SELECT html FROM '{DIR}/pages.parquet'").fetchall()
+    with_density = [html_density.main_text(h) for (h,) in rows]
+    monkeypatch.setattr(html_density, "composite_density", lambda *_: 0.0)
+    assert all(html_density.main_text(h) != t for (h,), t in zip(rows, with_density, strict=True))
+
+
+def test_html_densities_against_plain_counts():
+    from xml.etree import ElementTree
+
+    page = f"<body><div><ul><li><a>menu one</a></li><li><a>menu</a></li></ul></div><div><p>{STORY}<b>bold</b> <a>link</a></p><p>{STORY}<br/>more</p><ul><li>one</li><li>two words</li></ul></div><p>end</p></body>"
+    tree = ElementTree.fromstring(page)
+    chars = lambda e: len("".join("".join(e.itertext()).split()))
+    links = lambda e: sum(chars(a) for a in e.iter("a"))
+    body = (chars(tree), links(tree))
+
+    def density(e):
+        c, t, lc, lt = chars(e), sum(1 for _ in e.iter()), links(e), sum(1 for _ in e.iter("a"))
+        base = math.log(c / max(1, c - lc) * lc + body[1] / body[0] * c + math.e)
+        return c / t * math.log(max(1, c / max(1, lc) * t / max(1, lt))) / math.log(base)
+
+    parsed = html_density.Page()
+    parsed.feed(page)
+    parsed.close()
+    nodes = html_density._in_order(parsed.body)
+    html_density._total(nodes)
+    html_density._measure(parsed.body, {})
+    elements = [e for e in tree.iter() if e.tag in html_density.BLOCK]
+    assert [n.tag for n in nodes] == [e.tag for e in elements]
+    for n, e in zip(nodes, elements, strict=True):
+        assert n.density == pytest.approx(density(e))
+        if n.children and n is not nodes[0]:
+            assert n.sum == pytest.approx(sum(density(x) for x in e if x.tag in html_density.BLOCK))
+
+
 # 4
 
 
@@ -268,7 +419,28 @@ def test_quality(spark, odd, none):
     assert all(rows[i].held_out for i in y) and all(0 <= r.score <= 1 for r in rows.values())
     labels = spark.createDataFrame([(1, 1), (4, 1), (8, 0), (9, 0), (4, None), (99, 1)], "doc_id long, quality int")
     assert qda.quality(odd, labels).count() == len(ODD) and qda.quality(none, labels).count() == 0
-    assert {r.score for r in qda.quality(odd, labels.where("quality = 1")).collect()} == {0.5}
+    assert {r.score for r in qda.quality(odd, labels.where("quality = 1")).collect()} == {1.0}
+    assert {r.score for r in qda.quality(odd, labels.where("quality = 0")).collect()} == {0.0}
+    assert {r.score for r in qda.quality(odd, labels.where("false")).collect()} == {0.0}
+    again = qda.quality(odd.union(odd), labels.union(labels)).groupBy("doc_id").agg(F.countDistinct("score").alias("n")).collect()
+    assert {r.doc_id: r.n for r in again if r.doc_id not in (7,)} == {i: 1 for i, *_ in ODD if i != 7}
+
+
+def test_quality_statistics_against_plain_counts():
+    texts = ["", "one", "A b, C d. E! 12 | x", "Ünï cödé wörds; and and and.\n\nline two\nline two\n", "word " * 500, "a|b\tc#d $e\n" * 40]
+    for t in texts:
+        w, b = t.encode().split(), t.encode()
+        shown = max(1, sum(c not in b" \t\n\r\x0b\x0c" for c in b))
+        count = lambda chars: sum(c in chars for c in b)
+        in_bytes = lambda k, usual: math.log((k + qda.MORE_BYTES * usual) / (shown + qda.MORE_BYTES) + 1e-3)
+        in_words = lambda k, usual: math.log((k + qda.MORE_WORDS * usual) / (len(w) + qda.MORE_WORDS) + 1e-3)
+        distinct = lambda xs: math.log((len(set(xs)) + qda.MORE_WORDS) / (len(xs) + qda.MORE_WORDS))
+        want = {
+            "word_length": in_words(shown, 5.0), "marks": in_bytes(count(b"#$%&*@~^_=+<>{}[]\\`"), 0), "pipes": in_words(count(b"|"), 0), "capitals": in_bytes(count(bytes(range(65, 91))), 0.03), "bangs": in_words(count(b"!?"), 0),
+            "digits": in_bytes(count(b"0123456789"), 0), "stops": in_words(count(b"."), 0.1), "commas": in_words(count(b",;:"), 0.07), "distinct_words": distinct(w), "distinct_pairs": distinct(list(zip(w, w[1:]))),
+            "distinct_lines": distinct([x for x in b.split(b"\n") if x.strip()]), "short_words": in_words(sum(len(x) <= 3 for x in w), 0.3), "other_bytes": in_bytes(sum(c > 127 for c in b), 0.02),
+        }
+        assert dict(zip(qda.STATISTICS, qda.statistics(t))) == pytest.approx(want)
 
 
 def test_quality_pairs_cover_the_whole_text():
@@ -310,6 +482,90 @@ def test_toxicity(spark, odd, none):
     assert len(got) == len(ODD) and all(0 <= r.s <= 1 for r in got) and cnn.score(none, m).count() == 0
 
 
+def small_model(seed=1):
+    r = np.random.default_rng(seed)
+    n = len(cnn.WIDTHS) * cnn.FILTERS
+    tables = [r.normal(0, 1, (k, cnn.DIM)) for k in (cnn.WORD_BUCKETS, cnn.WORD_BUCKETS, cnn.PREFIX_BUCKETS)]
+    for t in tables:
+        t[0] = 0
+    return cnn.Model(tables, r.normal(0, 1, (cnn.DIM, sum(cnn.WIDTHS) * cnn.FILTERS)), r.normal(0, 1, n), r.normal(0, 1, n), 0.3, np.zeros(len(cnn._LANGS) + 1))
+
+
+def some_words(r, n):
+    return np.column_stack([r.integers(1, k, n) for k in (cnn.WORD_BUCKETS, cnn.WORD_BUCKETS, cnn.PREFIX_BUCKETS)]).astype(np.int32)
+
+
+def plain_loss(m, docs, y, shown):
+    """The loss, window by window; a window starts at a shown word and sees left-out words and those past the end as zeros."""
+    total = 0.0
+    for d, label, s in zip(docs, y, shown, strict=True):
+        v = [m.tables[0][a] + m.tables[1][b] + m.tables[2][c] if there else np.zeros(cnn.DIM) for (a, b, c), there in zip(d, s, strict=True)]
+        z, at = m.out_bias, 0
+        for k, width in enumerate(cnn.WIDTHS):
+            for f in range(cnn.FILTERS):
+                acts = [sum(v[i + o] @ m.kernel[:, at + o * cnn.FILTERS + f] for o in range(width) if i + o < len(v)) for i in range(len(v)) if s[i]]
+                if acts:
+                    z += max(0.0, max(acts) + m.bias[k * cnn.FILTERS + f]) * m.out[k * cnn.FILTERS + f]
+            at += width * cnn.FILTERS
+        total += math.log1p(math.exp(-z if label else z))
+    return total
+
+
+def test_convolution_and_gradients_against_plain_loops():
+    r = np.random.default_rng(4)
+    m = small_model()
+    docs = [some_words(r, n) for n in (1, 2, 7, 12, 5)]
+    docs[3][5] = docs[3][6]
+    y = np.array([1, 0, 1, 0, 1.0])
+    every = [np.ones(len(d), bool) for d in docs]
+    for d, z in zip(docs, m.logits(docs), strict=True):
+        assert math.log1p(math.exp(-z)) == pytest.approx(plain_loss(m, [d], [1], [np.ones(len(d), bool)]), rel=1e-4)
+    for shown in (every, [r.random(len(d)) > 0.4 for d in docs], [np.zeros(len(d), bool) for d in docs]):
+        (kernel, bias, out), out_bias, tables = cnn.gradients(m, docs, y, shown)
+
+        def slope(array, at, h=1e-5):
+            was = array[at]
+            array[at] = was + h
+            up = plain_loss(m, docs, y, shown)
+            array[at] = was - h
+            down = plain_loss(m, docs, y, shown)
+            array[at] = was
+            return (up - down) / (2 * h)
+
+        for array, got in ((m.kernel, kernel), (m.bias, bias), (m.out, out)):
+            for at in list(np.ndindex(array.shape))[::7]:
+                assert got[at] == pytest.approx(slope(array, at), abs=2e-4)
+        for t, (where, g) in enumerate(tables):
+            for k in range(0, len(where), 3):
+                if where[k]:
+                    assert g[k, 2] == pytest.approx(slope(m.tables[t], (where[k], 2)), abs=2e-4)
+        base, h = m.out_bias, 1e-5
+        losses = []
+        for step in (h, -h):
+            m.out_bias = base + step
+            losses.append(plain_loss(m, docs, y, shown))
+        m.out_bias = base
+        assert out_bias == pytest.approx((losses[0] - losses[1]) / (2 * h), abs=2e-4)
+
+
+def test_language_of_a_text():
+    lang = lambda t: cnn.featurise(t)[1]
+    assert [lang("the house of the king"), lang("der Hund und die Katze"), lang("le chat et les chiens"), lang("el perro y los gatos")] == [cnn._LANGS.index(x) for x in ("en", "de", "fr", "es")]
+    assert lang("jestem bardzo zmęczony dzisiaj") == lang("") == lang(None) == cnn.UNKNOWN
+
+
+def test_toxicity_learns_from_long_texts_within_its_bound(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(cnn, "fit", lambda docs, langs, y, prior: seen.update(sizes=sorted(map(len, docs)), y=sorted(y.tolist())) or small_model())
+    docs = spark.createDataFrame([(1, "bad " * 100_000), (2, "good one"), (3, "so so"), (3, "so so"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (4, 1)], "doc_id long, toxic int")
+    cnn.train(docs, labels)
+    assert seen["sizes"][-1] == 100_000 and 0.0 in seen["y"] and 1.0 in seen["y"]
+    monkeypatch.setattr(cnn, "WORDS_PER_LABEL", 3)
+    cnn.train(docs, labels)
+    assert sum(seen["sizes"]) <= 6 and 2 in seen["sizes"]
+
+
 def test_long_texts_are_convolved_whole(monkeypatch):
     r = np.random.default_rng(1)
     ids = np.column_stack([r.integers(1, n, 500) for n in (cnn.WORD_BUCKETS, cnn.WORD_BUCKETS, cnn.PREFIX_BUCKETS)]).astype(np.int32)
@@ -336,6 +592,20 @@ def test_exact_dedup(spark, odd, none):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.keep_one(odd).columns == odd.columns
 
 
+def test_exact_dedup_is_the_same_without_lookups(spark, odd, monkeypatch):
+    plain = lambda df: sorted(map(repr, df.collect()))
+    names = odd.withColumns({c: F.lit("x") for c in ("id", "key", "_stays", "_id", "_key", "gone_id", "len", "head", "way", "t", "least")})
+    first = [plain(exact_dedup.exact_groups(odd)), plain(exact_dedup.keep_one(names)), plain(simhash.keep_one(names))]
+    for module in (exact_dedup, keep):
+        monkeypatch.setattr(module, "LOOKUP_ROWS", -1)
+    assert first == [plain(exact_dedup.exact_groups(odd)), plain(exact_dedup.keep_one(names)), plain(simhash.keep_one(names))]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    best = {}
+    for i, t, *_ in ODD:
+        best[norm(t)] = min([best.get(norm(t)), i], key=lambda x: (x is None, x))
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(names).collect()) == sorted(best.values())
+
+
 def test_exact_dedup_tells_equal_heads_apart(spark):
     a = "x" * 300
     rows = exact_dedup.exact_groups(spark.createDataFrame([(1, a + "a"), (2, a + "b"), (3, a + "a")], "doc_id long, text string")).collect()
@@ -379,6 +649,32 @@ def test_ego(spark, monkeypatch):
     assert ego.near_vectors(df.where("false")).count() == 0
 
 
+def test_intervals_find_all_links(monkeypatch):
+    r = np.random.default_rng(3)
+    base = r.normal(0, 1, (6, 10))
+    v = base[r.integers(0, 6, 160)] + r.normal(0, 0.2, (160, 10))
+    w = r.integers(1, 4, 160)
+    u = ego.unit(v)
+    axes = ego.principal(list(v))
+    p = ego.project(u, axes)
+    order = np.lexsort(np.floor(p / 0.3).T[::-1])
+    v, w, u, p = v[order], w[order], u[order], p[order]
+    linked = u @ u.T >= 0.93
+    np.fill_diagonal(linked, False)
+    for leaf, at_once in ((64, 1 << 14), (5, 7), (1, 3), (300, 2)):
+        monkeypatch.setattr(ego, "LEAF", leaf)
+        monkeypatch.setattr(ego, "AT_ONCE", at_once)
+        one = (v, p, w)
+        whole = ego.IntervalJoin(one, one, 0.93)
+        assert whole.counts.tolist() == (linked @ w).tolist()
+        for a in range(160):
+            assert all(whole.comp[a] == whole.comp[b] for b in np.flatnonzero(linked[a]))
+        assert len(set(whole.comp.tolist())) == 160 - np.linalg.matrix_rank(np.diag(linked.sum(1)) - linked.astype(float))
+        left, right = (v[:90], p[:90], w[:90]), (v[90:], p[90:], w[90:])
+        split = ego.IntervalJoin(left, right, 0.93)
+        assert split.counts.tolist() == (linked[:90, 90:] @ w[90:]).tolist() + (linked[:90, 90:].T @ w[:90]).tolist()
+
+
 # 10
 
 
@@ -418,6 +714,35 @@ def test_multi_index_finds_all_links(spark):
     assert set(got) == want
 
 
+def test_families_of_fingerprints(spark):
+    r = random.Random(11)
+    fps = {r.getrandbits(64) for _ in range(25)}
+    for f in list(fps)[:4]:  # dense families
+        for a, b in itertools.combinations_with_replacement(range(0, 64, 3), 2):
+            fps.add(f ^ (1 << a) ^ (1 << b))
+    for _ in range(6):  # chains
+        f = r.getrandbits(64)
+        for _ in range(12):
+            fps.add(f)
+            for b in r.sample(range(64), 3):
+                f ^= 1 << b
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    nodes = sorted(signed(f) for f in fps)
+    parent = {f: f for f in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(nodes, 2):
+        if ((a ^ b) % 2**64).bit_count() <= 3:
+            p, q = find(a), find(b)
+            parent[max(p, q)] = min(p, q)
+    got = {x.fp: x.root for x in simhash.fingerprint_groups(spark.createDataFrame([(f,) for f in nodes], "fp long")).collect()}
+    assert got == {f: find(f) for f in nodes}
+
+
 def test_dedup_stages_keep_one_row_of_each_text(spark):
     r = random.Random(5)
     a, b, c, d = (" ".join(r.choice("uvwxyz") * 3 + str(r.randrange(900)) for _ in range(60)) for _ in range(4))
@@ -428,9 +753,9 @@ def test_dedup_stages_keep_one_row_of_each_text(spark):
     ]
     df = spark.createDataFrame(docs, DOCS)
     want = sorted(map(repr, [(1, a, "de", "x", 1), (2, b, "en", "x", 1), (None, c, "en", "x", 1), (4, d, "en", "x", 1)]))
-    for keep in (exact_dedup.keep_one, simhash.keep_one):
-        assert sorted(repr(tuple(x)) for x in keep(df).collect()) == want
-        assert sorted(repr(tuple(x)) for x in keep(df.repartition(5)).collect()) == want
+    for keep_one in (exact_dedup.keep_one, simhash.keep_one):
+        assert sorted(repr(tuple(x)) for x in keep_one(df).collect()) == want
+        assert sorted(repr(tuple(x)) for x in keep_one(df.repartition(5)).collect()) == want
     assert sorted(repr(tuple(x)) for x in simhash.keep_one(exact_dedup.keep_one(df)).collect()) == want
     # one id with two texts that are not alike: both stay
     assert exact_dedup.keep_one(df.where("doc_id = 2")).count() == simhash.keep_one(df.where("doc_id = 2")).count() == 2
@@ -461,14 +786,14 @@ def test_pipeline(spark):
             parent[max(x, y)] = min(x, y)
     kept = [fps[i][1] for i in range(len(fps)) if find(i) == i]
     t = Tokenizer.from_file(PATH)
-    mixed = mixing.mix(spark.createDataFrame(kept)).collect()
-    take = {r.doc_id: r for r in mixed}
+    take = {i: (times, extra) for i, _, times, extra in plain_mix([(r.doc_id, r.text, r.source) for r in kept])}
     want = []
     for r in kept:
         n = len(t.encode(r.text, add_special_tokens=False).ids)
-        want += [(r.doc_id, n)] * take[r.doc_id].times
-        if take[r.doc_id].extra:
-            part = re.match(r"\s*(?:\S+\s+){%d}\S+" % (take[r.doc_id].extra - 1), r.text)[0]
+        times, extra = take[r.doc_id]
+        want += [(r.doc_id, n)] * times
+        if extra:
+            part = re.match(r"\s*(?:\S+\s+){%d}\S+" % (extra - 1), r.text)[0]
             want.append((r.doc_id, len(t.encode(part, add_special_tokens=False).ids)))
     got = [(r.doc_id, r.n_tokens) for r in p.run(spark, d).collect()]
     assert sorted(got) == sorted(want) and len(p.STAGES) == 5
