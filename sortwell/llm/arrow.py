@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes of text that a task handles at a time; a longer text is handled alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -23,3 +23,4 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ from sortwell.session import evenly, map_arrow, table
 CHUNK_BITS = 10
 MIN_CHUNK = 256
 #: Bytes that the chunks which a task keeps may take, with their ids, in each of two generations; a longer chunk than KEEP_CHUNK is not kept.
-KEEP_BYTES, KEEP_CHUNK = 16 << 20, 64 << 10
+KEEP_BYTES, KEEP_CHUNK = 6 << 20, 64 << 10
 
 #: Fixed values of byte-level vocabularies: the pattern of their pre-tokeniser.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -28,7 +28,7 @@ CALIBRATE = 4
 #: The score at which a document counts as toxic; each language's threshold is moved there.
 CUT = 0.3
 #: Words of a text that are convolved at a time.
-SPAN = 1 << 16
+SPAN = 1 << 15
 
 #: Frequent function words, by which a text's language is guessed.
 FUNCTION_WORDS = {
