@@ -12,9 +12,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """One row ``(node, component)`` for each end of an edge; ``component`` is the least node.
 
     Each round sends a node to its least neighbour (a forest, since parents are
-    smaller), follows parents twice, and rewrites the edges between what is left.
-    A component of two or more nodes at least halves each round. Every join is
-    between two written tables, so a hub's rows can be split at run time. Edges with
+    smaller), follows parents three times, and rewrites the edges between what is left.
+    A component of two or more nodes at least halves each round. Edges and parents are
+    written tables, so a hub's rows can be split at run time. Edges with
     a null end and loops are ignored; repeated edges are harmless.
     """
     low, high = F.least(a, b), F.greatest(a, b)
@@ -28,11 +28,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while not live.isEmpty():
         both = live.union(live.select("v", "u"))
         parent = settle(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("up")), "parents")
-        for _ in range(2):
-            above = parent.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-            jumped = settle(parent.join(above, "up").select("node", F.col("up2").alias("up")), "parents")
-            release(parent)
-            parent = jumped
+        jumped = parent
+        for _ in range(3):
+            jumped = jumped.join(parent.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").select("node", F.col("up2").alias("up"))
+        jumped = settle(jumped, "parents")
+        release(parent)
+        parent = jumped
         if labels is None:
             labels = parent.select("node", F.col("up").alias("component"))
         else:
