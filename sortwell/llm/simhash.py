@@ -58,7 +58,7 @@ def _segment(fp: Column, n: int) -> Column:
     return F.shiftrightunsigned(fp, 32 * n).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _matches(fps: DataFrame) -> DataFrame:
+def _matches(fps: DataFrame, radius: int = 1) -> DataFrame:
     """``pfp, fp``: pairs of distinct fingerprints at ``MAX_BITS`` or fewer differing bits, each from one side.
 
     ``fps`` has ``fp`` and ``root``, null or the group in which a fingerprint is known
@@ -68,11 +68,14 @@ def _matches(fps: DataFrame) -> DataFrame:
     segment goes into a table by its value, each fingerprint looks up the Hamming
     ball of radius one around its segment, and full distances are verified. From a
     ball of radius one only values with a bit more are looked up: of two segments at
-    distance one, one has the bit and is found from the other.
+    distance one, one has the bit and is found from the other. With ``radius`` 0 only
+    pairs with an equal segment are found.
     """
     seg = F.array(*[F.struct(F.lit(n).alias("n"), _segment(F.col("fp"), n).alias("seg")) for n in range(2)])
     rows = fps.select("fp", "root", F.inline(seg)).select("n", "seg", "fp", "root")
-    ball = F.concat(F.array(F.col("seg")), F.expr("transform(filter(sequence(0, 31), i -> getbit(seg, i) = 0), i -> seg | shiftleft(1L, i))"))
+    ball = F.array(F.col("seg"))
+    if radius:
+        ball = F.concat(ball, F.expr("transform(filter(sequence(0, 31), i -> getbit(seg, i) = 0), i -> seg | shiftleft(1L, i))"))
     probes = rows.select(F.col("n").alias("pn"), F.explode(ball).alias("at"), F.col("seg").alias("from_seg"), F.col("fp").alias("pfp"), F.col("root").alias("proot"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= MAX_BITS
     once = (F.col("at") != F.col("from_seg")) | (F.col("pfp") < F.col("fp"))
@@ -89,13 +92,13 @@ def links(fps: DataFrame) -> DataFrame:
 def fingerprint_groups(fps: DataFrame) -> DataFrame:
     """``fp, root`` of the distinct fingerprints ``fp``: the least fingerprint reachable by links.
 
-    Links of a dense family are not written out. A first pass keeps one partner of
-    each fingerprint, which joins nearly all of a family; a second one looks for links
-    between the groups so found, one for each pair of groups. Together they reach what
-    all links reach.
+    Links of a dense family are not written out. A first pass over equal segments keeps
+    one partner of each fingerprint, which joins nearly all of a family; a second one
+    over the whole balls looks for links between the groups so found, one for each pair
+    of groups. Together they reach what all links reach.
     """
     fps = fps.select("fp")
-    one = _matches(fps.withColumn("root", F.lit(None).cast("long"))).groupBy("pfp").agg(F.max("fp").alias("fp"))
+    one = _matches(fps.withColumn("root", F.lit(None).cast("long")), 0).groupBy("pfp").agg(F.max("fp").alias("fp"))
     joined = fps.join(connected_components(one, "pfp", "fp"), F.col("fp") == F.col("node"), "left")
     first = settle(joined.select("fp", F.coalesce("component", "fp").alias("root")), "families")
     between = _matches(first).select(F.least("root", "proot").alias("a"), F.greatest("root", "proot").alias("b")).distinct()
