@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sortwell.operators.components import connected_components
 from sortwell.operators.spread import with_group
-from sortwell.session import map_arrow, settle, table
+from sortwell.session import map_arrow, release, settle, table
 
 COSINE = 0.93
 #: Leading principal dimensions in which the grid lies and blocks are told apart.
@@ -269,7 +269,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = settle(vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v")).withColumn("ok", usable() & F.col("id").isNotNull()), "vectors")
     ok = with_group(rows.where("ok").select("id", "label", "v"), ["label", "v"], {"rep": F.min("id")}, "id")
     members = settle(ok.select("id", F.coalesce("rep", "id").alias("node"), F.coalesce("group_n", F.lit(1)).cast("long").alias("n"), "label", "v"), "members")
-    reps = members.where("id = node")
+    reps = members.where("id = node AND n = 1").union(members.where("id = node AND n > 1").dropDuplicates(["node", "label", "v"]))  # a repeated row is one
     sample = [np.array(r.v) for r in reps.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("v").collect()]
     axes = principal(sample)
     blocks = _blocks(reps, axes, kinds[id_col], kinds[label_col], width)
@@ -299,6 +299,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         return pa.table([ids.take(pa.array(hit)), pa.array(out.counts[hit]), ids.take(pa.array(out.comp[hit]))], names=["node", "cnt", "root"])
 
     found = settle(sent.groupBy("label", "dim", "a", "b").applyInArrow(join, f"node {kinds[id_col]}, cnt long, root {kinds[id_col]}"), "links")
+    release(blocks)
     comps = connected_components(found, "node", "root")
     counts = found.groupBy("node").agg(F.sum("cnt").alias("cnt"))
     nodes = settle(counts.join(comps, "node", "left"), "nodes")

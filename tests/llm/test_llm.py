@@ -640,13 +640,17 @@ def test_ego(spark, monkeypatch):
                 links[b[0]] += 1
                 p, q = find(a[0]), find(b[0])
                 parent[max(p, q)] = min(p, q)
-    df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, label int, n long").repartition(3)
+    df = spark.createDataFrame([(*x, 1) for x in [*rows, (None, rows[7][1], rows[7][2])]], "vec_id long, embedding array<double>, label int, n long").repartition(3)
+    df = df.withColumns({c: F.lit("x") for c in ("node", "v", "id", "block", "dim", "rep", "ok")})
     for sizes in ((512, 64, 128, 1 << 14), (8, 4, 2, 3), (16, 3, 128, 50)):
         for name, size in zip(("BLOCK", "LEAF", "TILE", "AT_ONCE"), sizes, strict=True):
             monkeypatch.setattr(ego, name, size)
         got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in ego.near_vectors(df).collect()}
-        assert got == {i: (links[i], find(i), find(i) == i) for i in links}
+        assert got == {i: (links[i], find(i), find(i) == i) for i in links} | {None: (0, None, True)}
     assert ego.near_vectors(df.where("false")).count() == 0
+    # rows that repeat an id share its component
+    again = ego.near_vectors(df.where("vec_id = 1000 OR vec_id = 4000").union(df.where("vec_id = 1000 OR vec_id = 4000"))).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in again) == [(1000, 1, 1000)] * 2 + [(4000, 0, 4000)] * 2
 
 
 def test_intervals_find_all_links(monkeypatch):
