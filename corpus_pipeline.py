@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sortwell.llm import bpe, cnn, exact_dedup, mixing, simhash
-from sortwell.session import settle, table
+from sortwell.session import release, settle, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = settle(docs, name.replace(" ", "-"))
+            if n:
+                release(before)
     return docs
