@@ -19,9 +19,15 @@ MAX_BITS = 3
 
 
 def with_representative(items: DataFrame, value: str, key: str = "label", idx: str = "idx") -> DataFrame:
-    """``key, idx, value, rep``: ``rep`` is the smallest position of the label with an equal value."""
-    rows = with_group(items.select(key, idx, value), [key, value], {"rep": F.min(idx)}, idx)
-    return rows.select(key, idx, value, F.coalesce("rep", idx).alias("rep"))
+    """``key, idx, value, rep``: ``rep`` is the smallest position of the label with an equal value.
+
+    Rows are told apart by a hash first, so values are grouped only where hashes meet.
+    """
+    marked = with_group(items.select(key, idx, value, F.xxhash64(value).alias("_hash")), [key, "_hash"], {}, idx)
+    marked = settle(marked.select(key, idx, value, F.col("group_n").isNotNull().alias("_met")), "marked")
+    met = with_group(marked.where("_met").select(key, idx, value), [key, value], {"rep": F.min(idx)}, idx)
+    alone = marked.where("NOT _met").select(key, idx, value, F.col(idx).alias("rep"))
+    return alone.unionByName(met.select(key, idx, value, F.coalesce("rep", idx).alias("rep")))
 
 
 def _copies(classes: DataFrame, key: str, idx: str, name: str, measure: Column) -> DataFrame:
@@ -65,7 +71,7 @@ def cosine_edges(items: DataFrame, threshold: float, vec: str = "v", key: str =
     label_type, idx_type = items.schema[key].dataType.simpleString(), "long"
     some = F.exists(vec, lambda x: x != 0)
     usable = items.where(some).select(F.col(key).alias("label"), F.col(idx).cast(idx_type).alias("idx"), F.col(vec).cast("array<double>").alias("v"))
-    classes = settle(with_representative(usable, "v", "label", "idx"), "classes")
+    classes = with_representative(usable, "v", "label", "idx")
     n_blocks = F.ceil((F.max("idx") + 1) / BLOCK)
     sizes = usable.groupBy("label").agg((F.least(F.ceil(F.sqrt(n_blocks)), F.lit(TILE)) * BLOCK).alias("width"), F.max("idx").alias("last"))
     rows = same_join(classes.where("idx = rep").select("label", "idx", "v", F.size("v").alias("dim")), sizes, ["label"])
@@ -112,7 +118,7 @@ def hamming_edges(items: DataFrame, max_bits: int = MAX_BITS, bits: str = "phash
     half = lambda s: F.conv(F.substring(bits, 32 * s + 1, 32), 2, 10).cast("long")
     whole = F.shiftleft(half(0), 32).bitwiseOR(half(1))
     rows = items.where(F.length(bits) == 64).select(F.col(key).alias("label"), F.col(idx).alias("idx"), whole.alias("h"))
-    classes = settle(with_representative(rows, "h", "label", "idx"), "classes")
+    classes = with_representative(rows, "h", "label", "idx")
     segment = lambda h, k: F.shiftrightunsigned(h, 64 - cut[k + 1]).bitwiseAND(F.lit((1 << size[k]) - 1)) if size[k] < 64 else h
     segments = F.array(*[F.struct(F.lit(k).alias("k"), segment(F.col("h"), k).alias("seg")) for k in range(n)])
     table = classes.where("idx = rep").select("label", "idx", "h", F.inline(segments))
