@@ -151,21 +151,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def _winners(m: Model, docs: list[np.ndarray], shown: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The activations that win the pooling, document x filter, and the words of their windows.
+
+    About ``SPAN`` words are convolved at a time, so memory is bounded.
+    """
+    n, pad = len(WIDTHS) * FILTERS, max(WIDTHS) - 1
+    top = np.full((len(docs), n), -np.inf)
+    words = np.zeros((len(docs), n, pad + 1, 3), np.int32)
+    blank = np.zeros((pad, 3), np.int32)
+
+    def take(group: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Pieces: number of the document, its words and as many of the next ones as a window needs, and which may start one."""
+        acts = m.convolve(np.concatenate([x for _, x, _ in group]))
+        at = 0
+        for d, x, starts in group:
+            part = acts[at : at + len(starts)]
+            part[~starts] = -np.inf
+            best = part.argmax(axis=0)
+            value = part[best, np.arange(n)]
+            better = value > top[d]
+            top[d][better] = value[better]
+            words[d][better] = x[best[better][:, None] + np.arange(pad + 1)]
+            at += len(x)
+
+    group, held = [], 0
+    for d, (ids, s) in enumerate(zip(docs, shown, strict=True)):
+        ids = np.concatenate([ids * s[:, None], blank])
+        for at in range(0, len(s), SPAN):
+            group.append((d, ids[at : at + SPAN + pad], s[at : at + SPAN]))
+            held += len(group[-1][1])
+            if held >= SPAN:
+                take(group)
+                group, held = [], 0
+    if group:
+        take(group)
+    return top, words
+
+
 def gradients(m: Model, docs: list[np.ndarray], y: np.ndarray, shown: list[np.ndarray]) -> tuple[list[np.ndarray], float, list[tuple[np.ndarray, np.ndarray]]]:
     """Of the logistic loss summed over ``docs``: gradients of kernel, bias and out, of the output bias, and (rows, gradients) of each table.
 
     ``shown`` says which words a showing has; the others are blank like padding, and no
     window starts at one. Only the windows that won the pooling get gradients.
     """
-    n, pad = len(WIDTHS) * FILTERS, max(WIDTHS) - 1
-    blank = np.zeros((pad, 3), np.int32)
-    ids = np.concatenate([x for d, s in zip(docs, shown, strict=True) for x in (d * s[:, None], blank)])
-    acts = m.convolve(ids)
-    starts = np.concatenate([x for s in shown for x in (s, np.zeros(pad, bool))])
-    acts[~starts] = -np.inf
-    ends = np.cumsum([len(d) + pad for d in docs])
-    best = np.stack([e - len(d) - pad + acts[e - len(d) - pad : e].argmax(axis=0) for d, e in zip(docs, ends, strict=True)])  # document x filter
-    pooled = acts[best, np.arange(n)] + m.bias
+    top, words = _winners(m, docs, shown)
+    pooled = top + m.bias
     h = np.where(np.isfinite(pooled), np.maximum(pooled, 0), 0)
     err = 1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -30, 30))) - y
     dh = (err[:, None] * m.out * (h > 0)).astype(np.float32)
@@ -177,7 +208,7 @@ def gradients(m: Model, docs: list[np.ndarray], y: np.ndarray, shown: list[np.nd
             mine = slice(k * FILTERS, (k + 1) * FILTERS)
             cols = slice(at + offset * FILTERS, at + (offset + 1) * FILTERS)
             d, f = np.nonzero(dh[:, mine])
-            word, g = ids[best[:, mine][d, f] + offset], dh[:, mine][d, f]
+            word, g = words[:, mine][d, f, offset], dh[:, mine][d, f]
             np.add.at(kernel.T, cols.start + f, g[:, None] * m.embed(word))
             for t in range(3):
                 rows[t].append(word[:, t])

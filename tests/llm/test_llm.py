@@ -511,7 +511,9 @@ def plain_loss(m, docs, y, shown):
     return total
 
 
-def test_convolution_and_gradients_against_plain_loops():
+@pytest.mark.parametrize("span", [cnn.SPAN, 4])
+def test_convolution_and_gradients_against_plain_loops(monkeypatch, span):
+    monkeypatch.setattr(cnn, "SPAN", span)
     r = np.random.default_rng(4)
     m = small_model()
     docs = [some_words(r, n) for n in (1, 2, 7, 12, 5)]
