@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,3 +25,12 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         if start < batch.num_rows:
             yield batch.slice(start)
         pa.default_memory_pool().release_unused()
+
+
+def spans(data: bytes, cut: re.Pattern[bytes], size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes, each ending after a match of ``cut``; together they are the whole."""
+    start = 0
+    while len(data) - start > size and (found := cut.search(data, start + size)):
+        yield data[start : found.end()]
+        start = found.end()
+    yield data[start:]
