@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortwell.llm import bpe, chat_repair, cnn, ego, exact_dedup, html_density, mixing, qda, simhash, token_histogram, winnowing
+from sortwell.llm import bpe, chat_repair, cnn, collocations, ego, exact_dedup, html_density, mixing, qda, simhash, token_histogram, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity_cnn": cnn.op9_toxicity_cnn,
         "op10_simhash_multi_index": simhash.op10_simhash_multi_index,
         "op11_winnowing": winnowing.op11_winnowing,
+        "op12_collocations": collocations.op12_collocations,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.OP2_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op11_winnowing": winnowing.OP11_SQL,
+        "op12_collocations": collocations.OP12_SQL,
     }

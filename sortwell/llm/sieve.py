@@ -34,20 +34,18 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads sums of word hashes over all bits."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+def folded(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row of word hashes; a run of words hashes alike wherever its words come from."""
+    out = columns[0].copy()
+    for more in columns[1:]:
+        out *= np.uint64(0x100000001B3)
+        out += more
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` word hashes, by its first place."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = words[:n].copy()
-    for k in range(1, size):
-        out *= np.uint64(0x100000001B3)
-        out += words[k : k + n]
-    return mixed(out)
+    n = max(0, len(words) - size + 1)
+    return folded([words[k : k + n] for k in range(size)])
