@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sortwell.llm import bpe, chat_repair, cnn, collocations, ego, exact_dedup, html_density, mixing, qda, simhash, token_histogram, winnowing
+from sortwell.llm import bpe, chat_repair, cnn, collocations, divergence, ego, exact_dedup, html_density, mixing, qda, simhash, token_histogram, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_multi_index": simhash.op10_simhash_multi_index,
         "op11_winnowing": winnowing.op11_winnowing,
         "op12_collocations": collocations.op12_collocations,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op11_winnowing": winnowing.OP11_SQL,
         "op12_collocations": collocations.OP12_SQL,
+        "op13_divergence": divergence.OP13_SQL,
     }
