@@ -85,7 +85,7 @@ def test_contamination_is_that_of_all_windows(spark):
     docs = [(k, text(rng.randrange(60)), "en", "a", 0) for k in range(40)]
     docs += [(100 + k, text(9) + " " + items[k % 12][1].upper() + " tail zz, YY q " + items[15][1], "en", "a", 0) for k in range(20)]
     docs += [(200, None, None, None, None), (200, None, None, None, None), (201, "", "en", "a", 0), (None, items[0][1], "en", "a", 0), (None, items[1][1] * 3, "en", "a", 0), (203, "v w x y z, q", "en", "a", 0), (204, items[0][1] * 400, "en", "a", 0)]
-    docs += [(205, "".join(text(20) + rng.choice(items[:12])[1] + " " for _ in range(20000)), "en", "a", 0)]  # read in spans
+    docs += [(205, "".join(text(20) + rng.choice(items[:12])[1] + " " for _ in range(26000)), "en", "a", 0)]  # read in spans
     assert len(docs[-1][1]) > arrow.SLICE_BYTES
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = {(r[0], r[1], r[2], tuple(r.items), r.contaminated): 0 for r in winnowing.contamination(odd(spark, docs), bench).collect()}
