@@ -289,14 +289,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from a bounded sample of the labelled rows, or None without both values.
 
     The sample has at most ``ROWS_PER_LABEL`` rows and ``WORDS_PER_LABEL`` words of
-    each label value, in the order of a hash of the ids; a row that would exceed the
-    words is passed over for the next ones, so only a text of more words than the
-    bound itself is never learnt from. The ids of the sample are few by that bound and are
-    broadcast; their documents become bucket ids on the executors, and no more than
-    the bound comes to the driver. Labels other than 0 and 1, and null ids, are not
-    used; an id with several labels or rows counts with each.
+    each label value by itself, in the order of a hash of the ids; a row that would
+    exceed the words is passed over for the next ones, so only a text of more words than
+    the bound itself is never learnt from. The ids of the sample are few by that bound
+    and are broadcast; their documents become bucket ids on the executors, where rows
+    that repeat an id and its words are made one, and no more than the bound comes to
+    the driver. Labels other than 0 and 1, and null ids, are not used; an id with
+    several labels or texts counts with each.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
     share = known.agg(F.avg("_y")).first()[0]
     if share is None or share in (0.0, 1.0):
         return None
@@ -310,16 +311,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("_id")).select("id", "text", "_y")
-    sample = settle(map_arrow(texts, run, f"id {id_type}, words long, ids array<int>, lang int, y int"), "sample")
-    left, fits = {0: WORDS_PER_LABEL, 1: WORDS_PER_LABEL}, []
-    for r in sample.select("id", "words", "y", F.xxhash64("ids").alias("h")).orderBy(F.xxhash64(F.lit(7), F.col("id")), "id", "h").limit(4 * ROWS_PER_LABEL).collect():
-        if r.words <= left[r.y]:
-            left[r.y] -= r.words
-            fits.append((r.id, r.y, r.h))
+    seen = map_arrow(texts, run, f"id {id_type}, words long, ids array<int>, lang int, y int").withColumn("h", F.xxhash64("ids"))
+    sample = settle(seen.dropDuplicates(["id", "y", "h"]), "sample")
+    fits = []
+    for y in (0, 1):
+        left = WORDS_PER_LABEL
+        for r in sample.where(F.col("y") == y).select("id", "words", "y", "h").orderBy(F.xxhash64(F.lit(7), F.col("id")), "id", "h").limit(ROWS_PER_LABEL).collect():
+            if r.words <= left:
+                left -= r.words
+                fits.append((r.id, r.y, r.h))
     if len({y for _, y, _ in fits}) < 2:
         return None
-    chosen = docs.sparkSession.createDataFrame(fits, f"id {id_type}, y int, h long").distinct()
-    rows = sample.withColumn("h", F.xxhash64("ids")).join(F.broadcast(chosen), ["id", "y", "h"]).toArrow().sort_by([("id", "ascending"), ("h", "ascending")])
+    chosen = docs.sparkSession.createDataFrame(fits, f"id {id_type}, y int, h long")
+    rows = sample.join(F.broadcast(chosen), ["id", "y", "h"]).toArrow().sort_by([("id", "ascending"), ("h", "ascending"), ("y", "ascending")])
     release(sample)
     got = [np.asarray(x.values).reshape(-1, 3) for x in rows["ids"]]
     y = rows["y"].to_numpy().astype(np.float32)
