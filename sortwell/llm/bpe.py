@@ -26,8 +26,14 @@ KEEP_BYTES, KEEP_CHUNK = 6 << 20, 64 << 10
 #: Fixed values of byte-level vocabularies: the pattern of their pre-tokeniser.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Before such a space a piece ends and the next one begins, whatever surrounds it.
-SURE = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Where a piece ends and the next one begins, whatever surrounds it: before a single space between characters
+#: that are no white space, and between a letter and a mark or line end. Bytes of ASCII, of two, three and four bytes;
+#: lead bytes under which there is white space are left out, or the white space is.
+_SOLID = rb"[!-~]|[\xc3-\xdf]|[\xe0\xe4-\xef]|\xe3[\x81-\xbf]|[\xf0-\xf4]"
+_AFTER_SOLID = rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xef][\x80-\xbf][\x80-\xbf])|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=[\xf0-\xf4][\x80-\xbf][\x80-\xbf][\x80-\xbf]))"
+_AFTER_LETTER = rb"(?:(?<=[A-Za-z])|(?<=\xe3\x81[\x81-\xbf])|(?<=[\xe5-\xe9\xeb\xec][\x80-\xbf][\x80-\xbf]))"
+_MARK = rb"[,.;:\n]|\xe3\x80[\x81\x82]|\xef\xbc[\x8c\x9a\x9b]"
+SURE = re.compile(_AFTER_SOLID + rb" (?=" + _SOLID + rb")|" + _AFTER_LETTER + rb"(?=" + _MARK + rb")")
 
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -53,15 +59,17 @@ def cuts(data: bytes) -> list[int]:
     return [*out, len(data)]
 
 
-def _sure(data: bytes, start: int = 0) -> Iterator[int]:
-    return (m.start() for m in SURE.finditer(data, start))
+def _sure(data: bytes, start: int = 0, end: int | None = None) -> Iterator[int]:
+    """Sure boundaries from ``start`` on and before ``end``."""
+    found = SURE.finditer(data, start) if end is None else SURE.finditer(data, start, end + 3)  # what follows a boundary takes three bytes at most
+    return (m.start() for m in found if end is None or m.start() < end)
 
 
 def _sure_backwards(data: bytes) -> Iterator[int]:
     end = len(data)
     while end > 0:
         start = max(0, end - MIN_CHUNK)
-        yield from reversed([at for at in _sure(data[: end + 1], start) if at < end])
+        yield from reversed(list(_sure(data, start, end)))
         end = start
 
 
@@ -129,23 +137,23 @@ class ChunkCoder:
         ends = cuts(data)
         if len(ends) == 1:
             return [self._chunk(data)[0]]
-        out, start, open_ = [], 0, b""  # open_: text at the last join that isn't encoded yet
+        out, start, open_ = [], 0, []  # open_: text at the last join that isn't encoded yet
         for i, end in enumerate(ends):
             part = data[start:end]
             ids, head, n_head, tail, n_tail = self._chunk(part)
             first, last, start = i == 0, i == len(ends) - 1, end
             if head is None:
-                open_ += part
+                open_.append(part)
                 continue
             if first:
                 lead = 0
             else:
-                out.append(self._encode(open_ + part[:head]))
+                out.append(self._encode(b"".join([*open_, part[:head]])))
                 lead = n_head
             out.append(ids[lead:] if last else ids[lead : len(ids) - n_tail])
-            open_ = b"" if last else part[len(part) - tail :]
+            open_ = [] if last else [part[len(part) - tail :]]
         if open_:
-            out.append(self._encode(open_))
+            out.append(self._encode(b"".join(open_)))
         return out
 
     def encode(self, text: str) -> np.ndarray:
