@@ -24,9 +24,9 @@ def n_words(text: str):
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def place(id_col: str, seed: int):
-    """A document's place in its source's seeded order: 60 bits of the MD5 of seed and id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def place(id_col: str, text_col: str, seed: int):
+    """A document's place in its source's seeded order: 60 bits of the MD5 of seed, id and text, so only rows that repeat both share one."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
@@ -85,13 +85,14 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """``(rows, plan)``: sizes and order hashes of the documents, and one row per source.
 
     A source's target is ``epochs`` whole repetitions of all its documents and a
-    fraction. For the fraction its documents follow a seeded hash of their id: those
-    before the hash ``cut`` are taken once more in full, and the one at the cut gives
-    the words still missing (``part``). The cut is sought in sums over slices of the
-    hash range and then within one slice, so no source is ordered as a whole.
+    fraction. For the fraction its documents follow a seeded hash: those before the
+    hash ``cut`` are taken once more in full, and the one at the cut gives the words
+    still missing (``part``); of several equal rows there (``tied``) the first ones give
+    all their words. The cut is sought in sums over slices of the hash range and then
+    within one slice, so no source is ordered as a whole.
     """
     rows = settle(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), place(id_col, seed).alias("u")),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"), place(id_col, text_col, seed).alias("u")),
         "sizes",
     )
     rows = rows.withColumn("slice", _slice_of("u"))
@@ -115,23 +116,39 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         .where((F.col("before") <= F.col("missing")) & (F.col("missing") < F.col("before") + F.col("size")))
         .select("source", F.col("slice").alias("cut_slice"), (F.col("missing") - F.col("before")).alias("need"))
     )
-    inside = _with_plan(rows, side(slice_of_cut, "cut_slice", "need"), n_sources, spread="id").where("slice = cut_slice").groupBy("source", "u", "need").agg(F.sum("size").alias("at_cut"))
+    inside = _with_plan(rows, side(slice_of_cut, "cut_slice", "need"), n_sources, spread="u").where("slice = cut_slice").groupBy("source", "u", "need").agg(F.sum("size").alias("at_cut"), F.count(F.lit(1)).alias("tied"))
     along_u = Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
         inside.withColumn("before", F.coalesce(F.sum("at_cut").over(along_u), F.lit(0)))
         .where((F.col("before") <= F.col("need")) & (F.col("need") < F.col("before") + F.col("at_cut")))
-        .select(F.col("source").alias("_c"), F.col("u").alias("cut"), "at_cut", (F.col("need") - F.col("before")).alias("part"))
+        .select(F.col("source").alias("_c"), F.col("u").alias("cut"), "tied", (F.col("need") - F.col("before")).alias("part"))
     )
     return rows, settle(plan.join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c"), "plan")
 
 
+def _extra(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``extra``, the words of one more, partial take, from ``source, u, size, cut, part, tied``.
+
+    Rows at a cut of their source give its part. Of equal rows there each is told by its
+    number among them, which ranges of rows have to be sorted for; there are few of
+    them unless rows repeat.
+    """
+    at_cut = F.coalesce(F.col("u") == F.col("cut"), F.lit(False))
+    single = rows.where(~at_cut | (F.col("tied") == 1)).withColumn("extra", F.when(at_cut, F.col("part")).otherwise(F.lit(0)).cast("long"))
+    tied = rows.where(at_cut & (F.col("tied") > 1))
+    if tied.isEmpty():
+        return single
+    dealt = with_position(settle(tied, "tied"), "source", [F.col("u")], "nth")
+    extra = F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("nth") * F.col("size")))
+    return single.unionByName(dealt.withColumn("extra", extra.cast("long")).drop("nth"))
+
+
 def repetitions(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with ``times`` (whole takes) and ``extra`` (words of one more, partial take)."""
-    joined = _with_plan(rows, plan.withColumnRenamed("source", "_s"), plan.count(), spread="id")
+    joined = _with_plan(rows, plan.withColumn("_s", F.col("source")).drop("source"), plan.count(), spread="u")
     # a source of which no fraction is missing has no cut
     once_more = F.coalesce(F.col("u") < F.col("cut"), F.lit(False))
-    extra = F.when(F.col("u") == F.col("cut"), F.floor(F.col("part") * (F.col("size") / F.col("at_cut")))).otherwise(0)
-    return joined.withColumn("times", F.col("epochs") + once_more.cast("long")).withColumn("extra", F.coalesce(extra, F.lit(0)).cast("long"))
+    return _extra(joined).withColumn("times", F.col("epochs") + once_more.cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -139,11 +156,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``taken`` is ``times * size + extra``: whole repetitions, and for the document at
     its source's cut a part of one more. A source's ``taken`` sum to its target
-    rounded to a word (less than one word is lost per row where several rows share
-    an id, and thus the cut). A null source is a source; null and empty texts have
-    size 0 and are taken with 0 words; null ids share one place in the order. An
-    empty table gives no rows; other columns are not read. The result depends only
-    on ids, sources, sizes and the seed, not on partitioning.
+    rounded to a word, also where ids are null or repeat. A null source is a source;
+    null and empty texts have size 0 and are taken with 0 words. An empty table gives
+    no rows; other columns are not read. The result depends only on ids, texts,
+    sources and the seed, not on partitioning; which of several equal rows gives the words at
+    a cut is not told apart by it.
     """
     rows, plan = mix_plan(docs, id_col, text_col, source_col, **options)
     out = repetitions(rows, plan)
@@ -160,20 +177,18 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are taken like other documents of their source, never more
     often than the epochs allow, and stay null or empty. A null source is a source;
-    null ids share one place in the order, as do repeated rows, each of which is
-    taken. An empty table gives no rows.
+    rows that repeat are taken each. An empty table gives no rows.
     """
     seed = options.get("seed", SEED)
     _, plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    side = plan.select(F.col("source").alias("_s"), "epochs", "cut", "at_cut", "part")
-    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), place(id_col, seed).alias("u"))
-    n_extra = F.when(F.col("u") == F.col("cut"), F.floor(F.col("part") * (n_words("text") / F.col("at_cut")))).otherwise(0).cast("int")
+    side = plan.select(F.col("source").alias("_s"), "epochs", "cut", "tied", "part")
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), n_words(text_col).alias("size"), place(id_col, text_col, seed).alias("u"))
     times = (F.col("epochs") + F.when(F.col("u") < F.col("cut"), 1).otherwise(0)).cast("int")
     # a word with the white space before it is one piece
     pieces = F.split("text", "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
     picked = (
-        _with_plan(rows, side, plan.count(), spread="id")
-        .withColumn("words", F.coalesce(n_extra, F.lit(0)))
+        _extra(_with_plan(rows, side, plan.count(), spread="u"))
+        .withColumn("words", F.col("extra").cast("int"))
         .withColumn("whole", F.explode(F.concat(F.array_repeat(F.lit(True), times), F.array_repeat(F.lit(False), (F.col("words") > 0).cast("int")))))
         .withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.col("words")), "")))
     )
@@ -190,7 +205,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS u
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap,
@@ -212,11 +227,12 @@ parts AS (
 laid AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.epochs, p.missing, d.u,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         sum(d.size) OVER (PARTITION BY d.source, d.u) AS here
+         sum(d.size) OVER (PARTITION BY d.source, d.u) AS here,
+         row_number() OVER (PARTITION BY d.source, d.u) - 1 AS nth
   FROM docs d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
        (epochs * size + CASE WHEN before + here <= missing AND here > 0 THEN size
-                             WHEN before <= missing AND here > 0 THEN floor((missing - before) * (size::DOUBLE / here))
+                             WHEN before <= missing AND here > 0 THEN greatest(0, least(size, missing - before - nth * size))
                              ELSE 0 END)::BIGINT AS taken
 FROM laid
 """
