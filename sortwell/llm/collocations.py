@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +138,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     of frequent pairs. What is frequent is known to the tasks as a sieve of bounded size,
     which never stops a frequent phrase; counts decide.
     """
-    count = lambda sizes, *bits: settle(phrase_counts(docs, sizes, *bits, text_col=text_col, lang_col=lang_col, shard_words=shard_words), "phrases")
-    words = count((1, 1))
+    count = lambda sizes, *bits: phrase_counts(docs, sizes, *bits, text_col=text_col, lang_col=lang_col, shard_words=shard_words)
+    words = settle(count((1, 1)), "words")
     often = words.where(F.col("n") >= least)
     found, totals = [often], words.groupBy("lang").agg(F.sum("n").alias("n"))
     if longest >= 2:
@@ -147,11 +148,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         found.append(pairs)
     if longest >= 3:
         pair_bits = sieve(_hashes(pairs), pairs.count())
-        found.append(count((3, longest), word_bits, pair_bits).where(F.col("n") >= least))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return settle(out, "frequent"), totals
+        found.append(settle(count((3, longest), word_bits, pair_bits).where(F.col("n") >= least), "longer"))
+    return reduce(DataFrame.unionByName, found), totals
 
 
 def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
