@@ -37,9 +37,9 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
-def _text_key(text_col: str) -> Column:
+def _text_key(text: Column) -> Column:
     """Tells apart the texts of rows that share an id."""
-    return F.xxhash64(F.col(text_col))
+    return F.xxhash64(text)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["id", "key", "fp"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_key(text_col).alias("key")), run, f"id {id_type}, key long, fp long")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_key(F.col(text_col)).alias("key")), run, f"id {id_type}, key long, fp long")
 
 
 def _segment(fp: Column, n: int) -> Column:
@@ -143,7 +143,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = with_group(_near_rows(docs, id_col, text_col), ["root"], {"least": F.min(order)}, "id").where("group_n >= 2")
     stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("fp") == F.col("least.fp")) & (F.col("key") == F.col("least.key"))
     pairs = settle(rows.groupBy("id", "key", stays.alias("kept")).agg(F.count(F.lit(1)).alias("copies")), "pairs")
-    return one_of_each(docs, id_col, _text_key(text_col), pairs.where("NOT kept"), pairs.where("kept AND copies > 1"))
+    pairs = pairs.withColumn("sketch", F.col("key"))
+    return one_of_each(docs, id_col, text_col, _text_key, _text_key, pairs.where("NOT kept"), pairs.where("kept AND copies > 1"))
 
 
 def op10_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
