@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ PROSE = frozenset("p pre blockquote li dt dd td th".split())
 #: Share of the main block's density sum that other text needs which isn't in an element of prose.
 BESIDE = 1.0
 _WORDS = re.compile(r"[a-z0-9]+")
+#: The start of a tag, comment or declaration.
+_OPEN = re.compile(r"<[A-Za-z/!?]")
 
 
 def _invisible(tag: str, attrs: dict[str, str | None]) -> bool:
@@ -108,11 +111,12 @@ class Line:
 class Run:
     """Text that stands directly in a block, up to another block: a leaf beside the block's children."""
 
-    __slots__ = ("node", "parts", "lines", "density", "kept")
+    __slots__ = ("node", "parts", "lines", "density", "kept", "sure")
 
     def __init__(self, node: Node) -> None:
         self.node, self.parts, self.lines = node, [], []
         self.density, self.kept = 0.0, False
+        self.sure = False  # whether any of it stands outside of inline elements with names against them
 
 
 class Page(HTMLParser):
@@ -123,9 +127,9 @@ class Page(HTMLParser):
         self.left_open = left_open  # controls without their end tags
         self.root = self.node = Node("#page", None)
         self.body: Node | None = None
-        self.stack: list[tuple[str, bool, Node]] = []  # open tag, whether it is skipped, the block outside it
+        self.stack: list[tuple[str, bool, bool, Node]] = []  # open tag, whether it is skipped, whether its name is against it, the block outside it
         self.open: Counter[str] = Counter()
-        self.skips = self.links = 0
+        self.skips = self.links = self.doubts = 0
         self.runs: list[Run] = []
         self.fresh = True
         self.line: Line | None = None
@@ -135,6 +139,16 @@ class Page(HTMLParser):
         end = self.rawdata.find(">", i + 3)
         return end + 1 if end >= 0 else -1
 
+    def close(self) -> None:
+        """What is left is text, or a tag or comment that never ends, which takes the rest of the page with it.
+
+        It is decided once here; trying every later ``<`` of such a rest again would be
+        quadratic.
+        """
+        if self.cdata_elem is not None or _OPEN.match(self.rawdata):
+            self.rawdata = ""
+        super().close()
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.fresh, self.line = True, None
@@ -148,8 +162,9 @@ class Page(HTMLParser):
                 self._close("p")
         named = dict(attrs)
         names = _named(tag, named) if attrs else (frozenset(), frozenset())
-        # an inline element has no density of its own, so its name decides
-        skip = tag in NEVER or tag in CONTROLS or _invisible(tag, named) or (any(names) and tag not in BLOCK)
+        skip = tag in NEVER or tag in CONTROLS or _invisible(tag, named)
+        # an inline element has no density of its own; its name decides on text that stands alone
+        doubt = any(names) and tag not in BLOCK
         if tag in VOID:
             if not self.skips and not skip:
                 self.node.tags += 1
@@ -164,9 +179,10 @@ class Page(HTMLParser):
             return
         in_math = self.open["math"] > 0  # a formula is one tag
         in_article = self.open["article"] or self.open["main"]
-        self.stack.append((tag, skip, self.node))
+        self.stack.append((tag, skip, doubt, self.node))
         self.open[tag] += 1
         self.skips += skip
+        self.doubts += doubt
         self.links += tag == "a"
         if self.skips:
             return
@@ -198,9 +214,10 @@ class Page(HTMLParser):
             self._close(tag)
 
     def _pop(self) -> str:
-        tag, skip, self.node = self.stack.pop()
+        tag, skip, doubt, self.node = self.stack.pop()
         self.open[tag] -= 1
         self.skips -= skip
+        self.doubts -= doubt
         self.links -= tag == "a"
         return tag
 
@@ -231,9 +248,10 @@ class Page(HTMLParser):
         if self.skips:
             return
         n = len("".join(data.split()))
-        self.node.chars += n
+        counts = 0 if self.doubts else n
+        self.node.chars += counts
         if self.links:
-            self.node.link_chars += n
+            self.node.link_chars += counts
         if self.fresh or not self.runs or self.runs[-1].node is not self.node:
             if not n:
                 return
@@ -241,7 +259,8 @@ class Page(HTMLParser):
             self.fresh = False
         run = self.runs[-1]
         run.parts.append(data)
-        if n:
+        if counts:
+            run.sure = True
             line = self._line()
             if not run.lines or run.lines[-1] is not line:
                 run.lines.append(line)
@@ -311,33 +330,48 @@ def _believed(page: Page, body: Node, nodes: list[Node], runs: dict[int, list[Ru
     text, and are doubted until all the rest is less than a tenth.
     """
     by_share = []
-    inside = {id(node) for node in nodes}
-    doubted = [node for node in page.doubted if id(node) in inside]
+    at = {id(node): k for k, node in enumerate(nodes)}
+    end = list(range(1, len(nodes) + 1))  # past the last block inside each
+    for k in range(len(nodes) - 1, 0, -1):
+        up = at[id(nodes[k].parent)]
+        end[up] = max(end[up], end[k])
+    is_main = [node.tag in ("article", "main") and node.chars > 0 and node.weight == 1 for node in nodes]
+    before = list(accumulate(is_main, initial=0))  # mains ahead of each place
+    tops = list(accumulate((m and node.tag == "main" for m, node in zip(is_main, nodes, strict=True)), initial=0))
+    around = [0] * len(nodes)  # mains around each
+    for k in range(1, len(nodes)):
+        up = at[id(nodes[k].parent)]
+        around[k] = around[up] + is_main[up]
+    heading = [len(nodes)] * (len(nodes) + 1)  # the first one from each place on
+    for k in range(len(nodes) - 1, -1, -1):
+        heading[k] = k if nodes[k].tag in HEADINGS else heading[k + 1]
+    ahead: dict[int, Node] = {}  # the block beside and in front of each
+    for node in nodes:
+        ahead |= {id(b): a for a, b in pairwise(node.children)}
     plain = lambda node: node.chars - node.link_chars
-    mains = [node for node in nodes if node.tag in ("article", "main") and node.chars and node.weight == 1]
-
-    def under(node: Node | None, above: Node) -> bool:
-        while node is not None and node is not above:
-            node = node.parent
-        return node is not None
 
-    for node in doubted:
+    for node in page.doubted:
+        k = at.get(id(node))
+        if k is None:
+            continue
         by_class, by_id = node.names
-        if by_id and not by_class and by_id.isdisjoint(READER_WORDS - {"discussion"}) and _titled(node, runs):
+        # the heading that it begins with or follows
+        near = [nodes[heading[k]]] if heading[k] < end[k] else []
+        near += [x for x in [ahead.get(id(node))] if x is not None and x.tag in HEADINGS]
+        others = before[-1] - (before[end[k]] - before[k]) - around[k]
+        if by_id and not by_class and by_id.isdisjoint(READER_WORDS - {"discussion"}) and _titled(node, near, runs):
             node.weight = 1.0
-        elif any(x.tag == "main" for x in mains if x is not node and under(x, node)):
+        elif tops[end[k]] - tops[k + 1] > 0:
             node.weight = 1.0
-        elif plain(node) > plain(body) * (0.5 if node.weight == SIDE_WEIGHT else 0.9) and not any(not under(x, node) and not under(node, x) for x in mains):
+        elif plain(node) > plain(body) * (0.5 if node.weight == SIDE_WEIGHT else 0.9) and not others:
             node.weight = 1.0
             by_share.append(node)
     return by_share
 
 
-def _titled(node: Node, runs: dict[int, list[Run]]) -> bool:
-    """Whether the id of ``node`` is made from the heading that it begins with or follows."""
-    at = next(i for i, x in enumerate(node.parent.children) if x is node)
-    near = [x for x in _in_order(node) if x.tag in HEADINGS][:1] + [x for x in node.parent.children[max(0, at - 1) : at] if x.tag in HEADINGS]
-    for heading in near:
+def _titled(node: Node, headings: list[Node], runs: dict[int, list[Run]]) -> bool:
+    """Whether the id of ``node`` is made from one of ``headings``."""
+    for heading in headings:
         title = _WORDS.findall("".join(p for x in _in_order(heading) for run in runs.get(id(x), ()) for p in run.parts).lower())
         if node.names[1] <= set(title):
             return True
@@ -412,7 +446,7 @@ def main_text(html: str | None) -> str:
     _total(nodes)
     by_share = _believed(page, body, nodes, runs)
     _keep(_measure(body, runs), page.runs, by_share)
-    blocks = (" ".join("".join(run.parts).split()) for run in page.runs if run.kept or run.node.kept)
+    blocks = (" ".join("".join(run.parts).split()) for run in page.runs if run.sure and (run.kept or run.node.kept))
     return "\n".join(b for b in blocks if b)
 
 

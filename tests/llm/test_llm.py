@@ -281,7 +281,23 @@ def test_html_names_are_no_proof():
     assert text(f"<body><div><p>{long}</p></div><div class='cookie-notice'><p>{'we use ' * 300}</p></div></body>").startswith(a)
     assert text(f"<article><p>{long}</p><div class='left-sidebar'><p>side</p></div></article><div class='ad'><p>{more * 5}</p></div>") == a
     assert text(f"<div><p>{long}</p></div><section id='comments'><h2>Comments</h2><p>{more * 5}</p></section>") == a
-    assert text(f"<p>one <span class='ad'>buy</span> two {long}</p>") == f"one two {a}"
+    assert text(f"<p>one <span class='ad'>buy</span> two {long}</p>") == f"one buy two {a}"  # a word of the sentence
+    assert text(f"<article><p>{long}</p><p><span class='share'>Share this</span></p><p>The <span class='share'>share price</span> rose. See <b class='notice'>this point</b></p></article>") == f"{a}\nThe share price rose. See this point"
+
+
+def test_html_of_hostile_pages_is_linear():
+    """What never ends takes the rest of a page; 1 MB of it takes no longer than 1 MB of text."""
+    import time
+
+    text = html_density.main_text
+    story = "<p>" + "the story goes on " * 20 + "</p>"
+    box = "<article><p>some words of text here</p><div class='share' id='x'><p>pass it on</p></div></article>"
+    pages = {"<a " * 333_000: None, "<a x=\"" * 150_000: None, "<!-- " * 200_000: None, "</a " * 250_000: None, "<script>" * 100_000: None, box * 5000: 5000}
+    for tail, lines in pages.items():
+        began = time.process_time()
+        got = text("<body>" + story + tail)
+        assert time.process_time() - began < 5
+        assert got.startswith("the story goes on") and (lines is None or got.count("\n") == lines)
 
 
 def test_html_query(spark):
