@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sortwell.operators.match import same_join
+from sortwell.operators.runs import by_group
 from sortwell.operators.spread import with_group
 from sortwell.session import map_arrow, settle
 
@@ -34,26 +35,6 @@ def _copies(classes: DataFrame, key: str, idx: str, name: str, measure: Column)
     return classes.where(F.col(idx) != F.col("rep")).select(key, F.col("rep").alias("i"), F.col(idx).alias("j"), measure.alias(name), F.lit(True).alias("copy"))
 
 
-def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each group of equal keys as a table; rows have to come sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    at = None
-    for batch in batches:
-        names = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True))
-        start = 0
-        for i, name in enumerate(names):
-            if at is None or name != at:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start, at = [], i, name
-        if batch.num_rows > start:
-            held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def cosine_edges(items: DataFrame, threshold: float, vec: str = "v", key: str = "label", idx: str = "idx") -> DataFrame:
     """``key, i, j, sim, copy`` for ``i < j`` of one label with a cosine over ``threshold``.
 

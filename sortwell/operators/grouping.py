@@ -5,13 +5,73 @@ Groups are rows ``key, group_no, idx``, one per member, so that no group has to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortwell.operators.components import connected_components
 from sortwell.operators.index import with_position
 from sortwell.operators.match import same_join
-from sortwell.session import release, settle
+from sortwell.operators.runs import by_group, starts
+from sortwell.session import map_arrow, release, settle
+
+#: Positions of a label that a task settles among themselves, and edges (or rows of groups) that are few enough for one step.
+BLOCK, AT_ONCE = 1 << 18, 500_000
+
+
+def _decided(live: DataFrame, block: int | None) -> DataFrame:
+    """``k, x, lead``: the rows that can be told leaders (``lead`` is ``x``) or members by the edges ``k, i, j`` alone.
+
+    A task takes a range of ``block`` positions with all edges that end there, sorted, and
+    scans them as one scan of the label would: it remembers what became of the
+    positions of its range, and nothing of the edges. A position stays open where a
+    smaller neighbour of another range may lead. Without ``block`` a label is one range,
+    and ``lead`` is a member's least leader.
+    """
+    own = lambda x: F.struct(F.col(x).alias("j"), F.col("i").alias("i"))
+    start = (F.floor(F.col("j") / block) * block if block else F.lit(-(1 << 62))).cast("long")
+    # each smaller end is a position of its own range too
+    ends = live.select("k", F.inline(F.array(own("j"), own("i")))).withColumn("start", start)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        status: dict[int, int] = {}  # a leader by itself, -1 for a member
+        at, lead, open_, last = None, None, False, None
+
+        def outcome() -> int | None:
+            if lead is None and open_:
+                return None
+            status[at] = at if lead is None else -1
+            return at if lead is None else lead
+
+        for batch in batches:
+            keys = batch.column(0)
+            fresh = starts(batch, ["k", "start"], last)
+            rows, found, leads = [], [], []
+            for r, (new, j, i, first) in enumerate(zip(fresh.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if new or j != at:
+                    if at is not None and (x := outcome()) is not None:
+                        rows.append(r)
+                        found.append(at)
+                        leads.append(x)
+                    if new:
+                        status = {}
+                    at, lead, open_ = j, None, False
+                if i != j:
+                    s = status.get(i) if i >= first else None
+                    if s is None:
+                        open_ = True
+                    elif s >= 0 and (lead is None or s < lead):
+                        lead = s
+            before = keys.slice(0, 1) if last is None else last.column(0)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([before, keys]).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64()), pa.array(leads, pa.int64())], names=["k", "x", "lead"])
+            last = batch.slice(batch.num_rows - 1) if batch.num_rows else last
+        if at is not None and (x := outcome()) is not None:
+            yield pa.RecordBatch.from_arrays([last.column(0), pa.array([at], pa.int64()), pa.array([x], pa.int64())], names=["k", "x", "lead"])
+
+    kind = live.schema["k"].dataType.simpleString()
+    return map_arrow(ends.repartition("k", "start").sortWithinPartitions("k", "start", "j", "i"), scan, f"k {kind}, x long, lead long")
 
 
 def leader_groups(edges: DataFrame, key: str = "label") -> DataFrame:
@@ -19,51 +79,45 @@ def leader_groups(edges: DataFrame, key: str = "label") -> DataFrame:
 
     A scan by position would make each free row a leader that takes every later free
     neighbour. The leaders are the lexicographically first maximal independent set
-    among rows with edges, and a member goes to its least adjacent leader, so rounds
-    over the edges give the same: a row is a leader once all smaller neighbours are
-    members, and a member once a smaller neighbour is a leader. Only edges whose ends
-    are both undecided, or whose greater end is, are carried on. Leaders without
-    members are not groups.
+    among rows with edges, and a member goes to its least adjacent leader. Each round
+    settles ranges of positions in tasks of their own (see ``_decided``), then drops the
+    edges whose end is decided or whose start is a member; the first open range of
+    a label is always settled whole, so a label of n positions takes n / ``BLOCK`` rounds at
+    most. As soon as no more than ``AT_ONCE`` edges are left, one step settles them.
+    Leaders without members are not groups.
 
     Edges marked ``copy`` go from the smallest position of a class of equal rows to the
     others. All of a class have the same neighbours, so its smallest position decides
-    for it, and the others follow. A null label is a label. Each round decides at
-    least the smallest open row of each label; one that decides nothing is an error.
-    Rounds can be as many as the edges of the longest rising path.
+    for it, and the others follow. A null label is a label.
     """
     copies = edges.where("copy").select(F.col(key).alias("k"), F.col("i").alias("rep"), F.col("j").alias("idx")) if "copy" in edges.columns else None
     live = edges.where("NOT copy") if copies is not None else edges
-    live = settle(live.select(F.col(key).alias("k"), "i", "j"), "edges")
-    first = live
-    # a row without a smaller neighbour leads
-    tails = live.select("k", F.col("j").alias("x")).distinct()
-    leaders = same_join(live.select("k", F.col("i").alias("x")).distinct(), tails, ["k", "x"], "left_anti")
-    decided, left = [], live.count()
-    leaders = settle(leaders, "leaders")
-    while left:
-        decided.append(leaders)
-        taken = settle(same_join(live, leaders.withColumnRenamed("x", "i"), ["k", "i"], "left_semi").select("k", F.col("j").alias("x")).distinct(), "members")
-        gone = leaders.union(taken)
-        # ends of edges that are decided: an edge from a leader or to a member is done with, one from a member no longer holds back its greater end
-        rest = same_join(same_join(live, gone.withColumnRenamed("x", "j"), ["k", "j"], "left_anti"), gone.withColumnRenamed("x", "i"), ["k", "i"], "left_anti")
-        rest = settle(rest, "edges")
-        ends = live.select("k", F.col("i").alias("x")).union(live.select("k", F.col("j").alias("x"))).distinct()
-        free = same_join(same_join(ends, gone, ["k", "x"], "left_anti"), rest.select("k", F.col("j").alias("x")).distinct(), ["k", "x"], "left_anti")
-        leaders = settle(free, "leaders")
+    live = first = settle(live.select(F.col(key).alias("k"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")), "edges")
+    left, leaders = live.count(), None
+    while left > AT_ONCE:
+        found = settle(_decided(live, BLOCK), "decided")
+        lead = found.where("lead = x").select("k", "x")
+        taken = same_join(live, lead.withColumnRenamed("x", "i"), ["k", "i"], "left_semi").select("k", F.col("j").alias("x"))
+        gone = settle(found.select("k", "x").union(taken).distinct(), "gone")
+        rest = settle(same_join(same_join(live, gone.withColumnRenamed("x", "j"), ["k", "j"], "left_anti"), gone.withColumnRenamed("x", "i"), ["k", "i"], "left_anti"), "edges")
+        # an open row that has lost its last edge leads
+        both = lambda e: e.select("k", F.col("i").alias("x")).union(e.select("k", F.col("j").alias("x"))).distinct()
+        alone = same_join(same_join(both(live), gone, ["k", "x"], "left_anti"), both(rest), ["k", "x"], "left_anti")
+        leaders = lead.union(alone) if leaders is None else leaders.union(lead).union(alone)
+        leaders = settle(leaders, "leaders")
         if live is not first:
             release(live)
         live, before, left = rest, left, rest.count()
         if left >= before:
             raise RuntimeError("a round over the edges decided nothing")
-    decided.append(leaders)
-    every = decided[0]
-    for more in decided[1:]:
-        every = every.union(more)
-    every = settle(every.distinct(), "leaders")
-    followers = same_join(same_join(first, every.withColumnRenamed("x", "j"), ["k", "j"], "left_anti"), every.withColumnRenamed("x", "i"), ["k", "i"], "left_semi")
-    members = followers.groupBy("k", F.col("j").alias("idx")).agg(F.min("i").alias("leader")).select("k", "leader", "idx")
+    found = settle(_decided(live, None), "decided")
+    if leaders is None:
+        members = found.where("lead <> x").select("k", F.col("lead").alias("leader"), F.col("x").alias("idx"))
+    else:
+        every = settle(leaders.union(found.where("lead = x").select("k", "x")), "leaders")
+        followers = same_join(same_join(first, every.withColumnRenamed("x", "j"), ["k", "j"], "left_anti"), every.withColumnRenamed("x", "i"), ["k", "i"], "left_semi")
+        members = settle(followers.groupBy("k", F.col("j").alias("idx")).agg(F.min("i").alias("leader")).select("k", "leader", "idx"), "members")
     if copies is not None:
-        members = settle(members, "members")
         led = same_join(copies, members.select("k", F.col("idx").alias("rep"), "leader"), ["k", "rep"], "left")
         members = members.union(led.select("k", F.coalesce("leader", "rep").alias("leader"), "idx"))
     heads = members.select("k", "leader", F.col("leader").alias("idx")).distinct()
@@ -78,6 +132,28 @@ def numbered_groups(members: DataFrame, levels: list[str], key: str = "label") -
     return same_join(members, heads.select(key, "level", "lead", "no"), [key, "level", "lead"]).select(key, (F.col("no") + 1).alias("group_no"), "idx").distinct()
 
 
+def _scanned(flat: DataFrame) -> DataFrame:
+    """``k, group_no, lead`` of groups ``k, group_no, idx``, a label in one task: the first open group that shares a row, or itself."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ["k"]):
+            owner: dict[int, int] = {}  # the leading group of a row; leading groups share none
+            groups: dict[int, list[int]] = {}
+            for no, i in zip(t["group_no"].to_pylist(), t["idx"].to_pylist(), strict=True):
+                groups.setdefault(no, []).append(i)
+            leads = []
+            for no, members in groups.items():
+                met = min((owner[i] for i in members if i in owner), default=no)
+                if met == no:
+                    owner |= dict.fromkeys(members, no)
+                leads.append(met)
+            k = t["k"].combine_chunks().slice(0, 1)
+            yield pa.RecordBatch.from_arrays([k.take(pa.array([0] * len(groups))), pa.array(list(groups), pa.int64()), pa.array(leads, pa.int64())], names=["k", "group_no", "lead"])
+
+    kind = flat.schema["k"].dataType.simpleString()
+    return map_arrow(flat.repartition("k").sortWithinPartitions("k", "group_no"), scan, f"k {kind}, group_no long, lead long")
+
+
 def merge_single_pass(groups: DataFrame, key: str = "label") -> DataFrame:
     """``key, group_no, idx``: the first group absorbs all later ones that it overlaps, once; then the next.
 
@@ -86,16 +162,17 @@ def merge_single_pass(groups: DataFrame, key: str = "label") -> DataFrame:
     in rounds over rows: a group that is the first of the open ones in all its rows
     leads, and the open groups that share a row with it are absorbed. Groups that lead
     share no row, so a row names the leader of each group in it, and the least one is
-    where an absorbed group goes. No pair of groups is ever written, and no set of
-    groups is one task's work. Each round decides at least the first open group of
-    each label.
+    where an absorbed group goes. No pair of groups is ever written. Each round decides
+    at least the first open group of each label; as soon as no more than ``AT_ONCE`` rows
+    are left, one step scans them.
     """
-    flat = settle(groups.select(F.col(key).alias("k"), "group_no", "idx").distinct(), "groups")
-    live, leads, left = flat, None, flat.count()
-    while left:
+    number = lambda c: F.col(c).cast("long").alias(c)
+    live = flat = settle(groups.select(F.col(key).alias("k"), number("group_no"), number("idx")).distinct(), "groups")
+    leads, left = None, flat.count()
+    while left > AT_ONCE:
         seen = same_join(live, live.groupBy("k", "idx").agg(F.min("group_no").alias("least")), ["k", "idx"])
         lead = settle(seen.groupBy("k", "group_no").agg(F.min("least").alias("least")).where("least = group_no").select("k", "group_no"), "leaders")
-        leads = lead if leads is None else leads.union(lead)
+        leads = lead if leads is None else settle(leads.union(lead), "leaders")
         held = same_join(live, lead, ["k", "group_no"], "left_semi").select("k", "idx")
         met = same_join(live, held, ["k", "idx"], "left_semi").select("k", "group_no").distinct()
         rest = settle(same_join(live, met, ["k", "group_no"], "left_anti"), "groups")
@@ -104,9 +181,11 @@ def merge_single_pass(groups: DataFrame, key: str = "label") -> DataFrame:
         live, before, left = rest, left, rest.count()
         if left >= before:
             raise RuntimeError("a round over the groups decided nothing")
+    scanned = settle(_scanned(live), "leaders")
     if leads is None:
-        return flat.withColumnRenamed("k", key)
-    leads = settle(leads, "leaders")
+        merged = same_join(flat, scanned, ["k", "group_no"]).select("k", F.col("lead").alias("group_no"), "idx").distinct()
+        return merged.withColumnRenamed("k", key)
+    leads = settle(leads.union(scanned.where("lead = group_no").select("k", "group_no")), "leaders")
     own = settle(same_join(flat, leads, ["k", "group_no"], "left_semi"), "leading")
     others = same_join(flat, leads, ["k", "group_no"], "left_anti")
     into = same_join(others, own.withColumnRenamed("group_no", "lead"), ["k", "idx"]).groupBy("k", "group_no").agg(F.min("lead").alias("lead"))

@@ -4,7 +4,9 @@ import itertools
 import math
 import random
 
-from sortwell.operators import dedup, edges
+import pytest
+
+from sortwell.operators import dedup, edges, grouping
 from sortwell.operators.components import connected_components
 from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
 from sortwell.operators.index import with_position
@@ -40,6 +42,34 @@ def test_leaders(spark):
     assert len(got) == len({(r.label, r.idx) for r in got})
 
 
+@pytest.mark.parametrize("block", [3, 16])
+def test_leaders_by_ranges_of_positions(spark, monkeypatch, block):
+    """Rounds over ranges, down to the last edge, give what one scan gives; runs of keys may span batches."""
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    monkeypatch.setattr(grouping, "AT_ONCE", 0)
+    e = [(None if k == "l1" else k, i, j) for k, i, j in edges_of(random.Random(11), labels=5, n=40, p=0.08)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = leader_groups(spark.createDataFrame(e, "label string, i long, j long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in {x[0] for x in e}:
+        assert {(r.leader, r.idx) for r in got if r.label == k} == greedy([(i, j) for l, i, j in e if l == k])
+    assert len(got) == len({(r.label, r.idx) for r in got})
+
+
+def test_leaders_along_a_long_chain_take_few_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+    e = spark.range(10_000).select(F.lit("a").alias("label"), F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = leader_groups(e).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("chain")) <= 20
+    assert {(r.leader, r.idx) for r in got} == {(i - i % 2, i) for i in range(10_000)} | {(10_000, 10_000)} - {(10_000, 10_000)}
+
+
 def test_leaders_of_nothing(spark):
     assert leader_groups(spark.createDataFrame([], "label string, i long, j long")).count() == 0
 
@@ -141,7 +171,9 @@ def fold_once(groups):
     return sorted(out)
 
 
-def test_single_pass(spark):
+@pytest.mark.parametrize("at_once", [grouping.AT_ONCE, 0, 60])
+def test_single_pass(spark, monkeypatch, at_once):
+    monkeypatch.setattr(grouping, "AT_ONCE", at_once)
     g = groups_of(random.Random(2))
     got = sets_of(merge_single_pass(frame(spark, g)).collect())
     for k in {x[0] for x in g}:
