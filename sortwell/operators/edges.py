@@ -16,6 +16,8 @@ from sortwell.session import map_arrow, settle
 
 #: Positions in a block, blocks in a side of a tile at most, and rows that are compared with a side at a time.
 BLOCK, TILE, AT_ONCE = 512, 32, 128
+#: Vectors of a label that a component may have to count as rare, so rows of a posting at most; what rounding may take off a bound.
+POSTING, SLACK = 4096, 1e-9
 MAX_BITS = 3
 
 
@@ -35,8 +37,88 @@ def _copies(classes: DataFrame, key: str, idx: str, name: str, measure: Column)
     return classes.where(F.col(idx) != F.col("rep")).select(key, F.col("rep").alias("i"), F.col(idx).alias("j"), measure.alias(name), F.lit(True).alias("copy"))
 
 
+def _orders(vectors: DataFrame) -> DataFrame:
+    """``label, dim, comps, counts``: the components of the vectors of a label and length, rarest first, and how many vectors have them."""
+    label_type = vectors.schema["label"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in by_group(iter([batch]), ["label", "dim"]):
+                n = (_matrix(t) != 0).sum(axis=0)
+                c = np.flatnonzero(n)
+                label = t["label"].combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(c), np.int64)))
+                yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(c), t["dim"][0].as_py(), np.int32)), pa.array(c.astype(np.int32)), pa.array(n[c].astype(np.int64))], names=["label", "dim", "c", "n"])
+
+    found = map_arrow(vectors.select("label", "dim", "v"), count, f"label {label_type}, dim int, c int, n long").groupBy("label", "dim", "c").agg(F.sum("n").alias("n"))
+    ordered = found.groupBy("label", "dim").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("o"))
+    return ordered.select("label", "dim", F.col("o.c").alias("comps"), F.col("o.n").alias("counts"))
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    """The vectors of a group with one length, each scaled to length one."""
+    m = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, t["dim"][0].as_py())
+    m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the squares
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _routed(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``vectors`` plus ``rare`` and ``light``.
+
+    Components come in the order of rarity. A vector's prefix ends where the rest of it
+    is shorter than ``threshold``: by the inequality of Cauchy and Schwarz two vectors
+    over the threshold share a component of both prefixes. ``rare`` are the prefix's
+    components that at most ``POSTING`` vectors of the label have; the vector is light
+    if these are all of its prefix.
+    """
+    label_type = vectors.schema["label"].dataType.simpleString()
+    rows = same_join(vectors, _orders(vectors), ["label", "dim"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in by_group(iter([batch]), ["label", "dim"]):
+                order, counts = np.array(t["comps"][0].as_py()), np.array(t["counts"][0].as_py())
+                m = _matrix(t)[:, order]
+                rest = np.sqrt(np.maximum(0.0, 1.0 - np.cumsum(m * m, axis=1)))
+                ends = (rest >= threshold - SLACK).sum(axis=1)  # the last component of the prefix
+                here = (m != 0) & (np.arange(len(order)) <= ends[:, None])
+                few = counts <= POSTING
+                rare = [pa.array(order[x].astype(np.int32)) for x in here & few]
+                light = ~(here & ~few).any(axis=1)
+                flat = pa.concat_arrays(rare) if rare else pa.array([], pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype(np.int32)), flat)
+                b = t.combine_chunks()
+                yield pa.RecordBatch.from_arrays([b[k].combine_chunks() for k in ("label", "dim", "idx", "v")] + [lists, pa.array(light)], names=["label", "dim", "idx", "v", "rare", "light"])
+
+    return map_arrow(rows.select("label", "dim", "idx", "v", "comps", "counts"), route, f"label {label_type}, dim int, idx long, v array<double>, rare array<int>, light boolean")
+
+
+def _dealt(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``label, dim, posting, a, b, part, idx, v, rare, light``: each vector for every group in which it is compared.
+
+    A group is the posting of a rare component, for pairs with a light vector, or a
+    tile of two intervals of positions, for pairs without one.
+    """
+    routed = settle(_routed(vectors, threshold), "routed")
+    postings = routed.where("size(rare) > 0").select("label", "dim", F.explode("rare").alias("posting"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(-1).cast("long").alias("part"), "idx", "v", "rare", "light")
+    heavy = routed.where("NOT light")
+    n_blocks = F.ceil((F.max("idx") + 1) / BLOCK)
+    sizes = heavy.groupBy("label").agg((F.least(F.ceil(F.sqrt(n_blocks)), F.lit(TILE)) * BLOCK).alias("width"), F.max("idx").alias("last"))
+    part, other = F.floor(F.col("idx") / F.col("width")), F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("width")))
+    sent = same_join(heavy, sizes, ["label"]).select("label", "dim", "idx", "v", part.alias("part"), F.explode(other).alias("other"))
+    tiles = sent.select("label", "dim", F.lit(-1).alias("posting"), F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "idx", "v", F.array().cast("array<int>").alias("rare"), F.lit(False).alias("light"))
+    return postings.unionByName(tiles)
+
+
+def _vectors(items: DataFrame, vec: str, key: str, idx: str) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal vectors (see ``with_representative``), and the first of each with its length ``dim``."""
+    some = F.exists(vec, lambda x: x != 0)
+    usable = items.where(some).select(F.col(key).alias("label"), F.col(idx).cast("long").alias("idx"), F.col(vec).cast("array<double>").alias("v"))
+    classes = with_representative(usable, "v", "label", "idx")
+    return classes, classes.where("idx = rep").select("label", F.size("v").alias("dim"), "idx", "v")
+
+
 def cosine_edges(items: DataFrame, threshold: float, vec: str = "v", key: str = "label", idx: str = "idx") -> DataFrame:
-    """``key, i, j, sim, copy`` for ``i < j`` of one label with a cosine over ``threshold``.
+    """``key, i, j, sim, copy`` for ``i < j`` of one label with a cosine over ``threshold``, above 0.
 
     Equal vectors are one class: links are those between the classes' smallest
     positions (``copy`` is false), and of each class from that position to the others
@@ -44,46 +126,61 @@ def cosine_edges(items: DataFrame, threshold: float, vec: str = "v", key: str =
     vectors is lost. Null and zero vectors link with nothing, nor do vectors of
     different lengths; a null label is a label.
 
-    A label's positions fall into intervals of about the square root of its blocks, at
-    most ``TILE`` blocks, and each pair of intervals is one tile: a row goes to as many
-    tiles as there are intervals, and a large label is many tiles, each dealt by itself.
+    Sparse vectors are sought by prefix filtering (see ``_routed``): a vector goes to
+    the postings of its prefix's rare components, at most ``POSTING`` rows each,
+    however large the label is, and a pair is given by the first such component that it
+    shares. Only vectors whose prefix has a component that many others have are
+    compared with each other in tiles: their positions fall into intervals of about
+    the square root of the blocks, at most ``TILE`` blocks, and each pair of intervals is one
+    tile, dealt by itself. Both ways are exact, and every pair is met in one of them.
     ``idx`` has to be a position in the label (see ``with_position``).
     """
-    label_type, idx_type = items.schema[key].dataType.simpleString(), "long"
-    some = F.exists(vec, lambda x: x != 0)
-    usable = items.where(some).select(F.col(key).alias("label"), F.col(idx).cast(idx_type).alias("idx"), F.col(vec).cast("array<double>").alias("v"))
-    classes = with_representative(usable, "v", "label", "idx")
-    n_blocks = F.ceil((F.max("idx") + 1) / BLOCK)
-    sizes = usable.groupBy("label").agg((F.least(F.ceil(F.sqrt(n_blocks)), F.lit(TILE)) * BLOCK).alias("width"), F.max("idx").alias("last"))
-    rows = same_join(classes.where("idx = rep").select("label", "idx", "v", F.size("v").alias("dim")), sizes, ["label"])
-    part, other = F.floor(F.col("idx") / F.col("width")), F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("width")))
-    sent = rows.select("label", "dim", "idx", "v", part.alias("part"), F.explode(other).alias("other"))
-    tiled = sent.select("label", "dim", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "idx", "v")
-    keys = ["label", "dim", "a", "b"]
+    if threshold <= 0:
+        raise ValueError("a threshold above 0 is needed")
+    label_type = items.schema[key].dataType.simpleString()
+    classes, firsts = _vectors(items, vec, key, idx)
+    dealt = _dealt(firsts, threshold)
+    keys = ["label", "dim", "posting", "a", "b"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, keys):
-            dim, a, b = (t[k][0].as_py() for k in ("dim", "a", "b"))
-            at = t["idx"].to_numpy()
-            m = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the squares
-            m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
-            part = t["part"].to_numpy()
+            posting, a, b = (t[k][0].as_py() for k in ("posting", "a", "b"))
+            at, m, part = t["idx"].to_numpy(), _matrix(t), t["part"].to_numpy()
+            light, rare = t["light"].to_numpy(), t["rare"] if posting >= 0 else None
             left, right = np.flatnonzero(part == a), np.flatnonzero(part == b)
             for start in range(0, len(left), AT_ONCE):
                 mine = left[start : start + AT_ONCE]
                 sim = m[mine] @ m[right].T
                 x, y = np.nonzero(sim > threshold)
-                i, j = at[mine[x]], at[right[y]]
-                once = i < j  # within an interval each pair shows twice
+                i, j, s = mine[x], right[y], sim[x, y]
+                once = at[i] < at[j]  # within an interval each pair shows twice
+                if rare is not None:
+                    once &= light[i] | light[j]
+                    for k in np.flatnonzero(once).tolist():
+                        theirs = set(rare[int(j[k])].as_py())
+                        once[k] = next(c for c in rare[int(i[k])].as_py() if c in theirs) == posting
                 if once.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([t["label"][0].as_py()] * int(once.sum()), t.schema.field("label").type), pa.array(i[once]), pa.array(j[once]), pa.array(sim[x, y][once])], names=["label", "i", "j", "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array([t["label"][0].as_py()] * int(once.sum()), t.schema.field("label").type), pa.array(at[i[once]]), pa.array(at[j[once]]), pa.array(s[once])], names=["label", "i", "j", "sim"])
 
-    found = map_arrow(tiled.repartition(*keys).sortWithinPartitions(*keys), compare, f"label {label_type}, i long, j long, sim double")
+    found = map_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), compare, f"label {label_type}, i long, j long, sim double")
     links = found.withColumn("copy", F.lit(False)).unionByName(_copies(classes, "label", "idx", "sim", F.lit(1.0)))
     return links.withColumnRenamed("label", key)
 
 
+def cosine_candidates(items: DataFrame, threshold: float, vec: str = "v", key: str = "label", idx: str = "idx") -> DataFrame:
+    """``key, vectors, light, sent, compared``: different vectors of a label, how many are light, rows dealt, and pairs that ``cosine_edges`` compares at most."""
+    _, firsts = _vectors(items, vec, key, idx)
+    firsts = settle(firsts, "vectors")
+    dealt = settle(_dealt(firsts, threshold).select("label", "dim", "posting", "a", "b", "part", "light"), "dealt")
+    n, here, lights = F.count(F.lit(1)), F.count_if(F.col("part") == F.col("a")), F.count_if("light")
+    pairs = F.when(F.col("posting") >= 0, (n * (n - 1) - (n - lights) * (n - lights - 1)) / 2).when(F.col("a") == F.col("b"), n * (n - 1) / 2).otherwise(here * (n - here))
+    groups = dealt.groupBy("label", "dim", "posting", "a", "b").agg(n.alias("rows"), pairs.cast("long").alias("pairs"))
+    per = groups.groupBy("label").agg(F.sum("rows").alias("sent"), F.sum("pairs").alias("compared"))
+    heavy = dealt.where("posting < 0 AND part = a AND part = b").groupBy("label").agg(n.alias("heavy"))
+    counts = same_join(same_join(firsts.groupBy("label").agg(n.alias("vectors")), per, ["label"]), heavy, ["label"], "left")
+    return counts.select(F.col("label").alias(key), "vectors", (F.col("vectors") - F.coalesce("heavy", F.lit(0))).alias("light"), "sent", "compared")
+
+
 def hamming_edges(items: DataFrame, max_bits: int = MAX_BITS, bits: str = "phash", key: str = "label", idx: str = "idx") -> DataFrame:
     """``key, i, j, bits, copy`` for ``i < j`` of one label whose 64-bit hashes differ in at most ``max_bits``.
 

@@ -214,6 +214,15 @@ SELECT doc_id, name AS file_name, source AS label, '.' || lower(ext) AS suffix,
     "hamming_pairs": "WITH" + _ITEMS + "," + _VECTORS + "," + _class_pairs("phash", "hamming(a.x, b.x)::INT", "0", "<= 3") + " SELECT label, i, j, m AS bits, copy FROM class_pairs",
     "embedding_pairs": "WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),"
     + _class_pairs("v", "list_cosine_similarity(a.x, b.x)", "1.0::DOUBLE", "> 0.35", "e") + " SELECT label, i, j, round(m, 6) AS sim, copy FROM class_pairs",
+    "basket_pairs": """
+WITH counts AS (SELECT l_orderkey, (l_partkey % 256)::INT AS b, count(*) AS n FROM lineitem GROUP BY ALL),
+o AS (SELECT o_orderkey, o_orderpriority AS label, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+baskets AS (SELECT label, idx, list((b, n) ORDER BY b) AS x, sqrt(sum(n * n)) AS norm FROM o JOIN counts ON l_orderkey = o_orderkey GROUP BY ALL),
+classes AS (SELECT label, idx, norm, min(idx) OVER (PARTITION BY label, x) AS rep FROM baskets),
+firsts AS (SELECT label, idx, norm, b, n FROM classes JOIN o USING (label, idx) JOIN counts ON l_orderkey = o_orderkey WHERE idx = rep),
+dots AS (SELECT p.label, p.idx AS i, q.idx AS j, sum(p.n * q.n) / (any_value(p.norm) * any_value(q.norm)) AS sim FROM firsts p JOIN firsts q ON p.label = q.label AND p.b = q.b AND p.idx < q.idx GROUP BY ALL)
+SELECT label, i, j, round(sim, 6) AS sim, false AS copy FROM dots WHERE sim > 0.9
+UNION ALL SELECT label, rep, idx, 1.0::DOUBLE, true FROM classes WHERE idx <> rep""",
     "leader_groups_perceptual": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _BITS + "," + _leaders("bit_edges", "g") + " SELECT label, leader, unnest(members) AS idx FROM g",
     "merge_single_pass": _LEVELS + "," + _single_pass("levels", "m") + " " + _HEADS,
     "merge_components": _LEVELS + "," + _components("levels", "m") + " " + _HEADS,

@@ -127,6 +127,20 @@ def embedding_pairs(spark, sf_dir):
     return cosine_edges(rows, 0.35).withColumn("sim", F.round("sim", 6))
 
 
+def baskets(spark, sf_dir):
+    """Orders as counts of their parts in 256 buckets, which are sparse; their priority is the label."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.pmod("l_partkey", F.lit(256)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = lines.groupBy("o_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label")).join(counts, "o_orderkey")
+    rows = with_position(settle(orders, "baskets"), "label", [F.col("o_orderkey")])
+    return rows.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0)).cast("double")))
+
+
+def basket_pairs(spark, sf_dir):
+    """Orders of a priority with a cosine over 0.9, by prefix filtering."""
+    return cosine_edges(settle(baskets(spark, sf_dir).select("label", "idx", "v"), "baskets"), 0.9).withColumn("sim", F.round("sim", 6))
+
+
 def leaders(threshold, spark, sf_dir):
     f = features(spark, sf_dir)
     return leader_groups(hamming_edges(f) if threshold is None else cosine_edges(f, threshold))
@@ -413,6 +427,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cosine_pairs_variation": partial(cosine_pairs, 0.85),
         "cosine_pairs_semantic": partial(cosine_pairs, 0.80),
         "embedding_pairs": embedding_pairs,
+        "basket_pairs": basket_pairs,
         "leader_groups_near": partial(leaders, 0.95),
         "leader_groups_variation": partial(leaders, 0.85),
         "leader_groups_semantic": partial(leaders, 0.80),

@@ -112,6 +112,48 @@ def test_cosine_links_are_those_of_classes(spark, monkeypatch):
         assert led == {(k, *p) for k in ("a", "b", None) for p in greedy([(i, j) for l, i, j in sorted(want, key=repr) if l == k])}
 
 
+def sparse(r, n=160, dims=60):
+    rows, at = [], {}
+    for _ in range(n):
+        k, v = r.choice(["a", "a", "b", None]), [0.0] * dims
+        common = r.random() < 0.2  # some hold a component that many have
+        for c in r.sample(range(4), 3) if common else r.sample(range(4, dims), r.choice([1, 2, 2, 3, 5])):
+            v[c] = float(r.choice([1, 1, 2, -1]))
+        if not common and r.random() < 0.5:
+            v[r.randrange(4)] = 1.0
+        rows.append((k, at.setdefault(k, itertools.count()).__next__(), v))
+    return rows
+
+
+@pytest.mark.parametrize("posting", [0, 3, 12, 4096])
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_prefixes_lose_no_link(spark, monkeypatch, posting, threshold):
+    """Postings and tiles together give each link once, whatever counts as rare."""
+    monkeypatch.setattr(edges, "POSTING", posting)
+    monkeypatch.setattr(edges, "BLOCK", 16)
+    rows = sparse(random.Random(12))
+    want = links_of(rows, threshold)
+    got = [(x.label, x.i, x.j) for x in edges.cosine_edges(spark.createDataFrame(rows, "label string, idx long, v array<double>"), threshold).where("NOT copy").collect()]
+    value = {(k, i): v for k, i, v in rows}
+    first = {x: min(i for (k, i), v in value.items() if k == x[0] and v == value[x]) for x in value}
+    assert len(got) == len(set(got))
+    assert set(got) == {(k, i, j) for k, i, j in want if first[k, i] == i and first[k, j] == j and value[k, i] != value[k, j]}
+
+
+def test_sparse_vectors_are_compared_with_few(spark, monkeypatch):
+    """Rows dealt don't grow with the intervals of a label, and few pairs are compared."""
+    monkeypatch.setattr(edges, "BLOCK", 8)
+    monkeypatch.setattr(edges, "POSTING", 64)
+    r = random.Random(13)
+    rows = [("a", i, [float(c in s) for c in range(400)]) for i, s in enumerate(set(r.sample(range(400), 4)) for _ in range(600))]
+    x = edges.cosine_candidates(spark.createDataFrame(rows, "label string, idx long, v array<double>"), 0.8).first()
+    assert x.light == x.vectors == 600
+    assert x.sent <= 4 * x.vectors and x.compared < x.vectors * (x.vectors - 1) / 2 / 20
+    dense = [("a", i, [r.random() + 0.1 for _ in range(5)]) for i in range(100)]
+    x = edges.cosine_candidates(spark.createDataFrame(dense, "label string, idx long, v array<double>"), 0.8).first()
+    assert x.light == 0 and x.compared == 100 * 99 // 2
+
+
 def test_links_of_one_label_come_from_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(edges, "BLOCK", 8)
     rows = [("a", i, [1.0, i / 1000, (i * i % 7) / 100]) for i in range(120)]
