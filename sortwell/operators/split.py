@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sortwell.operators.index import with_position
@@ -12,44 +14,61 @@ from sortwell.session import settle
 
 #: Deviation of the train share over which a group is moved.
 OFF_TARGET = 0.05
+#: Places in which stretches of equal groups are sought at a time.
+STRETCH = 1 << 16
+
+
+def _side(s: int, room_train: int, room_test: int) -> str:
+    return "train" if room_test < s or room_train >= max(s, room_test) else "test"
 
 
-def _allot(size: list[int], fresh: list[int], head: list[int], n: int, ratio: float, rebalance: bool) -> tuple[list[str | None], list[str | None]]:
-    """Sides of the groups, in order of size, under the capacities left, and where at most one of them is moved afterwards.
+def _segments(runs: Iterable[tuple[int, int, int, int]], n: int, n_train: int) -> Iterator[tuple[int, int, int, str, str]]:
+    """Sides of runs of groups ``start, count, size, fresh``, as ``start, first, last, even, odd``: of the places from ``first`` to ``last`` in a run every other one.
 
-    ``size`` is the group's and decides; ``fresh`` is how many of its rows no earlier
-    group holds, and is what fills a side. ``head`` is the place of the group that
-    decided for the group's first row.
+    A group goes to train if that has the larger room and holds it, or if test can't
+    hold it, else to test; nothing is dealt without room. ``size`` decides, ``fresh`` is
+    how many of its rows no earlier group holds and is what fills a side. Groups of one
+    run go to a side until its room meets a bound, or to both in turn while their
+    rooms differ by less than a group, so a run takes a few steps however long it is.
     """
-    n_train = int(n * ratio)
-    used = {"train": 0, "test": 0}
-    sides: list[str | None] = []
-    for s, f in zip(size, fresh, strict=True):
-        room_train, room_test = n_train - used["train"], n - n_train - used["test"]
-        if room_train + room_test <= 0:
-            sides.append(None)
-            continue
-        share = room_train / (room_train + room_test) if s <= room_train else ratio
-        side = "train" if (room_train >= s and share >= 0.5) or room_test < s else "test"
-        used[side] += f
-        sides.append(side)
-    moved: list[str | None] = [None] * len(size)
-    train = used["train"] + min(max(n_train - used["train"], 0), n - used["train"] - used["test"])
-    off = abs(train / n - ratio)
-    if rebalance and off > OFF_TARGET:
-        for i in sorted((i for i, s in enumerate(size) if s <= abs(train - n_train) and sides[i]), key=lambda i: size[i]):
-            step = -size[i] if sides[head[i]] == "train" else size[i]
-            if (step < 0) == (train > n_train) and abs((train + step) / n - ratio) < off:
-                moved[i] = "test" if step < 0 else "train"
-                break
-    return sides, moved
+    room = {"train": n_train, "test": n - n_train}
+    for start, count, s, f in runs:
+        at = 0
+        while at < count and sum(room.values()) > 0:
+            side = _side(s, room["train"], room["test"])
+            left = count - at
+            if f == 0 or room["test"] < s:  # nothing changes, or all room is train's
+                steps = left
+            elif side == "train":
+                steps = (room["train"] - max(s, room["test"])) // f + 1
+            else:  # until test is too small, or train has the larger room
+                steps = (room["test"] - s) // f + 1
+                if room["train"] >= s:
+                    steps = min(steps, -(-(room["test"] - room["train"]) // f))
+            if f:
+                steps = min(steps, left, -(-sum(room.values()) // f))
+            if steps == 1 and f and side == "train" and room["test"] >= s and _side(s, room["train"] - f, room["test"]) == "test":
+                turns = min((room["train"] - max(s, 0)) // f + 1, (room["test"] - s) // f + 1, left // 2) if _side(s, room["train"] - f, room["test"] - f) == "train" else 0
+                if turns > 1:
+                    room["train"] -= turns * f
+                    room["test"] -= turns * f
+                    yield start, at, at + 2 * turns, "train", "test"
+                    at += 2 * turns
+                    continue
+            room[side] -= steps * f
+            yield start, at, at + steps, side, side
+            at += steps
 
 
 def group_sides(items: DataFrame, groups: DataFrame, ratio: float, key: str = "label", rebalance: bool = True) -> DataFrame:
     """``key, group_no, split, moved_to``: groups ``key, group_no, idx`` by falling size, then by number, dealt to the sides.
 
-    Each decision depends on all before it, so a label is folded in one task; it is
-    given four numbers per group of two or more rows, never the rows themselves.
+    Each decision depends on all before it, but only on what room is left, so groups of
+    one size are decided as a run (see ``_segments``). A label's fold holds a row per
+    size; of a size whose groups overlap others to different extents, one per stretch
+    of equal groups. Groups get their places by ranges, and their sides by a lookup
+    of the run. At most one group is moved afterwards, the smallest that brings
+    the train share closer, if it is off by more than ``OFF_TARGET``.
     """
     kind = items.schema[key].dataType.simpleString()
     flat = groups.select(F.col(key).alias("k"), "group_no", "idx")
@@ -58,15 +77,41 @@ def group_sides(items: DataFrame, groups: DataFrame, ratio: float, key: str = "l
     owner = sized.groupBy("k", "idx").agg(F.min(order).alias("o"))
     per_group = same_join(sized, owner, ["k", "idx"])
     rows = per_group.groupBy("k", "group_no", "size").agg(F.sum((F.col("o.g") == F.col("group_no")).cast("long")).alias("fresh"), F.min_by("o", "idx")["g"].alias("head"))
-    n = items.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    placed = settle(with_position(settle(rows, "sizes"), "k", [F.col("size").desc(), F.col("group_no").asc()], "place"), "places")
+    n = settle(items.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("n_train", F.floor(F.col("n") * F.lit(float(ratio)).cast("double"))), "counts")
 
-    def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("size", "descending"), ("group_no", "ascending")])
-        place = {g: i for i, g in enumerate(t["group_no"].to_pylist())}
-        sides, moved = _allot(t["size"].to_pylist(), t["fresh"].to_pylist(), [place[g] for g in t["head"].to_pylist()], t["n"][0].as_py(), ratio, rebalance)
-        return pa.table({"k": t["k"], "group_no": t["group_no"].cast(pa.int64()), "split": pa.array(sides, pa.string()), "moved_to": pa.array(moved, pa.string())})
+    sizes = placed.groupBy("k", "size").agg(F.min("place").alias("start"), (F.min("fresh") < F.max("fresh")).alias("mixed"))
+    known = same_join(placed, sizes, ["k", "size"])
+    along = Window.partitionBy("k", "size", F.floor(F.col("place") / STRETCH)).orderBy("place")
+    other = F.coalesce(F.lag("fresh").over(along) != F.col("fresh"), F.lit(True))
+    mixed = known.where("mixed").withColumn("begins", F.when(other, F.col("place"))).withColumn("start", F.last("begins", ignorenulls=True).over(along)).drop("begins")
+    known = settle(known.where("NOT mixed").unionByName(mixed).drop("mixed"), "runs")
+    runs = same_join(known.groupBy("k", "start", "size", "fresh").agg(F.count(F.lit(1)).alias("count")), n, ["k"])
 
-    return same_join(rows, n, ["k"]).groupBy("k").applyInArrow(fold, f"k {kind}, group_no long, split string, moved_to string").withColumnRenamed("k", key)
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by("start")
+        found = list(_segments(zip(*(t[c].to_pylist() for c in ("start", "count", "size", "fresh")), strict=True), t["n"][0].as_py(), t["n_train"][0].as_py()))
+        cols = list(zip(*found, strict=True)) or [[]] * 5
+        return pa.table({"k": t["k"].combine_chunks().slice(0, 1).take(pa.array([0] * len(found), pa.int64())), **{c: pa.array(v, kind) for c, v, kind in zip(("start", "first", "last", "even", "odd"), cols, (pa.int64(),) * 3 + (pa.string(),) * 2, strict=True)}})
+
+    segments = settle(runs.groupBy("k").applyInArrow(fold, f"k {kind}, start long, first long, last long, even string, odd string"), "segments")
+    nth = F.col("place") - F.col("start")
+    turn = F.when((nth - F.col("first")) % 2 == 0, F.col("even")).otherwise(F.col("odd"))
+    sides = same_join(known, segments, ["k", "start"], "left").withColumn("split", F.when((nth >= F.col("first")) & (nth < F.col("last")), turn))
+    sides = settle(sides.groupBy("k", "group_no", "size", "fresh", "head", "place").agg(F.max("split").alias("split")), "sides")
+    if not rebalance:
+        return sides.select(F.col("k").alias(key), "group_no", "split", F.lit(None).cast("string").alias("moved_to"))
+    filled = lambda side: F.coalesce(F.sum(F.when(F.col("split") == side, F.col("fresh"))), F.lit(0))
+    used = same_join(sides.groupBy("k").agg(filled("train").alias("train"), filled("test").alias("test")), n, ["k"])
+    train = F.col("train") + F.least(F.greatest(F.col("n_train") - F.col("train"), F.lit(0)), F.col("n") - F.col("train") - F.col("test"))
+    away = lambda x: F.abs(x / F.col("n") - F.lit(float(ratio)))
+    used = used.withColumn("train", train).withColumn("off", away(F.col("train"))).where(F.col("off") > OFF_TARGET).select("k", "train", "off", "n", "n_train")
+    heads = sides.select("k", F.col("group_no").alias("head"), F.col("split").alias("of_head"))
+    near = same_join(same_join(sides.where("split IS NOT NULL"), used, ["k"]).where("size <= abs(train - n_train)"), heads, ["k", "head"])
+    step = F.when(F.coalesce(F.col("of_head") == "train", F.lit(False)), -F.col("size")).otherwise(F.col("size"))
+    fits = near.withColumn("step", step).where(((F.col("step") < 0) == (F.col("train") > F.col("n_train"))) & (away(F.col("train") + F.col("step")) < F.col("off")))
+    moved = fits.groupBy("k").agg(F.min_by(F.struct("group_no", F.when(F.col("step") < 0, "test").otherwise("train").alias("to")), F.struct("size", "place")).alias("m")).select("k", "m.group_no", F.col("m.to").alias("moved_to"))
+    return same_join(sides, moved, ["k", "group_no"], "left").select(F.col("k").alias(key), "group_no", "split", "moved_to")
 
 
 def smart_split(items: DataFrame, groups: DataFrame, ratio: float, *, content: str | None = None, simple_to_test: float = 0.6, detailed_to_train: float = 0.7, rebalance: bool = True, key: str = "label", idx: str = "idx", quality: str = "quality") -> DataFrame:

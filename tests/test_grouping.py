@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sortwell.operators import dedup, edges, grouping
+from sortwell.operators import dedup, edges, grouping, split
 from sortwell.operators.components import connected_components
 from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
 from sortwell.operators.index import with_position
@@ -299,6 +299,62 @@ def split_plainly(n, quality, groups, ratio):
     return side
 
 
+def dealt_plainly(size, fresh, n, n_train, ratio):
+    used, out = {"train": 0, "test": 0}, []
+    for s, f in zip(size, fresh, strict=True):
+        a, b = n_train - used["train"], n - n_train - used["test"]
+        if a + b <= 0:
+            out.append(None)
+            continue
+        share = a / (a + b) if s <= a else ratio
+        side = "train" if (a >= s and share >= 0.5) or b < s else "test"
+        used[side] += f
+        out.append(side)
+    return out
+
+
+def test_runs_of_groups_are_dealt_as_one_by_one():
+    r = random.Random(14)
+    for _ in range(8000):
+        runs, size, fresh = [], [], []
+        for s in sorted((r.randint(2, 9) for _ in range(r.randint(0, 4))), reverse=True):
+            for _ in range(r.choice([1, 1, 2])):
+                f, c = r.choice([s, s, s, s - 1, 0, 1]), r.choice([1, 2, 3, 7, 20])
+                runs.append((len(size), c, s, f))
+                size += [s] * c
+                fresh += [f] * c
+        n, ratio = max(1, sum(fresh) + r.choice([0, 0, 3, 10, -2])), r.choice([0.5, 0.75, 0.2, 0.9, 1.0, 0.0, 0.6])
+        got, k = [None] * len(size), 0
+        for start, first, last, even, odd in split._segments(runs, n, int(n * ratio)):
+            k += 1
+            for x in range(first, last):
+                got[start + x] = odd if (x - first) % 2 else even
+        assert got == dealt_plainly(size, fresh, n, int(n * ratio), ratio)
+        assert k <= 6 * len(runs)  # however many groups a run has
+    assert len(list(split._segments([(0, 10**12, 3, 3)], 3 * 10**12 + 5, 10**12))) <= 6
+
+
+@pytest.mark.parametrize("stretch", [2, 1 << 16])
+def test_many_groups_of_few_sizes(spark, monkeypatch, stretch):
+    """Groups of a size that overlap others to different extents are stretches of equal ones."""
+    monkeypatch.setattr(split, "STRETCH", stretch)
+    r = random.Random(15)
+    groups, n = [], 0
+    for no in range(1, 301):
+        size = r.choice([2, 2, 3])
+        groups.append((no, [*range(n, n + size)] if no % 7 else [n - 1, *range(n, n + size - 1)]))
+        n = groups[-1][1][-1] + 1
+    n += 40
+    for ratio in (0.75, 0.3):
+        got = {x.group_no: x.split for x in split.group_sides(spark.range(n).select(F.lit("a").alias("label"), F.col("id").alias("idx")), frame(spark, [("a", no, g) for no, g in groups]), ratio).collect()}
+        order = sorted(groups, key=lambda g: (-len(g[1]), g[0]))
+        seen, fresh = set(), []
+        for _, g in order:
+            fresh.append(len(set(g) - seen))
+            seen |= set(g)
+        assert [got[no] for no, _ in order] == dealt_plainly([len(g) for _, g in order], fresh, n, int(n * ratio), ratio)
+
+
 def test_split(spark):
     r = random.Random(5)
     rows, groups, want = [], [], {}
