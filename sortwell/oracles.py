@@ -214,6 +214,15 @@ SELECT doc_id, name AS file_name, source AS label, '.' || lower(ext) AS suffix,
     "hamming_pairs": "WITH" + _ITEMS + "," + _VECTORS + "," + _class_pairs("phash", "hamming(a.x, b.x)::INT", "0", "<= 3") + " SELECT label, i, j, m AS bits, copy FROM class_pairs",
     "embedding_pairs": "WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),"
     + _class_pairs("v", "list_cosine_similarity(a.x, b.x)", "1.0::DOUBLE", "> 0.35", "e") + " SELECT label, i, j, round(m, 6) AS sim, copy FROM class_pairs",
+    "manifest_versions": """
+WITH docs AS (SELECT source AS label, doc_id FROM documents),
+moved AS (SELECT min(doc_id) AS doc_id FROM docs),
+states AS (
+  SELECT 1 AS version, label, 1 AS held, doc_id, doc_id % 5 = 0 AS test FROM docs
+  UNION ALL SELECT 2, label, CASE WHEN label IN ('src1', 'src12') THEN 2 ELSE 1 END, doc_id, CASE WHEN label IN ('src1', 'src12') THEN doc_id % 2 = 0 ELSE doc_id % 5 = 0 END FROM docs
+  UNION ALL SELECT 3, label, 1, doc_id, doc_id % 5 = 0 FROM docs
+  UNION ALL SELECT 4, label, CASE WHEN label = (SELECT label FROM docs JOIN moved USING (doc_id)) THEN 4 ELSE 1 END, d.doc_id, (d.doc_id % 5 = 0) <> (d.doc_id = m.doc_id) FROM docs d, moved m)
+SELECT version, label, held, count(*) FILTER (WHERE NOT test) AS train, count(*) FILTER (WHERE test) AS test FROM states GROUP BY ALL""",
     "basket_pairs": """
 WITH counts AS (SELECT l_orderkey, (l_partkey % 256)::INT AS b, count(*) AS n FROM lineitem GROUP BY ALL),
 o AS (SELECT o_orderkey, o_orderpriority AS label, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS idx FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),

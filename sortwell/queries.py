@@ -17,7 +17,8 @@ from sortwell.operators.grouping import leader_groups, merge_components, merge_s
 from sortwell.operators.index import with_position
 from sortwell.oracles import ORACLES
 from sortwell.plans.detect import detect_groups, keyed, kept_items, led, led_by_level
-from sortwell.session import evenly, settle, table
+from sortwell.session import evenly, scratch, settle, table
+from sortwell.sources import versions
 from sortwell.sources.files import FORM_DEFAULTS, Settings
 
 RATIO = 0.75
@@ -407,6 +408,19 @@ def ssim_neighbours(spark, sf_dir):
     return pairs.select("vec_id", F.round(M.ssim(g, h), 6).alias("ssim"), F.round(V.cosine(g, h), 6).alias("cosine"), V.hamming(V.average_hash(g), V.average_hash(h)).alias("bits"))
 
 
+
+def manifest_versions(spark, sf_dir):
+    """Versions of a store side by side: all labels, two of them dealt anew, back to the first, one file moved."""
+    root = scratch(spark, "store")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("label"), "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    dealt = lambda rows, n: rows.withColumn("split", F.when(F.pmod("doc_id", F.lit(n)) == 0, "test").otherwise("train"))
+    versions.replace_labels(dealt(docs, 5), root)
+    versions.replace_labels(dealt(docs.where("label IN ('src1', 'src12')"), 2), root)
+    versions.undo(spark, root)
+    versions.move_file(spark, root, docs.agg(F.min_by("path", "doc_id")).first()[0])
+    return versions.history(spark, root)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "flagship_dedup_split": flagship,
@@ -456,6 +470,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ratio_report": ratio_report,
         "group_report": group_report,
         "groups_per_side": groups_per_side,
+        "manifest_versions": manifest_versions,
         "copy_manifest": copy_manifest,
         "output_recount": output_recount,
         "name_lookup": name_lookup,

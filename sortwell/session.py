@@ -51,6 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one, which ``sweep`` deletes."""
+    path = f"{shared_dir(spark)}/sortwell-{what}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(sweep)
+    _written.append((spark, path))
+    return path
+
+
 def settle(df: DataFrame, what: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -58,11 +67,8 @@ def settle(df: DataFrame, what: str = "step") -> DataFrame:
     pruning for later readers, and survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sortwell-{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(sweep)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,11 +97,16 @@ def sweep() -> None:
     _written.clear()
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` after sending this package to the executors, once per application."""
-    sc = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         package = Path(__file__).parent
         sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name))
         _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` by functions of this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
