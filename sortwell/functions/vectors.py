@@ -71,3 +71,15 @@ def hamming(a: Column, b: Column) -> Column:
     at = F.sequence(F.lit(1), F.length(a))
     differ = F.size(F.filter(at, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
     return F.when(F.length(a) != F.length(b), F.length(a)).when(F.length(a) == 0, 0).otherwise(differ)
+
+
+def rotations(bits: Column, side: int = 8) -> Column:
+    """The four strings of ``bits``, a square of ``side`` rows, turned by quarters; the first is itself."""
+    places = F.lit([side * (side - 1 - k % side) + k // side + 1 for k in range(side * side)])
+    quarter = F.array_join(F.transform(places, lambda i: F.substring(bits, i, 1)), "")
+    return F.array(bits, quarter, F.reverse(bits), F.reverse(quarter))  # turned by half, a string is read backwards
+
+
+def canonical_rotation(bits: Column, side: int = 8) -> Column:
+    """The least of the four rotations, so turned copies have one key and meet by equality; null for other lengths."""
+    return F.when(F.length(bits) == side * side, F.array_min(rotations(bits, side)))

@@ -214,6 +214,25 @@ SELECT doc_id, name AS file_name, source AS label, '.' || lower(ext) AS suffix,
     "hamming_pairs": "WITH" + _ITEMS + "," + _VECTORS + "," + _class_pairs("phash", "hamming(a.x, b.x)::INT", "0", "<= 3") + " SELECT label, i, j, m AS bits, copy FROM class_pairs",
     "embedding_pairs": "WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),"
     + _class_pairs("v", "list_cosine_similarity(a.x, b.x)", "1.0::DOUBLE", "> 0.35", "e") + " SELECT label, i, j, round(m, 6) AS sim, copy FROM class_pairs",
+    "class_threshold": """
+WITH bins AS (SELECT l_returnflag, floor(l_extendedprice / 1000.0::DOUBLE)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY ALL),
+cuts AS (SELECT a.l_returnflag, a.bin, sum(b.n) FILTER (WHERE b.bin <= a.bin) AS n0, sum(b.n * b.bin) FILTER (WHERE b.bin <= a.bin) AS s0, sum(b.n) AS n, sum(b.n * b.bin) AS s FROM bins a JOIN bins b USING (l_returnflag) GROUP BY ALL),
+rated AS (SELECT *, ((s0 * n - s * n0)::DOUBLE * (s0 * n - s * n0)::DOUBLE) / (n0 * (n - n0))::DOUBLE AS v FROM cuts WHERE n0 < n)
+SELECT l_returnflag, bin AS threshold, n0::BIGINT AS below, (n - n0)::BIGINT AS above, round(v / n::DOUBLE / n::DOUBLE, 6) AS between FROM rated QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY v DESC, bin) = 1""",
+    "grid_texture": "WITH" + _GRAYS + """, w AS (SELECT vec_id, list_stddev_pop([v[8 * (r + k // 4) + c + k % 4 + 1] FOR k IN range(16)]) AS d FROM g, (VALUES (0), (2)) a(r), (VALUES (0), (2)) b(c))
+SELECT vec_id, count(*) AS windows, round(least(1.0::DOUBLE, avg(d) / 50.0::DOUBLE), 6) AS spread FROM w GROUP BY vec_id""",
+    "grid_parts": "WITH RECURSIVE" + _GRAYS + """, bright AS (SELECT vec_id, k // 8 AS r, k % 8 AS c FROM (SELECT vec_id, v, unnest(range(64)) AS k FROM g) WHERE v[k + 1] > 140),
+reach(vec_id, r, c, root) AS (
+  SELECT vec_id, r, c, 8 * r + c FROM bright
+  UNION SELECT b.vec_id, b.r, b.c, x.root FROM reach x JOIN bright b ON b.vec_id = x.vec_id AND abs(b.r - x.r) <= 1 AND abs(b.c - x.c) <= 1),
+parts AS (SELECT vec_id, part, count(*) AS n FROM (SELECT vec_id, r, c, min(root) AS part FROM reach GROUP BY ALL) GROUP BY ALL HAVING count(*) > 3)
+SELECT vec_id, count(part) AS components, coalesce(max(n), 0) AS largest FROM (SELECT vec_id FROM g) LEFT JOIN parts USING (vec_id) GROUP BY vec_id""",
+    "rotated_groups": "WITH" + _ITEMS + "," + _VECTORS + """,
+turns AS (SELECT label, idx, phash AS h0, array_to_string([substr(phash, 8 * (7 - k % 8) + k // 8 + 1, 1) FOR k IN range(64)], '') AS h1,
+          reverse(phash) AS h2, array_to_string([substr(phash, 8 * (k % 8) + 7 - k // 8 + 1, 1) FOR k IN range(64)], '') AS h3 FROM features),
+both_ AS (SELECT label, idx, h0 AS h FROM turns UNION ALL SELECT label, idx + 1000000, CASE idx % 3 WHEN 0 THEN h1 WHEN 1 THEN h2 ELSE h3 END FROM turns WHERE idx % 7 = 0),
+named AS (SELECT label, idx, least(h, array_to_string([substr(h, 8 * (7 - k % 8) + k // 8 + 1, 1) FOR k IN range(64)], ''), reverse(h), array_to_string([substr(h, 8 * (k % 8) + 7 - k // 8 + 1, 1) FOR k IN range(64)], '')) AS turned FROM both_),
+""" + _by_hash("turned", "named", "groups_") + " SELECT label, hash, n, members[1] AS group_no, unnest(members) AS idx FROM groups_",
     "manifest_versions": """
 WITH docs AS (SELECT source AS label, doc_id FROM documents),
 moved AS (SELECT min(doc_id) AS doc_id FROM docs),

@@ -8,7 +8,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortwell.functions.embedding import embed
+from sortwell.functions.embedding import embed_chain
 from sortwell.functions.measures import composite_score, content_type, exposure, mean, spread
 from sortwell.functions.paths import SORTER_SUFFIXES, base_name
 from sortwell.functions.rasters import image_measures
@@ -20,22 +20,23 @@ from sortwell.plans.detect import run
 from sortwell.session import settle
 from sortwell.sources.files import Settings, has_files, load_json, read_images, scan_folders, settings_from
 from sortwell.sources.sinks import copy_files, write_manifest, write_report, written_files
+from sortwell.sources.versions import replace_labels
 
 
-def folder_features(spark: SparkSession, roots: dict[str, str], settings: Settings, label: str | None = None, model: str | None = None) -> DataFrame:
+def folder_features(spark: SparkSession, roots: dict[str, str], settings: Settings, label: str | None = None, models: list[str] | None = None) -> DataFrame:
     """Features of every image of the labels (or one label) in ``{split: root}``, with positions by path.
 
-    Images that can't be decoded are left out. Vectors come from ``model``, a name
-    ``module:function`` of a function that loads one, else they are color histograms.
+    Images that can't be decoded are left out. Vectors come from ``models``, names
+    ``module:function`` of functions that load one, tried in order, else they are color histograms.
     Hashes and quality are column expressions over the gray levels of a thumbnail.
     """
     files = scan_folders(spark, roots, SORTER_SUFFIXES, label, content=True).select("label", "path", F.md5("content").alias("file_hash"))
     images = read_images(spark, [f"{root}/{label or '*'}" for root in roots.values() if has_files(spark, f"{root}/{label or '*'}/*")])
     joined = files.join(images, F.regexp_replace(files["path"], "^file:/+", "/") == F.regexp_replace(images["path"], "^file:/+", "/")).drop(images["path"])
     method = F.lit("histogram").alias("embedding_method")
-    if model:
-        module, name = model.split(":")
-        vectors = embed(joined, getattr(importlib.import_module(module), name), name).select("path", "embedding", "embedding_method")
+    if models:
+        named = [m.split(":") for m in models]
+        vectors = embed_chain(joined, {name: getattr(importlib.import_module(module), name) for module, name in named}).select("path", "embedding", "embedding_method")
         rows = image_measures(joined).join(vectors, "path")
         method = F.col("embedding_method")
     else:
@@ -57,7 +58,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--output", required=True)
     p.add_argument("--label")
     p.add_argument("--config", default="")
-    p.add_argument("--model", help="module:function that loads an embedding model")
+    p.add_argument("--model", action="append", help="module:function that loads an embedding model; more of them are fallbacks in order")
     p.add_argument("--train-ratio", type=float)
     p.add_argument("--folds", type=int, help="folds by which configurations are compared")
     p.add_argument("--no-evaluation", action="store_true")
@@ -65,6 +66,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--intended", action="store_true", help="tell near duplicates from exact ones, and keep or remove them by the settings")
     p.add_argument("--components", action="store_true", help="merge groups as long as any overlap")
     p.add_argument("--copy", action="store_true", help="copy the files too")
+    p.add_argument("--store", help="folder of versions; the result becomes the content of its labels in a new one")
     a = p.parse_args(argv)
     settings = settings_from(load_json(a.config) | {k: v for k, v in (("train_ratio", a.train_ratio), ("cross_validation_folds", a.folds)) if v is not None})
     settings.remove_exact_duplicates = settings.remove_exact_duplicates and not a.keep_all
@@ -75,6 +77,9 @@ def main(argv: list[str] | None = None) -> None:
     groups, unique, splits = run(features, settings, "components" if a.components else "single_pass", levels="intended" if a.intended else "compat")
     manifest = settle(copy_manifest(splits.withColumn("folder", F.concat("split", F.lit("/"), "label")), "folder"), "manifest")
     write_manifest(manifest, f"{a.output}/manifest")
+    if a.store:
+        version, totals = replace_labels(manifest, a.store)
+        print(f"version {version}: {totals}")
     if a.copy:
         copy_files(manifest, a.output, by_label=True).show()
         written = settle(written_files(spark, a.output), "written")
@@ -84,7 +89,7 @@ def main(argv: list[str] | None = None) -> None:
     exact, near = (groups.where(F.col("kind") == kind) for kind in ("exact", "near"))
     values = {
         "remove_exact_duplicates": settings.remove_exact_duplicates, "keep_near_duplicates": settings.keep_near_duplicates, "train_ratio": settings.train_ratio, "test_ratio": settings.test_ratio,
-        "similarity_threshold": settings.near_duplicate_threshold, "hash_threshold": settings.hash_threshold, "embedding_method": a.model or "histogram",
+        "similarity_threshold": settings.near_duplicate_threshold, "hash_threshold": settings.hash_threshold, "embedding_method": ",".join(m.split(":")[1] for m in a.model) if a.model else "histogram",
     }
     report = settle(run_report(features, unique, exact, near, splits, written, values), "report")
     write_report(report, group_report(groups, features), f"{a.output}/split_analysis")

@@ -13,6 +13,7 @@ from sortwell.functions import paths as P
 from sortwell.functions import vectors as V
 from sortwell.operators import dedup, evaluate, report, split
 from sortwell.operators.edges import cosine_edges, hamming_edges
+from sortwell.operators.grids import grid_components, gridded, two_class_threshold, windowed_spread
 from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
 from sortwell.operators.index import with_position
 from sortwell.oracles import ORACLES
@@ -388,6 +389,31 @@ def image_levels(spark, sf_dir):
     return rasters(spark, sf_dir).select("vec_id", F.round(M.mean(g), 4).alias("brightness"), F.round(M.spread(g), 4).alias("contrast"), F.round(M.exposure(F.col("gray")), 6).alias("exposure"), F.size("gray").cast("long").alias("pixels"))
 
 
+
+def class_threshold(spark, sf_dir):
+    """The price, in thousands, that parts each flag's lines into two classes."""
+    bins = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.floor(F.col("l_extendedprice") / 1000.0).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return two_class_threshold(bins, "l_returnflag").withColumn("between", F.round("between", 6))
+
+
+def grid_texture(spark, sf_dir):
+    """Spread in windows of 4 x 4 of each raster of 8 x 8."""
+    return windowed_spread(gridded(rasters(spark, sf_dir), "vec_id", "gray", 8), "vec_id", 4, 2).withColumn("spread", F.round("spread", 6))
+
+
+def grid_parts(spark, sf_dir):
+    """Connected bright parts of more than three cells of each raster."""
+    return grid_components(gridded(rasters(spark, sf_dir), "vec_id", "gray", 8), "vec_id", "x > 140", 3)
+
+
+def rotated_groups(spark, sf_dir):
+    """Groups by a hash that turned copies share; every seventh row has a copy that is turned."""
+    f = features(spark, sf_dir).select("label", "idx", "phash")
+    turned = f.where("idx % 7 = 0").select("label", (F.col("idx") + 1_000_000).alias("idx"), F.element_at(V.rotations(F.col("phash")), (F.col("idx") % 3 + 2).cast("int")).alias("phash"))
+    rows = f.unionByName(turned).withColumn("turned", V.canonical_rotation(F.col("phash")))
+    return dedup.key_groups(settle(rows, "turned"), "turned").select("label", "hash", "n", "group_no", "idx")
+
+
 def image_measures(spark, sf_dir):
     """Hash, composite quality and content type of each raster."""
     g = F.col("g")
@@ -479,6 +505,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_totals": run_totals,
         "run_lines": run_lines,
         "run_report": run_report,
+        "class_threshold": class_threshold,
+        "grid_texture": grid_texture,
+        "grid_parts": grid_parts,
+        "rotated_groups": rotated_groups,
         "image_measures": image_measures,
         "image_levels": image_levels,
         "ssim_neighbours": ssim_neighbours,

@@ -135,6 +135,37 @@ def test_recount(spark):
     assert got == {"train": True, "test": False}
 
 
+def test_models_in_a_chain(spark, roots):
+    """What one model fails on goes to the next, and one that can't be made is passed over."""
+
+    def missing():
+        raise ImportError("no such library")
+
+    def first():
+        def run(rasters):
+            if any(m.shape[0] < 40 for m in rasters):
+                raise ValueError("too small")
+            return np.stack([[m.mean() + 1, 1.0] for m in rasters])
+
+        return run
+
+    def second():
+        def run(rasters):
+            if any(m.std() == 0 for m in rasters):
+                raise ValueError("flat")
+            return np.stack([[1.0, 2.0, 2.0] for m in rasters])
+
+        return run
+
+    from sortwell.functions.embedding import embed_chain
+
+    images = files.read_images(spark, [roots["train"] + "/leaf", roots["test"] + "/leaf"])
+    tiny = images.where("path LIKE '%small.png'").withColumn("path", F.lit("x/tiny.png")).withColumns({"height": F.lit(2), "width": F.lit(1), "data": F.unhex(F.lit("000000ffffff"))})
+    rows = {r.path.rsplit("/", 1)[1]: r for r in embed_chain(images.unionByName(tiny), {"missing": missing, "first": first, "second": second}).collect()}
+    assert {k: r.embedding_method for k, r in rows.items() if k in ("flat.png", "noise.png", "small.png", "tiny.png", "broken.png")} == {"flat.png": "first", "noise.png": "first", "small.png": "histogram", "tiny.png": "second", "broken.png": None}
+    assert np.allclose(rows["tiny.png"].embedding, [1 / 3, 2 / 3, 2 / 3]) and all(abs(np.linalg.norm(r.embedding) - 1) < 1e-6 for r in rows.values() if r.embedding)
+
+
 def test_embedding(spark, roots):
     def load():
         def model(batch):
