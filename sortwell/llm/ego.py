@@ -22,6 +22,8 @@ LEAD = 8
 FIT_ROWS = 2048
 #: Vectors in a block and in the least interval of the recursion; blocks in a side of a tile at most; leaves and pairs of intervals that a task takes at a time.
 BLOCK, LEAF, TILE, AT_ONCE = 512, 64, 128, 1 << 14
+#: Bytes that the vectors of an interval of a tile take as doubles at most, unless a single block takes more.
+TILE_BYTES = 64 << 20
 
 
 def usable(label: str = "label", vec: str = "v"):
@@ -221,7 +223,7 @@ def _tiles(blocks: DataFrame, cosine: float) -> DataFrame:
     """``label, dim, a, b, grp, block``: which blocks a tile compares, those of its intervals ``a`` and ``b``.
 
     The B blocks of a label and dimension fall into intervals of about sqrt(B) blocks, at
-    most ``TILE``. Two intervals whose boxes are within reach of each other are a tile,
+    most ``TILE`` and ``TILE_BYTES``. Two intervals whose boxes are within reach of each other are a tile,
     one task's work, to which go their blocks that are within reach of the other
     interval. So a block goes to at most as many tasks as there are intervals, not to
     one per other block.
@@ -232,7 +234,8 @@ def _tiles(blocks: DataFrame, cosine: float) -> DataFrame:
     runs = narrow.groupBy("label", "dim", "part").agg(F.min("block").alias("first"), F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("label", "dim")
     before = F.coalesce(F.sum("n").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    width = F.least(F.ceil(F.sqrt(F.sum("n").over(whole))), F.lit(TILE))
+    most = F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (F.col("dim") * 8 * BLOCK)))
+    width = F.least(F.ceil(F.sqrt(F.sum("n").over(whole))), F.lit(TILE), most)
     runs = runs.select("label", "dim", "part", "first", before.alias("before"), width.alias("width"))
     placed = narrow.join(runs, ["label", "dim", "part"]).withColumn("grp", F.floor((F.col("block") - F.col("first") + F.col("before")) / F.col("width")).cast("int"))
     placed = settle(placed.select("label", "dim", "grp", "block", "lo", "hi"), "places")
