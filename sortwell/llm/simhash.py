@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sortwell.llm.arrow import sliced
-from sortwell.llm.keep import one_of_each
+from sortwell.llm.keep import LOOKUP_ROWS, one_of_each
 from sortwell.operators.components import connected_components
 from sortwell.operators.spread import with_group
 from sortwell.session import evenly, map_arrow, settle, table
@@ -19,6 +19,8 @@ from sortwell.session import evenly, map_arrow, settle, table
 WORDS = 3
 MAX_BITS = 3
 HASH_SEED = 42
+#: Fingerprints that share a segment's value before it is looked up by 48 bits.
+HOT = 64
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -58,18 +60,24 @@ def _segment(fp: Column, n: int) -> Column:
     return F.shiftrightunsigned(fp, 32 * n).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _matches(fps: DataFrame, radius: int = 1) -> DataFrame:
-    """``pfp, fp``: pairs of distinct fingerprints at ``MAX_BITS`` or fewer differing bits, each from one side.
+def _sub(half: Column, k: int) -> Column:
+    """One of the two 16-bit parts of a half."""
+    return F.shiftrightunsigned(half, 16 * k).bitwiseAND(F.lit(0xFFFF))
 
-    ``fps`` has ``fp`` and ``root``, null or the group in which a fingerprint is known
-    to be; pairs within a group are left out.
+
+def _candidates(fps: DataFrame, radius: int = 1) -> DataFrame:
+    """``pfp, proot, fp, root``: the pairs of fingerprints whose full distance has to be verified, each once.
 
     Of three differing bits, one of the two 32-bit segments has at most one. So each
-    segment goes into a table by its value, each fingerprint looks up the Hamming
-    ball of radius one around its segment, and full distances are verified. From a
-    ball of radius one only values with a bit more are looked up: of two segments at
-    distance one, one has the bit and is found from the other. With ``radius`` 0 only
-    pairs with an equal segment are found.
+    segment goes into a table by its value, and each fingerprint looks up the Hamming
+    ball of radius one around its segment. From a ball of radius one only values with
+    a bit more are looked up: of two segments at distance one, one has the bit and is
+    found from the other. With ``radius`` 0 only pairs with an equal segment are found.
+
+    A value that more than ``HOT`` fingerprints share is a table of its own: there, one of the
+    two 16-bit parts of the other segment has at most one differing bit too, and is looked up
+    with it. So a dense family is met by 48 bits, not by 32. A pair that both parts
+    find is given by the first.
     """
     seg = F.array(*[F.struct(F.lit(n).alias("n"), _segment(F.col("fp"), n).alias("seg")) for n in range(2)])
     rows = fps.select("fp", "root", F.inline(seg)).select("n", "seg", "fp", "root")
@@ -77,10 +85,39 @@ def _matches(fps: DataFrame, radius: int = 1) -> DataFrame:
     if radius:
         ball = F.concat(ball, F.expr("transform(filter(sequence(0, 31), i -> getbit(seg, i) = 0), i -> seg | shiftleft(1L, i))"))
     probes = rows.select(F.col("n").alias("pn"), F.explode(ball).alias("at"), F.col("seg").alias("from_seg"), F.col("fp").alias("pfp"), F.col("root").alias("proot"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= MAX_BITS
+    hot = settle(rows.groupBy("n", "seg").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT).select(F.col("n").alias("hn"), F.col("seg").alias("hseg")), "hot")
+    n_hot = hot.count()
+    meets = (F.col("pn") == F.col("n")) & (F.col("at") == F.col("seg"))
     once = (F.col("at") != F.col("from_seg")) | (F.col("pfp") < F.col("fp"))
+    if not n_hot:
+        return probes.join(rows, meets & once).select("pfp", "proot", "fp", "root")
+    side = F.broadcast(hot) if n_hot <= LOOKUP_ROWS else hot
+    found = probes.join(rows.join(side, (F.col("n") == F.col("hn")) & (F.col("seg") == F.col("hseg")), "left_anti"), meets & once)
+
+    other = lambda fp, n: F.when(n == 0, _segment(fp, 1)).otherwise(_segment(fp, 0))
+    part = lambda half: F.array(*[F.struct(F.lit(k).alias("k"), _sub(half, k).alias("sub")) for k in range(2)])
+    there = rows.join(side, (F.col("n") == F.col("hn")) & (F.col("seg") == F.col("hseg")), "left_semi").withColumn("half", other(F.col("fp"), F.col("n")))
+    there = there.select("n", "seg", "fp", "root", "half", F.inline(part(F.col("half"))))
+    into = probes.join(side, (F.col("pn") == F.col("hn")) & (F.col("at") == F.col("hseg")), "left_semi").withColumn("phalf", other(F.col("pfp"), F.col("pn")))
+    into = into.select("*", F.inline(part(F.col("phalf")))).withColumnsRenamed({"k": "pk", "sub": "own"})
+    # within one value a bit more is enough, between two values of a ball only one side looks
+    around = F.expr("concat(array(own), transform(filter(sequence(0, 15), i -> at <> from_seg OR getbit(own, i) = 0), i -> own ^ shiftleft(1L, i)))")
+    into = into.withColumn("sub_at", F.explode(around))
+    first = (F.col("k") == 0) | (F.bit_count(_sub(F.col("half").bitwiseXOR(F.col("phalf")), 0)) > 1)
+    single = (F.col("at") != F.col("from_seg")) | (F.col("sub_at") != F.col("own")) | (F.col("pfp") < F.col("fp"))
+    dense = into.join(there, meets & (F.col("pk") == F.col("k")) & (F.col("sub_at") == F.col("sub")) & first & single)
+    return found.select("pfp", "proot", "fp", "root").unionByName(dense.select("pfp", "proot", "fp", "root"))
+
+
+def _matches(fps: DataFrame, radius: int = 1) -> DataFrame:
+    """``pfp, fp``: pairs of distinct fingerprints at ``MAX_BITS`` or fewer differing bits, each from one side.
+
+    ``fps`` has ``fp`` and ``root``, null or the group in which a fingerprint is known
+    to be; pairs within a group are left out. See ``_candidates``.
+    """
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pfp"))) <= MAX_BITS
     apart = F.coalesce(F.col("root") != F.col("proot"), F.lit(True))
-    return probes.join(rows, (F.col("pn") == F.col("n")) & (F.col("at") == F.col("seg")) & close & once & apart).select("pfp", "fp", "proot", "root")
+    return _candidates(fps, radius).where(close & apart).select("pfp", "fp", "proot", "root")
 
 
 def links(fps: DataFrame) -> DataFrame:
