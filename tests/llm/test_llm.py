@@ -746,6 +746,35 @@ def test_multi_index_finds_all_links(spark):
     assert set(got) == want
 
 
+@pytest.mark.parametrize("hot", [0, 3, 64])
+def test_links_of_values_that_many_share(spark, monkeypatch, hot):
+    """Families that share a half, with links within and between values of a ball, each found once."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    r = random.Random(21)
+    fps = set()
+    for half in (r.getrandbits(32), r.getrandbits(32)):
+        for _ in range(60):
+            low = r.getrandbits(32)
+            for _ in range(5):
+                f = (half << 32) | low
+                for b in r.sample(range(64), r.randint(0, 3)):
+                    f ^= 1 << b
+                fps.add(f)
+                fps.add((f >> 32) | ((f & 0xFFFFFFFF) << 32))
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    got = [tuple(x) for x in simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long")).collect()]
+    want = {tuple(sorted((signed(a), signed(b)))) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 3}
+    assert set(got) == want
+
+
+def test_a_dense_family_is_compared_with_few(spark):
+    """Variants with one common half are met by 48 bits."""
+    n = 20_000
+    fps = spark.range(n).select(F.lit(0x1234567800000000).bitwiseOR(F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFFFF))).alias("fp"), F.lit(None).cast("long").alias("root")).distinct()
+    for radius in (0, 1):
+        assert simhash._candidates(fps, radius).count() < 50 * n
+
+
 def test_families_of_fingerprints(spark):
     r = random.Random(11)
     fps = {r.getrandbits(64) for _ in range(25)}
@@ -775,6 +804,65 @@ def test_families_of_fingerprints(spark):
     assert got == {f: find(f) for f in nodes}
 
 
+def test_only_survivors_are_hashed_in_full(spark):
+    """And no hash decides without its text; rows without ids are spread."""
+    head = "h" * 300
+    rows = [(k, f"alone {k} " + "x" * k, "en", "a", 0) for k in range(40)] + [(50, head + "tail", "en", "a", 0), (51, head + "liat", "en", "a", 0), (52, head + "tail", "en", "a", 0)] + [(None, "same", "en", "a", 0)] * 30
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id for r in got if r.text_sha256} == {50, 51, 52, None}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got if r.doc_id and r.doc_id >= 50} == {(50, 50, 2), (51, 51, 1), (52, 50, 2)}
+    assert [r.group_size for r in got if r.doc_id is None] == [30] * 30
+    left = exact_dedup.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted([*map(str, range(40)), "50", "51", "None"])
+
+
+def test_training_rows_are_bounded_for_each_label(spark, monkeypatch):
+    monkeypatch.setattr(cnn, "ROWS_PER_LABEL", 20)
+    monkeypatch.setattr(cnn, "WORDS_PER_LABEL", 300)
+    held = []
+    monkeypatch.setattr(cnn, "fit", lambda x, lang, y, share: held.append((x, y)))
+    bad, good = "foul words here " * 3, "fair words there "
+    docs = [(1, bad, "en", "a", 0)] * 3000 + [(1, bad + "." * (k % 50), "en", "a", 0) for k in range(500)] + [(2, f"{bad} {k}x " * 2, "en", "a", 0) for k in range(60)] + [(100 + k, good * (1 + k % 40), "en", "a", 0) for k in range(60)]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), *((100 + k, 0) for k in range(60))], "doc_id long, toxic int")
+    cnn.train(spark.createDataFrame(docs, DOCS).repartition(4), labels)
+    x, y = held[0]
+    for label in (0, 1):
+        mine = [v for v, z in zip(x, y) if z == label]
+        assert 1 <= len(mine) <= 20 and sum(map(len, mine)) <= 300
+    assert sum(z == 1 for z in y) <= 20 and len(x) <= 40
+
+
+@pytest.mark.parametrize("alphabet", ["абвгдежз", "ابتثجحخد", "一二三四五六七八", "क ख ग घ च छ ज झ".replace(" ", "")])
+def test_chunks_are_reused_in_any_script(alphabet):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(alphabet) for _ in range(r.randint(2, 7)))
+    joint = "，" if alphabet[0] == "一" else " "
+    passage = joint.join(word() for _ in range(900)) + "。\n"
+    texts = [joint.join(word() for _ in range(200)) + joint + passage + joint.join(word() for _ in range(100)) for _ in range(12)]
+    c = bpe.ChunkCoder(PATH)
+    plain = Tokenizer.from_file(PATH)
+    spent = 0
+    encode = c.coding.encode_to_numpy
+
+    class Counted:
+        def encode_to_numpy(self, text, **kw):
+            nonlocal spent
+            spent += len(text.encode())
+            return encode(text, **kw)
+
+    coding, c.coding = c.coding, Counted()
+    got = [c.encode(t).tolist() for t in texts]
+    c.coding = coding
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert c.reused > c.seen / 3 and spent < 1.2 * sum(len(t.encode()) for t in texts)
+
+
+def test_intervals_of_wide_vectors_are_narrow(spark):
+    wide = spark.createDataFrame([(b, "a", dim) for dim in (64, 1024, 100_000) for b in range(400)], "block long, label string, dim int").select("*", F.array_repeat(F.lit(0.0), ego.LEAD).alias("lo"), F.array_repeat(F.lit(0.0), ego.LEAD).alias("hi"))
+    for r in ego._tiles(wide, 0.93).groupBy("dim", "a", "grp").agg(F.countDistinct("block").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect():
+        assert r.n * r.dim * 8 * ego.BLOCK <= max(ego.TILE_BYTES, r.dim * 8 * ego.BLOCK)
+
+
 def test_dedup_stages_keep_one_row_of_each_text(spark):
     r = random.Random(5)
     a, b, c, d = (" ".join(r.choice("uvwxyz") * 3 + str(r.randrange(900)) for _ in range(60)) for _ in range(4))
