@@ -25,6 +25,9 @@ def fold_of(idx: Column, n: Column, folds: int) -> Column:
     size = F.floor(n / folds)
     return F.when(size == 0, folds - 1).otherwise(F.least(F.floor(idx / F.greatest(size, F.lit(1))), F.lit(folds - 1))).cast("int")
 
+#: What ``kfold_metrics`` measures besides the overall score.
+METRICS = ("train_quality_avg", "test_quality_avg", "train_test_quality_diff", "duplicate_detection_rate", "cross_split_duplicates")
+
 
 def with_folds(items: DataFrame, folds: int, key: str = "label", idx: str = "idx") -> DataFrame:
     n = items.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
@@ -68,8 +71,10 @@ def rank_configs(scored: DataFrame, key: str = "label") -> DataFrame:
 
 
 def evaluate_configs(features: DataFrame, folds: int = 5, configs=CONFIGS, near: float = 0.95) -> DataFrame:
-    """``label, config_no, config, overall_score, place``: configurations by score, each with the groups that its own near threshold finds.
+    """``label, config_no, config, overall_score, place`` and the metrics: configurations by score, each with the groups that its own near threshold finds.
 
+    The metrics are those of ``kfold_metrics``; the rate of detected duplicates counts the
+    exact groups and the configuration's near ones.
     Vectors are compared once, at the lowest threshold, and the groups of all
     configurations are found in the same rounds. Scores are rounded to nine places
     before they are ranked.
@@ -81,8 +86,9 @@ def evaluate_configs(features: DataFrame, folds: int = 5, configs=CONFIGS, near:
     found = leader_groups(wide, "at").select("at", "leader").distinct().groupBy("at.label", F.col("at.n").alias("config_no")).agg(F.count(F.lit(1)).alias("near"))
     exact = key_groups(features, "file_hash").select("label", "group_no").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n_groups"))
     names = F.array(*[F.struct(F.lit(n).alias("config_no"), F.lit(c["name"]).alias("config")) for n, c in enumerate(configs)])
-    runs = kfold_metrics(features, exact, folds).select("label", "overall_score", F.inline(names))
+    runs = kfold_metrics(features, exact, folds).select("label", "overall_score", *METRICS, F.inline(names))
     n = features.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     rows = same_join(same_join(runs, found, ["label", "config_no"], "left"), n, ["label"])
-    score = F.round(F.col("overall_score") + F.coalesce("near", F.lit(0)) / F.col("n") * 0.2, 9)
-    return rank_configs(rows.select("label", "config_no", "config", score.alias("overall_score")))
+    near_rate = F.coalesce("near", F.lit(0)) / F.col("n")
+    score = F.round(F.col("overall_score") + near_rate * 0.2, 9)
+    return rank_configs(rows.withColumns({"overall_score": score, "duplicate_detection_rate": F.col("duplicate_detection_rate") + near_rate}).select("label", "config_no", "config", "overall_score", *METRICS))

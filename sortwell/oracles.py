@@ -180,6 +180,11 @@ _SCORE = """0.4::DOUBLE * (l_quantity / 50.0::DOUBLE) + 0.15::DOUBLE * (l_extend
 
 _CONFIG = "(VALUES (0, 'Default', 0.95::DOUBLE), (1, 'Conservative', 0.98::DOUBLE), (2, 'Aggressive', 0.85::DOUBLE), (3, 'Balanced Split', 0.92::DOUBLE), (4, 'Quality Focused', 0.90::DOUBLE)) c(no, config, t)"
 
+_CONFIGS = "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _KFOLD + "," + _edges(0.85, "wide") + f""",
+edges AS (SELECT label || '|' || no AS label, i, j FROM wide, {_CONFIG} WHERE sim > t),""" + _leaders("edges", "g") + f""",
+near AS (SELECT label AS k, count(*) AS near FROM g GROUP BY label),
+full_scores AS (SELECT s.*, no, config, duplicate_detection_rate + coalesce(near, 0) / n::DOUBLE AS rate, round(overall_score + coalesce(near, 0) / n::DOUBLE * 0.2::DOUBLE, 9) AS sc FROM scored s, {_CONFIG} LEFT JOIN near ON k = s.label || '|' || no)"""
+
 _RESULTS = """
 g AS (SELECT label, count(*) AS d FROM (SELECT label FROM items GROUP BY label, file_hash HAVING count(*) > 1) GROUP BY label),
 r AS (SELECT s.label, count(*) AS t, coalesce(max(d), 0) AS d, count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'test') AS te FROM sides s LEFT JOIN g USING (label) GROUP BY s.label HAVING te > 0)"""
@@ -303,11 +308,12 @@ UNION ALL
 SELECT label, 'phash', count(*) FROM features t WHERE split_in = 'test' AND EXISTS (SELECT 1 FROM features r WHERE r.split_in = 'train' AND r.label = t.label AND r.phash = t.phash) GROUP BY label""",
     "kfold_assign": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, idx, fold FROM placed",
     "kfold_metrics": "WITH" + _ITEMS + "," + _KFOLD + " SELECT label, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("train_quality_avg", "test_quality_avg", "train_test_quality_diff", "cross_split_duplicates", "duplicate_detection_rate", "overall_score")) + " FROM scored",
-    "config_ranking": "WITH RECURSIVE" + _ITEMS + "," + _VECTORS + "," + _KFOLD + "," + _edges(0.85, "wide") + f""",
-edges AS (SELECT label || '|' || no AS label, i, j FROM wide, {_CONFIG} WHERE sim > t),""" + _leaders("edges", "g") + f""",
-near AS (SELECT label AS k, count(*) AS near FROM g GROUP BY label),
-full_scores AS (SELECT s.label, no, config, round(overall_score + coalesce(near, 0) / n::DOUBLE * 0.2::DOUBLE, 9) AS sc FROM scored s, {_CONFIG} LEFT JOIN near ON k = s.label || '|' || no)
+    "config_ranking": _CONFIGS + """
 SELECT label, config, sc AS overall_score, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN isnan(sc) THEN NULL ELSE sc END DESC NULLS LAST, no) AS place FROM full_scores""",
+    "config_comparison": _CONFIGS + """
+SELECT label, config, sc AS overall_score, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN isnan(sc) THEN NULL ELSE sc END DESC NULLS LAST, no) AS place,
+       round(train_quality_avg, 9) AS train_quality_avg, round(test_quality_avg, 9) AS test_quality_avg, round(train_test_quality_diff, 9) AS train_test_quality_diff,
+       round(rate, 9) AS duplicate_detection_rate, round(cross_split_duplicates, 9) AS cross_split_duplicates FROM full_scores""",
     "split_report": "WITH" + _ITEMS + "," + _QUALITY_SPLIT + """, both_sides AS (SELECT DISTINCT label, s.split FROM items, (VALUES ('train'), ('test')) s(split))
 SELECT b.label, b.split, count(s.idx) AS count, round(coalesce(avg(quality), 0.0), 6) AS avg_quality, round(coalesce(avg(sharpness), 0.0), 6) AS avg_sharpness, round(coalesce(avg(resolution), 0.0), 6) AS avg_resolution
 FROM both_sides b LEFT JOIN sides s ON s.label = b.label AND s.split = b.split GROUP BY ALL""",

@@ -43,10 +43,14 @@ def folder_features(spark: SparkSession, roots: dict[str, str], settings: Settin
         rows = image_measures(joined).withColumn("embedding", F.col("histogram"))
     thumb = F.col("thumb")
     quality = composite_score(F.col("sharpness"), mean(thumb), spread(thumb), F.lit(0.0), F.col("resolution"), F.least(F.lit(1.0), F.col("sharpness") / 255.0), F.lit(0.0), exposure(thumb))
-    complexity = F.least(F.lit(1.0), spread(thumb) / 80.0)
+    # types are measured only where they decide anything
+    complexity, kind = F.lit(None).cast("double"), F.lit("unknown")
+    if settings.enable_content_filtering:
+        complexity = F.least(F.lit(1.0), spread(thumb) / 80.0)
+        kind = content_type(complexity, F.lit(None).cast("double"), F.lit(None).cast("int"), settings.complexity_threshold)
     flat = rows.where("thumb IS NOT NULL").select(
         "label", "path", base_name(F.col("path")).alias("file_name"), "file_hash", average_hash(thumb).alias("phash"), F.col("embedding").cast("array<double>").alias("v"), method, quality.alias("quality"), "sharpness", "resolution",
-        complexity.alias("complexity_score"), F.lit(None).cast("double").alias("completeness_score"), content_type(complexity, F.lit(None).cast("double"), F.lit(None).cast("int"), settings.complexity_threshold).alias("content_type"),
+        complexity.alias("complexity_score"), F.lit(None).cast("double").alias("completeness_score"), kind.alias("content_type"),
     )
     return settle(with_position(flat, "label", [F.col("path")]), "features")
 

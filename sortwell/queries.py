@@ -285,6 +285,12 @@ def config_ranking(spark, sf_dir):
     return evaluate.evaluate_configs(features(spark, sf_dir)).select("label", "config", "overall_score", "place")
 
 
+def config_comparison(spark, sf_dir):
+    """The table behind the comparison: all metrics of each configuration and label."""
+    rows = evaluate.evaluate_configs(features(spark, sf_dir))
+    return rows.select("label", "config", "place", *[F.round(c, 9).alias(c) for c in ("overall_score", *evaluate.METRICS)])
+
+
 # reports
 
 
@@ -492,6 +498,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kfold_assign": kfold_assign,
         "kfold_metrics": kfold_metrics,
         "config_ranking": config_ranking,
+        "config_comparison": config_comparison,
         "split_report": split_report,
         "ratio_report": ratio_report,
         "group_report": group_report,
