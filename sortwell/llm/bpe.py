@@ -30,10 +30,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: that are no white space, and between a letter and a mark or line end. Bytes of ASCII, of two, three and four bytes;
 #: lead bytes under which there is white space are left out, or the white space is.
 _SOLID = rb"[!-~]|[\xc3-\xdf]|[\xe0\xe4-\xef]|\xe3[\x81-\xbf]|[\xf0-\xf4]"
-_AFTER_SOLID = rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf])|(?<=[\xe0\xe4-\xef][\x80-\xbf][\x80-\xbf])|(?<=\xe3[\x81-\xbf][\x80-\xbf])|(?<=[\xf0-\xf4][\x80-\xbf][\x80-\xbf][\x80-\xbf]))"
-_AFTER_LETTER = rb"(?:(?<=[A-Za-z])|(?<=\xe3\x81[\x81-\xbf])|(?<=[\xe5-\xe9\xeb\xec][\x80-\xbf][\x80-\xbf]))"
-_MARK = rb"[,.;:\n]|\xe3\x80[\x81\x82]|\xef\xbc[\x8c\x9a\x9b]"
-SURE = re.compile(_AFTER_SOLID + rb" (?=" + _SOLID + rb")|" + _AFTER_LETTER + rb"(?=" + _MARK + rb")")
+_SPACE = rb" (?:(?<=[!-~] )|(?<=[\xc3-\xdf][\x80-\xbf] )|(?<=[\xe0\xe4-\xef][\x80-\xbf][\x80-\xbf] )|(?<=\xe3[\x81-\xbf][\x80-\xbf] )|(?<=[\xf0-\xf4][\x80-\xbf][\x80-\xbf][\x80-\xbf] ))(?=" + _SOLID + rb")"
+_LETTER = [rb"[A-Za-z]", rb"\xe3\x81[\x81-\xbf]", rb"[\xe5-\xe9\xeb\xec][\x80-\xbf][\x80-\xbf]"]
+_after = lambda mark: b"(?:" + b"|".join(b"(?<=" + x + mark + b")" for x in _LETTER) + b")"
+SURE = re.compile(_SPACE + rb"|[,.;:\n]" + _after(rb"[,.;:\n]") + rb"|\xe3\x80[\x81\x82]" + _after(rb"\xe3\x80[\x81\x82]") + rb"|\xef\xbc[\x8c\x9a\x9b]" + _after(rb"\xef\xbc[\x8c\x9a\x9b]"))
 
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 
