@@ -24,13 +24,12 @@ MAX_BITS = 3
 def with_representative(items: DataFrame, value: str, key: str = "label", idx: str = "idx") -> DataFrame:
     """``key, idx, value, rep``: ``rep`` is the smallest position of the label with an equal value.
 
-    Rows are told apart by a hash first, so values are grouped only where hashes meet.
+    Values are told apart by two hashes of 64 bits with seeds of their own, so only
+    hashes are grouped, and none of the values is shuffled for it but along with its row.
     """
-    marked = with_group(items.select(key, idx, value, F.xxhash64(value).alias("_hash")), [key, "_hash"], {}, idx)
-    marked = settle(marked.select(key, idx, value, F.col("group_n").isNotNull().alias("_met")), "marked")
-    met = with_group(marked.where("_met").select(key, idx, value), [key, value], {"rep": F.min(idx)}, idx)
-    alone = marked.where("NOT _met").select(key, idx, value, F.col(idx).alias("rep"))
-    return alone.unionByName(met.select(key, idx, value, F.coalesce("rep", idx).alias("rep")))
+    marked = items.select(key, idx, value, F.xxhash64(value).alias("_h1"), F.xxhash64(F.lit(1), F.col(value)).alias("_h2"))
+    found = with_group(marked, [key, "_h1", "_h2"], {"rep": F.min(idx)}, idx)
+    return found.select(key, idx, value, F.coalesce("rep", idx).alias("rep"))
 
 
 def _copies(classes: DataFrame, key: str, idx: str, name: str, measure: Column) -> DataFrame:
@@ -98,22 +97,23 @@ def _dealt(vectors: DataFrame, threshold: float) -> DataFrame:
     A group is the posting of a rare component, for pairs with a light vector, or a
     tile of two intervals of positions, for pairs without one.
     """
-    routed = settle(_routed(vectors, threshold), "routed")
-    postings = routed.where("size(rare) > 0").select("label", "dim", F.explode("rare").alias("posting"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(-1).cast("long").alias("part"), "idx", "v", "rare", "light")
-    heavy = routed.where("NOT light")
     n_blocks = F.ceil((F.max("idx") + 1) / BLOCK)
-    sizes = heavy.groupBy("label").agg((F.least(F.ceil(F.sqrt(n_blocks)), F.lit(TILE)) * BLOCK).alias("width"), F.max("idx").alias("last"))
-    part, other = F.floor(F.col("idx") / F.col("width")), F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("width")))
-    sent = same_join(heavy, sizes, ["label"]).select("label", "dim", "idx", "v", part.alias("part"), F.explode(other).alias("other"))
-    tiles = sent.select("label", "dim", F.lit(-1).alias("posting"), F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "idx", "v", F.array().cast("array<int>").alias("rare"), F.lit(False).alias("light"))
-    return postings.unionByName(tiles)
+    sizes = vectors.groupBy("label").agg((F.least(F.ceil(F.sqrt(n_blocks)), F.lit(TILE)) * BLOCK).cast("long").alias("width"), F.max("idx").alias("last"))
+    part = F.floor(F.col("idx") / F.col("width")).cast("long")
+    none = F.lit(-1).cast("long")
+    group = lambda posting, a, b, part: F.struct(posting.alias("posting"), a.alias("a"), b.alias("b"), part.alias("part"))
+    postings = F.transform("rare", lambda c: group(c, none, none, none))
+    others = F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / F.col("width")).cast("long"))
+    tiles = F.transform(others, lambda other: group(F.lit(-1), F.least(part, other), F.greatest(part, other), part))
+    groups = F.when(F.col("light"), postings).otherwise(F.concat(postings, tiles))
+    return same_join(_routed(vectors, threshold), sizes, ["label"]).select("label", "dim", "idx", "v", "rare", "light", F.inline(groups))
 
 
 def _vectors(items: DataFrame, vec: str, key: str, idx: str) -> tuple[DataFrame, DataFrame]:
     """Classes of equal vectors (see ``with_representative``), and the first of each with its length ``dim``."""
     some = F.exists(vec, lambda x: x != 0)
     usable = items.where(some).select(F.col(key).alias("label"), F.col(idx).cast("long").alias("idx"), F.col(vec).cast("array<double>").alias("v"))
-    classes = with_representative(usable, "v", "label", "idx")
+    classes = settle(with_representative(usable, "v", "label", "idx"), "classes")
     return classes, classes.where("idx = rep").select("label", F.size("v").alias("dim"), "idx", "v")
 
 
@@ -170,7 +170,6 @@ def cosine_edges(items: DataFrame, threshold: float, vec: str = "v", key: str =
 def cosine_candidates(items: DataFrame, threshold: float, vec: str = "v", key: str = "label", idx: str = "idx") -> DataFrame:
     """``key, vectors, light, sent, compared``: different vectors of a label, how many are light, rows dealt, and pairs that ``cosine_edges`` compares at most."""
     _, firsts = _vectors(items, vec, key, idx)
-    firsts = settle(firsts, "vectors")
     dealt = settle(_dealt(firsts, threshold).select("label", "dim", "posting", "a", "b", "part", "light"), "dealt")
     n, here, lights = F.count(F.lit(1)), F.count_if(F.col("part") == F.col("a")), F.count_if("light")
     pairs = F.when(F.col("posting") >= 0, (n * (n - 1) - (n - lights) * (n - lights - 1)) / 2).when(F.col("a") == F.col("b"), n * (n - 1) / 2).otherwise(here * (n - here))

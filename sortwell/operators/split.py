@@ -77,8 +77,8 @@ def group_sides(items: DataFrame, groups: DataFrame, ratio: float, key: str = "l
     owner = sized.groupBy("k", "idx").agg(F.min(order).alias("o"))
     per_group = same_join(sized, owner, ["k", "idx"])
     rows = per_group.groupBy("k", "group_no", "size").agg(F.sum((F.col("o.g") == F.col("group_no")).cast("long")).alias("fresh"), F.min_by("o", "idx")["g"].alias("head"))
-    placed = settle(with_position(settle(rows, "sizes"), "k", [F.col("size").desc(), F.col("group_no").asc()], "place"), "places")
-    n = settle(items.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("n_train", F.floor(F.col("n") * F.lit(float(ratio)).cast("double"))), "counts")
+    placed = with_position(settle(rows, "sizes"), "k", [F.col("size").desc(), F.col("group_no").asc()], "place")
+    n = items.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("n_train", F.floor(F.col("n") * F.lit(float(ratio)).cast("double")))
 
     sizes = placed.groupBy("k", "size").agg(F.min("place").alias("start"), (F.min("fresh") < F.max("fresh")).alias("mixed"))
     known = same_join(placed, sizes, ["k", "size"])
