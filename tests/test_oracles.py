@@ -14,6 +14,7 @@ QUICK = [
     "flagship_dedup_split", "label_inventory", "counters_pct", "name_truncate", "name_sort", "path_parse", "text_lines", "progress_log", "config_defaults", "file_hash_groups", "hamming_pairs", "cosine_pairs_semantic", "embedding_pairs",
     "leader_groups_semantic", "keep_best", "best_image_score", "quality_composite", "vector_histograms", "classify_content", "kfold_metrics", "split_report", "copy_manifest", "run_totals", "image_levels", "image_measures", "ssim_neighbours", "split_rebalance",
     "settings_merge", "price_histogram", "group_report", "verify_cross_split", "unique_keeping_near", "output_recount", "name_lookup", "move_report", "run_lines", "run_report",
+    "basket_pairs", "class_threshold", "grid_texture", "grid_parts", "rotated_groups", "manifest_versions", "config_comparison",
 ]
 
 
