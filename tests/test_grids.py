@@ -78,3 +78,27 @@ def test_rotations(spark):
     df = spark.createDataFrame([(t,) for t in want] + [(None,), ("01",)], "h string")
     rows = df.select("h", rotations(F.col("h")).alias("r"), canonical_rotation(F.col("h")).alias("c")).collect()
     assert rows[0].r == want and {x.c for x in rows[:4]} == {min(want)} and rows[4].c is None and rows[5].c is None
+
+
+@pytest.mark.parametrize("name", ["grid_parts", "image_levels", "image_measures", "ssim_neighbours"])
+def test_gray_levels_are_taken_in_single_precision(spark, tmp_path, name):
+    """Levels that are halves in single precision, but not in double, are rounded as the SQL does."""
+    import duckdb
+
+    from sortwell.oracles import ORACLES
+    from sortwell.queries import queries
+
+    level = lambda x: np.float32(x) * np.float32(300) + np.float32(128)
+    odd = next(x for x in np.linspace(0.0415, 0.0418, 20001).astype(np.float32) if level(x) == 140.5 and float(x) * 300 + 128 < 140.5)
+    r = np.random.default_rng(3)
+    plain = r.uniform(-0.3, 0.3, (4, 64)).astype(np.float32)
+    part = np.full((4, 64), -0.1, np.float32)
+    part[:, [9, 10, 17, 18]] = odd  # four bright cells by halves
+    rows = [(i, [float(x) for x in v], i % 2) for i, v in enumerate([*plain, *part, *r.permuted(part, axis=1)])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries()[name](spark, str(tmp_path))
+    want = con.sql(ORACLES[name])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
