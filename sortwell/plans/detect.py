@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sortwell.operators.dedup import key_groups, remapped_groups, unique_items
 from sortwell.operators.edges import cosine_edges, hamming_edges
-from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
+from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups, vector_leaders
 from sortwell.operators.index import with_position
 from sortwell.operators.match import same_join
 from sortwell.operators.split import smart_split
@@ -20,15 +20,6 @@ def led(groups: DataFrame, level: str) -> DataFrame:
     return groups.select("label", F.lit(level).alias("level"), F.col("leader").alias("lead"), "idx")
 
 
-def led_by_level(edges: dict[str, DataFrame]) -> DataFrame:
-    """``label, level, lead, idx`` of the leader groups of several levels, found in the same rounds."""
-    out = None
-    for level, e in edges.items():
-        one = e.select(F.struct("label", F.lit(level).alias("level")).alias("at"), "i", "j", "copy")
-        out = one if out is None else out.union(one)
-    return leader_groups(out, "at").select("at.label", "at.level", F.col("leader").alias("lead"), "idx")
-
-
 def keyed(groups: DataFrame, level: str) -> DataFrame:
     """``label, level, lead, idx`` of numbered groups."""
     return groups.select("label", F.lit(level).alias("level"), F.col("group_no").alias("lead"), "idx")
@@ -51,11 +42,19 @@ def vector_edges(features: DataFrame, threshold: float) -> DataFrame:
     return cosine_edges(within, threshold, key="at").select("at.label", "i", "j", "sim", "copy")
 
 
+def led_by_vectors(features: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """``label, level, lead, idx`` of leader groups at several thresholds; where vectors come from several methods (``embedding_method``) only those of one method are compared."""
+    if "embedding_method" not in features.columns:
+        return vector_leaders(features, limits).withColumnRenamed("leader", "lead")
+    within = features.withColumn("at", F.struct("label", "embedding_method"))
+    return vector_leaders(within, limits, key="at").select("at.label", "level", F.col("leader").alias("lead"), "idx")
+
+
 def detect_groups(features: DataFrame, settings: Settings, merge: str = "single_pass", backend: str = "vectors", levels: str = "compat") -> DataFrame:
     """``label, group_no, idx, kind`` over all four levels: exact, near, variation, semantic.
 
-    ``features`` has label, idx, file_hash, phash and v. Vectors are compared once, at the
-    lowest threshold, and the levels are filters of those edges. ``merge`` is the
+    ``features`` has label, idx, file_hash, phash and v. The leaders of the
+    levels of vectors are found in the same rounds. ``merge`` is the
     original's single pass, or ``components``. With ``backend="none"`` only hashes count.
 
     ``kind`` is ``exact`` for all groups with ``levels="compat"``, as the original has
@@ -68,8 +67,7 @@ def detect_groups(features: DataFrame, settings: Settings, merge: str = "single_
         parts = [merged(numbered_groups(led(leader_groups(hamming_edges(features)), "perceptual"), ["perceptual"]))]
     else:
         limits = {"near": settings.near_duplicate_threshold, "variation": settings.variation_threshold, "semantic": settings.semantic_threshold}
-        edges = settle(vector_edges(features, min(limits.values())), "similar")
-        found = settle(led_by_level({name: edges.where(F.col("sim") > t) for name, t in limits.items()} | {"perceptual": hamming_edges(features)}), "leaders")
+        found = settle(led_by_vectors(features, limits).union(led(leader_groups(hamming_edges(features)), "perceptual")), "leaders")
         of = lambda *names: numbered_groups(found.where(F.col("level").isin(*names)), list(names))
         parts = [merged(of("near", "perceptual")), of("variation"), of("semantic")]
     if levels == "compat":

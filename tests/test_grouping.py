@@ -378,3 +378,47 @@ def test_split(spark):
     assert len(got) == len(rows)
     for x in got:
         assert want[x.label][x.idx] == x.split, x
+
+
+@pytest.mark.parametrize(("scanned", "step", "rows", "leaders"), [(1 << 21, 256, 256, 4096), (60, 4, 3, 2), (1, 1, 1, 1)])
+def test_leaders_of_vectors_need_no_links(spark, monkeypatch, scanned, step, rows, leaders):
+    """Rounds over vectors give the groups of a scan over all links, at every level."""
+    for name, value in {"SCANNED": scanned, "STEP": step, "ROWS": rows, "LEADERS": leaders}.items():
+        monkeypatch.setattr(grouping, name, value)
+    data = vectors(random.Random(17), n=130 if scanned > 1 else 24)
+    got = grouping.vector_leaders(spark.createDataFrame(data, "label string, idx long, v array<double>"), {"near": 0.97, "far": 0.7}).collect()
+    for level, t in (("near", 0.97), ("far", 0.7)):
+        want = {(k, *p) for k in ("a", "b", None) for p in greedy([(i, j) for l, i, j in sorted(links_of(data, t), key=repr) if l == k])}
+        assert {(r.label, r.leader, r.idx) for r in got if r.level == level} == want
+    assert len(got) == len({(r.label, r.level, r.idx) for r in got})
+    assert grouping.vector_leaders(spark.createDataFrame([], "label string, idx long, v array<double>"), {"near": 0.9}).count() == 0
+
+
+def test_many_alike_vectors_are_no_links(spark):
+    """4,000 vectors that are all alike are one group each level, found within a few jobs; their 8 million links are never rows."""
+    r = random.Random(18)
+    data = [("a", i, [1.0 + r.random() / 50 for _ in range(16)]) for i in range(4000)]
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.createDataFrame(data, "label string, idx long, v array<double>").cache()
+    df.count()
+    spark.sparkContext.setJobGroup("alike", "alike")
+    try:
+        got = grouping.vector_leaders(df, {"near": 0.95, "far": 0.8}).groupBy("level", "leader").count().collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == [("far", 0, 4000), ("near", 0, 4000)]
+    assert len(tracker.getJobIdsForGroup("alike")) <= 30
+
+
+def test_a_cosine_equal_to_the_threshold_is_no_link(spark):
+    """Whole numbers whose cosine is the threshold itself link with nothing, as in SQL, whatever rounding a scale would add."""
+    pairs, n = [], 0
+    for k in range(1, 40):
+        a, b = [0.0] * 8, [0.0] * 8
+        a[0], a[1], b[0], b[2] = 3.0 * k, 4.0 * k, 3.0 * k, 4.0 * k  # 9 / 25
+        pairs += [(str(k), 0, a), (str(k), 1, b)]
+    df = spark.createDataFrame(pairs, "label string, idx long, v array<double>")
+    wide = [(f"{x}", i, [float(c < 19 or c == 19 + i) for c in range(24)]) for x in range(5) for i in range(2)]  # 19 / 20
+    assert edges.cosine_edges(df, 0.36).count() == 0
+    assert edges.cosine_edges(spark.createDataFrame(wide, "label string, idx long, v array<double>"), 0.95).count() == 0
+    assert grouping.vector_leaders(spark.createDataFrame(wide, "label string, idx long, v array<double>"), {"near": 0.95}).count() == 0
