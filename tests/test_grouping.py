@@ -422,3 +422,31 @@ def test_a_cosine_equal_to_the_threshold_is_no_link(spark):
     assert edges.cosine_edges(df, 0.36).count() == 0
     assert edges.cosine_edges(spark.createDataFrame(wide, "label string, idx long, v array<double>"), 0.95).count() == 0
     assert grouping.vector_leaders(spark.createDataFrame(wide, "label string, idx long, v array<double>"), {"near": 0.95}).count() == 0
+
+
+@pytest.mark.parametrize(("posting", "nonzero", "tuples"), [(4096, 16, 64), (4096, 5, 64), (4096, 16, 6), (5, 16, 64)])
+@pytest.mark.parametrize("threshold", [0.55, 0.9])
+def test_sparse_vectors_meet_by_what_they_share(spark, monkeypatch, posting, nonzero, tuples, threshold):
+    """Tuples, and tiles for the heavy vectors of a label, give each link once."""
+    for name, value in {"POSTING": posting, "NONZERO": nonzero, "TUPLES": tuples, "OTHERS": 0.6, "BLOCK": 8, "TILE": 2, "PAIRS": 7}.items():
+        monkeypatch.setattr(edges, name, value)
+    rows = sparse(random.Random(19), n=220, dims=14)
+    want = links_of(rows, threshold)
+    df = spark.createDataFrame(rows, "label string, idx long, v array<double>")
+    got = [(x.label, x.i, x.j) for x in edges.cosine_edges(df, threshold).where("NOT copy").collect()]
+    value = {(k, i): v for k, i, v in rows}
+    first = {x: min(i for (k, i), v in value.items() if k == x[0] and v == value[x]) for x in value}
+    assert len(got) == len(set(got))
+    assert set(got) == {(k, i, j) for k, i, j in want if first[k, i] == i and first[k, j] == j and value[k, i] != value[k, j]}
+
+
+def test_rows_dealt_for_sparse_vectors_grow_with_them(spark):
+    """Whatever their number, vectors of few components are sent a few times each, and compared with few."""
+    r = random.Random(20)
+    sent = []
+    for n in (4000, 16000):
+        rows = [("a", i, [float(c in s) for c in range(32)]) for i, s in enumerate(set(r.sample(range(32), r.choice([5, 6, 7]))) for _ in range(n))]
+        x = edges.cosine_candidates(spark.createDataFrame(rows, "label string, idx long, v array<double>"), 0.9).first()
+        assert x.light == x.vectors and x.compared < x.vectors * (x.vectors - 1) / 2 / 50
+        sent.append(x.sent / x.vectors)
+    assert max(sent) <= 5 and sent[1] < sent[0] * 1.2
