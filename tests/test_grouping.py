@@ -450,3 +450,28 @@ def test_rows_dealt_for_sparse_vectors_grow_with_them(spark):
         assert x.light == x.vectors and x.compared < x.vectors * (x.vectors - 1) / 2 / 50
         sent.append(x.sent / x.vectors)
     assert max(sent) <= 5 and sent[1] < sent[0] * 1.2
+
+
+def shuffled(spark):
+    """Bytes of each shuffle file that the session holds."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+    return {f.getName(): f.length() for f in (files.apply(k) for k in range(files.length())) if f.getName().startswith("shuffle")}
+
+
+def test_disk_for_dense_vectors_grows_with_them(spark, monkeypatch):
+    """A vector is written once to be dealt, and once packed, however many tiles it is in."""
+    monkeypatch.setattr(edges, "BLOCK", 8)
+    monkeypatch.setattr(edges, "POSTING", 0)
+    r = random.Random(21)
+    each, sent = [], []
+    for n in (300, 2400):
+        rows = [("a", i, [r.gauss(0, 1) for _ in range(32)]) for i in range(n)]
+        df = spark.createDataFrame(rows, "label string, idx long, v array<double>")
+        before = shuffled(spark)
+        edges.cosine_edges(df, 0.75).count()
+        each.append(sum(size for name, size in shuffled(spark).items() if name not in before) / n)
+        x = edges.cosine_candidates(df, 0.75).first()
+        assert x.light == 0 and x.compared == n * (n - 1) // 2
+        sent.append(x.sent / n)
+    assert each[1] < each[0] * 1.3, each
+    assert sent == [2, 2]
