@@ -11,6 +11,7 @@ from sortwell.operators.components import connected_components
 from sortwell.operators.grouping import leader_groups, merge_components, merge_single_pass, numbered_groups
 from sortwell.operators.index import with_position
 from sortwell.operators.split import group_sides, smart_split
+from sortwell.queries import rounded
 from pyspark.sql import functions as F
 
 
@@ -475,3 +476,13 @@ def test_disk_for_dense_vectors_grows_with_them(spark, monkeypatch):
         sent.append(x.sent / n)
     assert each[1] < each[0] * 1.3, each
     assert sent == [2, 2]
+
+
+def test_written_links_take_few_bytes(spark, tmp_path):
+    """Links come in order of cosine, so that equal ones of six places lie together in a file; unordered, a cosine alone takes 8 bytes."""
+    r, n = random.Random(22), 1500
+    rows = [("a", i, [r.random() + 0.1 for _ in range(24)]) for i in range(n)]
+    edges.cosine_edges(spark.createDataFrame(rows, "label string, idx long, v array<double>"), 0.3).withColumn("sim", rounded()).write.parquet(f"{tmp_path}/links")
+    links = spark.read.parquet(f"{tmp_path}/links")
+    assert links.count() == links.select("i", "j").where("i < j").distinct().count() == n * (n - 1) // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "links").glob("*.parquet")) < 7 * links.count()
